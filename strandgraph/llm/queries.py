@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, neardup, toxicity
+from . import decontam, fingerprint, langid, neardup, quality, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_document_fingerprints": fingerprint.op1,
+        "op3_quality": quality.op3,
         "op7_minhash_near_dedup": neardup.op7,
         "op8_language_id": langid.op8,
         "op9_benchmark_decontamination": decontam.op9,
