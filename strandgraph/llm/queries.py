@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprint, langid, neardup, quality, toxicity
+from . import decontam, fingerprint, langid, mixing, neardup, quality, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_document_fingerprints": fingerprint.op1,
+        "op2_source_mixing": mixing.op2,
         "op3_quality": quality.op3,
         "op7_minhash_near_dedup": neardup.op7,
         "op8_language_id": langid.op8,
@@ -17,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_benchmark_decontamination": decontam.OP9_SQL}
+    return {"op2_source_mixing": mixing.OP2_SQL, "op9_benchmark_decontamination": decontam.OP9_SQL}
