@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprint, langid, mixing, neardup, quality, toxicity
+from . import decontam, fingerprint, html, langid, mixing, neardup, quality, toxicity, urlfilter
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op1_document_fingerprints": fingerprint.op1,
         "op2_source_mixing": mixing.op2,
         "op3_quality": quality.op3,
+        "op5_url_filters": urlfilter.op5,
+        "op6_html_extraction": html.op6,
         "op7_minhash_near_dedup": neardup.op7,
         "op8_language_id": langid.op8,
         "op9_benchmark_decontamination": decontam.op9,
@@ -18,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": mixing.OP2_SQL, "op9_benchmark_decontamination": decontam.OP9_SQL}
+    return {"op2_source_mixing": mixing.OP2_SQL, "op5_url_filters": urlfilter.OP5_SQL, "op9_benchmark_decontamination": decontam.OP9_SQL}
