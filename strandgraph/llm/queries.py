@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprint, html, langid, mixing, neardup, quality, toxicity, urlfilter
+from . import chat, decontam, fingerprint, html, langid, mixing, neardup, quality, toxicity, urlfilter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_document_fingerprints": fingerprint.op1,
         "op2_source_mixing": mixing.op2,
         "op3_quality": quality.op3,
+        "op4_chat_formatting": chat.op4,
         "op5_url_filters": urlfilter.op5,
         "op6_html_extraction": html.op6,
         "op7_minhash_near_dedup": neardup.op7,
