@@ -160,7 +160,7 @@ def _(t):
     return build.release_keys(parsed).groupBy("kind", "key").agg(F.count("*").alias("n"), F.min("node_id").alias("lo"))
 
 
-@query("b24_neighbours", CANON + "SELECT node_id, sum(f) AS forward, sum(b) AS backward FROM (SELECT src AS node_id, 1 AS f, 0 AS b FROM dep_edges UNION ALL SELECT dst, 0, 1 FROM dep_edges) GROUP BY node_id")
+@query("b24_neighbours", CANON + "SELECT node_id, CAST(sum(f) AS BIGINT) AS forward, CAST(sum(b) AS BIGINT) AS backward FROM (SELECT src AS node_id, 1 AS f, 0 AS b FROM dep_edges UNION ALL SELECT dst, 0, 1 FROM dep_edges) GROUP BY node_id")
 def _(t):
     both = t.dep_edges.select(F.col("src").alias("node_id"), F.lit(1).alias("f"), F.lit(0).alias("b")).unionByName(t.dep_edges.select(F.col("dst").alias("node_id"), F.lit(0).alias("f"), F.lit(1).alias("b")))
     return both.groupBy("node_id").agg(F.sum("f").alias("forward"), F.sum("b").alias("backward"))
@@ -202,10 +202,10 @@ def _(t):
     return gt.join(pred, "sample_id")
 
 
-@query("e10_fuzzy_join", "SELECT s_name, min(c_name) AS first_match FROM supplier JOIN customer ON contains(substr(c_name, 10), ltrim(substr(s_name, 10), '0')) GROUP BY s_name")
+@query("e10_fuzzy_join", "SELECT s_name, min(c_name) AS first_match FROM supplier JOIN customer ON contains(substr(c_name, 10), ltrim(substr(s_name, 10), '0')) WHERE ltrim(substr(s_name, 10), '0') <> '' GROUP BY s_name")
 def _(t):
     """Substring join: every supplier's number against the names that hold it, through an index of the names' substrings."""
-    number = t.raw("supplier").select("s_name", F.ltrim(F.substring("s_name", 10, 30), F.lit("0")).alias("key"))
+    number = t.raw("supplier").select("s_name", F.ltrim(F.substring("s_name", 10, 30), F.lit("0")).alias("key")).filter("key <> ''")
     name = t.raw("customer").select("c_name", F.substring("c_name", 10, 30).alias("s"))
     spans = F.flatten(F.transform(F.sequence(F.lit(1), F.length("s")), lambda i: F.transform(F.sequence(F.lit(1), F.length("s") - i + 1), lambda n: F.substring(F.col("s"), i, n))))
     index = name.select("c_name", F.explode(F.array_distinct(spans)).alias("key")).groupBy("key").agg(F.min("c_name").alias("first_match"))
