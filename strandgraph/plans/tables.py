@@ -104,7 +104,7 @@ dep_edges AS (
 cve_list AS (
   SELECT (event_id * 7919) % (SELECT count(*) FROM orders) AS node_id, 'CVE-2024-' || lpad(CAST(event_id AS VARCHAR), 7, '0') AS cve_id,
     CASE WHEN value < 10 THEN 'LOW' WHEN value < 40 THEN 'MEDIUM' WHEN value < 100 THEN 'HIGH' ELSE 'CRITICAL' END AS severity,
-    epoch_ms(ts) AS ts, '[CWE-' || (user_id % 30) || ',CWE-' || (event_id % 7) || ']' AS cwe_ids
+    epoch_us(ts) // 1000 AS ts, '[CWE-' || (user_id % 30) || ',CWE-' || (event_id % 7) || ']' AS cwe_ids
   FROM events WHERE event_type = 'error'),
 added_values AS (
   SELECT event_id AS value_id, (event_id * 104729) % (SELECT count(*) FROM orders) AS owner_id,
