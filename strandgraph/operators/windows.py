@@ -104,7 +104,7 @@ def smooth(series: DataFrame, k: int) -> DataFrame:
 def gradient(series: DataFrame, value: str = "value") -> DataFrame:
     """Second-order central differences over unequal steps, one-sided at the ends, of (series, t, value)."""
     order = Window.partitionBy("series").orderBy("t")
-    y, t = F.col(value), F.col("t")
+    y, t = F.col(value), F.col("t").cast("double")
     y0, y1, t0, t1 = F.lag(y).over(order), F.lead(y).over(order), F.lag(t).over(order), F.lead(t).over(order)
     h0, h1 = t - t0, t1 - t
     inner = (h0 * h0 * y1 + (h1 * h1 - h0 * h0) * y - h1 * h1 * y0) / (h0 * h1 * (h0 + h1))

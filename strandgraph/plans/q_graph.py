@@ -1 +1,328 @@
-"""To be filled."""
+"""Queries of graph algorithms (J, B19, B20, E06) and vector search (K)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import scores, versions
+from ..operators import aggregate, build, graph, localise, vectors, windows
+from .registry import query
+from .tables import CANON
+
+c = F.col
+
+
+def _small(t):
+    """Nodes and edges of the sub-graph, written once, as the rounds of a loop read them again."""
+    from ..sources.shared import written
+
+    return written(t.family, "nodes"), written(t.family_edges, "edges")
+
+
+_HOPS = """, hop(node_id, depth) AS (
+  SELECT DISTINCT node_id, 0 FROM family WHERE node_id IN (SELECT node_id FROM cve_list)
+  UNION SELECT e.dst, depth + 1 FROM hop JOIN family_edges e ON e.src = hop.node_id WHERE depth < 2),
+near AS (SELECT DISTINCT node_id FROM hop)
+"""
+
+
+@query("b19_cve_neighbourhood", CANON + _HOPS + "SELECT src, dst FROM family_edges WHERE src IN (SELECT node_id FROM near) AND dst IN (SELECT node_id FROM near)")
+def _(t):
+    nodes, edges = _small(t)
+    return graph.neighbourhood(edges, nodes.join(t.cve_list, "node_id", "left_semi"), 2)
+
+
+_BOTH = """, twoway AS (SELECT src, dst FROM family_edges UNION SELECT dst, src FROM family_edges),
+hop(node_id, depth) AS (
+  SELECT DISTINCT node_id, 0 FROM family WHERE node_id IN (SELECT node_id FROM cve_list)
+  UNION SELECT e.dst, depth + 1 FROM hop JOIN twoway e ON e.src = hop.node_id WHERE depth < 3),
+near AS (SELECT DISTINCT node_id FROM hop)
+"""
+
+
+@query("b20_expanded_subgraph", CANON + _BOTH + "SELECT src, dst FROM family_edges WHERE src IN (SELECT node_id FROM near) AND dst IN (SELECT node_id FROM near)")
+def _(t):
+    nodes, edges = _small(t)
+    return graph.neighbourhood(edges, nodes.join(t.cve_list, "node_id", "left_semi"), 3, directed=False)
+
+
+@query("e06_window_links", CANON + ", m AS (SELECT node_id, (ts - 788918400000) // 15552000000 AS wid, software_id % 5 AS comm FROM releases), e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM dep_edges), ee AS (SELECT a AS x, b AS y FROM e UNION ALL SELECT b, a FROM e) SELECT p.wid AS w_a, p.comm AS c_a, q.wid AS w_b, q.comm AS c_b, count(*) AS n FROM ee JOIN m p ON p.node_id = x JOIN m q ON q.node_id = y AND q.wid = p.wid + 1 GROUP BY ALL")
+def _(t):
+    m = t.releases.select("node_id", F.floor((c("ts") - 788918400000) / 15552000000).alias("wid"), (c("software_id") % 5).alias("comm"))
+    return graph.window_links(t.dep_edges, m)
+
+
+@query("j01_degree_centrality", CANON + ", n AS (SELECT count(*) - 1.0 AS d FROM releases), i AS (SELECT dst AS node_id, count(*) AS i FROM dep_edges GROUP BY 1), o AS (SELECT src AS node_id, count(*) AS o FROM dep_edges GROUP BY 1), u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM dep_edges), t AS (SELECT node_id, count(*) AS t FROM (SELECT a AS node_id FROM u UNION ALL SELECT b FROM u) GROUP BY 1) SELECT node_id, round(coalesce(i, 0) / d, 9) AS in_cent, round(coalesce(o, 0) / d, 9) AS out_cent, round(coalesce(t, 0) / d, 9) AS total_cent FROM releases CROSS JOIN n LEFT JOIN i USING (node_id) LEFT JOIN o USING (node_id) LEFT JOIN t USING (node_id)")
+def _(t):
+    return graph.degree_centrality(t.releases, t.dep_edges).select("node_id", *(F.round(x, 9).alias(x) for x in ("in_cent", "out_cent", "total_cent")))
+
+
+@query("j02_pagerank")
+def _(t):
+    return graph.pagerank(*_small(t)).select("node_id", F.round("rank", 6).alias("rank"))
+
+
+@query("j03_window_degree", CANON + ", k AS (SELECT node_id FROM releases WHERE ts >= 883612800000 AND ts < 915148800000), e AS (SELECT src, dst FROM dep_edges WHERE src IN (SELECT node_id FROM k) AND dst IN (SELECT node_id FROM k)), d AS (SELECT node_id, count(*) AS d FROM (SELECT src AS node_id FROM e UNION ALL SELECT dst FROM e) GROUP BY 1) SELECT node_id, round(d / ((SELECT count(*) FROM k) - 1), 9) AS cent FROM d")
+def _(t):
+    own = windows.nodes_in(t.releases, 883612800000, 915148800000)
+    n = own.count()
+    return aggregate.degrees(build.induced(t.dep_edges, own)).select("node_id", F.round(c("degree") / (n - 1), 9).alias("cent"))
+
+
+@query("j04_window_eigenvector")
+def _(t):
+    nodes, edges = _small(t)
+    return graph.eigenvector(nodes, edges).select("node_id", F.round("cent", 6).alias("cent"))
+
+
+@query("j05_adjacency_in_time", CANON + "SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b, abs(s.ts - d.ts) AS lag FROM family_edges JOIN family s ON s.node_id = src JOIN family d ON d.node_id = dst")
+def _(t):
+    nodes, edges = _small(t)
+    return graph.temporal_digraph(nodes, edges, strict=False).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), c("time_lag").alias("lag"))
+
+
+@query("j06_weighted_eigenvector")
+def _(t):
+    nodes, edges = _small(t)
+    w = nodes.select("node_id", (1 + c("node_id") % 3).cast("double").alias("w"))
+    e = edges.join(w.select(c("node_id").alias("src"), c("w").alias("u")), "src").join(w.select(c("node_id").alias("dst"), c("w").alias("v")), "dst").select("src", "dst", (c("u") * c("v")).alias("weight"))
+    return graph.eigenvector(nodes, e).select("node_id", F.round("cent", 6).alias("cent"))
+
+
+@query("j07_betweenness")
+def _(t):
+    nodes, edges = _small(t)
+    hit = edges.join(t.cve_list.select(c("node_id").alias("dst")), "dst", "left_semi").select("src", "dst")
+    return graph.betweenness(nodes, edges.unionByName(hit)).orderBy(F.desc("cent"), "node_id").limit(10).select("node_id", F.round("cent", 9).alias("cent"))
+
+
+_PATHS = """, walk(origin, node_id, depth) AS (
+  SELECT node_id, node_id, 0 FROM family WHERE node_id % 7 = 0
+  UNION SELECT origin, e.dst, depth + 1 FROM walk JOIN family_edges e ON e.src = walk.node_id WHERE depth < 4),
+least_depth AS (SELECT origin, node_id, min(depth) AS depth FROM walk GROUP BY 1, 2),
+counts(origin, node_id, depth, paths) AS (
+  SELECT origin, node_id, 0, CAST(1 AS BIGINT) FROM least_depth WHERE depth = 0
+  UNION ALL SELECT x.origin, e.dst, x.depth + 1, x.paths FROM counts x JOIN family_edges e ON e.src = x.node_id JOIN least_depth l ON l.origin = x.origin AND l.node_id = e.dst AND l.depth = x.depth + 1)
+"""
+
+
+@query("j08_shortest_paths", CANON + _PATHS + "SELECT origin, node_id, depth, CAST(sum(paths) AS BIGINT) AS paths FROM counts GROUP BY ALL")
+def _(t):
+    nodes, edges = _small(t)
+    return graph.shortest_paths(edges, nodes.filter("node_id % 7 = 0").select(c("node_id").alias("origin")), 4)
+
+
+@query("j09_communities")
+def _(t):
+    return graph.communities(*_small(t))
+
+
+@query("j10_root_community")
+def _(t):
+    nodes, edges = _small(t)
+    comm = graph.communities(nodes, edges)
+    return graph.choose_community(comm, nodes, edges, aggregate.node_scores(t.cve_list), w_early=0.0).select("comm", F.round("score", 3).alias("score"), "representative", "n")
+
+
+_DIR = ", pairs AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM family_edges), dir AS (SELECT CASE WHEN x.ts > y.ts THEN b ELSE a END AS src, CASE WHEN x.ts > y.ts THEN a ELSE b END AS dst, abs(x.ts - y.ts) AS time_lag FROM pairs JOIN family x ON x.node_id = a JOIN family y ON y.node_id = b WHERE x.ts <> y.ts)"
+
+
+@query("j11_temporal_digraph", CANON + _DIR + " SELECT src, dst, time_lag FROM dir")
+def _(t):
+    return graph.temporal_digraph(*_small(t))
+
+
+_WEI = _DIR + """, deg AS (SELECT node_id, count(*) AS d FROM (SELECT src AS node_id FROM family_edges UNION ALL SELECT dst FROM family_edges) GROUP BY 1),
+sc AS (SELECT node_id, CAST(sum(CASE severity WHEN 'CRITICAL' THEN 9.5 WHEN 'HIGH' THEN 8.0 WHEN 'MEDIUM' THEN 5.5 ELSE 2.0 END) AS DOUBLE) AS score FROM cve_list GROUP BY 1),
+wei AS (SELECT src, dst, time_lag / 86400000.0 + 1 / (coalesce(d, 0) + 1e-6) + 1 / (coalesce(score, 0) + 1e-6) AS weight FROM dir LEFT JOIN deg ON deg.node_id = dst LEFT JOIN sc ON sc.node_id = dst)
+"""
+
+
+def _weighted(t):
+    nodes, edges = _small(t)
+    cent = aggregate.degrees(edges).select("node_id", c("degree").cast("double").alias("cent"))
+    return nodes, graph.weighted(graph.temporal_digraph(nodes, edges), cent, aggregate.node_scores(t.cve_list))
+
+
+@query("j12_edge_weights", CANON + _WEI + "SELECT src, dst, round(weight, 4) AS weight FROM wei")
+def _(t):
+    return _weighted(t)[1].select("src", "dst", F.round("weight", 4).alias("weight"))
+
+
+_KSP = _WEI + """, src0 AS (SELECT min_by(node_id, ts * 1000000 + node_id) AS s FROM family),
+ksp(node_id, path, weight) AS (
+  SELECT s, [s], CAST(0 AS DOUBLE) FROM src0
+  UNION ALL SELECT e.dst, list_append(path, e.dst), ksp.weight + e.weight FROM ksp JOIN wei e ON e.src = ksp.node_id WHERE len(path) <= 4)
+"""
+
+
+@query("j13_k_shortest_paths", CANON + _KSP + "SELECT target, rank, array_to_string(path, '>') AS path, round(weight, 3) AS weight FROM (SELECT node_id AS target, path, weight, CAST(row_number() OVER (PARTITION BY node_id ORDER BY weight, path) AS INTEGER) AS rank FROM ksp WHERE len(path) > 1) WHERE rank <= 3")
+def _(t):
+    nodes, w = _weighted(t)
+    source = nodes.agg(F.min_by("node_id", F.struct("ts", "node_id")).alias("node_id"))
+    return graph.k_shortest(w, source, 3, depth=4).select("target", "rank", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), F.round("weight", 3).alias("weight"))
+
+
+@query("j14_path_summary", CANON + ", n AS (SELECT node_id, count(*) AS k, max(CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END) AS s FROM cve_list GROUP BY 1) SELECT a.src || '>' || a.dst || '>' || b.dst AS path_id, 3 AS length, CAST(coalesce(x.k, 0) + coalesce(y.k, 0) + coalesce(z.k, 0) AS BIGINT) AS cves, greatest(coalesce(x.s, 0), coalesce(y.s, 0), coalesce(z.s, 0)) AS max_severity FROM family_edges a JOIN family_edges b ON a.dst = b.src LEFT JOIN n x ON x.node_id = a.src LEFT JOIN n y ON y.node_id = a.dst LEFT JOIN n z ON z.node_id = b.dst")
+def _(t):
+    a, b = t.family_edges, t.family_edges.select(c("src").alias("mid"), c("dst").alias("end"))
+    path = F.array("src", "mid", "end")
+    paths = a.join(b, a["dst"] == b["mid"]).select(F.array_join(F.transform(path, lambda x: x.cast("string")), ">").alias("path_id"), path.alias("path"))
+    nodes = t.cve_list.groupBy("node_id").agg(F.count("*").alias("cve_count"), F.max(scores.severity_rank(c("severity"))).alias("severity"))
+    return graph.path_summary(paths, nodes)
+
+
+@query("j15_hop_distance", CANON + """, pr AS (SELECT a.node_id AS a, b.node_id AS b FROM family a JOIN family b ON b.node_id = a.node_id + 7 WHERE a.node_id % 3 = 0),
+walk(origin, node_id, depth) AS (SELECT a, a, 0 FROM pr UNION SELECT origin, e.dst, depth + 1 FROM walk JOIN family_edges e ON e.src = walk.node_id WHERE depth < 4)
+SELECT a, b, min(depth) AS distance FROM pr LEFT JOIN walk ON origin = a AND node_id = b GROUP BY a, b""")
+def _(t):
+    nodes, edges = _small(t)
+    other = nodes.select(c("node_id").alias("b"))
+    pairs = nodes.filter("node_id % 3 = 0").select(c("node_id").alias("a")).join(other, c("b") == c("a") + 7)
+    return graph.hop_distance(edges, pairs, 4, "forward")
+
+
+_UP = """, walk(origin, node_id, depth) AS (SELECT DISTINCT node_id, node_id, 0 FROM cve_list WHERE node_id IN (SELECT node_id FROM family) UNION SELECT origin, e.dst, depth + 1 FROM walk JOIN family_edges e ON e.src = walk.node_id WHERE depth < 4),
+grp AS (SELECT DISTINCT 'G' || (node_id % 3) AS cve_id, node_id FROM cve_list), tg AS (SELECT cve_id, node_id AS target FROM grp WHERE node_id IN (SELECT node_id FROM family)),
+up AS (SELECT tg.cve_id, target, w.node_id, min(depth) AS depth FROM tg JOIN walk w ON w.origin = target AND depth > 0 JOIN grp g ON g.cve_id = tg.cve_id AND g.node_id = w.node_id WHERE w.node_id <> target GROUP BY ALL)
+"""
+
+
+def _upstream(t):
+    """CVEs in three groups, so that several nodes share one: targets of the sub-graph, nodes that carry it."""
+    nodes, edges = _small(t)
+    carry = t.cve_list.select(F.concat(F.lit("G"), (c("node_id") % 3).cast("string")).alias("cve_id"), "node_id").distinct()
+    targets = carry.join(nodes, "node_id", "left_semi")
+    return nodes, edges, carry, targets, graph.upstream(edges, targets, carry, 4)
+
+
+@query("j16_upstream_search", CANON + _UP + "SELECT * FROM up")
+def _(t):
+    return _upstream(t)[4]
+
+
+@query("j17_sibling_search", CANON + _UP + "SELECT DISTINCT tg.cve_id, target, r.node_id, 2 AS depth FROM tg JOIN family_edges e ON e.src = target JOIN releases v ON v.node_id = e.dst JOIN releases r ON r.software_id = v.software_id AND r.node_id <> v.node_id JOIN grp g ON g.cve_id = tg.cve_id AND g.node_id = r.node_id")
+def _(t):
+    nodes, edges, carry, targets, _ = _upstream(t)
+    return graph.siblings(edges, targets, t.releases, carry)
+
+
+@query("j18_origin_type", CANON + _UP + "SELECT tg.cve_id, tg.target, CASE WHEN count(u.node_id) > 0 THEN 'propagated' ELSE 'original' END AS origin_type, coalesce(min_by(u.node_id, struct_pack(a := n.ts, b := u.node_id)), tg.target) AS origin, count(u.node_id) AS n_upstream FROM tg LEFT JOIN (up u JOIN family n ON n.node_id = u.node_id) ON u.cve_id = tg.cve_id AND u.target = tg.target AND n.ts < (SELECT ts FROM family f WHERE f.node_id = tg.target) GROUP BY tg.cve_id, tg.target")
+def _(t):
+    nodes, _, _, targets, found = _upstream(t)
+    return graph.classify_origin(targets, found.withColumn("via", F.lit("graph")), nodes).select("cve_id", "target", "origin_type", "origin", "n_upstream")
+
+
+@query("j19_reference_paths", CANON + """, st AS (SELECT e.dst AS src, e.src AS dst FROM family_edges e JOIN family a ON a.node_id = e.dst JOIN family b ON b.node_id = e.src WHERE b.ts >= a.ts),
+walk(origin, node_id, depth) AS (SELECT node_id, node_id, 0 FROM family WHERE node_id % 11 = 0 UNION SELECT origin, s.dst, depth + 1 FROM walk JOIN st s ON s.src = walk.node_id WHERE depth < 4)
+SELECT origin, node_id AS dst, min(depth) AS depth FROM walk WHERE node_id <> origin GROUP BY 1, 2""")
+def _(t):
+    nodes, edges = _small(t)
+    roots = nodes.filter("node_id % 11 = 0").select(F.lit("x").alias("cve_id"), "node_id", F.lit(0.8).alias("confidence"))
+    return graph.reference_paths(roots, edges, nodes, 4).select("origin", "dst", "depth")
+
+
+@query("j20_layered_search", CANON + """, vul AS (SELECT DISTINCT software_id, ord FROM cve_list JOIN releases USING (node_id)),
+nr AS (SELECT DISTINCT r.node_id FROM releases r JOIN vul v ON v.software_id = r.software_id AND abs(r.ord // 10 - v.ord // 10) + abs(r.ord % 10 - v.ord % 10) <= 1),
+walk(origin, node_id, depth) AS (SELECT node_id, node_id, 0 FROM family WHERE node_id % 5 = 0 UNION SELECT origin, e.dst, depth + 1 FROM walk JOIN family_edges e ON e.src = walk.node_id WHERE depth < 4 AND e.dst IN (SELECT node_id FROM nr))
+SELECT origin, node_id, min(depth) AS depth FROM walk GROUP BY 1, 2""")
+def _(t):
+    nodes, edges = _small(t)
+    named = t.releases.select("node_id", c("software_id").alias("package"), versions.semver(c("version")).alias("v"))
+    known = graph.near_known(named, named.join(t.cve_list, "node_id", "left_semi"))
+    return graph.layered(nodes.filter("node_id % 5 = 0").select(c("node_id").alias("origin")), edges, known, 4).select("origin", "node_id", "depth")
+
+
+@query("j21_components", CANON + """, twoway AS (SELECT src, dst FROM family_edges UNION SELECT dst, src FROM family_edges),
+reach(node_id, other) AS (SELECT node_id, node_id FROM family UNION SELECT reach.node_id, e.dst FROM reach JOIN twoway e ON e.src = reach.other)
+SELECT node_id, min(other) AS comp FROM reach GROUP BY 1""")
+def _(t):
+    return graph.components(*_small(t))
+
+
+@query("j22_project_snapshots", CANON + ", i AS (SELECT dst AS node_id, count(*) AS i FROM dep_edges GROUP BY 1), o AS (SELECT src AS node_id, string_agg(dst, ',' ORDER BY dst) AS uses FROM dep_edges GROUP BY 1) SELECT node_id, coalesce(i, 0) AS in_degree, uses FROM o LEFT JOIN i USING (node_id) WHERE coalesce(i, 0) <= 4")
+def _(t):
+    return graph.snapshots(t.dep_edges, t.releases).select("node_id", "in_degree", F.array_join(F.transform("uses", lambda x: x.cast("string")), ",").alias("uses"))
+
+
+_E = "CAST(a.embedding AS DOUBLE[])"
+_F = "CAST(b.embedding AS DOUBLE[])"
+
+
+def _queries(t):
+    return t.points.filter("pid < 20").select(c("pid").alias("qid"), c("embedding").alias("q"), c("node_id").alias("q_node"))
+
+
+@query("k01_cosine_distance", CANON + f"SELECT a.pid, b.pid AS other, round(1 - list_dot_product({_E}, {_F}), 6) AS d FROM points a JOIN points b ON a.node_id = b.node_id AND b.cve_idx = a.cve_idx + 1")
+def _(t):
+    b = t.points.select(c("pid").alias("other"), "node_id", (c("cve_idx") - 1).alias("cve_idx"), c("embedding").alias("e"))
+    return t.points.join(b, ["node_id", "cve_idx"]).select("pid", "other", F.round(vectors.cosine_distance(c("embedding"), c("e")), 6).alias("d"))
+
+
+@query("k02_index_cells")
+def _(t):
+    """The inverted file: every point with its nearest centroid."""
+    points = t.points.select("pid", "node_id", "embedding")
+    return vectors.cells(points, vectors.fit_centroids(points, 32)).select("pid", "cell")
+
+
+_KNN = f", knn AS (SELECT a.pid AS qid, b.pid, b.node_id, 1 - list_dot_product({_E}, {_F}) AS d, CAST(row_number() OVER (PARTITION BY a.pid ORDER BY 1 - list_dot_product({_E}, {_F}), b.pid) AS INTEGER) AS rank FROM points a, points b WHERE a.pid < 20)"
+
+
+@query("k03_nearest", CANON + _KNN + " SELECT qid, pid, round(d, 6) + 0.0 AS d, rank FROM knn WHERE rank <= 10")
+def _(t):
+    return vectors.exact(_queries(t), t.points, 10).select("qid", "pid", (F.round("distance", 6) + 0.0).alias("d"), "rank")
+
+
+@query("k03_nearest_by_index")
+def _(t):
+    return vectors.approximate(_queries(t), t.points, 10).select("qid", "pid", F.round("distance", 6).alias("d"), "rank")
+
+
+@query("k04_point_index", CANON + "SELECT pid, node_id, cve_idx FROM points")
+def _(t):
+    return t.points.select("pid", "node_id", "cve_idx")
+
+
+@query("k05_normalised", CANON + "SELECT pid, round(list_aggregate(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x / list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 'sum'), 6) AS one FROM points")
+def _(t):
+    v = vectors.normalise(c("embedding"))
+    return t.points.select("pid", F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x), 6).alias("one"))
+
+
+@query("k06_self_recall", CANON + f""", k AS (SELECT a.pid AS qid, a.node_id AS own, b.node_id, row_number() OVER (PARTITION BY a.pid ORDER BY 1 - list_dot_product({_E}, {_F}), b.pid) AS r FROM points a JOIN points b ON a.pid <> b.pid),
+f AS (SELECT qid, min(r) FILTER (node_id = own) AS r FROM k WHERE r <= 5 GROUP BY qid) SELECT round(avg(CASE WHEN r IS NULL THEN 0.0 ELSE 1.0 END), 6) AS recall, round(avg(coalesce(1.0 / r, 0)), 6) AS mrr FROM f""")
+def _(t):
+    return vectors.self_recall(t.points, 5).select(F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"))
+
+
+@query("k07_similarity_statistics", CANON + _KNN + ", s AS (SELECT qid, 1 / (1 + abs(d) + 1e-8) AS s FROM knn WHERE rank <= 10) SELECT qid, count(*) AS n, round(avg(s), 6) AS mean, round(median(s), 6) AS median, round(min(s), 6) AS lo, round(max(s), 6) AS hi FROM s GROUP BY qid")
+def _(t):
+    s = vectors.exact(_queries(t), t.points, 10).withColumn("s", scores.similarity(c("distance")))
+    return s.groupBy("qid").agg(F.count("*").alias("n"), F.round(F.avg("s"), 6).alias("mean"), F.round(F.median("s"), 6).alias("median"), F.round(F.min("s"), 6).alias("lo"), F.round(F.max("s"), 6).alias("hi"))
+
+
+@query("h02_top_pairs", CANON + f", p AS (SELECT a.pid AS a, b.pid AS b, round(1 - list_dot_product({_E}, {_F}), 6) AS d FROM points a JOIN points b ON a.pid < b.pid AND a.node_id <> b.node_id) SELECT a, b, d FROM p ORDER BY d, a, b LIMIT 10")
+def _(t):
+    return vectors.top_pairs(t.points, 10, 10).select("a", "b", F.round("distance", 6).alias("d"))
+
+
+@query("n05_pagerank_origin")
+def _(t):
+    return localise.by_centrality(t.releases, t.dep_edges, "pagerank", 0.5)
+
+
+@query("n06_betweenness_origin")
+def _(t):
+    return localise.by_centrality(t.releases, t.dep_edges, "betweenness", 0.4)
+
+
+@query("n07_temporal_pagerank_origin")
+def _(t):
+    return localise.by_centrality(t.releases, t.dep_edges, "temporal_pagerank", 0.5)
+
+
+@query("n08_community_origin")
+def _(t):
+    nodes, edges = _small(t)
+    return localise.by_community(t.releases.join(nodes, "node_id", "left_semi"), graph.communities(nodes, edges))

@@ -1 +1,109 @@
-"""To be filled."""
+"""Queries of time windows and series (L), and the streaming form of event windows."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import aggregate, build, graph, windows
+from ..streaming import events as stream
+from .registry import query
+from .tables import CANON
+
+c = F.col
+HALF_YEAR, YEAR = 15_552_000_000, 31_104_000_000
+
+_WIN = f""", b AS (SELECT min(ts) AS lo, max(ts) AS hi FROM releases),
+win AS (SELECT CAST((t - lo) // {HALF_YEAR} AS INTEGER) AS wid, t AS t_s, least(t + {YEAR}, hi) AS t_e FROM b, unnest(range(lo, hi, {HALF_YEAR})) AS q(t))
+"""
+
+
+@query("l01_sliding_windows", CANON + _WIN + "SELECT * FROM win")
+def _(t):
+    return windows.sliding(t.releases, YEAR, HALF_YEAR)
+
+
+_DEGW = _WIN + """, m AS (SELECT wid, node_id FROM win JOIN releases ON ts >= t_s AND ts < t_e), n AS (SELECT wid, count(*) AS n FROM m GROUP BY wid HAVING count(*) >= 2),
+ed AS (SELECT p.wid, src, dst FROM dep_edges JOIN m p ON p.node_id = src JOIN m q ON q.node_id = dst AND q.wid = p.wid),
+d AS (SELECT wid, node_id, count(*) AS d FROM (SELECT wid, src AS node_id FROM ed UNION ALL SELECT wid, dst FROM ed) GROUP BY ALL),
+wc AS (SELECT m.wid, m.node_id, coalesce(d, 0) / (n - 1.0) AS cent FROM m JOIN n USING (wid) LEFT JOIN d ON d.wid = m.wid AND d.node_id = m.node_id)
+"""
+
+
+@query("l02_window_series", CANON + _DEGW + "SELECT wid, round(avg(cent), 9) AS mean, round(max(cent), 9) AS top, count(*) AS n FROM wc GROUP BY wid")
+def _(t):
+    rows = windows.window_degrees(t.releases, t.dep_edges, YEAR, HALF_YEAR)
+    return rows.groupBy("wid").agg(F.round(F.avg("cent"), 9).alias("mean"), F.round(F.max("cent"), 9).alias("top"), F.count("*").alias("n"))
+
+
+@query("l03_overlap_probe", CANON + """, b AS (SELECT min(ts) AS lo, max(ts) AS hi FROM releases), r AS (SELECT unnest([0.25, 0.5]) AS r), z AS (SELECT r, lo, hi, CAST(floor(r * (hi - lo)) AS BIGINT) AS size FROM r, b),
+m AS (SELECT r, (ts - lo) // size AS wid, node_id FROM releases, z WHERE ts < hi), n AS (SELECT r, wid, count(*) AS n FROM m GROUP BY ALL HAVING count(*) >= 2),
+ed AS (SELECT p.r, p.wid FROM dep_edges JOIN m p ON p.node_id = src JOIN m q ON q.node_id = dst AND q.wid = p.wid AND q.r = p.r), s AS (SELECT r, wid, 2 * count(*) AS d FROM ed GROUP BY ALL)
+SELECT CAST(r AS DOUBLE) AS r, round(max(coalesce(d, 0) / (n - 1.0)), 6) AS score FROM n LEFT JOIN s USING (r, wid) GROUP BY r""")
+def _(t):
+    return windows.probe(t.releases, t.dep_edges, [0.25, 0.5], "sum").select("r", F.round("score", 6).alias("score"))
+
+
+def _series(t):
+    return t.series.select(F.lit("events").alias("series"), "t", "value")
+
+
+@query("l04_median_step", CANON + "SELECT CAST(median(s) AS DOUBLE) AS median_step FROM (SELECT lead(t) OVER (ORDER BY t) - t AS s FROM series)")
+def _(t):
+    return windows.median_step(_series(t)).select("median_step")
+
+
+@query("l04_decay_lag", CANON + ", x AS (SELECT row_number() OVER (ORDER BY t) AS i, value - avg(value) OVER () AS v, count(*) OVER () AS n FROM series), a AS (SELECT y.i - x.i AS lag, sum(x.v * y.v) / (SELECT sum(v * v) FROM x) AS r, min(x.n) AS n FROM x JOIN x y ON y.i > x.i GROUP BY 1) SELECT CAST(coalesce(min(lag) FILTER (r < 0.5), greatest(1, min(n) // 4)) AS DOUBLE) AS lag FROM a")
+def _(t):
+    return windows.decay_lag(_series(t)).select("lag")
+
+
+@query("l05_time_scales")
+def _(t):
+    return windows.time_scales(_series(t))
+
+
+@query("l06_candidate_scores")
+def _(t):
+    kinds = t.raw("events").groupBy(c("event_type").alias("series"), F.unix_timestamp(F.date_trunc("day", c("ts").cast("timestamp"))).alias("t")).agg(F.avg("value").alias("value"))
+    return windows.candidate_scores(kinds).select("series", *(F.round(x, 6).alias(x) for x in ("s", "c", "r", "score")))
+
+
+@query("l07_window_recommendation")
+def _(t):
+    return windows.recommend(t.releases, t.dep_edges, HALF_YEAR).select("candidate", "size", F.round("score", 6).alias("score"))
+
+
+@query("l08_event_grid", CANON + ", f AS (SELECT r.node_id, coalesce(min(e.ts), min(r.ts)) AS t FROM releases r LEFT JOIN cve_list e USING (node_id) GROUP BY r.node_id) SELECT (t + 2591999999) // 2592000000 * 2592000000 AS t, count(*) AS n FROM f GROUP BY 1")
+def _(t):
+    """Nodes at their first CVE, or else their release, moved to the next date of a grid of 30 days."""
+    first = t.releases.join(t.cve_list.select("node_id", c("ts").alias("cve_ts")), "node_id", "left").groupBy("node_id").agg(F.coalesce(F.min("cve_ts"), F.min("ts")).alias("t"))
+    return first.groupBy((F.ceil(c("t") / 2592000000) * 2592000000).alias("t")).agg(F.count("*").alias("n"))
+
+
+@query("l09_window_analysis")
+def _(t):
+    """A window's communities with scores and representatives: sub-graph, communities, centrality, score."""
+    from ..sources.shared import written
+
+    nodes, edges = windows.subgraph(t.family, t.family_edges, 788918400000, 946684800000)
+    nodes, edges = written(nodes, "nodes"), written(edges, "edges")
+    return graph.choose_community(graph.communities(nodes, edges), nodes, edges, aggregate.node_scores(t.cve_list)).select("comm", "representative", "n")
+
+
+@query("l10_cve_window", CANON + ", b AS (SELECT min(ts) AS lo, max(ts) AS hi FROM releases), x AS (SELECT cve_id, CASE WHEN cve_id LIKE '%3' THEN NULL ELSE r.ts END AS ts FROM cve_list c JOIN releases r USING (node_id)), o AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM releases) SELECT cve_id, CASE WHEN ts IS NULL THEN (SELECT ts FROM o WHERE i = n // 4) ELSE greatest(lo, ts - 63072000000) END AS t_s, CASE WHEN ts IS NULL THEN (SELECT ts FROM o WHERE i = 3 * n // 4) ELSE least(hi, ts + 63072000000) END AS t_e FROM x, b")
+def _(t):
+    rows = t.cve_list.select("cve_id", "node_id").join(t.releases.select("node_id", "ts"), "node_id").select("cve_id", F.when(c("cve_id").endswith("3"), None).otherwise(c("ts")).alias("ts"))
+    return windows.cve_window(rows, t.releases)
+
+
+@query("s01_event_windows", "SELECT CAST(epoch(time_bucket(INTERVAL 1 hour, ts)) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def _(t):
+    """Hourly windows by type, by the same transformation that runs on the stream."""
+    rows = stream.hourly(t.raw("events").withColumn("ts", c("ts").cast("timestamp")))
+    return rows.select(F.unix_timestamp("start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("s02_sessions", "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER o <= INTERVAL 30 minute THEN 0 ELSE 1 END AS new FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts)), k AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, epoch_us(min(ts)) // 1000 AS first, count(*) AS n FROM k GROUP BY user_id, s")
+def _(t):
+    rows = stream.sessions(t.raw("events").withColumn("ts", c("ts").cast("timestamp")), "30 minutes")
+    return rows.select("user_id", F.unix_millis("start").alias("first"), "n")
