@@ -1 +1,112 @@
-"""To be filled."""
+"""Queries of sources and sinks (A): tables written in a format and read again."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import build, graph
+from ..sources import files
+from .registry import query
+from .tables import CANON
+
+c = F.col
+
+
+@query("a01_graphml", CANON + "SELECT 'nodes' AS part, count(*) AS n, CAST(sum(node_id) AS BIGINT) AS s FROM family UNION ALL SELECT 'edges', count(*), CAST(sum(src) AS BIGINT) FROM family_edges")
+def _(t):
+    path = files.fresh(t.spark, "graphml")
+    nodes = t.family.select(c("node_id").cast("string").alias("id"), F.create_map(F.lit("timestamp"), c("ts").cast("string"), F.lit("labels"), F.lit(":Release")).alias("attrs"))
+    edges = t.family_edges.select(c("src").cast("string").alias("src"), c("dst").cast("string").alias("dst"), F.create_map(F.lit("label"), F.lit("dependency")).alias("attrs"))
+    files.write_graphml(nodes, edges, path)
+    got_nodes, _ = files.graphml(t.spark, f"{path}/nodes")
+    _, got_edges = files.graphml(t.spark, f"{path}/edges")
+    n = got_nodes.filter(build.is_release(c("attrs")["labels"])).agg(F.lit("nodes").alias("part"), F.count("*").alias("n"), F.sum(c("id").cast("long")).alias("s"))
+    return n.unionByName(got_edges.filter(c("attrs")["label"] == "dependency").agg(F.lit("edges").alias("part"), F.count("*").alias("n"), F.sum(c("src").cast("long")).alias("s")))
+
+
+@query("a02_graph_tables", CANON + "SELECT src, dst FROM family_edges")
+def _(t):
+    path = files.fresh(t.spark, "graph")
+    files.write_graph_tables(t.family, t.family_edges, path)
+    return files.graph_tables(t.spark, path)[1]
+
+
+@query("a05_jsonl", "SELECT doc_id, text, lang FROM documents")
+def _(t):
+    path = files.fresh(t.spark, "jsonl")
+    files.write_jsonl(t.raw("documents").select("doc_id", "text", "lang"), path)
+    return files.jsonl(t.spark, path, "doc_id bigint, text string, lang string")
+
+
+@query("a07_jsonl_tolerant", "SELECT event_id % 10 = 3 AS bad, count(*) AS n FROM events GROUP BY 1")
+def _(t):
+    path = files.fresh(t.spark, "lines")
+    line = F.when(c("event_id") % 10 == 3, F.lit('{"event_id": 1, oops')).otherwise(F.to_json(F.struct("event_id", "event_type")))
+    t.raw("events").select(line.alias("value")).write.text(path)
+    rows = files.jsonl_tolerant(t.spark, path, "event_id bigint, event_type string").filter(c("_error") | c("event_type").isNotNull())
+    return rows.groupBy(c("_error").alias("bad")).agg(F.count("*").alias("n"))
+
+
+@query("a08_path_records", CANON + "SELECT src AS target, dst AS score FROM family_edges")
+def _(t):
+    path = files.fresh(t.spark, "paths")
+    files.write_paths(t.family_edges.select(c("src").alias("target"), c("dst").alias("score")), path)
+    return files.jsonl(t.spark, path, "target bigint, score bigint")
+
+
+@query("a09_gexf", CANON + "SELECT (SELECT count(DISTINCT n) FROM (SELECT src AS n FROM family_edges UNION ALL SELECT dst FROM family_edges)) AS n_nodes, (SELECT count(*) FROM family_edges) AS n_edges")
+def _(t):
+    path = files.fresh(t.spark, "gexf")
+    document = files.gexf(t.family_edges)
+    t.spark.createDataFrame([(document,)], "value string").coalesce(1).write.text(path)
+    xml = t.spark.read.text(path)
+    return xml.agg(F.count_if(c("value").startswith("<node id")).alias("n_nodes"), F.count_if(c("value").startswith("<edge id")).alias("n_edges"))
+
+
+@query("a10_csv", CANON + "SELECT node_id, count(*) AS n FROM cve_list GROUP BY node_id")
+def _(t):
+    path = files.fresh(t.spark, "csv")
+    files.write_csv(t.cve_list.groupBy("node_id").agg(F.collect_list(F.struct("cve_id", "severity")).alias("cves")), path)
+    rows = files.csv(t.spark, path, "node_id bigint, cves string")
+    return rows.select("node_id", F.size(F.from_json("cves", "array<struct<cve_id:string,severity:string>>")).cast("long").alias("n"))
+
+
+@query("a11_severities", CANON + "SELECT cve_id AS name, severity FROM cve_list")
+def _(t):
+    path = files.fresh(t.spark, "severity")
+    lists = t.cve_list.groupBy("node_id").agg(F.collect_list(F.struct(c("cve_id").alias("name"), "severity")).alias("cves"))
+    files.write_jsonl(lists.select(c("node_id").cast("string").alias("coordinate"), "cves"), path)
+    return files.severities(t.spark, path)
+
+
+@query("a12_advisories", "SELECT 'C' || event_id AS cve_id, CASE WHEN event_id % 2 = 0 THEN 'OSV' WHEN event_id % 3 = 0 THEN 'NVD' END AS source, CASE WHEN event_id % 2 = 0 OR event_id % 3 = 0 THEN props END AS payload FROM events")
+def _(t):
+    e = t.raw("events").select(F.concat(F.lit("C"), c("event_id").cast("string")).alias("cve_id"), c("props").alias("payload"), "event_id")
+    return files.advisory(e.select("cve_id"), e.filter("event_id % 2 = 0"), e.filter("event_id % 3 = 0"))
+
+
+@query("a16_cached_scores", CANON + "SELECT node_id, count(*) AS n FROM cve_list GROUP BY node_id")
+def _(t):
+    from ..sources.shared import written
+
+    return written(t.cve_list.groupBy("node_id").agg(F.count("*").alias("n")), "scores")
+
+
+@query("a18_labels_csv", "SELECT doc_id, quality, toxic, quality + toxic AS total FROM labels")
+def _(t):
+    path = files.fresh(t.spark, "labels")
+    files.write_csv(t.raw("labels").withColumn("total", c("quality") + c("toxic")), path)
+    return files.csv(t.spark, path, "doc_id bigint, quality int, toxic int, total int")
+
+
+@query("a19_prediction_summary", CANON + "SELECT count(DISTINCT src) AS n_cves, count(*) AS n_predictions, round(count(*) / count(DISTINCT src), 9) AS mean_length FROM dep_edges")
+def _(t):
+    return files.prediction_summary(build.adjacency(t.dep_edges).withColumnRenamed("neighbours", "ranked")).withColumn("mean_length", F.round("mean_length", 9))
+
+
+@query("a17_checkpointed_scores", CANON + "SELECT node_id, in_n FROM (SELECT dst AS node_id, count(*) AS in_n FROM family_edges GROUP BY 1)")
+def _(t):
+    """A result kept per algorithm, read again from where it was committed."""
+    path = files.fresh(t.spark, "algorithms")
+    graph.reversed_edges(t.family_edges).groupBy(c("src").alias("node_id")).agg(F.count("*").alias("in_n")).write.parquet(f"{path}/degree")
+    return t.spark.read.parquet(f"{path}/degree")

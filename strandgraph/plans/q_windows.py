@@ -70,7 +70,10 @@ def _(t):
 
 @query("l07_window_recommendation")
 def _(t):
-    return windows.recommend(t.releases, t.dep_edges, HALF_YEAR).select("candidate", "size", F.round("score", 6).alias("score"))
+    from ..sources.shared import written
+
+    nodes, edges = written(t.releases.select("node_id", "ts"), "nodes"), written(t.dep_edges, "edges")  # read by every candidate
+    return windows.recommend(nodes, edges, HALF_YEAR).select("candidate", "size", F.round("score", 6).alias("score"))
 
 
 @query("l08_event_grid", CANON + ", f AS (SELECT r.node_id, coalesce(min(e.ts), min(r.ts)) AS t FROM releases r LEFT JOIN cve_list e USING (node_id) GROUP BY r.node_id) SELECT (t + 2591999999) // 2592000000 * 2592000000 AS t, count(*) AS n FROM f GROUP BY 1")
