@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as T
-from .common import table
+from .common import map_arrow, table
 
 WINDOW, SLICE_WORDS, FILTER_BITS = 10, 2_000_000, 22
 
@@ -127,7 +127,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, max_words: int = SLICE_WORDS) ->
                 else:
                     yield pa.RecordBatch.from_arrays([b["doc_id"], b["text"], pa.array(cols[0], pa.list_(pa.int32())), pa.array(cols[1], pa.list_(pa.string()))], ["doc_id", "text", "hit", "items"])
 
-        rows = rows.mapInArrow(run, final if last else state)
+        rows = map_arrow(rows, run, final if last else state)
     return rows
 
 
@@ -157,7 +157,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, max_words: int = SLICE_WORDS,
                 else:
                     yield b
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_arrow(docs, run, docs.schema)
     return docs
 
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import map_arrow, materialize, table
 
 #: A node on so many pages is judged by importance; below LOW it is noise. GAMMA: the weight of content beside presentation.
 MIN_PAGES, LOW, GAMMA = 5, 0.25, 0.9
@@ -228,7 +228,7 @@ def importance(pages: DataFrame) -> DataFrame:
                     ["host", "path", "up", "value", "leaf"],
                 )
 
-    rows = pages.select("host", "html").mapInArrow(run, "host string, path bigint, up bigint, value bigint, leaf boolean")
+    rows = map_arrow(pages.select("host", "html"), run, "host string, path bigint, up bigint, value bigint, leaf boolean")
     counts = rows.groupBy("host", "path", "leaf", "value").agg(F.count("*").alias("n"), F.max("up").alias("up"))
     nodes = counts.groupBy("host", "path", "leaf").agg(
         F.max(F.when(F.col("value").isNull(), F.col("n"))).alias("m"),
@@ -257,7 +257,7 @@ def texts(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], pa.array(got, pa.string()), pa.array(np.array([len(x) for x in got], np.int64))], ["page_id", "url", "text", "n_chars"])
 
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
-    return rows.select("page_id", "url", "html", "noise").mapInArrow(run, f"page_id {kinds['page_id']}, url string, text string, n_chars bigint")
+    return map_arrow(rows.select("page_id", "url", "html", "noise"), run, f"page_id {kinds['page_id']}, url string, text string, n_chars bigint")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

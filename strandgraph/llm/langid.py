@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as T
-from .common import bounded_sample, fold
+from .common import bounded_sample, fold, map_arrow
 
 #: Bounds of the training sample, and the model's size.
 MAX_ROWS, MAX_BYTES, BUCKET_BITS, DIM = 3000, 24 << 20, 17, 12
@@ -170,7 +170,7 @@ def predict(docs: DataFrame, model: Model | None, extra: list[Column] = ()) -> D
                 [f.name for f in keep] + ["lang_pred", "score", "rejected"],
             )
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def keep_known(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -187,7 +187,7 @@ def keep_known(docs: DataFrame, model: Model | None) -> DataFrame:
             letter = pc.fill_null(pc.match_substring_regex(b["text"], r"\p{L}"), False)
             yield b.filter(pc.and_(pa.array(~rejected), letter))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def held_out() -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as T
-from .common import bounded_sample, fold, sigmoid, table
+from .common import bounded_sample, fold, map_arrow, sigmoid, table
 
 #: Bounds of the training sample by class (rows, bytes), and the model's size.
 MAX_ROWS, MAX_BYTES, DIM, FILTERS = 700, 4 << 20, 8, 16
@@ -84,7 +84,7 @@ def scores(model: Model | None, col: pa.Array) -> np.ndarray:
         return np.full(n, 0.5)
     data, off = T.views(col)
     total, top, count = np.zeros((n, FILTERS)), np.zeros((n, FILTERS)), np.zeros(n)
-    for i, j in T.row_blocks(off, T.SEGMENT):
+    for i, j in T.row_blocks(off):
         # a text longer than a block goes on in pieces that begin where a chunk does
         for a in range(int(off[i]), max(int(off[j]), int(off[i]) + 1), T.SEGMENT - T.SEGMENT % (3 * PART)) if j == i + 1 else [None]:
             cut = off[i : j + 1] if a is None else np.array([a, min(int(off[j]), a + T.SEGMENT - T.SEGMENT % (3 * PART))])
@@ -190,7 +190,7 @@ def predict(docs: DataFrame, model: Model | None, held_out: Column) -> DataFrame
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return map_arrow(docs.select("doc_id", held_out.alias("held_out"), "text"), run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -64,7 +64,7 @@ def views(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)), off
 
 
-def row_blocks(off: np.ndarray, limit: int = 4 * SEGMENT) -> Iterator[tuple[int, int]]:
+def row_blocks(off: np.ndarray, limit: int = SEGMENT) -> Iterator[tuple[int, int]]:
     """Ranges of rows of at most `limit` bytes, or of one longer row."""
     i, n = 0, len(off) - 1
     while i < n:
