@@ -53,6 +53,25 @@ def bounded_sample(rows: DataFrame, key: Column, size: Column, max_rows: int, ma
     return F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, want / n))
 
 
+def hot_join(left: DataFrame, right: DataFrame, key: str, counted: DataFrame | None = None, parts: int = 256, least: int = 512) -> DataFrame:
+    """left joined to right on a key, where right has a row a key and left may hold very many rows of one.
+
+    Keys of a 1/parts share of left's rows or more (so at most `parts` keys, which are broadcast) are split by a hash of the
+    row, and right's rows of these keys are repeated for each split. The key isn't null; columns starting with __ are taken.
+    counted: rows to count keys of, where that is cheaper than left.
+    """
+    counts = materialize((left if counted is None else counted).groupBy(key).agg(F.count("*").alias("__n")), "counts")
+    total = counts.agg(F.sum("__n")).first()[0] or 0
+    limit = max(least, -(-total // parts))
+    hot = materialize(counts.filter(F.col("__n") > limit).select(key, F.ceil(F.col("__n") / limit).cast("int").alias("__k")), "hot")
+    if hot.isEmpty():
+        return left.join(right, key)
+    spread = F.pmod(F.xxhash64(*left.columns), F.coalesce("__k", F.lit(1)))
+    a = left.join(F.broadcast(hot), key, "left").withColumn("__salt", spread.cast("int")).drop("__k")
+    b = right.join(F.broadcast(hot), key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__k", F.lit(1)) - 1))).drop("__k")
+    return a.join(b, [key, "__salt"]).drop("__salt")
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """df.mapInArrow with record batches of at most BATCH_BYTES (or one row), so that workers need little memory."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

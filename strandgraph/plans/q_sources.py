@@ -110,3 +110,37 @@ def _(t):
     path = files.fresh(t.spark, "algorithms")
     graph.reversed_edges(t.family_edges).groupBy(c("src").alias("node_id")).agg(F.count("*").alias("in_n")).write.parquet(f"{path}/degree")
     return t.spark.read.parquet(f"{path}/degree")
+
+
+@query("a03_saved_table", CANON + "SELECT node_id, release FROM releases")
+def _(t):
+    path = files.fresh(t.spark, "table")
+    t.releases.select("node_id", "release").write.mode("overwrite").parquet(path)
+    return t.spark.read.parquet(path)
+
+
+@query("a04_json_document", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
+def _(t):
+    """Documents that span lines: a folder for each eighth of the users, with one JSON array."""
+    path = files.fresh(t.spark, "document")
+    rows = t.raw("events").groupBy("user_id").agg(F.count("*").alias("n"))
+    item = F.concat(F.lit('{\n "user_id": '), c("user_id").cast("string"), F.lit(',\n "n": '), c("n").cast("string"), F.lit("\n}"))
+    parts = rows.groupBy(F.pmod("user_id", F.lit(8)).alias("part")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(item), ","), F.lit("]")).alias("value"))
+    parts.write.partitionBy("part").text(path)
+    return files.json_document(t.spark, path, "user_id bigint, n bigint").select("user_id", "n")
+
+
+@query("a06_jsonl_written", "SELECT doc_id, text FROM documents WHERE text LIKE '%é%'")
+def _(t):
+    path = files.fresh(t.spark, "written")
+    files.write_jsonl(t.raw("documents").select("doc_id", "text"), path)
+    raw = t.spark.read.text(path).filter(c("value").contains("é"))  # as it is in the file, not escaped
+    return raw.select(F.from_json("value", "doc_id bigint, text string").alias("x")).select("x.*")
+
+
+@query("a15_load_or_build", CANON + "SELECT node_id, count(*) AS n FROM cve_list GROUP BY node_id")
+def _(t):
+    path = files.fresh(t.spark, "memo")
+    build_it = lambda: t.cve_list.groupBy("node_id").agg(F.count("*").alias("n"))
+    files.load_or_build(t.spark, path, build_it)
+    return files.load_or_build(t.spark, path, lambda: build_it().limit(0))

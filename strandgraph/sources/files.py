@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from xml.sax.saxutils import quoteattr
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,18 @@ def write_graph_tables(nodes: DataFrame, edges: DataFrame, path: str, overwrite:
     edges.write.mode(mode).parquet(f"{path}/edges")
 
 
+def load_or_build(spark: SparkSession, path: str, make, rebuild: bool = False) -> DataFrame:
+    """The table at a path; built and written first where there is none, or if asked for."""
+    if not rebuild:
+        try:
+            return spark.read.parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+    make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
