@@ -78,7 +78,7 @@ def with_next(rows: DataFrame, extra: list[str]) -> DataFrame:
     # enough ranges that each is a small sort
     width = max(1, -(-(hi - lo + 1) // max(1, min(RANGES, n // ROWS_A_RANGE))))
     last = RANGES + 1  # rows without doc_id
-    own = F.coalesce(F.floor((F.lit(hi) - F.col("doc_id")) / width).cast("int"), F.lit(last))
+    own = F.coalesce(F.floor((F.lit(float(hi)) - F.col("doc_id").cast("double")) / float(width)).cast("int"), F.lit(last))
     rows = rows.withColumn("__range", own)
     first = rows.groupBy("__range").agg(F.max("doc_id").alias("__first"))
     order = Window.orderBy("__range")  # over RANGES + 2 rows at most
