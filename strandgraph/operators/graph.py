@@ -10,8 +10,15 @@ from pyspark.sql import functions as F
 from ..sources.shared import written
 from . import build
 
-#: Power steps between two written tables.
-STEPS = 5
+#: Power steps between two written tables, of a large and of a small graph.
+STEPS, SMALL_STEPS = 5, 20
+#: Graphs of at most so many edges take a power step in one partition, without exchanges.
+COMPACT = 200_000
+
+
+def _compact(n_edges: int):
+    """What keeps a small graph's tables in one partition; a large one's are left as they are."""
+    return (lambda df: df.coalesce(1).hint("shuffle_hash")) if n_edges <= COMPACT else (lambda df: df)
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
@@ -113,8 +120,10 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tol: float
     out = edges.groupBy("src").agg(F.count("*").alias("k"))
     share = written(edges.join(out, "src").select("src", "dst", (1 / F.col("k")).alias("w")), "pr")
     start = nodes.select("node_id").join(out.withColumnRenamed("src", "node_id"), "node_id", "left").select("node_id", F.col("k").isNull().alias("ends"), F.lit(1.0 / n).alias("rank"))
-    rank = written(start, "pr")
+    one = _compact(share.count())
+    share, rank = one(share), written(start, "pr")
     for _ in range(rounds):
+        rank = one(rank)
         lost = rank.filter("ends").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         flow = share.join(rank.select(F.col("node_id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum(F.col("rank") * F.col("w")).alias("flow"))
         new = rank.join(flow, "node_id", "left").select("node_id", "ends", (alpha * (F.coalesce("flow", F.lit(0.0)) + lost / n) + (1 - alpha) / n).alias("rank"), F.col("rank").alias("old"))
@@ -138,15 +147,18 @@ def eigenvector(nodes: DataFrame, edges: DataFrame, tol: float = 1e-6, rounds: i
         degree = both.groupBy(F.col("src").alias("node_id")).agg(F.sum("w").alias("d"))
         total = degree.agg(F.sum("d")).first()[0] or 1.0
         return nodes.select("node_id").join(degree, "node_id", "left").select("node_id", (F.coalesce("d", F.lit(0.0)) / total).alias("cent"))
-    x = written(nodes.select("node_id", F.lit(1.0 / n**0.5).alias("cent")), "ev")
-    for _ in range(0, rounds, STEPS):
-        y = x.withColumn("y", F.col("cent"))
-        for _ in range(STEPS):  # several steps a job; the length is only set after them
-            flow = both.join(y.select(F.col("node_id").alias("src"), "y"), "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum(F.col("y") * F.col("w")).alias("f"))
-            y = y.join(flow, "node_id", "left").select("node_id", "cent", (F.col("y") + F.coalesce("f", F.lit(0.0))).alias("y"))
+    # a node's own value is an edge to itself, so that a step reads the values once
+    loops = nodes.select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"), F.lit(1.0).alias("w"))
+    n_edges = both.count()
+    one, steps = _compact(n_edges), SMALL_STEPS if n_edges <= COMPACT else STEPS
+    step, x = one(written(both.unionByName(loops), "ev")), written(nodes.select("node_id", F.lit(1.0 / n**0.5).alias("cent")), "ev")
+    for _ in range(0, rounds, steps):
+        y = one(x)
+        for _ in range(steps):  # several steps a job; the length is only set after them
+            y = step.join(y.select(F.col("node_id").alias("src"), "cent"), "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum(F.col("cent") * F.col("w")).alias("cent"))
         y = written(y, "ev")
-        square, dot = y.agg(F.sum(F.col("y") * F.col("y")), F.sum(F.col("y") * F.col("cent"))).first()
-        x = y.select("node_id", (F.col("y") / square**0.5).alias("cent"))
+        square, dot = y.join(x.withColumnRenamed("cent", "old"), "node_id").agg(F.sum(F.col("cent") * F.col("cent")), F.sum(F.col("cent") * F.col("old"))).first()
+        x = y.select("node_id", (F.col("cent") / square**0.5).alias("cent"))
         if 2 - 2 * dot / square**0.5 < n * tol * tol:  # the squared change of the unit vector
             break
     return x
