@@ -7,12 +7,13 @@ def plain(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
 
     def one(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "null"
         if hasattr(v, "item"):
             v = v.item()
         if isinstance(v, float):
-            return f"{round(v, 6) + 0.0:g}" if v.is_integer() else str(round(v, 6))
+            v = round(v, 6)
+            return str(int(v)) if v.is_integer() else str(v)
         return str(v)
 
     return sorted(tuple(one(v) for v in row) for row in df.itertuples(index=False))
