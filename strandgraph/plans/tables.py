@@ -77,13 +77,13 @@ class Tables:
 
     @cached_property
     def family(self) -> DataFrame:
-        """Releases of a few softwares and the edges among them: the sub-graph of the costly graph algorithms."""
-        return self.releases.filter("software_id < 40").select("node_id", "software_id", "ts")
+        """Every release: the nodes of the graph algorithms."""
+        return self.releases.select("node_id", "software_id", "ts")
 
     @cached_property
     def family_edges(self) -> DataFrame:
-        keep = self.family.select("node_id")
-        return self.dep_edges.join(keep.withColumnRenamed("node_id", "src"), "src", "left_semi").join(keep.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
+        """Every resolved dependency edge: the edges of the graph algorithms."""
+        return self.dep_edges
 
 
 #: The same tables as SQL common table expressions.
