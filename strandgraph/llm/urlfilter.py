@@ -77,8 +77,7 @@ def op5(spark, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(F.col("user_id"), "ts", F.when(F.col("event_type").isin("error", "click"), "block").otherwise("allow").alias("action"))
     users = events.select("user_id").distinct().withColumn("slot", F.pmod(F.col("user_id").cast("long"), F.lit(150)))
     owners = ranked.join(users, "slot").select("user_id", "domain")
-    daily = events.groupBy("user_id", F.to_date("ts").alias("d")).agg(F.max(F.struct("ts", "action")).alias("m")).select("user_id", "m.ts", "m.action")
-    entries = owners.join(daily, "user_id").select("domain", "ts", "action")
+    entries = owners.join(events, "user_id").select("domain", "ts", "action")
     return judge(captures, entries)
 
 

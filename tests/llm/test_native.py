@@ -87,3 +87,32 @@ def test_judging_edges(spark):
     assert got == sorted([(1, "keep"), (2, "block"), (2, "block"), (3, "keep"), (4, "block"), (5, "keep"), (6, "keep"), (7, "keep"), (8, "block"), (9, "keep"), (10, "keep")])
     assert urlfilter.judge(captures, entries.limit(0)).filter("verdict = 'block'").count() == 0
     assert urlfilter.judge(captures.limit(0), entries).count() == 0
+
+
+def test_op5_takes_every_event(spark, sf, tmp_path):
+    """Several events a user and day: each capture against the last one at or before its fetch, of the nearest domain that has one."""
+    rows = [(user, f"2024-01-{day:02d} {hour:02d}:00:00", kind) for user in range(150) for day in range(1, 31) for hour, kind in ((3 + user % 4, "click"), (12, "view"), (21, "error" if (user + day) % 2 else "view"))]
+    made = spark.createDataFrame(rows, "user_id bigint, ts string, event_type string").withColumn("ts", F.to_timestamp("ts"))
+    made.write.parquet(f"{tmp_path}/events.parquet")
+    spark.read.parquet(f"{sf}/pages.parquet").write.parquet(f"{tmp_path}/pages.parquet")
+    events = made.toPandas()
+    found = urlfilter.op5(spark, str(tmp_path)).toPandas()
+    hosts = {h for h in found.host if isinstance(h, str)}
+    names = {".".join(h.split(".")[k:]) for h in hosts for k in range(h.count(".") + 1)}
+    history = {}
+    for name in (n for n in names if "." in n):
+        own = events[events.user_id % 150 == int(hashlib.md5(name.encode()).hexdigest()[:8], 16) % 150]
+        at = collections.defaultdict(set)
+        for ts, kind in zip(own.ts, own.event_type):
+            at[ts].add("block" if kind in ("error", "click") else "allow")
+        history[name] = sorted((ts, max(actions)) for ts, actions in at.items())
+    for r in found.itertuples():
+        want, parts = (None, None, "keep"), r.host.split(".") if isinstance(r.host, str) else []
+        for k in range(len(parts)):
+            name = ".".join(parts[k:])
+            past = [x for x in history.get(name, ()) if x[0] <= r.fetched]
+            if past:
+                want = (name, past[-1][0], "block" if past[-1][1] == "block" else "keep")
+                break
+        got = (r.matched_domain if isinstance(r.matched_domain, str) else None, None if r.entry_ts != r.entry_ts else r.entry_ts, r.verdict)
+        assert got == want
