@@ -11,11 +11,14 @@ later turn, to an unknown call or in a circle is an error of the call, named in
 Defined results: calls without identifier or conversation can't be linked and have status `unlinked`; of calls with one
 identifier the first by (turn, text) is linked, the others are `duplicate`; of several results the first after the call
 by (turn, text); results without call are rows of their own with status `orphan`; null text counts as empty; malformed
-JSON arguments are an error, not a crash; an empty table gives no rows.
+JSON arguments are an error, not a crash; an empty table gives no rows. A system turn is in the JSON of the first call of
+its turn or the next one with calls, from which on it holds; system turns that no call follows, and turns of null or other
+roles, are rows of their own with status `turn`.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import re
@@ -26,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, materialize, table
 
-#: Rounds of levelling within a turn; links left after as many are circles (or longer chains of calls in one message).
-LEVELS = 16
+#: Rounds of levelling within a turn between two tables that hold all levels found.
+ROUNDS_A_TABLE = 16
 TURNS_A_PIECE = 1024
 
 _TYPES = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
@@ -89,7 +92,7 @@ def levels(calls: DataFrame, links: DataFrame) -> DataFrame:
     inner = materialize(links, "inner")
     nodes = inner.select("conv", "call").unionByName(inner.select("conv", F.col("uses").alias("call"))).distinct()
     state = materialize(nodes.join(inner.select("conv", "call").distinct(), ["conv", "call"], "left_anti").withColumn("level", F.lit(0)), "levels")
-    for level in range(1, LEVELS + 1):
+    for level in itertools.count(1):
         # ready: all that a call uses has a level
         need = inner.join(state.select("conv", F.col("call").alias("uses"), "level"), ["conv", "uses"], "left").groupBy("conv", "call").agg(F.count("*").alias("n"), F.count("level").alias("k"))
         ready = need.filter("n = k").join(state, ["conv", "call"], "left_anti").select("conv", "call", F.lit(level).alias("level"))
@@ -97,12 +100,32 @@ def levels(calls: DataFrame, links: DataFrame) -> DataFrame:
         if ready.isEmpty():
             break
         state = state.unionByName(ready)
+        if level % ROUNDS_A_TABLE == 0:
+            state = materialize(state, "levels")
     return nodes.join(state, ["conv", "call"], "left").select("conv", "call", "level")
 
 
-def link(calls: DataFrame, results: DataFrame, tools: dict[str, dict]) -> DataFrame:
+def placed(notes: DataFrame, calls: DataFrame) -> DataFrame:
+    """notes(conv, turn, text) with `call`: the first of calls(conv, turn, call) in the note's turn or the next one that has
+    calls; null: none follows. Turns are taken in pieces, so that no long conversation is one group."""
+    heads = calls.filter("turn IS NOT NULL").groupBy("conv", "turn").agg(F.min("call").alias("head")).withColumn("piece", F.floor(F.col("turn") / TURNS_A_PIECE))
+    asked = notes.withColumn("piece", F.floor(F.col("turn") / TURNS_A_PIECE))
+    back = Window.partitionBy("conv", "piece").orderBy(F.col("turn").desc(), F.col("head").isNull())
+    near = heads.withColumns({"text": F.lit(None).cast("string"), "note": F.lit(False)}).unionByName(asked.withColumns({"head": F.lit(None).cast("string"), "note": F.lit(True)}))
+    near = near.withColumn("near", F.last("head", True).over(back.rowsBetween(Window.unboundedPreceding, 0))).filter("note")
+    # where the piece has none, the first of the next piece that has calls
+    starts = heads.groupBy("conv", "piece").agg(F.min_by("head", "turn").alias("start")).unionByName(asked.select("conv", "piece", F.lit(None).cast("string").alias("start")))
+    starts = starts.groupBy("conv", "piece").agg(F.max("start").alias("start"))
+    after = Window.partitionBy("conv").orderBy("piece").rowsBetween(1, Window.unboundedFollowing)
+    starts = starts.select(F.col("conv").alias("s_conv"), F.col("piece").alias("s_piece"), F.first("start", True).over(after).alias("start"))
+    near = near.join(starts, (F.col("conv") == F.col("s_conv")) & (F.col("piece") == F.col("s_piece")), "left")
+    return near.select("conv", "turn", "text", F.when(F.col("conv").isNotNull() & F.col("turn").isNotNull(), F.coalesce("near", "start")).alias("call"))
+
+
+def link(calls: DataFrame, results: DataFrame, tools: dict[str, dict], notes: DataFrame | None = None) -> DataFrame:
     """calls(conv, turn, call, name, arguments JSON, uses array), results(conv, turn, call, content) -> a row for each call
-    and each orphan: conv, call, turn, name, status, level, position, valid, errors, json. Columns besides are left out."""
+    and each orphan: conv, call, turn, name, status, level, position, valid, errors, json. Columns besides are left out.
+    notes(conv, turn, role, text): turns that neither call nor answer, system turns among them."""
     calls = calls.select("conv", "turn", "call", "name", F.coalesce("arguments", F.lit("")).alias("arguments"), F.coalesce("uses", F.array().cast("array<string>")).alias("uses"))
     results = results.select("conv", F.col("turn").alias("r_turn"), "call", F.coalesce("content", F.lit("")).alias("content"))
     lost = F.col("conv").isNull() | F.col("call").isNull()
@@ -138,12 +161,29 @@ def link(calls: DataFrame, results: DataFrame, tools: dict[str, dict]) -> DataFr
     orphans = results.join(first.select("conv", "call"), ["conv", "call"], "left_anti")
     orphans = orphans.select("conv", "call", F.lit(None).cast(calls.schema["turn"].dataType).alias("turn"), F.lit(None).cast("string").alias("name"), F.lit("").alias("arguments"), F.array().cast("array<string>").alias("uses"), *[F.col("r_turn").cast("long").alias("result_turn"), F.col("content").alias("result")], *[v.alias(k) for k, v in empty.items() if k not in ("result_turn", "result")], F.lit("orphan").alias("status"))
     rows = rows.unionByName(orphans.select(columns))
+    held = "array<struct<turn:bigint,text:string>>"
+    if notes is None:
+        rows = rows.withColumn("system", F.lit(None).cast(held))
+    else:
+        notes = notes.select("conv", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+        system = materialize(placed(notes.filter("role = 'system'").drop("role"), first), "system")
+        own = system.filter("call IS NOT NULL").groupBy("conv", "call").agg(F.array_sort(F.collect_list(F.struct(F.col("turn").cast("long").alias("turn"), "text"))).alias("system"))
+        own = own.withColumn("status", F.explode(F.array(F.lit("linked"), F.lit("open"))))
+        rows = rows.join(own, ["conv", "call", "status"], "left").select(*columns, F.col("system").cast(held))
+        rest = system.filter("call IS NULL").select("conv", "turn", F.lit("system").alias("name"), "text")
+        rest = rest.unionByName(notes.filter("role IS NULL OR role <> 'system'").select("conv", "turn", F.col("role").alias("name"), "text"))
+        rest = rest.select("conv", "turn", "name", F.col("text").alias("arguments"), F.lit(None).cast("string").alias("call"), F.array().cast("array<string>").alias("uses"), *(v.alias(k) for k, v in empty.items()), F.lit("turn").alias("status"))
+        rows = rows.unionByName(rest.select(*columns, F.lit(None).cast(held).alias("system")))
 
     def run(batches):
         for b in batches:
             out = []
             for r in b.to_pylist():
                 errors, value = list(r["bad"] or []) + ["uses itself in a circle"] * bool(r["circle"]), None
+                if r["status"] == "turn":
+                    errors.append("no call follows" if r["name"] == "system" else f"role {r['name']}")
+                    out.append((False, errors, canonical({"conversation": r["conv"], "role": r["name"], "text": r["arguments"], "turn": r["turn"]})))
+                    continue
                 if r["status"] != "orphan":
                     try:
                         value = json.loads(r["arguments"])
@@ -154,6 +194,8 @@ def link(calls: DataFrame, results: DataFrame, tools: dict[str, dict]) -> DataFr
                 line = {"arguments": value, "conversation": r["conv"], "id": r["call"], "name": r["name"], "turn": r["turn"], "uses": sorted(r["uses"])}
                 if r["result"] is not None:
                     line["result"] = {"content": r["result"], "turn": r["result_turn"]}
+                if r["system"]:
+                    line["system"] = r["system"]
                 out.append((not errors and r["status"] == "linked", errors, canonical(line)))
             cols = list(zip(*out))
             yield pa.RecordBatch.from_arrays(
@@ -199,9 +241,10 @@ def turns_as_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
-    """All of `conversations`: JSON tool calls as they are, and turns of plain text as calls of `reply`."""
+    """All of `conversations`: JSON tool calls as they are, turns of plain text as calls of `reply`, and all other turns."""
     messages = table(spark, sf_dir, "conversations")
     calls, results = parse(messages)
     is_call = (F.col("role") == "assistant") & F.from_json("text", "tool_calls array<string>")["tool_calls"].isNotNull()
     plain_calls, plain_results = turns_as_calls(messages.filter(F.col("role").isin("user", "assistant") & ~F.coalesce(is_call, F.lit(False))))
-    return link(calls.unionByName(plain_calls), results.unionByName(plain_results), TOOLS)
+    notes = messages.filter(F.col("role").isNull() | ~F.col("role").isin("user", "assistant", "tool")).select(F.col("conv_id").alias("conv"), "turn", "role", "text")
+    return link(calls.unionByName(plain_calls), results.unionByName(plain_results), TOOLS, notes)

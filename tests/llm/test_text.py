@@ -208,6 +208,26 @@ def test_op4_against_brute_force(spark, sf):
         assert (line.get("result") or {}).get("content") == (back.text if back is not None and back.role == "assistant" else None)
 
 
+def test_op4_keeps_system_and_other_turns(spark, sf, tmp_path):
+    told = {(r.conv_id, r.turn, r.text) for r in spark.read.parquet(f"{sf}/conversations.parquet").filter("role = 'system'").collect()}
+    held = [(r.conv, x["turn"], x["text"]) for r in chat.op4(spark, sf).collect() for x in json.loads(r.json).get("system", [])]
+    assert told and sorted(held) == sorted(told)
+    far = chat.TURNS_A_PIECE * 2 + 5
+    turns = [(1, 0, "system", "s0"), (1, 1, "system", "s1"), (1, 2, "user", "u"), (1, 3, "assistant", "a"), (1, 4, "system", "s4"), (1, far, "user", "v"), (1, far + 1, "system", "end"), (2, 0, "system", "alone"), (3, 0, None, "n"), (3, 1, "critic", "c"), (None, 0, "system", "lost")]
+    spark.createDataFrame(turns, "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = chat.op4(spark, str(tmp_path)).collect()
+    line = {(r.conv, r.turn): json.loads(r.json) for r in rows}
+    assert len(rows) == 7 and [x["text"] for x in line[1, 2]["system"]] == ["s0", "s1"] and [x["text"] for x in line[1, far]["system"]] == ["s4"]
+    assert {(k, v["role"], v["text"]) for k, v in line.items() if "role" in v} == {((1, far + 1), "system", "end"), ((2, 0), "system", "alone"), ((3, 0), None, "n"), ((3, 1), "critic", "c"), ((None, 0), "system", "lost")}
+
+
+def test_long_chains_of_calls_in_one_message(spark):
+    calls = [(1, 0, f"c{k:02d}", "f", "{}", [f"c{k - 1:02d}"] if k else []) for k in range(20)]
+    c = spark.createDataFrame(calls, "conv bigint, turn bigint, call string, name string, arguments string, uses array<string>")
+    r = spark.createDataFrame([(1, 1, x[2], "done") for x in calls], "conv bigint, turn bigint, call string, content string")
+    assert [(x.call, x.level, x.position, x.valid) for x in chat.link(c, r, {"f": {}}).orderBy("call").collect()] == [(x[2], k, k + 1, True) for k, x in enumerate(calls)]
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
