@@ -101,7 +101,7 @@ _HITS = f", knn AS (SELECT * FROM (SELECT a.pid AS qid, b.pid AS node_id, 1 - li
 
 
 def _hits(t):
-    q = t.points.filter("pid < 20").select(c("pid").alias("qid"), c("embedding").alias("q"))
+    q = t.points.select(c("pid").alias("qid"), c("embedding").alias("q"))
     return vectors.exact(q, t.points, 15).select("qid", c("pid").alias("node_id"), "distance")
 
 

@@ -250,7 +250,7 @@ _F = "CAST(b.embedding AS DOUBLE[])"
 
 
 def _queries(t):
-    return t.points.filter("pid < 20").select(c("pid").alias("qid"), c("embedding").alias("q"), c("node_id").alias("q_node"))
+    return t.points.select(c("pid").alias("qid"), c("embedding").alias("q"), c("node_id").alias("q_node"))
 
 
 @query("k01_cosine_distance", CANON + f"SELECT a.pid, b.pid AS other, round(1 - list_dot_product({_E}, {_F}), 6) AS d FROM points a JOIN points b ON a.node_id = b.node_id AND b.cve_idx = a.cve_idx + 1")

@@ -44,3 +44,22 @@ def test_pagerank_of_the_whole_graph(spark, sf, whole):
     want = localise.pagerank(src, dst, len(nodes))
     got = {r.node_id: r.rank for r in QUERIES["j02_pagerank"](spark, sf).collect()}
     assert sorted(got) == nodes and np.allclose([got[i] for i in nodes], want, atol=1e-4)
+
+
+def test_searches_take_every_point(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").collect()
+    ids, v = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    d = np.sort(1 - v @ v.T, axis=1)[:, :10]
+    got = {}
+    for r in QUERIES["k03_nearest"](spark, sf).collect():
+        got.setdefault(r.qid, {})[r.rank] = r.d
+    assert sorted(got) == sorted(ids.tolist())
+    assert all(np.allclose([got[i][k] for k in range(1, 11)], x, atol=1e-5) for i, x in zip(ids.tolist(), d))
+
+
+def test_every_cve_is_looked_up(spark, sf):
+    sf = sf.replace("0.001", "0.01")  # the smallest tables have too few users
+    want = {(r.cve_id, r.node_id) for r in Tables(spark, sf).cve_list.collect()}
+    assert {(r.cve_id, r.node_id) for r in QUERIES["d08_nodes_with_cve"](spark, sf).collect()} == want
+    events = spark.read.parquet(f"{sf}/events.parquet").filter("event_type = 'error'")
+    assert len(want) == events.count()
