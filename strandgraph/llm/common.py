@@ -36,6 +36,27 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `materialize` wrote and that nothing reads any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores before it until no column has it (in any case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def fold(doc_id: Column, mod: int) -> Column:
     """crc32 of the decimal doc_id, modulo `mod`; a null doc_id counts as the empty string."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % mod
@@ -54,22 +75,28 @@ def bounded_sample(rows: DataFrame, key: Column, size: Column, max_rows: int, ma
 
 
 def hot_join(left: DataFrame, right: DataFrame, key: str, counted: DataFrame | None = None, parts: int = 256, least: int = 512) -> DataFrame:
-    """left joined to right on a key, where right has a row a key and left may hold very many rows of one.
+    """left joined to right on a key of which left may hold very many rows; right has few rows a key.
 
     Keys of a 1/parts share of left's rows or more (so at most `parts` keys, which are broadcast) are split by a hash of the
     row, and right's rows of these keys are repeated for each split. The key isn't null; columns starting with __ are taken.
-    counted: rows to count keys of, where that is cheaper than left.
+    counted: a written table with the keys of left's rows, where left isn't one itself; or with __n, the rows of each key.
+    Both sides grow with the data, so they are merged and never broadcast. parts * least rows fit a task and aren't split.
     """
-    counts = materialize((left if counted is None else counted).groupBy(key).agg(F.count("*").alias("__n")), "counts")
-    total = counts.agg(F.sum("__n")).first()[0] or 0
-    limit = max(least, -(-total // parts))
-    hot = materialize(counts.filter(F.col("__n") > limit).select(key, F.ceil(F.col("__n") / limit).cast("int").alias("__k")), "hot")
+    counted, right = left if counted is None else counted, right.hint("merge")
+    known = "__n" in counted.columns
+    total = (counted.agg(F.sum("__n")).first()[0] or 0) if known else counted.count()
+    if total <= parts * least:
+        return left.join(right, key)
+    limit = -(-total // parts)
+    rows = counted if known else counted.groupBy(key).agg(F.count("*").alias("__n"))
+    hot = rows.filter(F.col("__n") > limit).select(key, F.ceil(F.col("__n") / limit).cast("int").alias("__k"))
+    hot = materialize(hot, "hot")
     if hot.isEmpty():
         return left.join(right, key)
     spread = F.pmod(F.xxhash64(*left.columns), F.coalesce("__k", F.lit(1)))
     a = left.join(F.broadcast(hot), key, "left").withColumn("__salt", spread.cast("int")).drop("__k")
     b = right.join(F.broadcast(hot), key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__k", F.lit(1)) - 1))).drop("__k")
-    return a.join(b, [key, "__salt"]).drop("__salt")
+    return a.join(b.hint("merge"), [key, "__salt"]).drop("__salt")
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:

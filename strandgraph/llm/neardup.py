@@ -6,15 +6,18 @@ darts, at places that are hashes of the square alone. A text looks at its darts
 earliest dart of each of COORDINATES coordinates is its signature, alike in two texts with the probability of their
 weighted Jaccard similarity. Where a coordinate has no dart yet, the text's rank limit is doubled.
 
-Joining: BANDS hashes of ROWS coordinates are the bucket keys. In a bucket every text is compared with PIVOTS of its
-members (extremes of the text's key under different masks, found by a pre-aggregated minimum); no pairs within a group
-are made. Candidate pairs are verified by their exact weighted Jaccard similarity. Connected texts form a class; buckets
-that still hold several classes are compared again, a member of each class against the pivots' classes, until no classes
-merge. Exact copies share a key and meet only in the last join.
+Joining: BANDS hashes of ROWS coordinates are the bucket keys. In a bucket every text is compared with the two pivots of
+extreme keys (a pre-aggregated minimum and maximum). Candidate pairs are verified by their exact weighted Jaccard
+similarity, and linked texts form classes. A bucket in which texts of several classes were no pivots holds pairs that
+nobody has compared. All its texts are joined again, exactly: two texts of SIMILARITY share one of each text's rarest
+cells (its prefix), so texts meet in groups by prefix cell, where each is compared with pivots of the other classes; those
+pivots are done then, and eight times as many follow, until no group holds several classes. So of texts that share a
+bucket no link is lost, and copies, or near copies of one class, never make pairs among themselves.
 
 Defined results: null counts as the empty text; texts without words are alike only if they are equal; ties have similarity
-1; repeated rows are copies; a class is named by its smallest doc_id (null only if all are null). An empty table gives
-no rows. The verification counts cells by 32 bits of their hash: two texts of n cells share by chance about n*n/2**32.
+1; repeated rows are copies, and one row of a class is kept; a class is named by its smallest doc_id (null only if all are
+null). An empty table gives no rows. The verification counts cells by 32 bits of their hash: two texts of n cells share by
+chance about n*n/2**32.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as T
-from .common import hot_join, map_arrow, materialize, table
+from .common import discard, hot_join, map_arrow, materialize, table, unused
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
 COORDINATES = BANDS * ROWS
@@ -33,7 +36,10 @@ COORDINATES = BANDS * ROWS
 DARTS = int(COORDINATES * (np.log(COORDINATES) + 2))
 #: So many keys of candidate texts are broadcast at most (some 50 MB); more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
-_MASKS = (0, 0x7FFFFFFFFFFFFFFF, 0x2AAAAAAAAAAAAAAA, 0x4CCCCCCCCCCCCCCC)
+#: Slots in which cells are counted to find each text's rarest: that many numbers go through the driver, at any size.
+SLOTS = 1 << 20
+#: Pivots of a prefix group in its first round; each further round takes eight times as many.
+PIVOTS = 16
 _POISSON = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1, dtype=float)) for k in range(12)])
 
 
@@ -140,7 +146,7 @@ def verified(pairs: DataFrame, cells_of: DataFrame) -> DataFrame:
     # a pivot of a large group of near copies is in very many pairs
     one = hot_join(pairs, cells_of.select(F.col("key").alias("a"), F.col("cells").alias("a_cells")), "a")
     both = (
-        hot_join(one, cells_of.select(F.col("key").alias("b"), F.col("cells").alias("b_cells")), "b", counted=pairs)
+        hot_join(one, cells_of.select(F.col("key").alias("b"), F.col("cells").alias("b_cells")), "b", pairs)
         # texts whose sizes alone rule the similarity out need no comparison
         .filter(F.least(F.length("a_cells"), F.length("b_cells")) >= SIMILARITY * F.greatest(F.length("a_cells"), F.length("b_cells")))
     )
@@ -159,25 +165,27 @@ def verified(pairs: DataFrame, cells_of: DataFrame) -> DataFrame:
     return map_arrow(both.select("a", "b", "a_cells", "b_cells"), run, "a bigint, b bigint")
 
 
-def shared_buckets(rows: DataFrame) -> DataFrame:
-    """From (bucket, node, key): the rows of buckets that hold several nodes, with the bucket's pivots."""
-    low = [F.min(F.col("key").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)) for m in _MASKS]
-    pivots = (
-        rows.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), *(c.alias(f"p{k}") for k, c in enumerate(low)))
-        .filter("lo <> hi")
-        .select("bucket", F.array_distinct(F.array(*(f"p{k}" for k in range(len(_MASKS))))).alias("pivots"))
-    )
-    return rows.join(pivots, "bucket")
+def cells_by_key(sketch: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, cells) of the texts asked for; copies of one text count once."""
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    return sketch.select("key", "cells").join(keys, "key", "left_semi").groupBy("key").agg(F.first("cells").alias("cells"))
 
 
-def candidates(shared: DataFrame) -> DataFrame:
-    """Pairs (a, b) of keys: each member of a shared bucket with the bucket's pivots."""
-    return (
-        shared.select("key", F.explode("pivots").alias("pivot"))
-        .filter("key <> pivot")
-        .select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b"))
-        .distinct()
-    )
+def links(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
+    """The verified ones of pairs (a, b), written."""
+    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "ends")
+    cells_of = materialize(cells_by_key(sketch, ends), "cells")
+    found = materialize(verified(pairs, cells_of), "links")
+    discard(ends, cells_of)
+    return found
+
+
+def shared_buckets(members: DataFrame) -> DataFrame:
+    """From (grp, key): the rows of groups that hold several keys, with the group's smallest and largest; written."""
+    ends = materialize(members.groupBy("grp").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("__n")).filter("lo <> hi"), "buckets")
+    out = materialize(hot_join(members, ends.drop("__n"), "grp", ends.select("grp", "__n")), "shared")
+    discard(ends)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -186,7 +194,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each round maps nodes to the least of themselves and their neighbours and contracts the edges; rounds end when no edge
     is left. Nothing is collected, and each round's tables are written to the shared folder.
     """
-    nodes = None
+    nodes, own = None, None
     while True:
         step = materialize(
             edges.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("to")))
@@ -196,77 +204,156 @@ def components(edges: DataFrame) -> DataFrame:
         if step.isEmpty():
             return nodes if nodes is not None else step.select("node", F.col("to").alias("root"))
         # one jump to the neighbour's own choice halves long chains
-        jump = step.alias("s").join(step.alias("t"), F.col("s.to") == F.col("t.node")).select(F.col("s.node").alias("node"), F.col("t.to").alias("root"))
-        jump = materialize(jump, "jump")
-        if nodes is None:
-            nodes = jump
-        else:
-            nodes = nodes.alias("n").join(jump.alias("j"), F.col("n.root") == F.col("j.node"), "left").select(F.col("n.node"), F.coalesce("j.root", "n.root").alias("root"))
-        nodes = materialize(nodes, "nodes")
-        edges = materialize(
-            edges.alias("e").join(jump.alias("x"), F.col("e.a") == F.col("x.node")).join(jump.alias("y"), F.col("e.b") == F.col("y.node"))
-            .select(F.least("x.root", "y.root").alias("a"), F.greatest("x.root", "y.root").alias("b")).filter("a <> b").distinct(),
-            "edges",
-        )
+        jump = materialize(hot_join(step, step.select(F.col("node").alias("to"), F.col("to").alias("root")), "to").select("node", "root"), "jump")
+        before, nodes = nodes, jump if nodes is None else renamed(nodes, jump)
+        left = hot_join(edges, jump.select(F.col("node").alias("a"), F.col("root").alias("x")), "a")
+        both = hot_join(left, jump.select(F.col("node").alias("b"), F.col("root").alias("y")), "b", edges)
+        rest = materialize(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct(), "edges")
+        discard(step, *(t for t in (own, before) if t is not None))
+        own = edges = rest
+
+
+def renamed(nodes: DataFrame, names: DataFrame) -> DataFrame:
+    """nodes(node, root) with roots replaced by their root in names(node, root), where they have one; written."""
+    moved = nodes.select("root").distinct().join(names.select(F.col("node").alias("root"), F.col("root").alias("to")).hint("merge"), "root", "left")
+    return materialize(hot_join(nodes, moved, "root").select("node", F.coalesce("to", "root").alias("root")), "nodes")
+
+
+def merged(roots: DataFrame | None, found: DataFrame) -> DataFrame:
+    """(node, root) of earlier roots and further links (a, b): the components of classes, by the links between them."""
+    if roots is None:
+        return components(found)
+    for end in ("a", "b"):
+        found = found.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")).hint("merge"), end, "left")
+    ends = [F.coalesce(f"root_{end}", end) for end in ("a", "b")]
+    between = materialize(found.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).filter("a <> b").distinct(), "between")
+    names = components(between)
+    out = renamed(roots, names).unionByName(names.join(roots.select("node").hint("merge"), "node", "left_anti"))
+    return materialize(out, "roots")
+
+
+def with_roots(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """rows(grp, key) with each key's root, only of groups that hold several roots; written."""
+    rows = rows.join(roots.select(F.col("node").alias("key"), "root").hint("merge"), "key", "left") if roots is not None else rows.withColumn("root", F.lit(None).cast("long"))
+    rows = materialize(rows.select("grp", "key", F.coalesce("root", "key").alias("root")), "rooted")
+    several = rows.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("__n")).filter("lo <> hi").select("grp", "__n")
+    several = materialize(several, "several")
+    out = materialize(hot_join(rows, several.select("grp"), "grp", several), "open")
+    discard(rows, several)
+    return out
+
+
+def rare_cells(texts: DataFrame) -> DataFrame:
+    """From texts(key, cells): (grp, key) for each cell of each text's prefix, its rarest cells among these texts.
+
+    A text of n cells and one of SIMILARITY to it share SIMILARITY * n of them or more, so one of the n - SIMILARITY * n + 1
+    rarest by any one order of cells. The order here is by counts in SLOTS slots of the cell's hash, then by the cell.
+    """
+
+    def count(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            for x in b["cells"]:
+                np.add.at(total, np.frombuffer(x.as_buffer(), np.uint32) >> 12, 1)
+        some = np.flatnonzero(total)
+        for k in range(0, len(some), 1 << 16):
+            at = some[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
+
+    sums = map_arrow(texts.select("cells"), count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(SLOTS, np.int64)
+    total[sums["slot"].to_numpy()] = sums["n"].to_numpy()
+    held = texts.sparkSession.sparkContext.broadcast(np.minimum(np.log2(total + 1.0) * 8, 255).astype(np.uint8))
+
+    def prefix(batches):
+        often = held.value
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                keys, groups = [], []
+                for key, x in zip(b["key"].slice(i, 256).to_pylist(), b["cells"].slice(i, 256)):
+                    x = np.unique(np.frombuffer(x.as_buffer(), np.uint32))
+                    n = len(x) - int(np.ceil(SIMILARITY * len(x) - 1e-9)) + 1
+                    order = np.lexsort((x, often[x >> 12]))[:n]
+                    groups.append(x[order].astype(np.int64))
+                    keys.append(np.full(len(order), key, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(groups)), pa.array(np.concatenate(keys))], ["grp", "key"])
+
+    return map_arrow(texts.select("key", "cells"), prefix, "grp bigint, key bigint")
+
+
+def exact_rest(rows: DataFrame, sketch: DataFrame, roots: DataFrame | None) -> DataFrame | None:
+    """Roots after every pair of different classes among the keys of rows(grp, key, root) has been settled exactly."""
+    keys = materialize(rows.select("key").distinct(), "asked")
+    texts = materialize(cells_by_key(sketch, keys), "texts")
+    own, tried, pivots = materialize(rare_cells(texts), "prefixes"), None, PIVOTS
+    rest = own
+    while True:
+        opened = with_roots(rest, roots)
+        if opened.isEmpty():
+            break
+        # members of small classes first: once compared, they leave the fewest classes behind
+        sized = opened.join(opened.groupBy("grp", "root").agg(F.count("*").alias("m")).hint("merge"), ["grp", "root"])
+        picked = sized.groupBy("grp", F.pmod(F.xxhash64("key", F.lit(pivots)), F.lit(pivots)).alias("sub")).agg(F.min(F.struct("m", "key", "root")).alias("p"))
+        picked = materialize(picked.select("grp", F.col("p.key").alias("pivot"), F.col("p.root").alias("pivot_root")), "picked")
+        met = hot_join(opened, picked, "grp").filter("root <> pivot_root").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
+        fresh = materialize(met if tried is None else met.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = fresh if tried is None else tried.unionByName(fresh)
+        found = links(fresh, sketch)
+        if not found.isEmpty():
+            roots = merged(roots, found)
+        # a pivot has met all its group
+        rest = materialize(opened.select("grp", "key").join(picked.select("grp", F.col("pivot").alias("key")), ["grp", "key"], "left_anti"), "rest")
+        discard(opened, picked)
+        pivots *= 8
+    discard(keys, texts, own)
+    return roots
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """A row for each document: doc_id, raw, key, class_key (the same for all documents of a class)."""
-    sketch = materialize(sketches(docs), "sketch")
+    """A row for each document: doc_id, raw, key, rid (its own number), class_key (the same for all of a class)."""
+    sketch = materialize(sketches(docs).withColumn("rid", F.monotonically_increasing_id()), "sketch")
     # copies share a key and its bands
     texts = materialize(sketch.groupBy("key").agg(F.first("bands").alias("bands")), "texts")
-    members = texts.select(F.explode("bands").alias("bucket"), F.col("key").alias("node"), "key")
-    shared = materialize(shared_buckets(members), "shared")
-    fresh = tried = materialize(candidates(shared), "pairs")
-    buckets = shared.select("bucket", "key")
-    roots, links = None, None
-    while True:
-        wanted = materialize(fresh.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "wanted")
-        if wanted.count() <= BROADCAST_KEYS:
-            wanted = F.broadcast(wanted)
-        cells_of = sketch.select("key", "cells").join(wanted, "key", "left_semi").groupBy("key").agg(F.first("cells").alias("cells"))
-        found = materialize(verified(fresh, materialize(cells_of, "cells")), "links")
-        if found.isEmpty():
-            break
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
-        # what buckets still hold members of several classes: try members of each class against the pivots
-        open_ = buckets.join(roots, F.col("key") == F.col("node"), "left").select("bucket", "key", F.coalesce("root", "key").alias("node"))
-        one_each = open_.groupBy("bucket", "node").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
-        one_each = one_each.select("bucket", "node", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("key"))
-        fresh = materialize(candidates(shared_buckets(one_each)).join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.unionByName(fresh)
-        if fresh.isEmpty():
-            break
-    base = sketch.select("doc_id", "raw", "key")
+    shared = shared_buckets(texts.select(F.explode("bands").alias("grp"), "key"))
+    pivot = F.explode(F.array("lo", "hi"))
+    met = shared.select("key", pivot.alias("pivot")).filter("key <> pivot").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b"))
+    pairs = materialize(met.distinct(), "pairs")
+    found = links(pairs, sketch)
+    roots = None if found.isEmpty() else components(found)
+    rest = with_roots(shared.filter("key <> lo AND key <> hi").select("grp", "key"), roots)
+    if not rest.isEmpty():
+        roots = exact_rest(rest, sketch, roots)
+    discard(shared, pairs, rest)
+    base = sketch.select("doc_id", "raw", "key", "rid")
     if roots is None:
         return base.withColumn("class_key", F.col("key"))
-    named = texts.select("key").join(roots, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("class_key"))
-    return hot_join(base, named, "key").select("doc_id", "raw", "key", "class_key")
+    named = texts.select("key").join(roots.hint("merge"), F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("class_key"))
+    return hot_join(base, named, "key").select("doc_id", "raw", "key", "rid", "class_key")
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of the class), n_docs of the class, and whether it is kept for its class."""
+    """doc_id, class_id (smallest doc_id of the class), n_docs of the class, and whether this row is kept for its class."""
     rows = materialize(classes(docs), "classes")
-    named = rows.groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_docs"))
-    return hot_join(rows, named, "class_key").select("doc_id", "class_id", "n_docs", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    named = rows.groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_docs"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "raw", "rid")).alias("best"))
+    return hot_join(rows, named, "class_key").select("doc_id", "class_id", "n_docs", (F.col("rid") == F.col("best.rid")).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class, that of the smallest doc_id, with all its columns."""
+    """One document of each class, that of the smallest doc_id, with all its columns; of equal (doc_id, text) rows any one."""
     rows = materialize(classes(docs), "classes")
     # of rows that share a doc_id (or have none) the least text hash stays
-    best = rows.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "raw")).alias("m")).select("m.doc_id", "m.raw")
-    best = materialize(best, "kept")
+    same = rows.groupBy("class_key", "doc_id", "raw").agg(F.count("*").alias("n"))
+    best = same.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "raw", "n")).alias("m"))
+    best = materialize(best.select(F.col("m.doc_id").alias("kept_id"), F.col("m.raw").alias("kept_raw"), (F.col("m.n") > 1).alias("kept_twice")), "kept")
+    raw, kept_id, kept_raw, twice = unused(docs.columns, "raw", "kept_id", "kept_raw", "kept_twice")
+    best = best.toDF(kept_id, kept_raw, twice)
     text = F.xxhash64(F.coalesce("text", F.lit("")))
-    hit = docs.withColumn("__raw_hash", text).alias("d").join(best.alias("b"), F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("d.__raw_hash") == F.col("b.raw")), "left_semi")
-    twice = rows.groupBy("doc_id", "raw").count().filter("count > 1").join(best, ["doc_id", "raw"], "left_semi").limit(1)
-    nulls = best.filter("doc_id IS NULL").limit(1)
-    if not twice.isEmpty() or not nulls.isEmpty():  # repeated rows: one of each
-        from pyspark.sql import Window
-
-        hit = hit.withColumn("__copy", F.row_number().over(Window.partitionBy("doc_id", "__raw_hash").orderBy("__raw_hash"))).filter("__copy = 1").drop("__copy")
-    return hit.drop("__raw_hash")
+    hit = docs.withColumn(raw, text).join(best, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(raw) == F.col(kept_raw)))
+    if best.filter(twice).isEmpty():
+        return hit.select(*(F.col(f"`{c}`") for c in docs.columns))
+    hit = materialize(hit.drop(kept_id, kept_raw), "hit")
+    one = hit.filter(twice).dropDuplicates(["doc_id", raw])
+    return hit.filter(~F.col(twice)).unionByName(one).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

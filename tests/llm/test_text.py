@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandgraph.llm import chat, decontam, html, langid, neardup, quality, textnum, toxicity
+from strandgraph.llm.common import hot_join
 
 from ..compare import assert_same
 
@@ -106,6 +107,34 @@ def test_near_duplicate_edges(spark):
     assert neardup.keep_one(nulls).count() == 1
 
 
+def test_texts_on_one_template(spark):
+    """Pairs at 0.84 among 120 texts that are all at 0.78: every bucket is full of texts that are no near copies."""
+    body = [f"t{k}" for k in range(400)]
+    texts = {}
+    for p in range(60):
+        own = [f"p{p}x{k}" for k in range(50)]
+        texts[2 * p] = " ".join(body + own)
+        texts[2 * p + 1] = " ".join(body + own[:34] + [f"q{p}x{k}" for k in range(16)])
+    got = {r.doc_id: r.class_id for r in neardup.near_classes(docs_of(spark, list(texts.items()))).collect()}
+    assert got == brute_classes(texts) and len(set(got.values())) == 60
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    docs = docs_of(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f"), (3, "other"), (None, "x y"), (None, "x y")])
+    rows = neardup.near_classes(docs).collect()
+    assert sorted((r.doc_id or 0, r.n_docs) for r in rows if r.kept) == [(0, 2), (1, 3), (3, 1)]
+    docs = docs.withColumn("raw", F.lit(1)).withColumn("kept_id", F.lit(2)).withColumn("__copy", F.lit(3)).withColumn("rid", F.lit(4))
+    kept = neardup.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3]
+
+
+def test_hot_keys_are_split(spark):
+    left = spark.range(4000).select(F.when(F.col("id") < 3000, 7).otherwise(F.col("id")).alias("k"), "id")
+    right = left.select("k").distinct().withColumn("v", F.col("k") + 1)
+    got = hot_join(left, right, "k", parts=4, least=10)
+    assert got.columns == ["k", "id", "v"] and got.count() == 4000 and got.filter("v <> k + 1").count() == 0
+
+
 def test_signatures_estimate_weighted_similarity():
     random.seed(9)
     a = [f"t{random.randint(0, 5000)}" for _ in range(3000)]
