@@ -6,13 +6,14 @@ darts, at places that are hashes of the square alone. A text looks at its darts
 earliest dart of each of COORDINATES coordinates is its signature, alike in two texts with the probability of their
 weighted Jaccard similarity. Where a coordinate has no dart yet, the text's rank limit is doubled.
 
-Joining: BANDS hashes of ROWS coordinates are the bucket keys. In a bucket every text is compared with the two pivots of
-extreme keys (a pre-aggregated minimum and maximum). Candidate pairs are verified by their exact weighted Jaccard
-similarity, and linked texts form classes. A bucket in which texts of several classes were no pivots holds pairs that
-nobody has compared. All its texts are joined again, exactly: two texts of SIMILARITY share one of each text's rarest
-cells (its prefix), so texts meet in groups by prefix cell, where each is compared with pivots of the other classes; those
-pivots are done then, and eight times as many follow, until no group holds several classes. So of texts that share a
-bucket no link is lost, and copies, or near copies of one class, never make pairs among themselves.
+Joining: BANDS hashes of ROWS coordinates are the bucket keys. In a bucket every text is compared with three pivots: the
+member that shares most buckets with others (the original of a family of near copies, most likely) and those of the extreme
+keys. Candidate pairs are verified by their exact weighted Jaccard similarity, and linked texts form classes. A bucket in
+which texts of several classes were no pivots holds pairs that nobody has compared. All its texts are joined again,
+exactly: two texts of SIMILARITY share one of each text's rarest cells (its prefix), so texts meet in groups by prefix
+cell, where each is compared with pivots of other classes and of a fitting size; those pivots are done then, and PIVOTS
+times as many follow, until no group holds several classes. So of texts that share a bucket no link is lost, and copies, or
+near copies of one class, never make pairs among themselves.
 
 Defined results: null counts as the empty text; texts without words are alike only if they are equal; ties have similarity
 1; repeated rows are copies, and one row of a class is kept; a class is named by its smallest doc_id (null only if all are
@@ -38,8 +39,8 @@ DARTS = int(COORDINATES * (np.log(COORDINATES) + 2))
 BROADCAST_KEYS = 1_000_000
 #: Slots in which cells are counted to find each text's rarest: that many numbers go through the driver, at any size.
 SLOTS = 1 << 20
-#: Pivots of a prefix group in its first round; each further round takes eight times as many.
-PIVOTS = 16
+#: Pivots of a prefix group in its first round; each further round takes so many times as many.
+PIVOTS = 64
 _POISSON = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1, dtype=float)) for k in range(12)])
 
 
@@ -181,10 +182,10 @@ def links(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
-    """From (grp, key): the rows of groups that hold several keys, with the group's smallest and largest; written."""
-    ends = materialize(members.groupBy("grp").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("__n")).filter("lo <> hi"), "buckets")
-    out = materialize(hot_join(members, ends.drop("__n"), "grp", ends.select("grp", "__n")), "shared")
-    discard(ends)
+    """From (grp, key): the rows of groups that hold several keys, with the number of members; written."""
+    sizes = materialize(members.groupBy("grp").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("__n")).filter("lo <> hi").select("grp", "__n"), "buckets")
+    out = materialize(hot_join(members, sizes.select("grp", F.col("__n").alias("n")), "grp", sizes), "shared")
+    discard(sizes)
     return out
 
 
@@ -233,9 +234,9 @@ def merged(roots: DataFrame | None, found: DataFrame) -> DataFrame:
 
 
 def with_roots(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """rows(grp, key) with each key's root, only of groups that hold several roots; written."""
+    """rows(grp, key, ...) with each key's root, only of groups that hold several roots; written."""
     rows = rows.join(roots.select(F.col("node").alias("key"), "root").hint("merge"), "key", "left") if roots is not None else rows.withColumn("root", F.lit(None).cast("long"))
-    rows = materialize(rows.select("grp", "key", F.coalesce("root", "key").alias("root")), "rooted")
+    rows = materialize(rows.withColumn("root", F.coalesce("root", "key")), "rooted")
     several = rows.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("__n")).filter("lo <> hi").select("grp", "__n")
     several = materialize(several, "several")
     out = materialize(hot_join(rows, several.select("grp"), "grp", several), "open")
@@ -244,7 +245,8 @@ def with_roots(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def rare_cells(texts: DataFrame) -> DataFrame:
-    """From texts(key, cells): (grp, key) for each cell of each text's prefix, its rarest cells among these texts.
+    """From texts(key, cells): (grp, key, n, place) for each cell of each text's prefix, its rarest cells among these texts;
+    n cells has the text, and `place` of them are rarer.
 
     A text of n cells and one of SIMILARITY to it share SIMILARITY * n of them or more, so one of the n - SIMILARITY * n + 1
     rarest by any one order of cells. The order here is by counts in SLOTS slots of the cell's hash, then by the cell.
@@ -269,16 +271,24 @@ def rare_cells(texts: DataFrame) -> DataFrame:
         often = held.value
         for b in batches:
             for i in range(0, b.num_rows, 256):
-                keys, groups = [], []
+                keys, groups, sizes, places = [], [], [], []
                 for key, x in zip(b["key"].slice(i, 256).to_pylist(), b["cells"].slice(i, 256)):
                     x = np.unique(np.frombuffer(x.as_buffer(), np.uint32))
                     n = len(x) - int(np.ceil(SIMILARITY * len(x) - 1e-9)) + 1
                     order = np.lexsort((x, often[x >> 12]))[:n]
                     groups.append(x[order].astype(np.int64))
                     keys.append(np.full(len(order), key, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(groups)), pa.array(np.concatenate(keys))], ["grp", "key"])
+                    sizes.append(np.full(len(order), len(x), np.int32))
+                    places.append(np.arange(len(order), dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (groups, keys, sizes, places)], ["grp", "key", "n", "place"])
 
-    return map_arrow(texts.select("key", "cells"), prefix, "grp bigint, key bigint")
+    return map_arrow(texts.select("key", "cells"), prefix, "grp bigint, key bigint, n int, place int")
+
+
+def fitting(n: str, place: str, m: str, other: str) -> str:
+    """If texts of n and m cells can be of SIMILARITY whose first common cell has these places in their prefixes."""
+    share = SIMILARITY / (1 + SIMILARITY)
+    return f"least({n}, {m}) >= {SIMILARITY} * greatest({n}, {m}) - 1e-6 AND least({n} - {place}, {m} - {other}) >= {share} * ({n} + {m}) - 1e-6"
 
 
 def exact_rest(rows: DataFrame, sketch: DataFrame, roots: DataFrame | None) -> DataFrame | None:
@@ -293,18 +303,19 @@ def exact_rest(rows: DataFrame, sketch: DataFrame, roots: DataFrame | None) -> D
             break
         # members of small classes first: once compared, they leave the fewest classes behind
         sized = opened.join(opened.groupBy("grp", "root").agg(F.count("*").alias("m")).hint("merge"), ["grp", "root"])
-        picked = sized.groupBy("grp", F.pmod(F.xxhash64("key", F.lit(pivots)), F.lit(pivots)).alias("sub")).agg(F.min(F.struct("m", "key", "root")).alias("p"))
-        picked = materialize(picked.select("grp", F.col("p.key").alias("pivot"), F.col("p.root").alias("pivot_root")), "picked")
-        met = hot_join(opened, picked, "grp").filter("root <> pivot_root").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
+        picked = sized.groupBy("grp", F.pmod(F.xxhash64("key", F.lit(pivots)), F.lit(pivots)).alias("sub")).agg(F.min(F.struct("m", "key", "root", "n", "place")).alias("p"))
+        picked = materialize(picked.select("grp", F.col("p.key").alias("pivot"), F.col("p.root").alias("p_root"), F.col("p.n").alias("p_n"), F.col("p.place").alias("p_place")), "picked")
+        met = hot_join(opened, picked, "grp").filter("root <> p_root").filter(fitting("n", "place", "p_n", "p_place"))
+        met = met.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
         fresh = materialize(met if tried is None else met.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = fresh if tried is None else tried.unionByName(fresh)
         found = links(fresh, sketch)
         if not found.isEmpty():
             roots = merged(roots, found)
         # a pivot has met all its group
-        rest = materialize(opened.select("grp", "key").join(picked.select("grp", F.col("pivot").alias("key")), ["grp", "key"], "left_anti"), "rest")
+        rest = materialize(opened.drop("root").join(picked.select("grp", F.col("pivot").alias("key")), ["grp", "key"], "left_anti"), "rest")
         discard(opened, picked)
-        pivots *= 8
+        pivots *= PIVOTS
     discard(keys, texts, own)
     return roots
 
@@ -315,15 +326,19 @@ def classes(docs: DataFrame) -> DataFrame:
     # copies share a key and its bands
     texts = materialize(sketch.groupBy("key").agg(F.first("bands").alias("bands")), "texts")
     shared = shared_buckets(texts.select(F.explode("bands").alias("grp"), "key"))
-    pivot = F.explode(F.array("lo", "hi"))
-    met = shared.select("key", pivot.alias("pivot")).filter("key <> pivot").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b"))
-    pairs = materialize(met.distinct(), "pairs")
+    central = shared.groupBy("key").agg(F.sum("n").alias("score"))
+    picked = shared.join(central.hint("merge"), "key").groupBy("grp").agg(F.max(F.struct("score", "key")).alias("top"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+    picked = materialize(picked.select("grp", F.col("top.key").alias("top"), "lo", "hi"), "picked")
+    ranked = materialize(hot_join(shared.select("grp", "key"), picked, "grp", shared.select("grp")), "ranked")
+    met = ranked.select("key", F.explode(F.array("top", "lo", "hi")).alias("pivot")).filter("key <> pivot")
+    pairs = materialize(met.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct(), "pairs")
     found = links(pairs, sketch)
     roots = None if found.isEmpty() else components(found)
-    rest = with_roots(shared.filter("key <> lo AND key <> hi").select("grp", "key"), roots)
+    rest = with_roots(ranked.filter("key NOT IN (top, lo, hi)").select("grp", "key"), roots)
+    discard(picked)
     if not rest.isEmpty():
         roots = exact_rest(rest, sketch, roots)
-    discard(shared, pairs, rest)
+    discard(shared, ranked, pairs, rest)
     base = sketch.select("doc_id", "raw", "key", "rid")
     if roots is None:
         return base.withColumn("class_key", F.col("key"))
