@@ -11,7 +11,8 @@ later turn, to an unknown call or in a circle is an error of the call, named in
 Defined results: calls without identifier or conversation can't be linked and have status `unlinked`; of calls with one
 identifier the first by (turn, text) is linked, the others are `duplicate`; of several results the first after the call
 by (turn, text); results without call are rows of their own with status `orphan`; null text counts as empty; malformed
-JSON arguments are an error, not a crash; an empty table gives no rows. A system turn is in the JSON of the first call of
+JSON arguments, or such as nest too deeply, are an error, not a crash, and halves of surrogate pairs stay escaped; an
+empty table gives no rows. A system turn is in the JSON of the first call of
 its turn or the next one with calls, from which on it holds; system turns that no call follows, and turns of null or other
 roles, are rows of their own with status `turn`.
 """
@@ -33,6 +34,7 @@ from .common import map_arrow, materialize, table
 ROUNDS_A_TABLE = 16
 TURNS_A_PIECE = 1024
 
+_LONE = re.compile("[\ud800-\udfff]")
 _TYPES = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
@@ -44,9 +46,8 @@ def schema_errors(value, schema, at: str = "$") -> list[str]:
     kinds = schema.get("type", [])
     kinds = [kinds] if isinstance(kinds, str) else kinds
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    if kinds and not any(
-        (number if k == "number" else number and float(value).is_integer() if k == "integer" else type(value) is _TYPES.get(k)) for k in kinds
-    ):
+    whole = number and (isinstance(value, int) or value.is_integer())
+    if kinds and not any((number if k == "number" else whole if k == "integer" else type(value) is _TYPES.get(k)) for k in kinds):
         return [f"{at}: not {' or '.join(kinds)}"]
     if "enum" in schema and value not in schema["enum"]:
         out.append(f"{at}: not in enum")
@@ -84,7 +85,25 @@ def canonical(value) -> str:
             return None if not math.isfinite(x) else int(x) if x.is_integer() and abs(x) < 2**53 else x
         return x
 
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return storable(json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+
+
+def storable(text: str) -> str:
+    """Halves of surrogate pairs, which UTF-8 can't hold, as the escapes that JSON has for them."""
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def checked(arguments: str, name: str | None, tools: dict[str, dict]) -> tuple[object, list[str]]:
+    """The value of a call's arguments, and what is wrong with it. Text that no parser here can hold is wrong, not a crash."""
+    try:
+        value = json.loads(arguments)
+        errors = schema_errors(value, tools[name]) if name in tools else [f"unknown tool {name}"]
+        canonical(value)
+    except RecursionError:
+        return None, ["arguments nest too deeply"]
+    except ValueError:
+        return None, ["arguments are no JSON"]
+    return value, [storable(e) for e in errors]
 
 
 def levels(calls: DataFrame, links: DataFrame) -> DataFrame:
@@ -185,12 +204,8 @@ def link(calls: DataFrame, results: DataFrame, tools: dict[str, dict], notes: Da
                     out.append((False, errors, canonical({"conversation": r["conv"], "role": r["name"], "text": r["arguments"], "turn": r["turn"]})))
                     continue
                 if r["status"] != "orphan":
-                    try:
-                        value = json.loads(r["arguments"])
-                    except ValueError:
-                        errors.append("arguments are no JSON")
-                    else:
-                        errors += schema_errors(value, tools[r["name"]]) if r["name"] in tools else [f"unknown tool {r['name']}"]
+                    value, wrong = checked(r["arguments"], r["name"], tools)
+                    errors += wrong
                 line = {"arguments": value, "conversation": r["conv"], "id": r["call"], "name": r["name"], "turn": r["turn"], "uses": sorted(r["uses"])}
                 if r["result"] is not None:
                     line["result"] = {"content": r["result"], "turn": r["result_turn"]}
@@ -212,7 +227,7 @@ TOOLS = {
     "reply": {
         "type": "object",
         "required": ["prompt", "turn"],
-        "properties": {"prompt": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}, "system": {"type": "string"}},
+        "properties": {"prompt": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}},
         "additionalProperties": False,
     }
 }

@@ -2,17 +2,19 @@
 
 A-Z are lower-cased; a word is a run of digits, a-z and non-ASCII characters. A window is WINDOW consecutive words of an
 item, or all of an item with fewer. Document windows are rolled as 64-bit hashes, and each hit is verified on its words.
-The set goes out in slices of at most SLICE_WORDS benchmark words, so what is broadcast is bounded however large the
-benchmark is; further slices are further passes over the same rows, without a shuffle.
+The set goes out in slices of about SLICE_WORDS benchmark words, so what the driver holds and broadcasts is bounded however
+large the benchmark is; a further slice is a further pass over the rows that the one before it has written.
 
 Defined results: a null text has no words; an item without words has no windows; a document without hits has 0 items and
-the digest of the empty string; repeated rows are judged each for itself; repeated items count once by item_id.
+the digest of the empty string; repeated rows are judged each for itself; repeated items count once by item_id; words in
+windows of an item without item_id are hit, but it isn't among a document's items.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,9 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as T
-from .common import map_arrow, table
+from .common import map_arrow, materialize, table
 
-WINDOW, SLICE_WORDS, FILTER_BITS = 10, 2_000_000, 22
+WINDOW, SLICE_WORDS, FILTER_BITS = 10, 1_000_000, 22
 
 
 @dataclass
@@ -51,7 +53,7 @@ def build(items: pa.Table) -> Windows:
         for hash_, a, r in zip(x.tolist(), at.tolist(), row.tolist()):
             if length == WINDOW or n_words[r] == length:
                 found[length].append(hash_)
-                owners[_joined(data, s[a : a + length], e[a : a + length])].add(str(ids[r]))
+                owners[_joined(data, s[a : a + length], e[a : a + length])].update(() if ids[r] is None else (str(ids[r]),))
     lengths = {}
     for length, hashes in found.items():
         keys = np.unique(np.array(hashes, np.uint64))
@@ -61,13 +63,19 @@ def build(items: pa.Table) -> Windows:
     return Windows(lengths, {k: tuple(sorted(v)) for k, v in owners.items()})
 
 
-def slices(benchmark: DataFrame, max_words: int) -> list[Windows]:
-    """The benchmark's windows in slices of about so many words; an item is in one slice. Items are read slice by slice."""
-    rows = benchmark.filter(F.col("item_id").isNotNull()).select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+def slices(benchmark: DataFrame, max_words: int) -> Iterator[tuple[Windows, bool]]:
+    """The benchmark's windows in slices of about so many words, and if a slice is the last; an item is in one slice.
+
+    A slice is read and built when the one before it is done with, so the driver holds one.
+    """
+    rows = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
     total = rows.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0] or 0
     n = -(-total // max_words)
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) if n > 1 else F.lit(0)
-    return [build(rows.filter(part == k).toArrow()) for k in range(n)]
+    for k in range(n):
+        yield build(rows.filter(part == k).toArrow()), k == n - 1
+    if not n:
+        yield Windows({}, {}), True
 
 
 def hits(found: Windows, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, set[str]]]:
@@ -85,7 +93,7 @@ def hits(found: Windows, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray,
         rows = np.searchsorted(word_off, at[maybe], side="right") - 1
         for a, r in zip(at[maybe].tolist(), rows.tolist()):
             owners = found.items.get(_joined(data, s[a : a + length], e[a : a + length]))  # the hash alone proves nothing
-            if owners:
+            if owners is not None:
                 change[a] += 1
                 change[a + length] -= 1
                 items[r].update(owners)
@@ -94,14 +102,12 @@ def hits(found: Windows, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray,
 
 def scan(docs: DataFrame, benchmark: DataFrame, max_words: int = SLICE_WORDS) -> DataFrame:
     """A row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    spark = docs.sparkSession
-    sets = slices(benchmark, max_words) or [Windows({}, {})]
     rows = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    state = "" if len(sets) == 1 else f"doc_id {kind}, text string, hit array<int>, items array<string>"
+    state = f"doc_id {kind}, text string, hit array<int>, items array<string>"
     final = f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
-    for k, one in enumerate(sets):
-        held, last = spark.sparkContext.broadcast(one), k == len(sets) - 1
+    for k, (one, last) in enumerate(slices(benchmark, max_words)):
+        held = docs.sparkSession.sparkContext.broadcast(one)
 
         def run(batches, held=held, last=last, first=k == 0):
             for b in batches:
@@ -127,7 +133,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, max_words: int = SLICE_WORDS) ->
                 else:
                     yield pa.RecordBatch.from_arrays([b["doc_id"], b["text"], pa.array(cols[0], pa.list_(pa.int32())), pa.array(cols[1], pa.list_(pa.string()))], ["doc_id", "text", "hit", "items"])
 
-        rows = map_arrow(rows, run, final if last else state)
+        rows = _passed(map_arrow(rows, run, final if last else state), held, last)
+    return rows
+
+
+def _passed(rows: DataFrame, held, last: bool) -> DataFrame:
+    """The rows of a pass. All passes but the last are written, and their slice is taken from the executors."""
+    if not last:
+        rows = materialize(rows, "slice")
+        held.destroy()
     return rows
 
 
@@ -136,7 +150,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, max_words: int = SLICE_WORDS,
 
     A removed span runs from the first byte of its first hit word to the last byte of its last one.
     """
-    for one in slices(benchmark, max_words):
+    for one, last in slices(benchmark, max_words):
         held = docs.sparkSession.sparkContext.broadcast(one)
 
         def run(batches, held=held):
@@ -157,7 +171,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, max_words: int = SLICE_WORDS,
                 else:
                     yield b
 
-        docs = map_arrow(docs, run, docs.schema)
+        docs = _passed(map_arrow(docs, run, docs.schema), held, last)
     return docs
 
 
