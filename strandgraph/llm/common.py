@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -62,16 +62,46 @@ def fold(doc_id: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % mod
 
 
-def bounded_sample(rows: DataFrame, key: Column, size: Column, max_rows: int, max_bytes: int) -> Column | None:
-    """A condition that keeps about `max_rows` rows by hash of `key`, fewer if their summed `size` would pass `max_bytes`.
+def hash_share(rows: DataFrame, key: Column, want: Column, by: Column) -> Column | None:
+    """A condition that keeps about `want` (an aggregate) rows by hash of `key` in each of the few classes `by`.
 
-    One aggregate over the table decides the share. None: the table is empty.
+    One aggregate over the table decides the shares. None: the table is empty.
     """
-    n, mean = rows.agg(F.count("*"), F.avg(size)).first()
-    if not n:
-        return None
-    want = min(max_rows, max_bytes / max(mean or 1.0, 1.0))
-    return F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, want / n))
+    out = None
+    for y, n, wanted in rows.groupBy(by.alias("y")).agg(F.count("*"), want).collect():
+        part = by.eqNullSafe(F.lit(y)) & (F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1_000_000_000)) < int(1_000_000_000 * min(1.0, wanted / n)))
+        out = part if out is None else out | part
+    return out
+
+
+def bounded_sample(rows: DataFrame, max_rows: int, max_bytes: int, by: Column | None = None) -> DataFrame:
+    """At most max_rows of the different texts of rows(text, ...), and max_bytes of text, in each of the few classes `by`.
+
+    By hash of the text, so copies count once and the rows of one doc_id, or none, are no group. First a share of about
+    max_rows texts is picked; of these, few and without their texts, a running sum ends where a bound is met.
+    """
+    by = F.lit(0) if by is None else by
+    size, text = F.octet_length("text"), F.col("text")
+    share = hash_share(rows, text, F.least(F.lit(float(max_rows)), max_bytes / F.greatest(F.avg(size), F.lit(1.0))), by)
+    if share is None:
+        return rows
+    names = [f"`{c}`" for c in rows.columns]
+    near = rows.filter(share).select(by.alias("y"), F.xxhash64(text).alias("h"), F.struct(*names).alias("row"), size.alias("bytes"))
+    heads = near.groupBy("y", "h").agg(F.max("bytes").alias("bytes"))
+    order = Window.partitionBy("y").orderBy("h")
+    heads = heads.select("y", "h", F.row_number().over(order).alias("k"), F.sum("bytes").over(order).alias("sum"))
+    heads = heads.filter((F.col("k") <= max_rows) & (F.col("sum") <= max_bytes)).select("y", "h")
+    return near.join(F.broadcast(heads), ["y", "h"]).groupBy("y", "h").agg(F.min("row").alias("row")).orderBy("y", "h").select("row.*")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, mark: str, eligible: Column, max_rows: int, max_bytes: int) -> DataFrame:
+    """docs' rows with their mark from labels(doc_id, mark): a bounded sample of each class. A doc_id's mark is its highest."""
+    marked = labels.select("doc_id", mark).filter(F.col("doc_id").isNotNull() & F.col(mark).isNotNull() & eligible).groupBy("doc_id").agg(F.max(mark).alias(mark))
+    share = hash_share(marked, F.col("doc_id"), F.lit(float(max_rows)), F.col(mark))
+    if share is None:
+        return docs.limit(0).withColumn(mark, F.lit(0))
+    # about max_rows ids of a class, so few enough to broadcast
+    return bounded_sample(docs.join(F.broadcast(marked.filter(share)), "doc_id"), max_rows, max_bytes, F.col(mark))
 
 
 def hot_join(left: DataFrame, right: DataFrame, key: str, counted: DataFrame | None = None, parts: int = 256, least: int = 512) -> DataFrame:

@@ -22,6 +22,8 @@ from .common import bounded_sample, fold, map_arrow
 
 #: Bounds of the training sample, and the model's size.
 MAX_ROWS, MAX_BYTES, BUCKET_BITS, DIM = 3000, 24 << 20, 17, 12
+#: Zero bytes after a row: the longest gram but one.
+GAP = 3
 #: The share of right training texts that the rejection may cost.
 MISS = 0.002
 
@@ -65,21 +67,30 @@ def grams(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     return [g[: len(data)] for g in out]
 
 
+def apart(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' bytes with GAP zero bytes after each, so that no gram reaches into another row; and the rows' offsets."""
+    size = np.diff(off)
+    gap_off = np.concatenate([[0], np.cumsum(size + GAP)])
+    out = np.zeros(gap_off[-1], np.uint8)
+    out[np.arange(off[-1] - off[0]) + np.repeat(GAP * np.arange(len(size)), size)] = data[off[0] : off[-1]]
+    return out, gap_off
+
+
 def logits(model: Model, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """A row of averaged logits for each row of text. Long texts are added up piece by piece."""
-    total = np.zeros((len(off) - 1, len(model.langs)))
-    n = np.zeros(len(off) - 1)
-    for a in range(int(off[0]), int(off[-1]), T.SEGMENT):
-        b = min(a + T.SEGMENT, int(off[-1]))
-        first, last = int(np.searchsorted(off, a, side="right")) - 1, int(np.searchsorted(off, b))
-        cut = np.clip(off[first : last + 1], a, b) - a
-        some = np.flatnonzero(np.diff(cut))
-        if not len(some):
-            continue
-        at = cut[:-1][some]
-        for g in grams(data[a:b], cut):
-            total[first + some] += np.add.reduceat(model.table[g], at, axis=0)
-            n[first + some] += np.add.reduceat(g < (1 << BUCKET_BITS), at, dtype=np.int64)
+    """A row of averaged logits for each row of text. A long row is added up piece by piece, with the bytes around a piece
+    that its grams see, so the sum is that of the whole."""
+    total, n = np.zeros((len(off) - 1, len(model.langs))), np.zeros(len(off) - 1)
+    whole = len(off) > 2 or off[-1] - off[0] <= T.SEGMENT
+    for a in [int(off[0])] if whole else range(int(off[0]), int(off[-1]), T.SEGMENT):
+        b = int(off[-1]) if whole else min(a + T.SEGMENT, int(off[-1]))
+        lead = min(1, a - int(off[0]))
+        piece, at = apart(data, off) if whole else apart(data, np.array([a - lead, min(b + GAP, int(off[-1]))]))
+        for g in grams(piece, at):
+            g[:lead] = 1 << BUCKET_BITS  # counted by the piece before
+            if not whole:
+                g[lead + b - a :] = 1 << BUCKET_BITS
+            total += np.add.reduceat(model.table[g], at[:-1], axis=0, dtype=np.float64)
+            n += np.add.reduceat(g < (1 << BUCKET_BITS), at[:-1], dtype=np.int64)
     return (total / np.maximum(n, 1)[:, None] + model.bias) * (n > 0)[:, None]
 
 
@@ -131,12 +142,9 @@ def fit(texts: pa.ChunkedArray, langs: list[str], epochs: int = 4, seed: int = 7
 
 
 def train(docs: DataFrame, eligible: Column) -> Model | None:
-    """Learn from a bounded sample (MAX_ROWS, MAX_BYTES) of rows with a language and text."""
+    """Learn from a bounded sample (MAX_ROWS, MAX_BYTES) of different texts with a language."""
     rows = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & eligible)
-    cond = bounded_sample(rows, F.col("doc_id"), F.length("text"), MAX_ROWS, MAX_BYTES)
-    if cond is None:
-        return None
-    got = rows.filter(cond).orderBy("doc_id").select("lang", "text").toArrow()
+    got = bounded_sample(rows.select("lang", "text"), MAX_ROWS, MAX_BYTES).toArrow()
     return fit(got["text"], got["lang"].to_pylist()) if got.num_rows else None
 
 

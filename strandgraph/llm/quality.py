@@ -6,7 +6,8 @@ maximum over the chunks go through one logistic layer to a probability. Trained
 decision threshold is set on held-back training texts and mapped to a score of THRESHOLD.
 
 Defined results: null and empty texts are one chunk of zero bytes, and get that chunk's score; without labels of both
-classes every score is 0.5. Long texts are scored in pieces, so memory doesn't grow with a text.
+classes every score is 0.5. Long texts are scored in pieces of whole chunks, so memory doesn't grow with a text, and a
+text's score is that of the whole.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as T
-from .common import bounded_sample, fold, map_arrow, sigmoid, table
+from .common import fold, labelled_sample, map_arrow, sigmoid, table
 
 #: Bounds of the training sample by class (rows, bytes), and the model's size.
 MAX_ROWS, MAX_BYTES, DIM, FILTERS = 700, 4 << 20, 8, 16
@@ -67,15 +68,19 @@ def chunk_bounds(part_off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return start, np.minimum(start + 4, np.repeat(part_off[1:], n)), chunk_off
 
 
-def pool(model: Model, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text: the sum and the maximum of its chunks' pooled activations, and the number of chunks."""
+def pool(model: Model, data: np.ndarray, off: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: the sum and the maximum of its chunks' pooled activations, and the number of chunks; with `most`, of
+    one text's first so many chunks."""
     buf, part_off = padded(data, off)
     _, z = responses(model.emb, model.w, buf)
+    # the last steps of a text's last part see its padding, and no byte of the next text
+    z[(part_off[1:, None] * (PART // STRIDE) - np.arange(1, TAPS)).ravel()] = 0
     top = z.reshape(-1, PART // STRIDE, FILTERS).max(axis=1)
     start, end, chunk_off = chunk_bounds(part_off)
     edges = np.stack([start, end], axis=1).ravel()
-    chunks = np.maximum(np.maximum.reduceat(np.concatenate([top, top[-1:]]), edges, axis=0)[::2] + model.b, 0)
-    return np.add.reduceat(chunks, chunk_off[:-1], axis=0), np.maximum.reduceat(chunks, chunk_off[:-1], axis=0), np.diff(chunk_off)
+    chunks = np.maximum(np.maximum.reduceat(np.concatenate([top, top[-1:]]), edges, axis=0)[::2] + model.b, 0)[:most]
+    chunk_off = np.minimum(chunk_off, len(chunks))
+    return np.add.reduceat(chunks, chunk_off[:-1], axis=0, dtype=np.float64), np.maximum.reduceat(chunks, chunk_off[:-1], axis=0), np.diff(chunk_off)
 
 
 def scores(model: Model | None, col: pa.Array) -> np.ndarray:
@@ -85,13 +90,20 @@ def scores(model: Model | None, col: pa.Array) -> np.ndarray:
     data, off = T.views(col)
     total, top, count = np.zeros((n, FILTERS)), np.zeros((n, FILTERS)), np.zeros(n)
     for i, j in T.row_blocks(off):
-        # a text longer than a block goes on in pieces that begin where a chunk does
-        for a in range(int(off[i]), max(int(off[j]), int(off[i]) + 1), T.SEGMENT - T.SEGMENT % (3 * PART)) if j == i + 1 else [None]:
-            cut = off[i : j + 1] if a is None else np.array([a, min(int(off[j]), a + T.SEGMENT - T.SEGMENT % (3 * PART))])
-            s, m, c = pool(model, data, cut)
-            total[i:j] += s
-            top[i:j] = np.maximum(top[i:j], m)
-            count[i:j] += c
+        size = int(off[j] - off[i])
+        if j > i + 1 or size <= T.SEGMENT:
+            total[i:j], top[i:j], count[i:j] = pool(model, data, off[i : j + 1])
+            continue
+        # a longer text goes on in pieces of whole chunks, each read to the end of its last chunk and filter
+        left = max(1, -(-(-(-(size + TAPS * STRIDE) // PART) - 1) // 3))
+        step = max(1, T.SEGMENT // (3 * PART))
+        for first in range(0, left, step):
+            m = min(step, left - first)
+            a = int(off[i]) + first * 3 * PART
+            s, peak, c = pool(model, data, np.array([a, min(int(off[j]), a + (3 * m + 1) * PART + TAPS * STRIDE)]), m)
+            total[i] += s[0]
+            top[i] = np.maximum(top[i], peak[0])
+            count[i] += c[0]
     z = (total / count[:, None]) @ model.out[:FILTERS] + top @ model.out[FILTERS:] + model.out_bias
     return sigmoid(z - model.cut + np.log(THRESHOLD / (1 - THRESHOLD)))
 
@@ -164,18 +176,9 @@ def cut(z: np.ndarray, y: np.ndarray) -> float:
 
 def train(docs: DataFrame, labels: DataFrame, eligible: Column) -> Model | None:
     """Learn from a bounded sample (MAX_ROWS and MAX_BYTES of each class) of labelled rows."""
-    marked = labels.select("doc_id", "quality").filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & eligible).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    mean = docs.agg(F.avg(F.octet_length("text"))).first()[0] or 1.0
-    parts = []
-    for y in (0, 1):
-        own = marked.filter(F.col("quality") == y)
-        cond = bounded_sample(own, F.col("doc_id"), F.lit(mean), MAX_ROWS, MAX_BYTES)
-        if cond is not None:
-            parts.append(own.filter(cond))
-    if len(parts) < 2:
+    got = labelled_sample(docs.select("doc_id", "text"), labels, "quality", eligible, MAX_ROWS, MAX_BYTES).select("text", "quality").toArrow()
+    if len(set(got["quality"].to_pylist())) < 2:
         return None
-    chosen = parts[0].unionByName(parts[1])  # about 2 * MAX_ROWS ids at most: small enough to broadcast
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id").toArrow()
     data, off = T.views(got["text"])
     return fit(data, off, got["quality"].to_numpy().astype(np.float32))
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 ACTIONS = ("block", "allow")
 
@@ -65,17 +65,20 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
 def op5(spark, sf_dir: str) -> DataFrame:
     """Captures: all pages, fetched in page_id order over January 2024. Entries: every event, for the domain of its user.
 
-    The domains are the hosts of pages and their parents of two or more labels, in order of their name; a user's domain is
-    the one of that number, modulo their count. Errors and clicks put it on the list, other events take it off.
+    The domains are the hosts of pages and their parents of two or more labels. With n of them, a domain's users are those
+    whose user_id and whose domain's md5 are alike modulo n: about one domain for a user, however many there are of either.
+    Errors and clicks put a domain on the list, other events take it off.
     """
     pages = table(spark, sf_dir, "pages")
     start = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
     captures = pages.select(F.col("page_id").alias("capture_id"), "url", F.timestamp_seconds(F.unix_timestamp(start) + F.pmod(F.col("page_id") * 7919, F.lit(30 * 86400))).alias("fetched"))
     names = captures.select(F.explode(parents(host(F.col("url")))).alias("domain")).filter(F.col("domain").contains(".")).distinct()
+    names = materialize(names, "domains")
+    n = F.lit(max(1, names.count()))
     # few rows pass here: one for each domain and user, never one for each page or event
-    ranked = names.withColumn("slot", F.pmod(F.conv(F.substring(F.md5("domain"), 1, 8), 16, 10).cast("long"), F.lit(150)))
+    ranked = names.withColumn("slot", F.pmod(F.conv(F.substring(F.md5("domain"), 1, 8), 16, 10).cast("long"), n))
     events = table(spark, sf_dir, "events").select(F.col("user_id"), "ts", F.when(F.col("event_type").isin("error", "click"), "block").otherwise("allow").alias("action"))
-    users = events.select("user_id").distinct().withColumn("slot", F.pmod(F.col("user_id").cast("long"), F.lit(150)))
+    users = events.select("user_id").distinct().withColumn("slot", F.pmod(F.col("user_id").cast("long"), n))
     owners = ranked.join(users, "slot").select("user_id", "domain")
     entries = owners.join(events, "user_id").select("domain", "ts", "action")
     return judge(captures, entries)
@@ -88,12 +91,10 @@ WITH c AS (
 p AS (
   SELECT DISTINCT host, k - 1 AS level, array_to_string(string_split(host, '.')[k:], '.') AS domain
   FROM (SELECT DISTINCT host FROM c WHERE host IS NOT NULL), unnest(range(1, len(string_split(host, '.')) + 1)) AS t(k)),
-n AS (SELECT DISTINCT domain, CAST('0x' || substr(md5(domain), 1, 8) AS BIGINT) % 150 AS slot FROM p WHERE contains(domain, '.')),
-d AS (
-  SELECT user_id, ts, action FROM (
-    SELECT user_id, ts, CASE WHEN event_type IN ('error', 'click') THEN 'block' ELSE 'allow' END AS action,
-      row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts DESC, CASE WHEN event_type IN ('error', 'click') THEN 'block' ELSE 'allow' END DESC) AS k FROM events) WHERE k = 1),
-e AS (SELECT domain, ts, max(action) AS action FROM n JOIN d ON d.user_id % 150 = n.slot GROUP BY domain, ts),
+dn AS (SELECT DISTINCT domain FROM p WHERE contains(domain, '.')),
+n AS (SELECT domain, CAST('0x' || substr(md5(domain), 1, 8) AS BIGINT) % (SELECT count(*) FROM dn) AS slot FROM dn),
+d AS (SELECT user_id, ts, CASE WHEN event_type IN ('error', 'click') THEN 'block' ELSE 'allow' END AS action FROM events),
+e AS (SELECT domain, ts, max(action) AS action FROM n JOIN d ON d.user_id % (SELECT count(*) FROM dn) = n.slot GROUP BY domain, ts),
 i AS (SELECT domain, action, ts AS from_ts, lead(ts) OVER (PARTITION BY domain ORDER BY ts) AS to_ts FROM e),
 m AS (
   SELECT capture_id, i.domain, i.from_ts, i.action, row_number() OVER (PARTITION BY capture_id ORDER BY level) AS k

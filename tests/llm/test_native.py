@@ -100,8 +100,9 @@ def test_op5_takes_every_event(spark, sf, tmp_path):
     hosts = {h for h in found.host if isinstance(h, str)}
     names = {".".join(h.split(".")[k:]) for h in hosts for k in range(h.count(".") + 1)}
     history = {}
-    for name in (n for n in names if "." in n):
-        own = events[events.user_id % 150 == int(hashlib.md5(name.encode()).hexdigest()[:8], 16) % 150]
+    names = {n for n in names if "." in n}
+    for name in names:
+        own = events[events.user_id % len(names) == int(hashlib.md5(name.encode()).hexdigest()[:8], 16) % len(names)]
         at = collections.defaultdict(set)
         for ts, kind in zip(own.ts, own.event_type):
             at[ts].add("block" if kind in ("error", "click") else "allow")
