@@ -278,24 +278,22 @@ def weighted(digraph: DataFrame, cent: DataFrame, scores: DataFrame, alpha: floa
     return rows.select("src", "dst", "time_lag", w.alias("weight"))
 
 
-def k_shortest(digraph: DataFrame, source: DataFrame, k: int = 3, depth: int = 12, targets: DataFrame | None = None) -> DataFrame:
+def k_shortest(digraph: DataFrame, source: DataFrame, k: int = 3, targets: DataFrame | None = None) -> DataFrame:
     """(target, rank, path, weight): the k lightest paths from source(node_id) to every node reached (or to targets).
 
-    The graph has no circles, as edges go forward in time, so keeping the k lightest partial paths of each length at each
-    node loses none of the k lightest; a level a round. Equal weights go by the path's nodes.
+    The graph has no circles, as edges go forward in time, so what extends a path that isn't among its node's k lightest
+    isn't among the next node's. A level a round: only new paths of the k lightest go on, until there are none. Equal weights
+    go by the path's nodes.
     """
     edges = written(digraph.select("src", "dst", "weight"), "ks")
-    front = written(source.select("node_id", F.array("node_id").alias("path"), F.lit(0.0).alias("weight")), "ks")
-    found = front.limit(0)
-    for _ in range(depth):
-        step = front.select(F.col("node_id").alias("src"), "path", F.col("weight").alias("w")).join(edges, "src").select(F.col("dst").alias("node_id"), F.concat("path", F.array("dst")).alias("path"), (F.col("w") + F.col("weight")).alias("weight"))
-        place = F.row_number().over(Window.partitionBy("node_id").orderBy("weight", "path"))
-        front = written(step.withColumn("place", place).filter(F.col("place") <= k).drop("place"), "ks")
-        if front.isEmpty():
-            break
-        found = found.unionByName(front)
-    rank = F.row_number().over(Window.partitionBy("node_id").orderBy("weight", "path"))
-    out = found.withColumn("rank", rank).filter(F.col("rank") <= k).withColumnRenamed("node_id", "target")
+    best = written(source.select("node_id", F.array("node_id").alias("path"), F.lit(0.0).alias("weight"), F.lit(True).alias("new")), "ks")
+    place = F.row_number().over(Window.partitionBy("node_id").orderBy("weight", "path"))
+    while not (front := best.filter("new")).isEmpty():
+        step = front.select(F.col("node_id").alias("src"), "path", F.col("weight").alias("w")).join(edges, "src")
+        step = step.select(F.col("dst").alias("node_id"), F.concat("path", F.array("dst")).alias("path"), (F.col("w") + F.col("weight")).alias("weight"), F.lit(True).alias("new"))
+        both = best.withColumn("new", F.lit(False)).unionByName(step)
+        best = written(both.withColumn("place", place).filter(F.col("place") <= k).drop("place"), "ks")
+    out = best.filter(F.size("path") > 1).withColumn("rank", place).withColumnRenamed("node_id", "target")
     if targets is not None:
         out = out.join(targets.select(F.col("node_id").alias("target")), "target", "left_semi")
     return out.select("target", "rank", "path", "weight")

@@ -97,11 +97,11 @@ def _(t):
 
 _E = "CAST(a.embedding AS DOUBLE[])"
 _F = "CAST(b.embedding AS DOUBLE[])"
-_HITS = f", knn AS (SELECT * FROM (SELECT a.pid AS qid, b.pid AS node_id, 1 - list_dot_product({_E}, {_F}) AS d, row_number() OVER (PARTITION BY a.pid ORDER BY 1 - list_dot_product({_E}, {_F}), b.pid) AS k FROM points a, points b WHERE a.pid < 20) WHERE k <= 15)"
+_HITS = f", knn AS (SELECT * FROM (SELECT a.pid AS qid, b.pid AS node_id, 1 - list_dot_product({_E}, {_F}) AS d, row_number() OVER (PARTITION BY a.pid ORDER BY 1 - list_dot_product({_E}, {_F}), b.pid) AS k FROM points a, points b WHERE a.pid % 50 = 0) WHERE k <= 15)"
 
 
 def _hits(t):
-    q = t.points.select(c("pid").alias("qid"), c("embedding").alias("q"))
+    q = t.points.filter("pid % 50 = 0").select(c("pid").alias("qid"), c("embedding").alias("q"))
     return vectors.exact(q, t.points, 15).select("qid", c("pid").alias("node_id"), "distance")
 
 
@@ -186,10 +186,10 @@ def _(t):
     return evaluate.lead_time(s, e).select(F.round("lead_days", 6).alias("lead_days"), "n")
 
 
-@query("o03_community_purity", CANON + ", mates AS (SELECT r.node_id AS root, m.node_id FROM family r JOIN family m ON m.software_id % 5 = r.software_id % 5 WHERE r.node_id % 9 = 0), near AS (SELECT DISTINCT root, node_id FROM (SELECT src AS root, dst AS node_id FROM family_edges UNION ALL SELECT dst, src FROM family_edges) WHERE root % 9 = 0), x AS (SELECT root, count(*) AS b FROM mates JOIN near USING (root, node_id) GROUP BY root) SELECT root, round(coalesce(b, 0) / (SELECT count(*) FROM mates m WHERE m.root = r.root), 9) AS purity, round(coalesce(coalesce(b, 0) / nullif((SELECT count(*) FROM near n WHERE n.root = r.root), 0), 0), 9) AS coverage FROM (SELECT node_id AS root FROM family WHERE node_id % 9 = 0) r LEFT JOIN x USING (root)")
+@query("o03_community_purity", CANON + ", mates AS (SELECT r.node_id AS root, m.node_id FROM family r JOIN family m ON m.software_id % 5 = r.software_id % 5 WHERE r.node_id % 50 = 0), near AS (SELECT DISTINCT root, node_id FROM (SELECT src AS root, dst AS node_id FROM family_edges UNION ALL SELECT dst, src FROM family_edges) WHERE root % 50 = 0), x AS (SELECT root, count(*) AS b FROM mates JOIN near USING (root, node_id) GROUP BY root) SELECT root, round(coalesce(b, 0) / (SELECT count(*) FROM mates m WHERE m.root = r.root), 9) AS purity, round(coalesce(coalesce(b, 0) / nullif((SELECT count(*) FROM near n WHERE n.root = r.root), 0), 0), 9) AS coverage FROM (SELECT node_id AS root FROM family WHERE node_id % 50 = 0) r LEFT JOIN x USING (root)")
 def _(t):
     comm = t.family.select("node_id", (c("software_id") % 5).alias("comm"))
-    return evaluate.purity(comm, t.family_edges, t.family.filter("node_id % 9 = 0")).select("root", F.round("purity", 9).alias("purity"), F.round("coverage", 9).alias("coverage"))
+    return evaluate.purity(comm, t.family_edges, t.family.filter("node_id % 50 = 0")).select("root", F.round("purity", 9).alias("purity"), F.round("coverage", 9).alias("coverage"))
 
 
 _PF = ", k AS (SELECT DISTINCT src % 4 AS g, src AS p, dst AS n FROM family_edges), f AS (SELECT DISTINCT g, p, n FROM k WHERE n % 3 <> 0), ks AS (SELECT g, p, count(*) AS n FROM k GROUP BY ALL), fs AS (SELECT g, p, count(*) AS n FROM f GROUP BY ALL), sh AS (SELECT k.g, k.p AS kp, f.p AS fp, count(*) AS s FROM k JOIN f ON k.g = f.g AND k.n = f.n GROUP BY ALL), hit AS (SELECT sh.* FROM sh JOIN ks ON ks.g = sh.g AND ks.p = kp JOIN fs ON fs.g = sh.g AND fs.p = fp WHERE s / (ks.n + fs.n - s) >= 0.5)"

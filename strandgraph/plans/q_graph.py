@@ -13,7 +13,7 @@ c = F.col
 
 
 def _small(t):
-    """Nodes and edges of the sub-graph, written once, as the rounds of a loop read them again."""
+    """Nodes and edges of the whole graph, written once, as the rounds of a loop read them again."""
     from ..sources.shared import written
 
     return written(t.family, "nodes"), written(t.family_edges, "edges")
@@ -97,8 +97,8 @@ def _(t):
 
 
 _PATHS = """, walk(origin, node_id, depth) AS (
-  SELECT node_id, node_id, 0 FROM family WHERE node_id % 7 = 0
-  UNION SELECT origin, e.dst, depth + 1 FROM walk JOIN family_edges e ON e.src = walk.node_id WHERE depth < 4),
+  SELECT node_id, node_id, 0 FROM family WHERE node_id % 50 = 0
+  UNION SELECT origin, e.dst, depth + 1 FROM walk JOIN family_edges e ON e.src = walk.node_id WHERE depth < 10),
 least_depth AS (SELECT origin, node_id, min(depth) AS depth FROM walk GROUP BY 1, 2),
 counts(origin, node_id, depth, paths) AS (
   SELECT origin, node_id, 0, CAST(1 AS BIGINT) FROM least_depth WHERE depth = 0
@@ -109,7 +109,7 @@ counts(origin, node_id, depth, paths) AS (
 @query("j08_shortest_paths", CANON + _PATHS + "SELECT origin, node_id, depth, CAST(sum(paths) AS BIGINT) AS paths FROM counts GROUP BY ALL")
 def _(t):
     nodes, edges = _small(t)
-    return graph.shortest_paths(edges, nodes.filter("node_id % 7 = 0").select(c("node_id").alias("origin")), 4)
+    return graph.shortest_paths(edges, nodes.filter("node_id % 50 = 0").select(c("node_id").alias("origin")), 10)
 
 
 @query("j09_communities")
@@ -152,7 +152,7 @@ def _(t):
 _KSP = _WEI + """, src0 AS (SELECT min_by(node_id, ts * 1000000 + node_id) AS s FROM family),
 ksp(node_id, path, weight) AS (
   SELECT s, [s], CAST(0 AS DOUBLE) FROM src0
-  UNION ALL SELECT e.dst, list_append(path, e.dst), ksp.weight + e.weight FROM ksp JOIN wei e ON e.src = ksp.node_id WHERE len(path) <= 4)
+  UNION ALL SELECT dst, path, weight FROM (SELECT e.dst, list_append(path, e.dst) AS path, ksp.weight + e.weight AS weight, row_number() OVER (PARTITION BY e.dst ORDER BY ksp.weight + e.weight, list_append(path, e.dst)) AS k FROM ksp JOIN wei e ON e.src = ksp.node_id) WHERE k <= 3)
 """
 
 
@@ -160,7 +160,7 @@ ksp(node_id, path, weight) AS (
 def _(t):
     nodes, w = _weighted(t)
     source = nodes.agg(F.min_by("node_id", F.struct("ts", "node_id")).alias("node_id"))
-    return graph.k_shortest(w, source, 3, depth=4).select("target", "rank", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), F.round("weight", 3).alias("weight"))
+    return graph.k_shortest(w, source, 3).select("target", "rank", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), F.round("weight", 3).alias("weight"))
 
 
 @query("j14_path_summary", CANON + ", n AS (SELECT node_id, count(*) AS k, max(CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END) AS s FROM cve_list GROUP BY 1) SELECT a.src || '>' || a.dst || '>' || b.dst AS path_id, 3 AS length, CAST(coalesce(x.k, 0) + coalesce(y.k, 0) + coalesce(z.k, 0) AS BIGINT) AS cves, greatest(coalesce(x.s, 0), coalesce(y.s, 0), coalesce(z.s, 0)) AS max_severity FROM family_edges a JOIN family_edges b ON a.dst = b.src LEFT JOIN n x ON x.node_id = a.src LEFT JOIN n y ON y.node_id = a.dst LEFT JOIN n z ON z.node_id = b.dst")
@@ -172,28 +172,28 @@ def _(t):
     return graph.path_summary(paths, nodes)
 
 
-@query("j15_hop_distance", CANON + """, pr AS (SELECT a.node_id AS a, b.node_id AS b FROM family a JOIN family b ON b.node_id = a.node_id + 7 WHERE a.node_id % 3 = 0),
-walk(origin, node_id, depth) AS (SELECT a, a, 0 FROM pr UNION SELECT origin, e.dst, depth + 1 FROM walk JOIN family_edges e ON e.src = walk.node_id WHERE depth < 4)
+@query("j15_hop_distance", CANON + """, pr AS (SELECT a.node_id AS a, b.node_id AS b FROM family a JOIN family b ON b.node_id = a.node_id + 7 WHERE a.node_id % 50 = 0),
+walk(origin, node_id, depth) AS (SELECT a, a, 0 FROM pr UNION SELECT origin, e.dst, depth + 1 FROM walk JOIN family_edges e ON e.src = walk.node_id WHERE depth < 6)
 SELECT a, b, min(depth) AS distance FROM pr LEFT JOIN walk ON origin = a AND node_id = b GROUP BY a, b""")
 def _(t):
     nodes, edges = _small(t)
     other = nodes.select(c("node_id").alias("b"))
-    pairs = nodes.filter("node_id % 3 = 0").select(c("node_id").alias("a")).join(other, c("b") == c("a") + 7)
-    return graph.hop_distance(edges, pairs, 4, "forward")
+    pairs = nodes.filter("node_id % 50 = 0").select(c("node_id").alias("a")).join(other, c("b") == c("a") + 7)
+    return graph.hop_distance(edges, pairs, 6, "forward")
 
 
-_UP = """, walk(origin, node_id, depth) AS (SELECT DISTINCT node_id, node_id, 0 FROM cve_list WHERE node_id IN (SELECT node_id FROM family) UNION SELECT origin, e.dst, depth + 1 FROM walk JOIN family_edges e ON e.src = walk.node_id WHERE depth < 4),
-grp AS (SELECT DISTINCT 'G' || (node_id % 3) AS cve_id, node_id FROM cve_list), tg AS (SELECT cve_id, node_id AS target FROM grp WHERE node_id IN (SELECT node_id FROM family)),
+_UP = """, walk(origin, node_id, depth) AS (SELECT DISTINCT node_id, node_id, 0 FROM cve_list WHERE node_id % 50 = 0 UNION SELECT origin, e.dst, depth + 1 FROM walk JOIN family_edges e ON e.src = walk.node_id WHERE depth < 10),
+grp AS (SELECT DISTINCT 'G' || (node_id % 3) AS cve_id, node_id FROM cve_list), tg AS (SELECT cve_id, node_id AS target FROM grp WHERE node_id % 50 = 0),
 up AS (SELECT tg.cve_id, target, w.node_id, min(depth) AS depth FROM tg JOIN walk w ON w.origin = target AND depth > 0 JOIN grp g ON g.cve_id = tg.cve_id AND g.node_id = w.node_id WHERE w.node_id <> target GROUP BY ALL)
 """
 
 
 def _upstream(t):
-    """CVEs in three groups, so that several nodes share one: targets of the sub-graph, nodes that carry it."""
+    """CVEs in three groups, so that several nodes share one: every 50th node as a target, all nodes that carry it."""
     nodes, edges = _small(t)
     carry = t.cve_list.select(F.concat(F.lit("G"), (c("node_id") % 3).cast("string")).alias("cve_id"), "node_id").distinct()
-    targets = carry.join(nodes, "node_id", "left_semi")
-    return nodes, edges, carry, targets, graph.upstream(edges, targets, carry, 4)
+    targets = carry.filter("node_id % 50 = 0").join(nodes, "node_id", "left_semi")
+    return nodes, edges, carry, targets, graph.upstream(edges, targets, carry, 10)
 
 
 @query("j16_upstream_search", CANON + _UP + "SELECT * FROM up")
@@ -214,28 +214,29 @@ def _(t):
 
 
 @query("j19_reference_paths", CANON + """, st AS (SELECT e.dst AS src, e.src AS dst FROM family_edges e JOIN family a ON a.node_id = e.dst JOIN family b ON b.node_id = e.src WHERE b.ts >= a.ts),
-walk(origin, node_id, depth) AS (SELECT node_id, node_id, 0 FROM family WHERE node_id % 11 = 0 UNION SELECT origin, s.dst, depth + 1 FROM walk JOIN st s ON s.src = walk.node_id WHERE depth < 4)
+walk(origin, node_id, depth) AS (SELECT node_id, node_id, 0 FROM family WHERE node_id % 50 = 0 UNION SELECT origin, s.dst, depth + 1 FROM walk JOIN st s ON s.src = walk.node_id WHERE depth < 6)
 SELECT origin, node_id AS dst, min(depth) AS depth FROM walk WHERE node_id <> origin GROUP BY 1, 2""")
 def _(t):
     nodes, edges = _small(t)
-    roots = nodes.filter("node_id % 11 = 0").select(F.lit("x").alias("cve_id"), "node_id", F.lit(0.8).alias("confidence"))
-    return graph.reference_paths(roots, edges, nodes, 4).select("origin", "dst", "depth")
+    roots = nodes.filter("node_id % 50 = 0").select(F.lit("x").alias("cve_id"), "node_id", F.lit(0.8).alias("confidence"))
+    return graph.reference_paths(roots, edges, nodes).select("origin", "dst", "depth")
 
 
 @query("j20_layered_search", CANON + """, vul AS (SELECT DISTINCT software_id, ord FROM cve_list JOIN releases USING (node_id)),
 nr AS (SELECT DISTINCT r.node_id FROM releases r JOIN vul v ON v.software_id = r.software_id AND abs(r.ord // 10 - v.ord // 10) + abs(r.ord % 10 - v.ord % 10) <= 1),
-walk(origin, node_id, depth) AS (SELECT node_id, node_id, 0 FROM family WHERE node_id % 5 = 0 UNION SELECT origin, e.dst, depth + 1 FROM walk JOIN family_edges e ON e.src = walk.node_id WHERE depth < 4 AND e.dst IN (SELECT node_id FROM nr))
+walk(origin, node_id, depth) AS (SELECT node_id, node_id, 0 FROM family WHERE node_id % 50 = 0 UNION SELECT origin, e.dst, depth + 1 FROM walk JOIN family_edges e ON e.src = walk.node_id WHERE depth < 6 AND e.dst IN (SELECT node_id FROM nr))
 SELECT origin, node_id, min(depth) AS depth FROM walk GROUP BY 1, 2""")
 def _(t):
     nodes, edges = _small(t)
     named = t.releases.select("node_id", c("software_id").alias("package"), versions.semver(c("version")).alias("v"))
     known = graph.near_known(named, named.join(t.cve_list, "node_id", "left_semi"))
-    return graph.layered(nodes.filter("node_id % 5 = 0").select(c("node_id").alias("origin")), edges, known, 4).select("origin", "node_id", "depth")
+    return graph.layered(nodes.filter("node_id % 50 = 0").select(c("node_id").alias("origin")), edges, known).select("origin", "node_id", "depth")
 
 
 @query("j21_components", CANON + """, twoway AS (SELECT src, dst FROM family_edges UNION SELECT dst, src FROM family_edges),
-reach(node_id, other) AS (SELECT node_id, node_id FROM family UNION SELECT reach.node_id, e.dst FROM reach JOIN twoway e ON e.src = reach.other)
-SELECT node_id, min(other) AS comp FROM reach GROUP BY 1""")
+reach(node_id, comp) USING KEY (node_id) AS (SELECT node_id, node_id FROM family
+UNION SELECT e.dst, min(reach.comp) FROM reach JOIN twoway e ON e.src = reach.node_id JOIN recurring.reach AS had ON had.node_id = e.dst WHERE reach.comp < had.comp GROUP BY e.dst)
+SELECT node_id, comp FROM reach""")
 def _(t):
     return graph.components(*_small(t))
 
@@ -250,7 +251,7 @@ _F = "CAST(b.embedding AS DOUBLE[])"
 
 
 def _queries(t):
-    return t.points.select(c("pid").alias("qid"), c("embedding").alias("q"), c("node_id").alias("q_node"))
+    return t.points.filter("pid % 50 = 0").select(c("pid").alias("qid"), c("embedding").alias("q"), c("node_id").alias("q_node"))
 
 
 @query("k01_cosine_distance", CANON + f"SELECT a.pid, b.pid AS other, round(1 - list_dot_product({_E}, {_F}), 6) AS d FROM points a JOIN points b ON a.node_id = b.node_id AND b.cve_idx = a.cve_idx + 1")
@@ -266,7 +267,7 @@ def _(t):
     return vectors.cells(points, vectors.fit_centroids(points, 32)).select("pid", "cell")
 
 
-_KNN = f", knn AS (SELECT a.pid AS qid, b.pid, b.node_id, 1 - list_dot_product({_E}, {_F}) AS d, CAST(row_number() OVER (PARTITION BY a.pid ORDER BY 1 - list_dot_product({_E}, {_F}), b.pid) AS INTEGER) AS rank FROM points a, points b WHERE a.pid < 20)"
+_KNN = f", knn AS (SELECT a.pid AS qid, b.pid, b.node_id, 1 - list_dot_product({_E}, {_F}) AS d, CAST(row_number() OVER (PARTITION BY a.pid ORDER BY 1 - list_dot_product({_E}, {_F}), b.pid) AS INTEGER) AS rank FROM points a, points b WHERE a.pid % 50 = 0)"
 
 
 @query("k03_nearest", CANON + _KNN + " SELECT qid, pid, round(d, 6) + 0.0 AS d, rank FROM knn WHERE rank <= 10")

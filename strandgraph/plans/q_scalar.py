@@ -202,7 +202,7 @@ def _(t):
     return found.withColumn("best", F.min("p").over(Window.partitionBy("q"))).filter("p = best").select("q", "node_id", "kind")
 
 
-@query("d08_nodes_with_cve", CANON + "SELECT cve_id, node_id FROM cve_list WHERE cve_id IN (SELECT 'CVE-2024-' || lpad(CAST(event_id AS VARCHAR), 7, '0') FROM events WHERE event_type = 'error' AND user_id < 20)")
+@query("d08_nodes_with_cve", CANON + "SELECT cve_id, node_id FROM cve_list WHERE cve_id IN (SELECT 'CVE-2024-' || lpad(CAST(event_id AS VARCHAR), 7, '0') FROM events WHERE event_type = 'error')")
 def _(t):
     asked = t.raw("events").filter("event_type = 'error'").select(text.cve_name(F.concat(F.lit("cve-2024-"), F.lpad(c("event_id").cast("string"), 7, "0"))).alias("cve_id"))
     return t.cve_list.join(asked, "cve_id", "left_semi").select("cve_id", "node_id")

@@ -116,7 +116,6 @@ points AS (
   SELECT vec_id AS pid, label AS node_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS cve_idx, embedding FROM embeddings),
 series AS (
   SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS t, count(*) AS n, avg(value) AS value FROM events GROUP BY 1),
-family AS (SELECT node_id, software_id, ts FROM releases WHERE software_id < 40),
-family_edges AS (
-  SELECT src, dst FROM dep_edges WHERE src IN (SELECT node_id FROM family) AND dst IN (SELECT node_id FROM family))
+family AS (SELECT node_id, software_id, ts FROM releases),
+family_edges AS (SELECT src, dst FROM dep_edges)
 """
