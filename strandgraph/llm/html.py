@@ -3,32 +3,38 @@
 Pages of one host are merged into a tree of style nodes, where a node is a path of block elements with their first class.
 Spark counts for every node how often each content (leaf) and each sequence of child styles (branch) occurs over pages:
 a leaf's importance is 1 minus the entropy of its contents' spread over pages, a branch's importance is the entropy of its
-presentations (1 for a node on one page). What is low in both, on MIN_PAGES or more pages, is noise of that host and goes.
-Presentation that says by itself what it is (tags, roles and class names of menus, forms, adverts, comments and the like)
-has importance 0 on any page, and the article or main element, where there is one, bounds the content.
-
-A page's text: its remaining blocks in order, character references decoded, white space inside a block one space, blocks
-joined by newline. Line breaks (br) count as white space.
-
-Defined results: null and empty html give the empty text; malformed markup is read as browsers do where that matters
-(unclosed and stray tags, comments and tags cut off at the end); a null url is the host ''; repeated pages count as pages.
+presentations (1 for a node on one page). What few pages show proves little, so a prior importance of 1 counts as PRIOR
+pages. Where the importance so weighed is below LOW the node is noise of that host and goes; the paragraphs, headings and
+lists of an article, which presentation calls content, go below LOWEST only. Presentation that says by itself what it is
+(tags, roles and class names of menus, forms, adverts, comments and the like) has importance 0 on any page, and the article
+or main element, where there is one, bounds the content.
+
+A page is parsed once, into a table of its blocks; counting and choosing are column expressions over that table. A page's
+text: its remaining blocks in order, character references decoded, white space inside a block one space, blocks joined by
+newline. Line breaks (br) count as white space.
+
+Defined results: null and empty html, and pages of noise alone, give the empty text; malformed markup is read as browsers
+do where that matters (unclosed and stray tags, comments and tags cut off at the end); a null url is the host ''; repeated
+pages count as pages. Parsing takes time in proportion to the page, however deep its elements nest.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, table
+from .common import hot_join, map_arrow, materialize, table
 
-#: A node on so many pages is judged by importance; below LOW it is noise. GAMMA: the weight of content beside presentation.
-MIN_PAGES, LOW, GAMMA = 5, 0.25, 0.9
+#: Importance below which a node is noise, and an article's content; the weight of content beside presentation; the pages
+#: that the prior counts for.
+LOW, LOWEST, GAMMA, PRIOR = 0.8, 0.25, 0.9, 24.0
 #: So many noise nodes are broadcast at most; more are joined by a shuffle.
 BROADCAST_NODES = 200_000
 
@@ -77,13 +83,29 @@ class Node:
 
     __slots__ = ("tag", "path", "noise", "root", "inner", "styles")
 
-    def __init__(self, tag: str, path: str, noise: bool, root: int, inner: bool):
+    def __init__(self, tag: str, path: int, noise: bool, root: int, inner: bool):
         self.tag, self.path, self.noise, self.root, self.inner, self.styles = tag, path, noise, root, inner, []
 
 
-def _open(tag: str, attrs: str, up: Node) -> Node:
+class Page:
+    """A page's text blocks, by column, and its branches with the styles of their children."""
+
+    def __init__(self):
+        self.path, self.up, self.text, self.noise, self.root, self.inner = [], [], [], [], [], []
+        self.branch, self.shape = [], []
+
+
+def _hash(x: str) -> int:
+    return xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _open(tag: str, attrs: str, up: Node, rules: bool) -> tuple[Node, str]:
+    """The node of a start tag and its style. Its path is a hash of the parent's path and the style."""
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)} if attrs.strip(" /") else {}
-    first = found.get("class", "").split()[:1]
+    style = tag + "".join(f".{c}" for c in found.get("class", "").split()[:1])
+    path = _hash(f"{up.path}/{style}")
+    if not rules:
+        return Node(tag, path, False, 0, False), style
     names = {w.lower() for w in _WORD.findall(f"{found.get('class', '')} {found.get('id', '')}")}
     root, role = up.root, found.get("role", "").lower()
     if tag == "article" or found.get("itemprop", "").lower() == "articlebody":
@@ -95,30 +117,48 @@ def _open(tag: str, attrs: str, up: Node) -> Node:
         noise = noise or bool(names & NOISE_NAME) or (up.root < 2 and (tag == "header" or bool(names & NOISE_OUTSIDE)))
         if names & CONTENT_NAME and not noise:
             root = max(root, 1)
-    style = tag + "".join(f".{c}" for c in first)
-    inner = up.inner or (up.root == 3 and tag not in TEXTUAL)
-    return Node(tag, f"{up.path}/{style}", noise, root, inner)
+    return Node(tag, path, noise, root, up.inner or (up.root == 3 and tag not in TEXTUAL)), style
 
 
-def blocks(page: str) -> tuple[list[tuple[str, str, bool, int, bool]], list[tuple[str, str]]]:
-    """A page's text blocks (path, text, noise, kind of content root, in an inner container), and its branches' child styles."""
-    top = Node("", "", False, 0, False)
-    stack, out, branches, text = [top], [], [], []
+def parse(page: str, rules: bool = True) -> Page:
+    """A page's blocks and branches, in one pass whose time is in proportion to its length, however deep it nests."""
+    out, top = Page(), Node("", 0, False, 0, False)
+    stack, text, opened = [top], [], Counter()
 
     def flush() -> None:
         if text:
             words = entities.unescape("".join(text)).split()
             text.clear()
             if words:
-                node = next(x for x in reversed(stack) if x.tag in BLOCK or not x.tag)
-                out.append((node.path, " ".join(words), node.noise, node.root, node.inner))
+                k = len(stack) - 1
+                while stack[k].tag not in BLOCK and stack[k].tag:
+                    k -= 1
+                node = stack[k]
+                out.path.append(node.path)
+                out.up.append(stack[k - 1].path if k else 0)
+                out.text.append(" ".join(words))
+                out.noise.append(node.noise)
+                out.root.append(node.root)
+                out.inner.append(node.inner)
 
     def close(to: int) -> None:
         for node in stack[to:]:
+            opened[node.tag] -= 1
             if node.styles:
-                branches.append((node.path, "|".join(node.styles)))
+                out.branch.append(node.path)
+                out.shape.append(_hash("|".join(node.styles)))
         del stack[to:]
 
+    def shut(tags, stop) -> None:
+        """Close the nearest open one of tags, unless one of stop comes first."""
+        if any(opened[t] for t in tags):
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag in tags:
+                    return close(k)
+                if stack[k].tag in stop:
+                    return None
+        return None
+
     at, lower = 0, None
     for m in _TAG.finditer(page):
         if m.start() < at:
@@ -130,134 +170,129 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, int, bool]], list[tupl
         if not tag:
             continue
         if m[1] or m[4]:  # an end tag
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if k:
-                if tag in BLOCK:
-                    flush()
-                close(k)
-            elif tag in BLOCK:
+            if tag in BLOCK:
                 flush()
+            shut({tag}, ())
             continue
         if tag in SKIPPED:
             lower = lower or page.lower()
             end = lower.find(f"</{tag}", at) if not (m[3] or "").endswith("/") else at
             at = len(page) if end < 0 else end
             continue
-        if tag in ("br", "wbr", "img", "input") or tag in VOID and tag != "hr":
+        if tag in VOID and tag != "hr":
             if tag == "br":
                 text.append(" ")
             continue
         if tag not in BLOCK:  # inline elements have no node, unless presentation says that they are noise
-            node = _open(tag, m[3] or m[6] or "", stack[-1])
-            if node.noise and not stack[-1].noise:
-                stack.append(node)
+            if rules:
+                node, _ = _open(tag, m[3] or m[6] or "", stack[-1], rules)
+                if node.noise and not stack[-1].noise:
+                    stack.append(node)
+                    opened[tag] += 1
             continue
         flush()
         if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    close(k)
-                    break
-                if stack[k].tag in SCOPE:
-                    break
+            shut({"p"}, SCOPE)
         if tag in IMPLIED:
-            shut, stop = IMPLIED[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in shut:
-                    close(k)
-                    break
-                if stack[k].tag in stop:
-                    break
+            shut(*IMPLIED[tag])
         if tag == "hr":
             continue
-        node = _open(tag, m[3] or m[6] or "", stack[-1])
-        style = node.path.rpartition("/")[2]
+        node, style = _open(tag, m[3] or m[6] or "", stack[-1], rules)
         if stack[-1].styles[-1:] != [style]:  # a run of equal children is one
             stack[-1].styles.append(style)
         stack.append(node)
+        opened[tag] += 1
     if at < len(page) and (not stack[-1].tag or stack[-1].tag in BLOCK):
         text.append(page[at:])
     flush()
     close(1)
-    return out, branches
+    return out
 
 
-def _hash(x: str) -> int:
-    return xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63)
-
-
-def extract(page: str | None, noise: frozenset[int] = frozenset()) -> str:
-    """The main text of a page, without branches whose path is noise at its host."""
-    if not page:
-        return ""
-    found, _ = blocks(page)
-    kept = [b for b in found if not b[2]]
-    best = max((b[3] for b in kept), default=0)
-    kept = [b for b in kept if b[3] == best]
-    # inside an article only containers of their own can be noise: its paragraphs and headings are the content
-    good = [b for b in kept if (best == 3 and not b[4]) or _hash(b[0]) not in noise]
-    return "\n".join(b[1] for b in good or kept)
+def extract(page: str | None, low: frozenset[int] = frozenset(), lowest: frozenset[int] = frozenset(), rules: bool = True) -> str:
+    """The main text of one page, given the paths whose importance is low at its host, for content elements the lowest ones."""
+    p = parse(page or "", rules)
+    best = max((r for r, noise in zip(p.root, p.noise) if not noise), default=0)
+    rows = zip(p.path, p.text, p.noise, p.root, p.inner)
+    return "\n".join(t for path, t, noise, root, inner in rows if not noise and root == best and path not in (lowest if root == 3 and not inner else low))
 
 
-def host_of(url) -> DataFrame:
+def host_of(url) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"(?i)^\s*https?://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def importance(pages: DataFrame) -> DataFrame:
-    """The merged style trees: host, path, n_pages and importance of every leaf node, from pages(host, html)."""
-
-    def run(batches):
-        for b in batches:
-            hosts, rows = b["host"].to_pylist(), []
-            for host, page in zip(hosts, b["html"].to_pylist()):
-                if not page:
-                    continue
-                leaves, branches = blocks(page)
-                seen = {(_hash(path), _hash(path.rpartition("/")[0]), _hash(text), True) for path, text, *_ in leaves}
-                seen |= {(_hash(path), 0, _hash(styles), False) for path, styles in branches}
-                rows.append((host, seen))
-            flat = [(h, *x) for h, seen in rows for x in seen]
-            if flat:
-                cols = list(zip(*flat))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:4]), pa.array(cols[4], pa.bool_())], ["host", "path", "up", "value", "leaf"])
-                # a page counts once for each of its leaf paths
-            paths = [(h, p) for h, seen in rows for p in {(x[0], x[3]) for x in seen}]
-            if paths:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([h for h, _ in paths], pa.string()), pa.array([p[0] for _, p in paths], pa.int64()), pa.array([0] * len(paths), pa.int64()), pa.array([None] * len(paths), pa.int64()), pa.array([p[1] for _, p in paths], pa.bool_())],
-                    ["host", "path", "up", "value", "leaf"],
-                )
-
-    rows = map_arrow(pages.select("host", "html"), run, "host string, path bigint, up bigint, value bigint, leaf boolean")
-    counts = rows.groupBy("host", "path", "leaf", "value").agg(F.count("*").alias("n"), F.max("up").alias("up"))
-    nodes = counts.groupBy("host", "path", "leaf").agg(
-        F.max(F.when(F.col("value").isNull(), F.col("n"))).alias("m"),
-        F.sum(F.when(F.col("value").isNotNull(), F.col("n"))).alias("total"),
-        F.sum(F.when(F.col("value").isNotNull(), F.col("n") * F.log("n"))).alias("nlogn"),
-        F.max("up").alias("up"),
-    )
-    spread = F.col("nlogn") / F.col("total") / F.log("m")  # mean entropy of a content's spread over the pages
-    leaves = nodes.filter("leaf").select("host", "path", "up", F.col("m").alias("n_pages"), F.when(F.col("m") > 1, 1 - spread).otherwise(1.0).alias("content"))
-    shapes = (F.log("total") - F.col("nlogn") / F.col("total")) / F.log("m")  # entropy of the presentations
-    branches = nodes.filter("NOT leaf").select("host", F.col("path").alias("up"), F.when(F.col("m") > 1, F.least(F.lit(1.0), shapes)).otherwise(1.0).alias("shape"))
-    both = leaves.join(branches, ["host", "up"], "left")
-    return both.select("host", "path", "n_pages", (F.lit(GAMMA) * F.col("content") + F.lit(1 - GAMMA) * F.coalesce("shape", F.lit(1.0))).alias("importance"))
-
+def parsed(pages: DataFrame, rules: bool = True) -> DataFrame:
+    """page_id, url, host and blocks of every page, and what it adds to the style tree: for leaves and branches each path
+    with each value once, and each path once without one. Written, so that a page is parsed once."""
+    kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
 
-def texts(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every row of pages(page_id, url, html)."""
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    noise = materialize(importance(rows).filter((F.col("n_pages") >= MIN_PAGES) & (F.col("importance") < LOW)).groupBy("host").agg(F.collect_set("path").alias("noise")), "noise")
-    n = noise.agg(F.sum(F.size("noise"))).first()[0] or 0
-    rows = rows.join(F.broadcast(noise) if n <= BROADCAST_NODES else noise, "host", "left")
+    def listed(rows: list[list[tuple]], names: str, kinds: list) -> pa.ListArray:
+        off = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+        columns = list(zip(*(x for r in rows for x in r))) or [[]] * len(kinds)
+        return pa.ListArray.from_arrays(pa.array(off), pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names.split()))
 
     def run(batches):
         for b in batches:
-            got = [extract(page, frozenset(noise or ())) for page, noise in zip(b["html"].to_pylist(), b["noise"].to_pylist())]
-            yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], pa.array(got, pa.string()), pa.array(np.array([len(x) for x in got], np.int64))], ["page_id", "url", "text", "n_chars"])
+            blocks, leaves, branches = [], [], []
+            for page in b["html"].to_pylist():
+                p = parse(page or "", rules)
+                blocks.append(list(zip(p.path, p.text, p.noise, p.root, p.inner)))
+                leaves.append([*dict.fromkeys(zip(p.path, p.up, map(_hash, p.text))), *dict.fromkeys(zip(p.path, p.up, [None] * len(p.path)))])
+                branches.append([*dict.fromkeys(zip(p.branch, p.branch, p.shape)), *((x, x, None) for x in dict.fromkeys(p.branch))])
+            long = pa.int64()
+            columns = [listed(blocks, "path text noise root inner", [long, pa.string(), pa.bool_(), pa.int32(), pa.bool_()])]
+            columns += [listed(x, "path up value", [long] * 3) for x in (leaves, branches)]
+            yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], b["host"], *columns], ["page_id", "url", "host", "blocks", "leaves", "branches"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
-    return map_arrow(rows.select("page_id", "url", "html", "noise"), run, f"page_id {kinds['page_id']}, url string, text string, n_chars bigint")
+    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
+    block, mark = "array<struct<path:bigint,text:string,noise:boolean,root:int,inner:boolean>>", "array<struct<path:bigint,up:bigint,value:bigint>>"
+    return materialize(map_arrow(rows, run, f"page_id {kinds['page_id']}, url string, host string, blocks {block}, leaves {mark}, branches {mark}"), "parsed")
+
+
+def importance(rows: DataFrame) -> DataFrame:
+    """The merged style trees: host, path, pages (so many have the node) and importance of every leaf node of parsed pages."""
+
+    def spread(what: str) -> DataFrame:
+        """By node: the pages that have it, the pages of its values summed, that times their logarithm, and its parent."""
+        found = rows.select("host", F.explode(what).alias("x")).groupBy("host", "x.path", "x.value").agg(F.count("*").alias("n"), F.max("x.up").alias("up"))
+        own = F.col("value").isNotNull()
+        return found.groupBy("host", "path").agg(
+            F.sum(F.when(~own, F.col("n"))).alias("pages"), F.sum(F.when(own, F.col("n"))).alias("total"), F.sum(F.when(own, F.col("n") * F.log("n"))).alias("nlogn"), F.max("up").alias("up")
+        )
+
+    leaves = spread("leaves")
+    alike = F.col("nlogn") / F.col("total") / F.log("pages")  # mean entropy of a content's spread over the pages
+    leaves = leaves.select("host", "path", "up", "pages", F.when(F.col("pages") > 1, 1 - alike).otherwise(1.0).alias("content"))
+    shapes = (F.log("total") - F.col("nlogn") / F.col("total")) / F.log("pages")  # entropy of the presentations
+    branches = spread("branches")
+    branches = branches.select("host", F.col("path").alias("up"), F.when(F.col("pages") > 1, F.least(F.lit(1.0), shapes)).otherwise(1.0).alias("shape"))
+    both = leaves.join(branches, ["host", "up"], "left")
+    return both.select("host", "path", "pages", (F.lit(GAMMA) * F.col("content") + F.lit(1 - GAMMA) * F.coalesce("shape", F.lit(1.0))).alias("importance"))
+
+
+def weighed() -> Column:
+    """The importance of a node by what its pages show and by a prior importance of 1 that counts as PRIOR pages."""
+    seen = F.col("pages") - 1
+    return (PRIOR + seen * F.col("importance")) / (PRIOR + seen)
+
+
+def texts(pages: DataFrame, rules: bool = True) -> DataFrame:
+    """page_id, url, text, n_chars of every row of pages(page_id, url, html). rules=False: by the style tree alone."""
+    rows = parsed(pages, rules)
+    nodes = importance(rows).filter(weighed() < LOW)
+    sure = F.when(weighed() < LOWEST, F.col("path"))
+    noise = materialize(nodes.groupBy("host").agg(F.collect_list("path").alias("low"), F.collect_list(sure).alias("lowest")), "noise")
+    if (noise.agg(F.sum(F.size("low"))).first()[0] or 0) <= BROADCAST_NODES:
+        rows = rows.join(F.broadcast(noise), "host", "left")
+    else:
+        rows = hot_join(rows, rows.select("host").distinct().join(noise, "host", "left"), "host")
+    own = F.filter("blocks", lambda b: ~b["noise"])
+    rows = rows.withColumn("own", own).withColumn("best", F.array_max(F.transform("own", lambda b: b["root"])))
+    none = F.array().cast("array<bigint>")
+    low, lowest = F.coalesce("low", none), F.coalesce("lowest", none)
+    kept = F.filter("own", lambda b: (b["root"] == F.col("best")) & ~F.when((b["root"] == 3) & ~b["inner"], F.array_contains(lowest, b["path"])).otherwise(F.array_contains(low, b["path"])))
+    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
+    return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -273,12 +273,53 @@ def test_html_extraction():
     assert {k: html.extract(k) for k in cases} == cases
 
 
-def test_style_tree_finds_repeated_branches(spark):
-    page = lambda k: f"<div class=a><p>Welcome to our site</p></div><div class=b><p>unique {k} text</p></div>"
-    pages = spark.createDataFrame([(k, "http://h.com/x", page(k)) for k in range(8)] + [(8, "http://other.com", page(8)), (9, None, None), (10, "http://h.com", "")], "page_id bigint, url string, html string")
-    got = {r.page_id: r.text for r in html.texts(pages).collect()}
-    assert got[3] == "unique 3 text" and got[8] == "Welcome to our site\nunique 8 text" and got[9] == got[10] == ""
-    assert html.texts(pages.limit(0)).count() == 0
+def brute_tree(pages, rules):
+    """Every node of a host's merged tree weighed by loops over its pages; then the pages' texts."""
+    parsed = {i: html.parse(h or "", rules) for i, (_, h) in enumerate(pages)}
+    out = {}
+    for host in {x for x, _ in pages}:
+        own = [parsed[i] for i, (x, _) in enumerate(pages) if x == host]
+        values, shapes, ups = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter), {}
+        on, shaped = collections.Counter(), collections.Counter()
+        for p in own:
+            for path, text in set(zip(p.path, p.text)):
+                values[path][text] += 1
+            for path, up in zip(p.path, p.up):
+                ups[path] = max(up, ups.get(path, up))
+            for path, shape in set(zip(p.branch, p.shape)):
+                shapes[path][shape] += 1
+            on.update(set(p.path))
+            shaped.update(set(p.branch))
+        weighed = {}
+        for path, counts in values.items():
+            m, total = on[path], sum(counts.values())
+            content = 1 - sum(n * np.log(n) for n in counts.values()) / total / np.log(m) if m > 1 else 1.0
+            above = shapes[ups[path]]
+            k, all_ = shaped[ups[path]], sum(above.values())
+            shape = min(1.0, -sum(n / all_ * np.log(n / all_) for n in above.values()) / np.log(k)) if k > 1 else 1.0
+            weighed[path] = (html.PRIOR + (m - 1) * (html.GAMMA * content + (1 - html.GAMMA) * shape)) / (html.PRIOR + m - 1)
+        low, lowest = (frozenset(p for p, w in weighed.items() if w < bar) for bar in (html.LOW, html.LOWEST))
+        for i, (x, h) in enumerate(pages):
+            if x == host:
+                out[i] = html.extract(h, low, lowest, rules)
+    return out
+
+
+def test_style_tree_against_brute_force(spark):
+    random.seed(8)
+    some = lambda n: " ".join(random.choice("abcdefgh") + str(random.randint(0, 99)) for _ in range(n))
+    pages = []
+    for k in range(60):
+        menu = f"<div class=a><p>Welcome to our site</p><p>item {k % 3}</p></div>"
+        body = f"<div class=b><p>unique {k} text</p><p>{some(5)}</p></div>" if k % 2 else f"<div class=b><h2>{some(2)}</h2><p>{some(4)}</p></div><div class=c>see also</div>"
+        pages.append(("h.com" if k < 45 else "other.com" if k < 50 else "third.com", menu + body if k < 45 else f"<article><p>copied</p><div>note</div><p>{some(3)}</p></article>"))
+    pages += [("", None), ("", ""), ("h.com", "<div>" * 30_000 + "deep")]
+    rows = spark.createDataFrame([(k, f"http://{x}/{k}" if x else None, h) for k, (x, h) in enumerate(pages)], "page_id bigint, url string, html string")
+    for rules in (True, False):
+        got = {r.page_id: (r.text, r.n_chars) for r in html.texts(rows, rules).collect()}
+        assert got == {i: (t, len(t)) for i, t in brute_tree(pages, rules).items()}
+        assert "Welcome" not in got[1][0] and "unique 1 text" in got[1][0] and got[62][0] == "deep"
+    assert html.texts(rows.limit(0)).count() == 0
 
 
 def test_tool_calls(spark):
