@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,11 +67,12 @@ def neighbourhood(edges: DataFrame, start: DataFrame, k: int, directed: bool = T
     return build.induced(edges, hops(edges if directed else both_ways(edges), start, k))
 
 
-def shortest_paths(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """(origin, node_id, depth, paths): the number of shortest paths from every origin, counted level by level."""
+def shortest_paths(edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
+    """(origin, node_id, depth, paths): the number of shortest paths from every origin, counted level by level; without a
+    depth until no node is left to reach."""
     front = written(start.select("origin", F.col("origin").alias("node_id"), F.lit(0).alias("depth"), F.lit(1).cast("long").alias("paths")), "paths")
     seen = front
-    for d in range(1, depth + 1):
+    for d in itertools.count(1) if depth is None else range(1, depth + 1):
         step = front.join(edges, front["node_id"] == edges["src"]).groupBy("origin", F.col("dst").alias("node_id")).agg(F.sum("paths").alias("paths"))
         front = written(step.join(seen, ["origin", "node_id"], "left_anti").select("origin", "node_id", F.lit(d).alias("depth"), "paths"), "paths")
         if front.isEmpty():
@@ -164,49 +165,29 @@ def eigenvector(nodes: DataFrame, edges: DataFrame, tol: float = 1e-6, rounds: i
     return x
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, max_edges: int = 2_000_000) -> DataFrame:
-    """node_id, cent: betweenness, normalised. Sources are dealt over the cluster; each task walks from its sources over the
-    adjacency, which is broadcast after a check of its size (this is for sub-graphs; a larger one is refused)."""
-    edges = edges.select("src", "dst").distinct()
-    n_edges = edges.count()
-    if n_edges > max_edges:
-        raise ValueError(f"{n_edges} edges: take a sub-graph of at most {max_edges}")
-    pairs = edges.toArrow()
+def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node_id, cent: betweenness, normalised. Shortest paths from all nodes with out-edges are counted together, a level a
+    round, and what the nodes of a level pass on is summed back to the level before. Rows are pairs (origin, node reached):
+    that is what exact betweenness costs, spread over the cluster."""
+    edges = written(edges.select("src", "dst").distinct(), "bw")
+    reached = written(shortest_paths(edges, edges.select(F.col("src").alias("origin")).distinct()), "bw")
+    deepest = reached.agg(F.max("depth")).first()[0] or 0
+    parts, share = None, None
+    for d in range(deepest, 1, -1):
+        level = reached.filter(F.col("depth") == d)
+        level = level.withColumn("share", F.lit(0.0)) if share is None else level.join(share, ["origin", "node_id"], "left").na.fill(0.0, ["share"])
+        back = level.select("origin", F.col("node_id").alias("dst"), ((1 + F.col("share")) / F.col("paths")).alias("part")).join(edges, "dst")
+        above = reached.filter(F.col("depth") == d - 1).select("origin", F.col("node_id").alias("src"), "paths")
+        share = back.join(above, ["origin", "src"]).groupBy("origin", F.col("src").alias("node_id")).agg(F.sum(F.col("part") * F.col("paths")).alias("share"))
+        share = written(share, "bw")
+        parts = share if parts is None else parts.unionByName(share)
     order = nodes.select("node_id").distinct()
     n = order.count()
-    names = np.unique(np.concatenate([pairs["src"].to_numpy(), pairs["dst"].to_numpy()])) if n_edges else np.zeros(0, np.int64)
-    src, dst = np.searchsorted(names, pairs["src"].to_numpy()), np.searchsorted(names, pairs["dst"].to_numpy())
-    ptr = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=len(names)))]) if len(names) else np.zeros(1, int)
-    to = dst[np.argsort(src, kind="stable")]
-    held = nodes.sparkSession.sparkContext.broadcast((names, ptr, to))
-
-    def run(batches):
-        names, ptr, to = held.value
-        total = np.zeros(len(names))
-        for pdf in batches:
-            for s in np.searchsorted(names, pdf["node_id"].to_numpy()):
-                dist, paths, seq, before = {int(s): 0}, {int(s): 1.0}, [int(s)], {}
-                for v in seq:
-                    for w in to[ptr[v] : ptr[v + 1]].tolist():
-                        if w not in dist:
-                            dist[w], paths[w], before[w] = dist[v] + 1, 0.0, []
-                            seq.append(w)
-                        if dist[w] == dist[v] + 1:
-                            paths[w] += paths[v]
-                            before[w].append(v)
-                share = dict.fromkeys(seq, 0.0)
-                for w in reversed(seq):
-                    for v in before.get(w, ()):
-                        share[v] += paths[v] / paths[w] * (1 + share[w])
-                    if w != s:
-                        total[w] += share[w]
-        some = np.flatnonzero(total)
-        yield pd.DataFrame({"node_id": names[some], "part": total[some]})
-
-    sources = order.join(edges.select(F.col("src").alias("node_id")), "node_id", "left_semi").repartition("node_id")
-    parts = sources.mapInPandas(run, "node_id bigint, part double").groupBy("node_id").agg(F.sum("part").alias("cent"))
     scale = float((n - 1) * (n - 2)) if n > 2 else 1.0
-    return order.join(parts, "node_id", "left").select("node_id", (F.coalesce("cent", F.lit(0.0)) / scale).alias("cent"))
+    if parts is None:
+        return order.select("node_id", F.lit(0.0).alias("cent"))
+    sums = parts.groupBy("node_id").agg(F.sum("share").alias("cent"))
+    return order.join(sums, "node_id", "left").select("node_id", (F.coalesce("cent", F.lit(0.0)) / scale).alias("cent"))
 
 
 def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:

@@ -91,9 +91,11 @@ def _(t):
 
 @query("j07_betweenness")
 def _(t):
+    """The ten nodes of the highest betweenness over the edges that touch a node with a CVE."""
     nodes, edges = _small(t)
-    hit = edges.join(t.cve_list.select(c("node_id").alias("dst")), "dst", "left_semi").select("src", "dst")
-    return graph.betweenness(nodes, edges.unionByName(hit)).orderBy(F.desc("cent"), "node_id").limit(10).select("node_id", F.round("cent", 9).alias("cent"))
+    bad = t.cve_list.select("node_id").distinct()
+    hit = edges.join(bad.withColumnRenamed("node_id", "src"), "src", "left_semi").unionByName(edges.join(bad.withColumnRenamed("node_id", "dst"), "dst", "left_semi"))
+    return graph.betweenness(nodes, hit).orderBy(F.desc("cent"), "node_id").limit(10).select("node_id", F.round("cent", 9).alias("cent"))
 
 
 _PATHS = """, walk(origin, node_id, depth) AS (

@@ -57,8 +57,7 @@ def _(t):
 @query("a09_gexf", CANON + "SELECT (SELECT count(DISTINCT n) FROM (SELECT src AS n FROM family_edges UNION ALL SELECT dst FROM family_edges)) AS n_nodes, (SELECT count(*) FROM family_edges) AS n_edges")
 def _(t):
     path = files.fresh(t.spark, "gexf")
-    document = files.gexf(t.family_edges)
-    t.spark.createDataFrame([(document,)], "value string").coalesce(1).write.text(path)
+    files.write_gexf(t.family_edges, path)
     xml = t.spark.read.text(path)
     return xml.agg(F.count_if(c("value").startswith("<node id")).alias("n_nodes"), F.count_if(c("value").startswith("<edge id")).alias("n_edges"))
 

@@ -43,8 +43,20 @@ def test_betweenness(small):
     want = localise.betweenness(*(np.array(x) for x in zip(*edges)), n)
     got = {r.node_id: r.cent for r in graph.betweenness(nodes, df).collect()}
     assert np.allclose([got[i] for i in range(n)], want)
-    with pytest.raises(ValueError):
-        graph.betweenness(nodes, df, max_edges=3)
+    assert {r.cent for r in graph.betweenness(nodes, df.limit(0)).collect()} == {0.0}
+
+
+def test_gexf_is_one_document(spark, tmp_path):
+    import xml.etree.ElementTree as et
+
+    from strandgraph.sources import files
+
+    files.write_gexf(spark.createDataFrame([("a&b", 'c"<'), ("c\"<", "d"), ("a&b", 'c"<')], "src string, dst string"), f"{tmp_path}/g")
+    parts = sorted(tmp_path.glob("g/part=*"))
+    document = "".join(f.read_text() for p in parts for f in sorted(p.glob("part-*")))
+    tree = et.fromstring(document.encode())
+    named = lambda tag: [e.attrib for e in tree.iter("{http://gexf.net/1.3}" + tag)]
+    assert {e["id"] for e in named("node")} == {"a&b", 'c"<', "d"} and {(e["source"], e["target"]) for e in named("edge")} == {("a&b", 'c"<'), ('c"<', "d")}
 
 
 def test_communities_of_two_cliques(spark):

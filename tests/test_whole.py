@@ -46,15 +46,16 @@ def test_pagerank_of_the_whole_graph(spark, sf, whole):
     assert sorted(got) == nodes and np.allclose([got[i] for i in nodes], want, atol=1e-4)
 
 
-def test_searches_take_every_point(spark, sf):
+def test_searches_ask_for_every_50th_point(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").collect()
     ids, v = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
-    d = np.sort(1 - v @ v.T, axis=1)[:, :10]
+    asked = ids % 50 == 0
+    d = np.sort(1 - v[asked] @ v.T, axis=1)[:, :10]
     got = {}
     for r in QUERIES["k03_nearest"](spark, sf).collect():
         got.setdefault(r.qid, {})[r.rank] = r.d
-    assert sorted(got) == sorted(ids.tolist())
-    assert all(np.allclose([got[i][k] for k in range(1, 11)], x, atol=1e-5) for i, x in zip(ids.tolist(), d))
+    assert sorted(got) == sorted(ids[asked].tolist())
+    assert all(np.allclose([got[i][k] for k in range(1, 11)], x, atol=1e-5) for i, x in zip(ids[asked].tolist(), d))
 
 
 def test_every_cve_is_looked_up(spark, sf):
