@@ -15,7 +15,8 @@ STAGES = [
     ("mixing", mixing.stage),
 ]
 
-#: SQL can't express trained classifiers; tests/llm compares the stages with brute-force versions.
+#: SQL can't express trained classifiers. tests/llm compares scores with plain forward passes, near-duplicates with all pairs,
+#: and decontamination and mixing with SQL.
 ORACLE_SQL = None
 
 
