@@ -1,7 +1,7 @@
 """Document fingerprints: canonical exact digests, by DataFrame and SQL functions only.
 
-Canonical text: NFKC (ICU's composition, through the SQL function reflect), lower case, each run of white space one space,
-no white space at the ends. Digest: 128 bits of xxhash64 under two seeds, and the length. Texts of equal digests are
+Canonical text: NFKC, full case folding and NFKC again (ICU's, through the SQL function reflect), each run of white space
+one space, no white space at the ends. Digest: 128 bits of xxhash64 under two seeds, and the length. Texts of equal digests are
 compared by their bytes: a pre-aggregated minimum and maximum for each bucket, so that a large group of copies is never
 gathered; were they to differ, the texts' SHA-256 would tell them apart in the fingerprint.
 
@@ -26,9 +26,13 @@ BROADCAST_ROWS = 400_000
 def canonical(text: Column) -> Column:
     """The canonical form of a text that isn't null."""
     # ICU's NFKC also maps the no-break and typographic spaces to a space
-    nfkc = F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
+    def compose(x: Column) -> Column:
+        return F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), x, F.lit(True))
+
+    # folding maps ß to ss and final sigma to sigma, and may leave text that isn't composed
+    folded = compose(F.call_function("reflect", F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), compose(text), F.lit(True)))
     spaces = "\\t-\\r\\u001c-\\u001f\\u0085\\u1680\\u2028\\u2029"
-    return F.btrim(F.regexp_replace(F.lower(nfkc), f"[{spaces}][ {spaces}]*| [ {spaces}]+", " "))
+    return F.btrim(F.regexp_replace(folded, f"[{spaces}][ {spaces}]*| [ {spaces}]+", " "))
 
 
 def digest(canon: Column) -> Column:

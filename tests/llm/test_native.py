@@ -14,7 +14,7 @@ DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
 def canon(x):
-    return " ".join(unicodedata.normalize("NFKC", x or "").lower().split())
+    return " ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", x or "").casefold()).split())
 
 
 def test_fingerprints_of_edge_cases(spark):
@@ -29,6 +29,18 @@ def test_fingerprints_of_edge_cases(spark):
     assert fingerprint.fingerprints(df.limit(0)).count() == 0
 
 
+def test_canonical_form_is_stable(spark):
+    """Of every character of the basic plane, between letters: the canonical form of a canonical form is itself, and case is
+    folded as Python folds it."""
+    chars = [chr(i) for i in range(1, 0x10000) if not 0xD800 <= i < 0xE000]
+    df = spark.createDataFrame([(i, f"a{ch}b") for i, ch in enumerate(chars)], "i int, text string")
+    rows = df.withColumn("once", fingerprint.canonical(F.col("text"))).withColumn("twice", fingerprint.canonical(F.col("once")))
+    assert rows.filter("once <> twice").count() == 0
+    old = {ch for ch in chars if unicodedata.category(ch) != "Cn"}
+    got = {chars[r.i]: r.once for r in rows.collect()}
+    assert all(got[ch] == canon(f"a{ch}b") for ch in old)
+
+
 def test_op1_against_brute_force(spark, sf):
     got = fingerprint.op1(spark, sf).toPandas()
     docs = spark.read.parquet(f"{sf}/documents.parquet").toPandas().sort_values("doc_id", ascending=False).reset_index(drop=True)
