@@ -42,15 +42,26 @@ def purity(communities: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFr
     """Of each root: the share of its community that are its neighbours (purity), and of its neighbours in it (coverage)."""
     near = edges.select(F.col("src").alias("root"), F.col("dst").alias("node_id")).unionByName(edges.select(F.col("dst").alias("root"), F.col("src").alias("node_id"))).distinct()
     near = near.join(roots.select(F.col("node_id").alias("root")), "root", "left_semi")
-    own = roots.join(communities, "node_id").select(F.col("node_id").alias("root"), "comm")
-    mates = own.join(communities, "comm").select("root", "node_id")
-    both = mates.join(near, ["root", "node_id"]).groupBy("root").agg(F.count("*").alias("both"))
-    n = mates.groupBy("root").agg(F.count("*").alias("n"))
-    m = near.groupBy("root").agg(F.count("*").alias("m"))
-    rows = n.join(m, "root", "left").join(both, "root", "left").na.fill(0)
+    # a community is counted, never joined to itself: a large one costs no more than its members
+    n = communities.groupBy("comm").agg(F.count("*").alias("n"))
+    own = roots.select("node_id").distinct().join(communities, "node_id").select(F.col("node_id").alias("root"), "comm").join(n, "comm")
+    met = near.join(communities.select("node_id", F.col("comm").alias("theirs")), "node_id", "left").join(own, "root")
+    both = met.groupBy("root").agg(F.count_if(F.col("theirs") == F.col("comm")).alias("both"), F.count("*").alias("m"))
+    rows = own.join(both, "root", "left").na.fill(0, ["both", "m"])
     return rows.select("root", (F.col("both") / F.col("n")).alias("purity"), F.when(F.col("m") > 0, F.col("both") / F.col("m")).otherwise(0.0).alias("coverage"))
 
 
+def fused(nodes: DataFrame, paths: DataFrame, communities: DataFrame, scores: DataFrame, share: float = 0.6) -> DataFrame:
+    """node_id, score: share * (paths through a node, by the most) + (1 - share) * (its community's score, by the most).
+
+    paths(node_id, n), communities(node_id, comm), scores(comm, score); what is missing counts as 0.
+    """
+    rows = nodes.select("node_id").join(paths, "node_id", "left").join(communities, "node_id", "left").join(scores.select("comm", F.col("score").alias("of_comm")), "comm", "left").na.fill(0, ["n", "of_comm"])
+    most = rows.agg(F.max("n").alias("most_n"), F.max("of_comm").alias("most_comm"))
+    part = lambda x, top: F.when(F.col(top) > 0, F.col(x) / F.col(top)).otherwise(0.0)
+    return rows.join(F.broadcast(most)).select("node_id", (share * part("n", "most_n") + (1 - share) * part("of_comm", "most_comm")).alias("score"))
+
+
 def path_f1(known: DataFrame, found: DataFrame, limit: float = 0.5, mode: str = "jaccard") -> DataFrame:
     """From (group, path_id, node_id): a path is matched where one of its group overlaps by the limit; precision, recall, F1.
 

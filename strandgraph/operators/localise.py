@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import times, versions
+from ..sources.shared import written
+from . import aggregate, graph
 
 
 def sequences(releases: DataFrame) -> DataFrame:
@@ -82,6 +84,61 @@ def vector_temporal(hits: DataFrame, releases: DataFrame, w_time: float = 0.7, w
     return rows.withColumn("score", score).withColumn("rank", F.row_number().over(order)).select("qid", "node_id", "score", "rank")
 
 
+def _leading(near: list[list[int]]) -> np.ndarray:
+    """Leading eigenvector of A + I of a small undirected graph, from equal values; degrees if it doesn't settle."""
+    n = len(near)
+    a = np.eye(n)
+    for i, js in enumerate(near):
+        a[i, js] = 1.0
+    x = np.full(n, n**-0.5)
+    for _ in range(200):
+        y = a @ x
+        y /= np.linalg.norm(y)
+        if np.abs(y - x).sum() < n * 1e-6:
+            return y
+        x = y
+    return a.sum(axis=1) - 1
+
+
+def root_causes(hits: DataFrame, nodes: DataFrame, edges: DataFrame, cve_scores: DataFrame, k: int, t_s: int | None = None, t_e: int | None = None) -> DataFrame:
+    """Root-cause analysis of all queries at once: hits(qid, node_id, distance), at most k a query, ranked.
+
+    Each query's neighbours inside the window (all of them where none is, or without a window) form a sub-graph with the
+    edges among them; its communities are scored by CVE scores, eigenvector centrality and earliest time. Neighbours of
+    the best community come first, then by CVE score, earliness and centrality. The sub-graphs of all queries are one graph
+    of (query, neighbour) nodes, so that communities are found in one run; only centrality, of at most k nodes, is a
+    query's own group. qid, node_id, rank, comm (its smallest node_id), in_root, cve_score, cent.
+    """
+    place = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "node_id"))
+    rows = hits.groupBy("qid", "node_id").agg(F.min("distance").alias("distance")).join(nodes.select("node_id", "ts"), "node_id").withColumn("place", place).filter(F.col("place") <= k)
+    inside = (F.lit(True) if t_s is None else F.col("ts") >= t_s) & (F.lit(True) if t_e is None else F.col("ts") <= t_e)
+    inside = F.coalesce(inside, F.lit(False))
+    rows = rows.withColumn("inside", inside | ~F.max(inside).over(Window.partitionBy("qid")))
+    rows = rows.join(cve_scores.select("node_id", F.col("score").alias("cve_score")), "node_id", "left").na.fill(0.0, ["cve_score"])
+    rows = written(rows.withColumn("pid", F.col("qid").cast("long") * (k + 1) + F.col("place")), "rc")
+    own = rows.filter("inside")
+    a, b = own.select("qid", F.col("node_id").alias("src"), F.col("pid").alias("a")), own.select("qid", F.col("node_id").alias("dst"), F.col("pid").alias("b"))
+    inner = written(edges.join(a, "src").join(b, ["qid", "dst"]).filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")), "rc")
+    comm = graph.communities(own.select(F.col("pid").alias("node_id")), inner).select(F.col("node_id").alias("pid"), "comm")
+    near = graph.both_ways(inner).groupBy(F.col("src").alias("pid")).agg(F.collect_set("dst").alias("near"))
+
+    def central(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = {p: i for i, p in enumerate(pdf["pid"])}
+        cent = _leading([[at[p] for p in js] if js is not None else [] for js in pdf["near"]])
+        return pd.DataFrame({"pid": pdf["pid"], "cent": cent})
+
+    cent = own.select("qid", "pid").join(near, "pid", "left").groupBy("qid").applyInPandas(central, "pid long, cent double")
+    scored = written(own.join(comm, "pid").join(cent, "pid"), "rc")
+    parts = scored.select("qid", F.col("pid").alias("node_id"), "comm", "cve_score", "cent", "ts")
+    best = aggregate.community_scores(parts).join(scored.groupBy("comm").agg(F.first("qid").alias("qid"), F.min("node_id").alias("name")), "comm")
+    root = best.groupBy("qid").agg(F.max_by("comm", F.struct("score", -F.col("comm"))).alias("root"))
+    names = best.select("comm", "name")
+    full = rows.select("qid", "node_id", "pid", "ts", "cve_score").join(scored.select("pid", "comm", "cent"), "pid", "left").join(root, "qid").join(names, "comm", "left")
+    full = full.withColumn("in_root", F.coalesce(F.col("comm") == F.col("root"), F.lit(False))).na.fill(0.0, ["cent"])
+    order = Window.partitionBy("qid").orderBy(F.desc("in_root"), F.desc("cve_score"), F.col("ts").asc_nulls_last(), F.desc(F.round("cent", 6)), "node_id")
+    return full.select("qid", "node_id", F.row_number().over(order).alias("rank"), F.col("name").alias("comm"), "in_root", "cve_score", "cent")
+
+
 def earliest(releases: DataFrame) -> DataFrame:
     return releases.groupBy("software_id").agg(F.min_by("version", F.struct("ts", "node_id")).alias("origin"))
 

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text, versions
-from ..operators import aggregate, build, evaluate, ground_truth, localise, vectors
+from ..operators import aggregate, build, evaluate, graph, ground_truth, localise, vectors
+from ..sources import advisories
 from .registry import query
 from .tables import CANON
 
@@ -59,6 +60,34 @@ def _(t):
     return _spans(t).withColumn("k", F.row_number().over(order)).filter("k = 1").select("cve_id", "package", c("introduced").alias("origin"))
 
 
+def _osv(t):
+    """An OSV container for every software: a range, the same again, and one of commits; three ways to write the name."""
+    s = t.releases.select("software_id").distinct()
+    n = c("software_id").cast("string")
+    name = F.when(c("software_id") % 3 == 0, F.concat(F.lit("org.c:lib"), n, F.lit("-core"))).when(c("software_id") % 3 == 1, F.concat(F.lit("acme/LIB"), n)).otherwise(F.concat(F.lit("lib"), n))
+    event = lambda i, f: F.struct(i.alias("introduced"), f.alias("fixed"))
+    none = F.lit(None).cast("string")
+    start = F.when(c("software_id") % 2 == 0, "0").otherwise("1.0.2")
+    spans = lambda kind, e: F.struct(F.lit(kind).alias("type"), F.lit("https://git/x/y.git").alias("repo"), e.alias("events"))
+    semver = spans("SEMVER", F.array(event(start, none), event(none, F.lit("1.0.6")), event(F.lit("1.0.8"), none)))
+    git = spans("GIT", F.array(event(F.lit("0123456789abcdef0123"), none)))
+    pack = F.struct(F.struct(F.lit("Maven").alias("ecosystem"), name.alias("name")).alias("package"), F.array(semver, git).alias("ranges"))
+    record = F.struct(F.concat(F.lit("GHSA-"), n).alias("id"), F.array(F.lit("GHSA-0"), F.concat(F.lit("CVE-1-"), n)).alias("aliases"), F.array(pack, pack).alias("affected"))
+    return s.select(F.lit("osv").alias("source"), F.to_json(record).alias("data"))
+
+
+@query("m04_osv_entries", CANON + """, v AS (SELECT software_id, list(version ORDER BY ord) AS vs FROM releases GROUP BY software_id),
+o AS (SELECT software_id, vs, CASE WHEN software_id % 2 = 0 THEN vs[1] ELSE '1.0.2' END AS o, '1.0.6' AS d FROM v UNION ALL SELECT software_id, vs, '1.0.8', vs[len(vs)] FROM v),
+f AS (SELECT software_id, vs, o, min_by(d, CASE WHEN d = '1.0.6' THEN 0 ELSE 1 END) AS d FROM o GROUP BY software_id, vs, o)
+SELECT 'CVE-1-' || f.software_id AS cve_id, 'lib' || f.software_id AS package, 'lib' || f.software_id || '@' || o AS origin_version, 'lib' || f.software_id || '@' || d AS discovered_version, len(vs) AS n,
+  coalesce(round(abs(b.ts - a.ts) / 86400000, 2), 0.0) AS lag
+FROM f LEFT JOIN releases a ON a.software_id = f.software_id AND a.version = o LEFT JOIN releases b ON b.software_id = f.software_id AND b.version = d""")
+def _(t):
+    index = t.releases.select(F.concat(F.lit("lib"), c("software_id").cast("string")).alias("package"), "node_id", "ts", "version")
+    entries = ground_truth.entries_from_spans(advisories.osv_spans(_osv(t)), index)
+    return entries.select("cve_id", "package", "origin_version", "discovered_version", F.size("version_sequence").cast("long").alias("n"), c("time_lag_days").alias("lag"))
+
+
 @query("m05_origin_version", CANON + _SPANS + "SELECT software_id AS package, min_by(introduced, lo) AS origin_version, max_by(fixed, hi) FILTER (fixed IS NOT NULL) AS fixed_version FROM sp GROUP BY software_id")
 def _(t):
     return ground_truth.origin(_spans(t)).select("package", "origin_version", "fixed_version")
@@ -73,8 +102,7 @@ def _(t):
 
 @query("m07_release_index", CANON + "SELECT 'org.c' || (software_id % 20) || ':lib-' || software_id AS key, count(*) AS n, min_by(version, ts * 1000000 + node_id) AS first FROM releases GROUP BY software_id")
 def _(t):
-    key = text.coordinates(c("release"))["package"]
-    return t.releases.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.min_by("version", F.struct("ts", "node_id")).alias("first"))
+    return ground_truth.release_index(t.releases).select("key", "n", "first")
 
 
 @query("m08_package_index", CANON + "SELECT 'lib-' || software_id AS package, string_agg(node_id, ',' ORDER BY node_id) AS nodes FROM releases GROUP BY software_id")
@@ -89,6 +117,14 @@ def _(t):
     return before.unionByName(t.releases.agg(F.countDistinct(F.split("release", ":")[0]).alias("n")).select(F.lit("after").alias("state"), "n"))
 
 
+@query("m09_merge_effect", CANON + ", s AS (SELECT DISTINCT software_id FROM releases) SELECT 'before' AS state, (SELECT count(*) FROM s) AS n_keys, (SELECT count(*) FROM releases) AS n_releases, (SELECT count(*) FROM s) * 2 AS n_asked, (SELECT count(*) FROM s) AS n_met UNION ALL SELECT 'after', (SELECT count(*) FROM s), (SELECT count(*) FROM releases), (SELECT count(*) FROM s) * 2, (SELECT count(*) FROM s) * 2")
+def _(t):
+    """Advisories for every package and for one more artifact of each, which only the family has."""
+    names = t.releases.select(text.coordinates(c("release"))["package"].alias("package")).distinct()
+    more = names.select(F.concat("package", F.lit("-core")).alias("package"))
+    return ground_truth.merge_effect(t.releases, names.unionByName(more))
+
+
 @query("m10_paths_by_root", CANON + "SELECT src AS root, count(*) AS n, min(dst) AS lo FROM family_edges GROUP BY src")
 def _(t):
     paths = t.family_edges.groupBy(c("src").alias("root")).agg(F.array_sort(F.collect_list(F.struct("dst"))).alias("path"))
@@ -118,6 +154,12 @@ def _(t):
     return rows.select("qid", "node_id", F.row_number().over(order).alias("rank"))
 
 
+@query("n01_root_cause_analysis")
+def _(t):
+    """Neighbours of a query, its sub-graph's communities scored, those of the best community first."""
+    return localise.root_causes(_hits(t), t.releases, t.dep_edges, aggregate.node_scores(t.cve_list), 15)
+
+
 @query("n02_vector_temporal", CANON + _RANKED + "SELECT qid, max(score) AS best, count(*) AS n FROM s GROUP BY qid")
 def _(t):
     return localise.vector_temporal(_hits(t), t.releases).groupBy("qid").agg(F.max(F.round("score", 9)).alias("best"), F.count("*").alias("n"))
@@ -192,6 +234,13 @@ def _(t):
     return evaluate.purity(comm, t.family_edges, t.family.filter("node_id % 50 = 0")).select("root", F.round("purity", 9).alias("purity"), F.round("coverage", 9).alias("coverage"))
 
 
+@query("o03_purity_of_communities")
+def _(t):
+    """Of the communities that modularity finds."""
+    edges = graph.written(t.family_edges, "pu")
+    return evaluate.purity(graph.communities(t.family, edges), edges, t.family.filter("node_id % 50 = 0"))
+
+
 _PF = ", k AS (SELECT DISTINCT src % 4 AS g, src AS p, dst AS n FROM family_edges), f AS (SELECT DISTINCT g, p, n FROM k WHERE n % 3 <> 0), ks AS (SELECT g, p, count(*) AS n FROM k GROUP BY ALL), fs AS (SELECT g, p, count(*) AS n FROM f GROUP BY ALL), sh AS (SELECT k.g, k.p AS kp, f.p AS fp, count(*) AS s FROM k JOIN f ON k.g = f.g AND k.n = f.n GROUP BY ALL), hit AS (SELECT sh.* FROM sh JOIN ks ON ks.g = sh.g AND ks.p = kp JOIN fs ON fs.g = sh.g AND fs.p = fp WHERE s / (ks.n + fs.n - s) >= 0.5)"
 
 
@@ -259,6 +308,15 @@ def _(t):
     return rows.select("node_id", F.round(0.6 * c("k") + 0.4 * c("s"), 6).alias("score"))
 
 
+@query("o14_fused_communities")
+def _(t):
+    """Edges into a release as its paths, and the score of its community by CVE scores and centrality."""
+    edges = graph.written(t.family_edges, "fu")
+    comm = graph.written(graph.communities(t.family, edges), "fu")
+    of = graph.choose_community(comm, t.family, edges, aggregate.node_scores(t.cve_list), w_early=0.0)
+    return evaluate.fused(t.family, edges.groupBy(c("dst").alias("node_id")).agg(F.count("*").alias("n")), comm, of)
+
+
 _PREDS = ", pr AS (SELECT src AS cve_id, dst AS node_id, row_number() OVER (PARTITION BY src ORDER BY dst) AS rank FROM dep_edges), vul AS (SELECT DISTINCT node_id FROM cve_list), nn AS (SELECT count(*) AS n FROM releases)"
 
 

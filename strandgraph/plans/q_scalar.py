@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, text, times, versions
 from ..operators import build, windows
+from ..sources import advisories
 from .registry import query
 from .tables import CANON
 
@@ -74,6 +75,35 @@ def _(t):
     return osv.unionByName(nvd, allowMissingColumns=True)
 
 
+_V31 = "'CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H'"
+
+
+@query("c16_normalised_records", f"""SELECT 'GHSA-' || event_id AS id, 9.8 AS base_score, {_V31} AS vector, 'https://h/commit/abcdef' || (1000000 + event_id) AS refs, CASE WHEN event_id % 4 = 0 THEN 'p' || user_id ELSE 'repo' || user_id END AS packages,
+  'abcdef' || (1000000 + event_id) || ',fix' AS commits, 'OSV' AS source FROM events WHERE event_type = 'error' AND event_id % 2 = 0
+UNION ALL SELECT 'CVE-' || k || '-' || event_id, round(value, 2), 'v' || user_id, 'https://n/' || event_id, 'v:a,v:p' || user_id, '', 'NVD' FROM events, (SELECT unnest([1, 2]) AS k) WHERE event_type = 'error' AND event_id % 2 = 1""")
+def _(t):
+    """Containers of both feeds made of the events, as JSON text, and brought to one schema."""
+    e = t.raw("events").filter("event_type = 'error'")
+    i, u, lit = c("event_id").cast("string"), c("user_id").cast("string"), F.lit
+    none = lit(None).cast("string")
+    repo = F.when(c("event_id") % 4 != 0, F.concat(lit("https://git/x/repo"), u, lit(".git")))
+    spans = F.struct(lit("SEMVER").alias("type"), repo.alias("repo"), F.array(F.struct(lit("0").alias("introduced"), none.alias("fixed")), F.struct(none.alias("introduced"), lit("fix").alias("fixed"))).alias("events"))
+    names = F.struct(F.struct(F.when(c("event_id") % 4 == 0, F.concat(lit("p"), u)).alias("name")).alias("package"), F.array(spans).alias("ranges"))
+    ref = F.struct(lit("fix").alias("type"), F.concat(lit("https://h/commit/abcdef"), (1000000 + c("event_id")).cast("string")).alias("url"))
+    osv = F.struct(F.concat(lit("GHSA-"), i).alias("id"), F.array(F.struct(lit("CVSS_V3").alias("type"), lit(_V31.strip("'")).alias("score"))).alias("severity"), F.array(ref).alias("references"), F.array(names).alias("affected"))
+    metric = lambda kind, score: F.struct(lit("x").alias("source"), lit(kind).alias("type"), F.struct(score.alias("baseScore"), F.concat(lit("v"), u).alias("vectorString")).alias("cvssData"))
+    cpes = F.array(F.struct(F.concat(lit("cpe:2.3:a:v:p"), u, lit(":1.0")).alias("criteria")), F.struct(lit("cpe:2.3:a:v:a:2").alias("criteria")), F.struct(lit("bad").alias("criteria")))
+    cve = lambda k: F.struct(F.struct(
+        F.concat(lit(f"CVE-{k}-"), i).alias("id"), F.struct(F.array(metric("Primary", F.round("value", 2)), metric("Secondary", lit(99.0))).alias("cvssMetricV31")).alias("metrics"),
+        F.array(F.struct(F.concat(lit("https://n/"), i).alias("url")), F.struct(lit("").alias("url"))).alias("references"), F.array(F.struct(F.array(F.struct(cpes.alias("cpeMatch"))).alias("nodes"))).alias("configurations"),
+    ).alias("cve"))
+    nvd = F.struct(F.array(cve(1), cve(2)).alias("vulnerabilities"))
+    even = c("event_id") % 2 == 0
+    r = advisories.records(e.select(F.when(even, "osv").otherwise("nvd").alias("source"), F.when(even, F.to_json(osv)).otherwise(F.to_json(nvd)).alias("data")))
+    joined = (F.array_join(c(x), ",").alias(y) for x, y in (("references", "refs"), ("packages", "packages"), ("fix_commits", "commits")))
+    return r.select("id", c("severity.base_score").alias("base_score"), c("severity.vector").alias("vector"), *joined, "source")
+
+
 @query("c17_cve_entries", CANON + "SELECT node_id, cve_id FROM cve_list")
 def _(t):
     lists = t.cve_list.groupBy("node_id").agg(F.collect_list("cve_id").alias("l"))
@@ -115,7 +145,7 @@ _col("c32_to_ms", "CASE WHEN event_id % 2 = 0 THEN (1700000000 + event_id) * 100
 _col("c33_event_date", "strftime(ts, '%Y-%m-%d')", lambda: F.date_format(F.to_date(times.coerce(F.date_format("ts", "yyyy-MM-dd"))), "yyyy-MM-dd"))
 _rel("c34_node_key", "release || ' / ' || version || ' / ' || strftime(make_timestamp(ts * 1000), '%Y-%m-%dT%H:%M:%S')", lambda: text.node_key(c("release"), c("version"), c("ts")))
 _col("c35_path_nodes", "'a-b' || event_id", lambda: F.array_join(text.path_nodes(F.when(c("event_id") % 3 == 0, F.concat(F.lit('["a","b'), c("event_id").cast("string"), F.lit('"]'))).when(c("event_id") % 3 == 1, F.concat(F.lit('{"nodes":["a","b'), c("event_id").cast("string"), F.lit('"]}'))).otherwise(F.concat(F.lit("a, b"), c("event_id").cast("string")))), "-"))
-_col("c36_record_cve_id", "CASE WHEN event_id % 2 = 0 THEN 'CVE-1-' || event_id ELSE 'CVE-2-' || event_id END", lambda: F.coalesce(F.when(c("event_id") % 2 == 0, F.concat(F.lit("CVE-1-"), c("event_id").cast("string"))), F.try_element_at(F.filter(F.array(F.lit("GHSA-1"), F.concat(F.lit("CVE-2-"), c("event_id").cast("string"))), lambda a: a.rlike("^CVE-")), F.lit(1))))
+_col("c36_record_cve_id", "CASE WHEN event_id % 2 = 0 THEN 'CVE-1-' || event_id ELSE 'CVE-2-' || event_id END", lambda: advisories.cve_id(F.when(c("event_id") % 2 == 0, F.concat(F.lit("CVE-1-"), c("event_id").cast("string"))), F.lit("GHSA-1"), F.when(c("event_id") % 2 == 1, F.array(F.lit("GHSA-1"), F.concat(F.lit("CVE-2-"), c("event_id").cast("string"))))))
 
 
 @query("c37_node_severity", CANON + ", s AS (SELECT node_id, sum(CASE severity WHEN 'CRITICAL' THEN 5.0 WHEN 'HIGH' THEN 3.0 WHEN 'MEDIUM' THEN 2.0 WHEN 'LOW' THEN 1.0 ELSE 0.0 END) AS w FROM cve_list GROUP BY node_id) SELECT node_id, CAST(w AS DOUBLE) AS x FROM s")
