@@ -47,9 +47,24 @@ def release_lists(releases: DataFrame) -> DataFrame:
     return releases.groupBy("software_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "node_id"))), lambda x: x["node_id"]).alias("releases"))
 
 
-def validity(releases: DataFrame) -> DataFrame:
+def _beside(releases: DataFrame, ahead: bool, name: str, slot_ms: int) -> DataFrame:
+    """Each release with the time of its software's next (or previous) one in order of (ts, node_id).
+
+    Releases are dealt by (software, slot of time), so that a hub's history isn't sorted in one task; the last (first) of a
+    slot takes the first (last) time of the next slot that holds any, from a table of one row a slot. Without ts: null.
+    """
+    rows = releases.withColumn("__slot", F.floor(F.col("ts") / slot_ms))
+    step, end = (F.lead, F.min) if ahead else (F.lag, F.max)
+    ends = rows.filter("__slot IS NOT NULL").groupBy("software_id", "__slot").agg(end("ts").alias("__end"))
+    ends = ends.select("software_id", "__slot", step("__end").over(Window.partitionBy("software_id").orderBy("__slot")).alias("__beyond"))
+    inner = step("ts").over(Window.partitionBy("software_id", "__slot").orderBy("ts", "node_id"))
+    met = rows.withColumn("__inner", inner).join(ends, ["software_id", "__slot"], "left")
+    return met.select(*releases.columns, F.coalesce("__inner", "__beyond").alias(name))
+
+
+def validity(releases: DataFrame, slot_ms: int = SLOT_MS) -> DataFrame:
     """Each release with [ts, ts_end): until the next release of its software, open for the last."""
-    return releases.withColumn("ts_end", F.lead("ts").over(Window.partitionBy("software_id").orderBy("ts", "node_id")))
+    return _beside(releases, True, "ts_end", slot_ms)
 
 
 def normalise_edges(edges: DataFrame) -> DataFrame:
@@ -58,9 +73,20 @@ def normalise_edges(edges: DataFrame) -> DataFrame:
     return edges.filter("label IN ('dependency', 'relationship_AR')").select(F.when(owned, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(owned, F.col("src")).otherwise(F.col("dst")).alias("dst"), "label")
 
 
-def in_range(releases: DataFrame, spans: DataFrame) -> DataFrame:
-    """Releases of spans(software_id, start_ts, end_ts) with start_ts <= ts < end_ts."""
-    return spans.join(releases, "software_id").filter((F.col("ts") >= F.col("start_ts")) & (F.col("ts") < F.col("end_ts")))
+def in_range(releases: DataFrame, spans: DataFrame, slot_ms: int = SLOT_MS) -> DataFrame:
+    """Releases of spans(software_id, start_ts, end_ts) with start_ts <= ts < end_ts.
+
+    Spans are cut at the slots of the time that has releases, and the join's key is (software, slot).
+    """
+    lo, hi = releases.agg(F.min("ts"), F.max("ts")).first()
+    if lo is None:
+        lo, hi = 0, -1
+    first = F.greatest(F.floor(F.col("start_ts") / slot_ms), F.lit(lo // slot_ms))
+    last = F.least(F.floor((F.col("end_ts") - 1) / slot_ms), F.lit(hi // slot_ms))
+    known = F.col("start_ts").isNotNull() & F.col("end_ts").isNotNull()
+    cut = spans.filter(known & (first <= last)).withColumn("__slot", F.explode(F.sequence(first, last)))
+    met = cut.join(releases.withColumn("__slot", F.floor(F.col("ts") / slot_ms)), ["software_id", "__slot"]).drop("__slot")
+    return met.filter((F.col("ts") >= F.col("start_ts")) & (F.col("ts") < F.col("end_ts")))
 
 
 def _slots(releases: DataFrame, lo: int, hi: int, slot_ms: int) -> DataFrame:
@@ -86,11 +112,22 @@ def asof_past(points: DataFrame, releases: DataFrame, slot_ms: int = SLOT_MS) ->
     return met.filter((F.col("past_ts") <= F.col("at")) & (F.col("ts_end").isNull() | (F.col("at") < F.col("ts_end")))).drop("slot", "ts_end")
 
 
-def asof_future(points: DataFrame, releases: DataFrame) -> DataFrame:
-    """points(software_id, at, ...) with the first release at or after `at`: next, next_ts (else dropped)."""
-    first = releases.select("software_id", F.col("node_id").alias("next"), F.col("ts").alias("next_ts"))
-    keys = points.columns
-    return points.join(first, "software_id").filter("next_ts >= at").groupBy(*keys).agg(F.min(F.struct("next_ts", "next")).alias("m")).select(*keys, "m.next", "m.next_ts")
+def asof_future(points: DataFrame, releases: DataFrame, slot_ms: int = SLOT_MS) -> DataFrame:
+    """points(software_id, at, ...) with the first release at or after `at`: next, next_ts (else dropped).
+
+    A release answers for the points since the release before it; these intervals are cut into slots as in asof_past.
+    """
+    lo, hi = points.agg(F.min("at"), F.max("at")).first()
+    if hi is None:
+        return points.select("*", F.lit(None).cast("long").alias("next"), F.lit(None).cast("long").alias("next_ts"))
+    since = F.col("__since")
+    spans = _beside(releases.select("software_id", "node_id", "ts"), False, "__since", slot_ms).filter((F.col("ts") >= lo) & (since.isNull() | (since < hi)))
+    first = F.greatest(F.floor(F.coalesce(since, F.lit(lo)) / slot_ms), F.lit(lo // slot_ms))
+    last = F.least(F.floor(F.col("ts") / slot_ms), F.lit(hi // slot_ms))
+    spans = spans.filter(first <= last).withColumn("__slot", F.explode(F.sequence(first, last)))
+    spans = spans.select("software_id", "__slot", F.col("node_id").alias("next"), F.col("ts").alias("next_ts"), "__since")
+    met = points.withColumn("__slot", F.floor(F.col("at") / slot_ms)).join(spans, ["software_id", "__slot"])
+    return met.filter((F.col("at") <= F.col("next_ts")) & (since.isNull() | (F.col("at") > since))).drop("__slot", "__since")
 
 
 def resolve_edges(edges: DataFrame, releases: DataFrame, strategy: str = "nearest_past", lag_ms: int = 0, forward_fill: bool = False) -> DataFrame:
@@ -102,8 +139,8 @@ def resolve_edges(edges: DataFrame, releases: DataFrame, strategy: str = "neares
     source = validity(releases).select(F.col("node_id").alias("src"), F.col("ts").alias("src_ts"), F.col("ts_end").alias("src_end"))
     named = edges.select("src", F.col("dst").alias("software_id")).distinct().join(source, "src")
     if strategy == "window":
-        target = releases.select("software_id", F.col("node_id").alias("dst"), "ts")
-        met = named.join(target, "software_id").filter((F.col("ts") >= F.col("src_ts")) & (F.col("src_end").isNull() | (F.col("ts") < F.col("src_end"))))
+        spans = named.select("src", "software_id", F.col("src_ts").alias("start_ts"), F.coalesce("src_end", F.lit((1 << 63) - 1)).alias("end_ts"))
+        met = in_range(releases.select("software_id", F.col("node_id").alias("dst"), "ts"), spans)
         return met.filter("src <> dst").select("src", "dst").distinct()
     if strategy != "nearest_past":
         raise ValueError(f"unknown strategy {strategy}")

@@ -95,6 +95,25 @@ def test_asof_ties_and_gaps(spark):
     assert {r.name: r.next for r in build.asof_future(points, releases).collect()} == {"a": 1, "b": 2, "c": 4}
 
 
+def test_slots_change_nothing(spark):
+    """Intervals, ranges and joins in time with narrow slots, against brute force; one software holds half of all rows."""
+    rng = np.random.default_rng(3)
+    rel = [(i, int(rng.integers(0, 6)) if i % 2 else 0, int(rng.integers(-40, 400))) for i in range(160)]
+    r = spark.createDataFrame(rel, "node_id bigint, software_id bigint, ts bigint")
+    of = {s: sorted((t, i) for i, x, t in rel if x == s) for s in range(6)}
+    want = {i: (h[k + 1][0] if k + 1 < len(h) else None) for h in of.values() for k, (t, i) in enumerate(h)}
+    asked = [(k, int(rng.integers(0, 7)), int(rng.integers(-60, 450))) for k in range(200)]
+    points = spark.createDataFrame(asked, "name bigint, software_id bigint, at bigint")
+    later = {k: min(x for x in of[s] if x[0] >= at) for k, s, at in asked if s < 6 and of[s][-1][0] >= at}
+    spans = spark.createDataFrame([(k, s, at, at + 7 * (k % 9)) for k, s, at in asked], "name bigint, software_id bigint, start_ts bigint, end_ts bigint")
+    inside = {(k, i) for k, s, at in asked for i, x, t in rel if x == s and at <= t < at + 7 * (k % 9)}
+    for slot in (1, 10, 10_000):
+        assert {x.node_id: x.ts_end for x in build.validity(r, slot).collect()} == want
+        assert {x.name: (x.next_ts, x.next) for x in build.asof_future(points, r, slot).collect()} == later
+        assert {(x.name, x.node_id) for x in build.in_range(r, spans, slot).collect()} == inside
+    assert build.in_range(r.limit(0), spans).count() == 0 and build.validity(r.limit(0)).count() == 0
+
+
 def test_unknown_strategy(spark):
     r = spark.createDataFrame([(1, 7, 0)], "node_id bigint, software_id bigint, ts bigint")
     with pytest.raises(ValueError):
