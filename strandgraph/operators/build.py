@@ -97,13 +97,14 @@ def _slots(releases: DataFrame, lo: int, hi: int, slot_ms: int) -> DataFrame:
     return spans.filter(first <= last).withColumn("slot", F.explode(F.sequence(first, last)))
 
 
-def asof_past(points: DataFrame, releases: DataFrame, slot_ms: int = SLOT_MS) -> DataFrame:
+def asof_past(points: DataFrame, releases: DataFrame, slot_ms: int = SLOT_MS, bounds: tuple | None = None) -> DataFrame:
     """points(software_id, at, ...) with the latest release of the software at or before `at`: past, past_ts (else dropped).
 
     Releases are validity intervals, cut into time slots, and the join's key is (software, slot): a hub software with very
-    many points and releases is dealt over its slots, and no point meets more than the releases of one slot.
+    many points and releases is dealt over its slots, and no point meets more than the releases of one slot. bounds: times
+    that hold all points, where they are known without reading the points.
     """
-    lo, hi = points.agg(F.min("at"), F.max("at")).first()
+    lo, hi = bounds or points.agg(F.min("at"), F.max("at")).first()
     if hi is None:
         return points.select("*", F.lit(None).cast("long").alias("past"), F.lit(None).cast("long").alias("past_ts"))
     spans = _slots(releases.select("software_id", "node_id", "ts"), lo, hi, slot_ms)
@@ -112,12 +113,12 @@ def asof_past(points: DataFrame, releases: DataFrame, slot_ms: int = SLOT_MS) ->
     return met.filter((F.col("past_ts") <= F.col("at")) & (F.col("ts_end").isNull() | (F.col("at") < F.col("ts_end")))).drop("slot", "ts_end")
 
 
-def asof_future(points: DataFrame, releases: DataFrame, slot_ms: int = SLOT_MS) -> DataFrame:
+def asof_future(points: DataFrame, releases: DataFrame, slot_ms: int = SLOT_MS, bounds: tuple | None = None) -> DataFrame:
     """points(software_id, at, ...) with the first release at or after `at`: next, next_ts (else dropped).
 
     A release answers for the points since the release before it; these intervals are cut into slots as in asof_past.
     """
-    lo, hi = points.agg(F.min("at"), F.max("at")).first()
+    lo, hi = bounds or points.agg(F.min("at"), F.max("at")).first()
     if hi is None:
         return points.select("*", F.lit(None).cast("long").alias("next"), F.lit(None).cast("long").alias("next_ts"))
     since = F.col("__since")
@@ -145,10 +146,12 @@ def resolve_edges(edges: DataFrame, releases: DataFrame, strategy: str = "neares
     if strategy != "nearest_past":
         raise ValueError(f"unknown strategy {strategy}")
     points = named.select("src", "software_id", (F.col("src_ts") - lag_ms).alias("at"))
-    found = asof_past(points, releases).select("src", "software_id", F.col("past").alias("dst"))
+    # points lie in the releases' time, a scan of one column, less the lag
+    bounds = releases.agg(F.min("ts") - lag_ms, F.max("ts") - lag_ms).first()
+    found = asof_past(points, releases, bounds=tuple(bounds)).select("src", "software_id", F.col("past").alias("dst"))
     if forward_fill:
         rest = points.join(found, ["src", "software_id"], "left_anti")
-        found = found.unionByName(asof_future(rest, releases).select("src", "software_id", F.col("next").alias("dst")))
+        found = found.unionByName(asof_future(rest, releases, bounds=tuple(bounds)).select("src", "software_id", F.col("next").alias("dst")))
     return found.filter("src <> dst").select("src", "dst").distinct()
 
 
