@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from . import build
 
 
@@ -164,19 +166,31 @@ def median_step(times: DataFrame, by: str = "series") -> DataFrame:
     return times.withColumn("step", step).groupBy(by).agg(F.median("step").alias("median_step"))
 
 
-def decay_lag(series: DataFrame) -> DataFrame:
-    """(series, lag): the first lag at which the autocorrelation, 1 at lag 0, is below a half; a quarter of the points if none."""
+def decay_lag(series: DataFrame, block: int = 16) -> DataFrame:
+    """(series, lag): the first lag at which the autocorrelation, 1 at lag 0, is below a half; a quarter of the points if none.
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("t")["value"].to_numpy(float)
-        x = x - x.mean()
-        if np.allclose(x, 0):
-            return pd.DataFrame({"series": [key[0]], "lag": [1.0]})
-        full = np.correlate(x, x, mode="full")[len(x) - 1 :]
-        low = np.flatnonzero(full[1:] / full[0] < 0.5)
-        return pd.DataFrame({"series": [key[0]], "lag": [float(low[0] + 1) if len(low) else float(max(1, len(x) // 4))]})
-
-    return series.groupBy("series").applyInPandas(run, "series string, lag double")
+    Sums of products are taken for a block of lags at a time, twice as long each round, by a join of points with those so
+    many places later; series whose lag is found leave. A constant series has lag 1.
+    """
+    place = F.row_number().over(Window.partitionBy("series").orderBy("t")) - 1
+    mean = series.groupBy("series").agg(F.avg("value").alias("mean"))
+    rows = written(series.select("series", "t", "value", place.alias("i")).join(mean, "series").select("series", "i", (F.col("value") - F.col("mean")).alias("x")), "lag")
+    sums = written(rows.groupBy("series").agg(F.count("*").alias("n"), F.sum(F.col("x") * F.col("x")).alias("square"), F.max(F.abs("x")).alias("most")), "lag")
+    flat = sums.filter("coalesce(most, 0) <= 1e-8").select("series", F.lit(1.0).alias("lag"))
+    left, done, first = sums.filter("most > 1e-8").select("series", "n", "square"), [flat], 1
+    later = rows.select("series", F.col("i").alias("j"), F.col("x").alias("y"))
+    while not left.isEmpty():
+        lag = F.explode(F.sequence(F.lit(first), F.lit(first + block - 1)))
+        ahead = rows.join(left.select("series", "n"), "series").select("series", "i", "x", lag.alias("lag"), "n").filter(F.col("i") + F.col("lag") < F.col("n"))
+        products = ahead.withColumn("j", F.col("i") + F.col("lag")).join(later, ["series", "j"]).groupBy("series", "lag").agg(F.sum(F.col("x") * F.col("y")).alias("product"))
+        low = products.join(left, "series").filter(F.col("product") / F.col("square") < 0.5).groupBy("series").agg(F.min("lag").cast("double").alias("found"))
+        first += block
+        block *= 2
+        met = written(left.join(low, "series", "left"), "lag")
+        ended = F.col("found").isNotNull() | (F.col("n") <= first)
+        done.append(met.filter(ended).select("series", F.coalesce("found", F.greatest(F.lit(1), F.floor(F.col("n") / 4)).cast("double")).alias("lag")))
+        left = met.filter(~ended).select("series", "n", "square")
+    return reduce(DataFrame.unionByName, done)
 
 
 def half_widths(t: np.ndarray, y: np.ndarray, at: np.ndarray) -> list[float]:
@@ -197,20 +211,18 @@ def time_scales(series: DataFrame) -> DataFrame:
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
-        t, x = pdf["t"].to_numpy(float), pdf["value"].to_numpy(float)
+        t = pdf["t"].to_numpy(float)
         if len(t) < 3:
             return pd.DataFrame({"series": [key[0]], "tau_c": [2.0], "tau_chg": [max(2.0, np.ptp(t) / 10) if len(t) > 1 else 2.0], "grad_median": [0.0], "grad_mad": [0.0]})
         y = np.abs(pdf["gradient"].to_numpy(float))
         step, med = float(np.median(np.diff(t))), float(np.median(y))
         mad = float(np.median(np.abs(y - med)) + 1e-12)
         widths = half_widths(t, y, _prominent(y, med + 2 * mad))
-        c = x - x.mean()
-        full = np.correlate(c, c, mode="full")[len(c) - 1 :]
-        low = np.flatnonzero(full[1:] < 0.5 * full[0]) if full[0] > 0 else np.array([0])
-        lag = float(low[0] + 1) if len(low) else float(max(1, len(x) // 4))
+        lag = pdf["lag"].iloc[0]
         return pd.DataFrame({"series": [key[0]], "tau_c": [max(step, lag * step)], "tau_chg": [max(step, float(np.median(widths)) if widths else 5 * step)], "grad_median": [med], "grad_mad": [mad]})
 
-    return gradient(series).groupBy("series").applyInPandas(run, "series string, tau_c double, tau_chg double, grad_median double, grad_mad double")
+    rows = gradient(series).join(decay_lag(series), "series")
+    return rows.groupBy("series").applyInPandas(run, "series string, tau_c double, tau_chg double, grad_median double, grad_mad double")
 
 
 def candidate_scores(series: DataFrame, beta: float = 1.0) -> DataFrame:

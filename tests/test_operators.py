@@ -95,6 +95,21 @@ def test_asof_ties_and_gaps(spark):
     assert {r.name: r.next for r in build.asof_future(points, releases).collect()} == {"a": 1, "b": 2, "c": 4}
 
 
+def test_decay_lag_against_numpy(spark):
+    rng = np.random.default_rng(5)
+    series = {"noise": rng.normal(size=50), "slow": np.sin(np.arange(300) / 60), "ramp": np.arange(90.0), "flat": np.ones(7), "one": np.ones(1), "two": np.array([0.0, 1.0])}
+    rows = [(k, i, float(v)) for k, x in series.items() for i, v in enumerate(x)]
+    want = {}
+    for k, x in series.items():
+        x = x - x.mean()
+        full = np.correlate(x, x, mode="full")[len(x) - 1 :]
+        low = np.flatnonzero(full[1:] < 0.5 * full[0])
+        want[k] = 1.0 if np.allclose(x, 0) else float(low[0] + 1) if len(low) else float(max(1, len(x) // 4))
+    df = spark.createDataFrame(rows, "series string, t bigint, value double")
+    assert {r.series: r.lag for r in windows.decay_lag(df, 4).collect()} == want
+    assert windows.decay_lag(df.limit(0)).count() == 0
+
+
 def test_slots_change_nothing(spark):
     """Intervals, ranges and joins in time with narrow slots, against brute force; one software holds half of all rows."""
     rng = np.random.default_rng(3)
