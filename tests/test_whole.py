@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from strandgraph.operators import localise
+from strandgraph.operators import localise, vectors
 from strandgraph.plans import registry
 from strandgraph.plans.tables import Tables
 
@@ -64,3 +64,19 @@ def test_every_cve_is_looked_up(spark, sf):
     assert {(r.cve_id, r.node_id) for r in QUERIES["d08_nodes_with_cve"](spark, sf).collect()} == want
     events = spark.read.parquet(f"{sf}/events.parquet").filter("event_type = 'error'")
     assert len(want) == events.count()
+
+
+def test_index_finds_nine_of_ten_at_its_defaults(spark, sf):
+    for d in (sf, sf.replace("0.001", "0.1")):
+        row = QUERIES["k03_index_recall"](spark, d).first()
+        assert row.n_queries >= 10 and row.recall >= 0.9
+
+
+def test_probes_are_few_where_vectors_cluster():
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(16, 24))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    v = np.repeat(centres, 40, axis=0) + rng.normal(scale=0.02, size=(640, 24))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    assert vectors.fit_probes(v, centres, 10) == 1
+    assert vectors.fit_probes(v[:1], centres, 10) == 16
