@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import versions
@@ -171,16 +171,21 @@ def drop_percent(base: DataFrame, control: DataFrame) -> DataFrame:
     return both.withColumn("drop_percent", F.when(F.col("base") != 0, (F.col("base") - F.col("control")) / F.col("base") * 100).otherwise(0.0))
 
 
+def chance(*columns: str, seed: int) -> Column:
+    """A number below 2^60 from the columns' values by md5: the same in every run and in any engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws(",", *(F.col(x).cast("string") for x in columns), F.lit(str(seed)))), 1, 15), 16, 10).cast("long")
+
+
 def delete_edges(edges: DataFrame, share: float, seed: int = 42) -> DataFrame:
     """Without a share of the edges, chosen by hash: the same ones in every run."""
-    return edges.filter(F.pmod(F.xxhash64("src", "dst", F.lit(seed)), F.lit(1_000_000)) >= int(share * 1_000_000))
+    return edges.filter(chance("src", "dst", seed=seed) % 1_000_000 >= int(share * 1_000_000))
 
 
 def jitter(nodes: DataFrame, days_min: int = 1, days_max: int = 7, seed: int = 42) -> DataFrame:
     """Times moved by some whole days, forth or back, by hash."""
-    h = F.xxhash64("node_id", F.lit(seed))
-    days = F.pmod(h, F.lit(days_max - days_min + 1)) + days_min
-    sign = F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1).otherwise(-1)
+    h = chance("node_id", seed=seed)
+    days = h % (days_max - days_min + 1) + days_min
+    sign = F.when(F.shiftright(h, 32) % 2 == 0, 1).otherwise(-1)
     return nodes.withColumn("ts", F.col("ts") + days * sign * 86_400_000)
 
 

@@ -351,12 +351,15 @@ def _(t):
     return t.raw("events").select("event_id", F.when(c("event_type").isin("view", "click"), c("value")).otherwise(0.0).alias("score"))
 
 
-@query("p01_deleted_edges")
+@query("p01_deleted_edges", CANON + "SELECT src, dst FROM dep_edges WHERE CAST('0x' || substr(md5(concat_ws(',', src, dst, 42)), 1, 15) AS BIGINT) % 1000000 >= 100000")
 def _(t):
     return evaluate.delete_edges(t.dep_edges, 0.1)
 
 
-@query("p02_jittered_times")
+_MOVED = ", hashed AS (SELECT *, CAST('0x' || substr(md5(concat_ws(',', node_id, 42)), 1, 15) AS BIGINT) AS h FROM releases), moved AS (SELECT node_id, software_id, version, ts + (h % 7 + 1) * (CASE WHEN (h >> 32) % 2 = 0 THEN 1 ELSE -1 END) * 86400000 AS ts FROM hashed) "
+
+
+@query("p02_jittered_times", CANON + _MOVED + "SELECT node_id, ts FROM moved")
 def _(t):
     return evaluate.jitter(t.releases.select("node_id", "ts"))
 
@@ -372,7 +375,7 @@ def _(t):
     return evaluate.stratified(t.cve_list, "severity", 5, "cve_id").groupBy("severity").agg(F.count("*").alias("n"))
 
 
-@query("p05_robustness")
+@query("p05_robustness", CANON + _MOVED + ", a AS (SELECT software_id, min_by(version, struct_pack(a := ts, b := node_id)) AS v FROM releases GROUP BY 1), b AS (SELECT software_id, min_by(version, struct_pack(a := ts, b := node_id)) AS v FROM moved GROUP BY 1) SELECT count(*) AS n, avg(CASE WHEN a.v = b.v THEN 1.0 ELSE 0.0 END) AS stable FROM a JOIN b USING (software_id)")
 def _(t):
     """Version metrics of the earliest-release localiser on jittered times."""
     moved = t.releases.drop("ts").join(evaluate.jitter(t.releases.select("node_id", "ts")), "node_id")

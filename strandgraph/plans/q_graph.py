@@ -57,9 +57,17 @@ def _(t):
     return graph.degree_centrality(t.releases, t.dep_edges).select("node_id", *(F.round(x, 9).alias(x) for x in ("in_cent", "out_cent", "total_cent")))
 
 
-@query("j02_pagerank")
+@query("j02_pagerank", CANON + """, outs AS MATERIALIZED (SELECT src, count(*) AS k FROM family_edges GROUP BY 1), ways AS MATERIALIZED (SELECT src, dst, 1.0 / k AS w FROM family_edges JOIN outs USING (src)),
+own AS MATERIALIZED (SELECT node_id, src IS NULL AS ends, CAST(count(*) OVER () AS DOUBLE) AS n FROM family LEFT JOIN outs ON src = node_id),
+pr(i, node_id, ends, n, rank, old) AS (
+  SELECT 0, node_id, ends, n, CAST(1 / n AS DOUBLE), CAST(2 AS DOUBLE) FROM own
+  UNION ALL SELECT p.i + 1, p.node_id, p.ends, p.n, 0.85::DOUBLE * (coalesce(f.flow, 0) + l.lost / p.n) + 0.15::DOUBLE / p.n, p.rank
+  FROM pr p LEFT JOIN (SELECT w.dst, sum(q.rank * w.w::DOUBLE) AS flow FROM pr q JOIN ways w ON w.src = q.node_id GROUP BY w.dst) f ON f.dst = p.node_id,
+    (SELECT coalesce(sum(rank) FILTER (ends), 0) AS lost, sum(abs(rank - old)) AS change FROM pr) l
+  WHERE p.i < 100 AND l.change >= p.n * 1e-6)
+SELECT node_id, round(rank, 9) AS rank FROM pr WHERE i = (SELECT max(i) FROM pr)""")
 def _(t):
-    return graph.pagerank(*_small(t)).select("node_id", F.round("rank", 6).alias("rank"))
+    return graph.pagerank(*_small(t)).select("node_id", F.round("rank", 9).alias("rank"))
 
 
 @query("j03_window_degree", CANON + ", k AS (SELECT node_id FROM releases WHERE ts >= 883612800000 AND ts < 915148800000), e AS (SELECT src, dst FROM dep_edges WHERE src IN (SELECT node_id FROM k) AND dst IN (SELECT node_id FROM k)), d AS (SELECT node_id, count(*) AS d FROM (SELECT src AS node_id FROM e UNION ALL SELECT dst FROM e) GROUP BY 1) SELECT node_id, round(d / ((SELECT count(*) FROM k) - 1), 9) AS cent FROM d")
@@ -69,7 +77,16 @@ def _(t):
     return aggregate.degrees(build.induced(t.dep_edges, own)).select("node_id", F.round(c("degree") / (n - 1), 9).alias("cent"))
 
 
-@query("j04_window_eigenvector")
+# Power steps on A + I; every 20 steps the unit vector is compared with the one before them (base), at most 100 steps.
+_EIGEN = """, ev(i, node_id, n, x, base) AS (
+  SELECT 0, node_id, CAST(count(*) OVER () AS DOUBLE), CAST(1 / sqrt(count(*) OVER ()) AS DOUBLE), CAST(0 AS DOUBLE) FROM family
+  UNION ALL SELECT p.i + 1, p.node_id, p.n, (p.x + coalesce(f.y, 0)) / sqrt(sum((p.x + coalesce(f.y, 0)) ** 2) OVER ()), CASE WHEN p.i % 20 = 0 THEN p.x ELSE p.base END
+  FROM ev p LEFT JOIN (SELECT b.dst, sum(q.x * b.w) AS y FROM ev q JOIN both_ways b ON b.src = q.node_id GROUP BY b.dst) f ON f.dst = p.node_id, (SELECT sum(x * base) AS dot FROM ev) d
+  WHERE p.i < 100 AND (p.i = 0 OR p.i % 20 > 0 OR 2 - 2 * d.dot >= p.n * 1e-12))
+SELECT node_id, round(x, 6) AS cent FROM ev WHERE i = (SELECT max(i) FROM ev)"""
+
+
+@query("j04_window_eigenvector", CANON + ", both_ways AS MATERIALIZED (SELECT src, dst, 1.0::DOUBLE AS w FROM family_edges UNION SELECT dst, src, 1.0::DOUBLE FROM family_edges)" + _EIGEN)
 def _(t):
     nodes, edges = _small(t)
     return graph.eigenvector(nodes, edges).select("node_id", F.round("cent", 6).alias("cent"))
@@ -81,7 +98,7 @@ def _(t):
     return graph.temporal_digraph(nodes, edges, strict=False).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), c("time_lag").alias("lag"))
 
 
-@query("j06_weighted_eigenvector")
+@query("j06_weighted_eigenvector", CANON + ", both_ways AS MATERIALIZED (SELECT src, dst, max(w)::DOUBLE AS w FROM (SELECT src, dst, (1 + src % 3) * (1 + dst % 3) AS w FROM family_edges UNION ALL SELECT dst, src, (1 + src % 3) * (1 + dst % 3) FROM family_edges) GROUP BY 1, 2)" + _EIGEN)
 def _(t):
     nodes, edges = _small(t)
     w = nodes.select("node_id", (1 + c("node_id") % 3).cast("double").alias("w"))
