@@ -67,6 +67,19 @@ def validity(releases: DataFrame, slot_ms: int = SLOT_MS) -> DataFrame:
     return _beside(releases, True, "ts_end", slot_ms)
 
 
+def steps_back(releases: DataFrame, slot_ms: int = SLOT_MS) -> DataFrame:
+    """(software_id, src, dst): from each release to its software's one before, in order of (ts, node_id).
+
+    Dealt over slots of time, as validity is; a release without ts has no step.
+    """
+    rows = releases.filter("ts IS NOT NULL").select("software_id", "node_id", "ts", F.floor(F.col("ts") / slot_ms).alias("__slot"))
+    last = rows.groupBy("software_id", "__slot").agg(F.max(F.struct("ts", "node_id"))["node_id"].alias("__last"))
+    last = last.select("software_id", "__slot", F.lag("__last").over(Window.partitionBy("software_id").orderBy("__slot")).alias("__beyond"))
+    inner = F.lag("node_id").over(Window.partitionBy("software_id", "__slot").orderBy("ts", "node_id"))
+    met = rows.withColumn("__inner", inner).join(last, ["software_id", "__slot"])
+    return met.select("software_id", F.col("node_id").alias("src"), F.coalesce("__inner", "__beyond").alias("dst")).filter("dst IS NOT NULL")
+
+
 def normalise_edges(edges: DataFrame) -> DataFrame:
     """(release, software) pairs: dependency edges as they are, ownership edges turned round, others dropped."""
     owned = F.col("label") == "relationship_AR"

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import times, versions
 from ..sources.shared import written
-from . import aggregate, graph
+from . import aggregate, build, graph
+
+#: Releases and edges of a software whose graph one task takes.
+GROUP = 20_000
 
 
 def sequences(releases: DataFrame) -> DataFrame:
@@ -61,8 +64,6 @@ def temporal_only(entries: DataFrame, releases: DataFrame, years: float = 2.0, b
     """
     span = int(years * 365 * times.DAY_MS)
     if back is not None:
-        from . import build
-
         found = build.asof_past(entries.select("cve_id", "software_id", "at"), releases).join(releases.select(F.col("node_id").alias("past"), F.col("version").alias("seen")), "past")
         rows = found.join(sequences(releases), "software_id")
         return rows.select("cve_id", versions.back(F.col("versions"), F.col("seen"), back).alias("origin"), F.lit("n_back").alias("method"))
@@ -183,40 +184,46 @@ def betweenness(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
     return total / ((n - 1) * (n - 2)) if n > 2 else total
 
 
-def by_centrality(releases: DataFrame, edges: DataFrame, how: str, limit: float) -> DataFrame:
+def by_centrality(releases: DataFrame, edges: DataFrame, how: str, limit: float, group: int = GROUP) -> DataFrame:
     """software_id, origin: of its releases' graph (own edges and steps from a release to the one before), the earliest
     version whose centrality, scaled to a maximum of 1, is over the limit; else the highest.
 
-    how: pagerank, betweenness, or temporal_pagerank, whose edges weigh max(0.1, 1 - lateness). A software's releases are
-    one group: a product's versions, not a corpus.
+    how: pagerank, betweenness, or temporal_pagerank, whose edges weigh max(0.1, 1 - lateness). The graphs of softwares of
+    at most `group` releases and edges are a task's groups; those of larger ones are found by rounds of joins over all of
+    them, with the same scores.
     """
-    prev = F.lag("node_id").over(Window.partitionBy("software_id").orderBy("ts", "node_id"))
-    own = releases.select("software_id", "node_id", "ts", "version", prev.alias("prev"))
-    inner = edges.join(releases.select(F.col("node_id").alias("src"), F.col("software_id").alias("s")), "src").join(releases.select(F.col("node_id").alias("dst"), F.col("software_id").alias("d")), "dst").filter("s = d").select("src", "dst")
-    uses = inner.groupBy(F.col("src").alias("node_id")).agg(F.collect_set("dst").alias("uses"))
-    rows = own.join(uses, "node_id", "left")
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "node_id"]).reset_index(drop=True)
+    own = written(releases.select("software_id", "node_id", "ts", "version"), "lo")
+    a, b = (own.select(F.col("node_id").alias(end), F.col("software_id").alias(name), F.col("ts").alias(f"{name}_ts")) for end, name in (("src", "s"), ("dst", "d")))
+    inner = edges.select("src", "dst").join(a, "src").join(b, "dst").filter("s = d").select("src", "dst")
+    both = inner.unionByName(build.steps_back(own).select("src", "dst")).distinct().join(a, "src").join(b, "dst")
+    both = written(both.select(F.col("s").alias("software_id"), "src", "dst", ((F.col("s_ts") + F.col("d_ts")) / 2).alias("mid")), "lo")
+    sizes = own.groupBy("software_id").agg(F.count("*").alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi")).join(both.groupBy("software_id").agg(F.count("*").alias("m")), "software_id", "left")
+    sizes = written(sizes.select("software_id", "lo", "hi", (F.col("n") + F.coalesce("m", F.lit(0)) > group).alias("large")), "lo")
+    late = (F.col("mid") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1))
+    weight = F.greatest(F.lit(0.1), 1 - late) if how == "temporal_pagerank" else F.lit(1.0)
+    pairs = both.join(sizes, "software_id").select("software_id", "src", "dst", weight.alias("weight"), "large")
+
+    def central(pdf: pd.DataFrame) -> pd.DataFrame:
         at = {v: k for k, v in enumerate(pdf["node_id"])}
-        pairs = {(at[a], at[b]) for a, b in zip(pdf["node_id"], pdf["prev"]) if b == b and b is not None}
-        pairs |= {(at[a], at[b]) for a, bs in zip(pdf["node_id"], pdf["uses"]) if bs is not None for b in bs}
-        src, dst = (np.array(x, int) for x in zip(*sorted(pairs))) if pairs else (np.zeros(0, int), np.zeros(0, int))
-        if how == "betweenness":
-            score = betweenness(src, dst, len(pdf))
-        else:
-            weight = None
-            if how == "temporal_pagerank" and len(src):
-                ts = pdf["ts"].to_numpy(float)
-                span = max(np.ptp(ts), 1.0)
-                weight = np.maximum(0.1, 1 - ((ts[src] + ts[dst]) / 2 - ts.min()) / span)
-            score = pagerank(src, dst, len(pdf), weight)
-        scaled = score / score.max() if score.max() > 0 else score
-        over = np.flatnonzero(scaled > limit)
-        pick = int(over[0]) if len(over) else int(scaled.argmax())
-        return pd.DataFrame({"software_id": [key[0]], "origin": [pdf["version"][pick]]})
-
-    return rows.groupBy("software_id").applyInPandas(run, "software_id bigint, origin string")
+        out = [(at[x], at[u["dst"]], u["weight"]) for x, us in zip(pdf["node_id"], pdf["uses"]) if us is not None for u in us]
+        src, dst, w = (np.array(x) for x in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        score = betweenness(src, dst, len(pdf)) if how == "betweenness" else pagerank(src, dst, len(pdf), w)
+        return pd.DataFrame({"software_id": pdf["software_id"], "node_id": pdf["node_id"], "score": score})
+
+    uses = pairs.filter("NOT large").groupBy(F.col("src").alias("node_id")).agg(F.collect_list(F.struct("dst", "weight")).alias("uses"))
+    small = own.join(sizes.filter("NOT large"), "software_id", "left_semi").select("software_id", "node_id").join(uses, "node_id", "left")
+    score = small.groupBy("software_id").applyInPandas(central, "software_id bigint, node_id bigint, score double")
+    if not sizes.filter("large").isEmpty():
+        wide = written(own.join(sizes.filter("large"), "software_id", "left_semi").select(F.col("software_id").alias("grp"), "node_id"), "lo")
+        ways = pairs.filter("large").select("src", "dst", "weight")
+        found = graph.betweenness(wide, ways).join(wide, "node_id").withColumnRenamed("cent", "rank") if how == "betweenness" else graph.group_pagerank(wide, ways)
+        score = score.unionByName(found.select(F.col("grp").alias("software_id"), "node_id", F.col("rank").alias("score")))
+    score = written(score, "lo")
+    most = score.groupBy("software_id").agg(F.max("score").alias("most"))
+    # the highest is always over a limit below 1; where all are 0, each is the highest
+    over = (F.col("most") <= 0) | (F.round(F.col("score") / F.col("most"), 9) > limit)
+    rows = own.join(score, ["software_id", "node_id"]).join(most, "software_id").filter(over)
+    return rows.groupBy("software_id").agg(F.min_by("version", F.struct(F.col("ts").isNull(), "ts", "node_id")).alias("origin"))
 
 
 def by_community(nodes: DataFrame, communities: DataFrame) -> DataFrame:

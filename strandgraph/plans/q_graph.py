@@ -333,17 +333,40 @@ def _(t):
     return vectors.top_pairs(t.points, 10, 10).select("a", "b", F.round("distance", 6).alias("d"))
 
 
-@query("n05_pagerank_origin")
+_LOCAL = """, lpairs AS MATERIALIZED (
+  SELECT a.software_id, src, dst FROM dep_edges JOIN releases a ON a.node_id = src JOIN releases b ON b.node_id = dst AND b.software_id = a.software_id
+  UNION SELECT * FROM (SELECT software_id, node_id, lag(node_id) OVER (PARTITION BY software_id ORDER BY ts, node_id) AS dst FROM releases) WHERE dst IS NOT NULL)"""
+_PICK = """, top AS (SELECT *, max(score) OVER (PARTITION BY software_id) AS most FROM scored)
+SELECT software_id, min_by(version, struct_pack(a := ts, b := node_id)) AS origin FROM top JOIN releases USING (software_id, node_id) WHERE most <= 0 OR round(score / most, 9) > {} GROUP BY software_id"""
+_LOCAL_RANK = """, outs AS MATERIALIZED (SELECT src, sum(weight) AS k FROM weighed GROUP BY 1), ways AS MATERIALIZED (SELECT src, dst, weight / k AS w FROM weighed JOIN outs USING (src)),
+pr(i, software_id, node_id, ends, n, rank, going) AS (
+  SELECT 0, software_id, node_id, src IS NULL, CAST(count(*) OVER (PARTITION BY software_id) AS DOUBLE), CAST(1.0 / count(*) OVER (PARTITION BY software_id) AS DOUBLE), true FROM releases LEFT JOIN outs ON src = node_id
+  UNION ALL SELECT i + 1, software_id, node_id, ends, n, fresh, sum(abs(fresh - rank)) OVER (PARTITION BY software_id) >= n * 1e-6
+  FROM (SELECT p.*, 0.85::DOUBLE * (coalesce(f.flow, 0) + sum(CASE WHEN ends THEN rank ELSE 0 END) OVER (PARTITION BY software_id) / n) + 0.15::DOUBLE / n AS fresh
+    FROM pr p LEFT JOIN (SELECT w.dst, sum(q.rank * w.w) AS flow FROM pr q JOIN ways w ON w.src = q.node_id GROUP BY w.dst) f ON f.dst = p.node_id WHERE p.going AND p.i < 100)),
+scored AS (SELECT software_id, node_id, arg_max(rank, i) AS score FROM pr GROUP BY ALL)"""
+
+
+@query("n05_pagerank_origin", CANON + _LOCAL + ", weighed AS MATERIALIZED (SELECT src, dst, 1.0::DOUBLE AS weight FROM lpairs)" + _LOCAL_RANK + _PICK.format(0.5))
 def _(t):
     return localise.by_centrality(t.releases, t.dep_edges, "pagerank", 0.5)
 
 
-@query("n06_betweenness_origin")
+@query("n06_betweenness_origin", CANON + _LOCAL + """, walk(origin, node_id, depth) AS (
+  SELECT node_id, node_id, 0 FROM releases
+  UNION SELECT origin, e.dst, depth + 1 FROM walk JOIN lpairs e ON e.src = walk.node_id WHERE depth < (SELECT max(ord) FROM releases)),
+least_depth AS MATERIALIZED (SELECT origin, node_id, min(depth) AS depth FROM walk GROUP BY 1, 2),
+counts(origin, node_id, depth, paths) AS (
+  SELECT origin, node_id, 0, CAST(1 AS DOUBLE) FROM least_depth WHERE depth = 0
+  UNION ALL SELECT x.origin, e.dst, x.depth + 1, sum(x.paths) FROM counts x JOIN lpairs e ON e.src = x.node_id JOIN least_depth l ON l.origin = x.origin AND l.node_id = e.dst AND l.depth = x.depth + 1 GROUP BY x.origin, e.dst, x.depth),
+between_ AS (SELECT a.node_id, sum(a.paths * b.paths / w.paths) AS score FROM counts a JOIN counts b ON b.origin = a.node_id AND b.depth > 0 JOIN counts w ON w.origin = a.origin AND w.node_id = b.node_id AND w.depth = a.depth + b.depth WHERE a.depth > 0 GROUP BY 1),
+scored AS (SELECT software_id, node_id, coalesce(score, 0) AS score FROM releases LEFT JOIN between_ USING (node_id))""" + _PICK.format(0.4))
 def _(t):
     return localise.by_centrality(t.releases, t.dep_edges, "betweenness", 0.4)
 
 
-@query("n07_temporal_pagerank_origin")
+@query("n07_temporal_pagerank_origin", CANON + _LOCAL + """, span AS (SELECT software_id, min(ts) AS lo, greatest(max(ts) - min(ts), 1) AS width FROM releases GROUP BY 1),
+weighed AS MATERIALIZED (SELECT src, dst, greatest(0.1::DOUBLE, 1 - ((a.ts + b.ts) / 2.0::DOUBLE - lo) / width) AS weight FROM lpairs JOIN span USING (software_id) JOIN releases a ON a.node_id = src JOIN releases b ON b.node_id = dst)""" + _LOCAL_RANK + _PICK.format(0.5))
 def _(t):
     return localise.by_centrality(t.releases, t.dep_edges, "temporal_pagerank", 0.5)
 

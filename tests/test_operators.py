@@ -46,6 +46,16 @@ def test_betweenness(small):
     assert {r.cent for r in graph.betweenness(nodes, df.limit(0)).collect()} == {0.0}
 
 
+@pytest.mark.parametrize("how", ["pagerank", "betweenness", "temporal_pagerank"])
+def test_origins_of_large_graphs_are_those_of_small_ones(spark, how):
+    rng = np.random.default_rng(3)
+    rows = [(s, 100 * s + i, int(t), f"1.{i}") for s, n in ((1, 1), (2, 2), (3, 9), (4, 14)) for i, t in enumerate(np.sort(rng.integers(0, 400, n)) * 86_400_000)]
+    releases = spark.createDataFrame([*rows, (5, 500, None, "1.0")], "software_id bigint, node_id bigint, ts bigint, version string")
+    edges = spark.createDataFrame([(408, 402), (410, 402), (413, 405), (412, 403), (307, 301), (306, 301), (413, 301)], "src bigint, dst bigint")
+    found = [{r.software_id: r.origin for r in localise.by_centrality(releases, edges, how, 0.5, group).collect()} for group in (1_000, 5)]
+    assert found[0] == found[1] and sorted(found[0]) == [1, 2, 3, 4, 5]
+
+
 def test_gexf_is_one_document(spark, tmp_path):
     import xml.etree.ElementTree as et
 
