@@ -214,37 +214,71 @@ def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return order.join(sums, "node_id", "left").select("node_id", (F.coalesce("cent", F.lit(0.0)) / scale).alias("cent"))
 
 
-def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node_id, comm): modularity communities. Synchronous local moves with a fixed order of ties, all as plans.
+def _settled(both: DataFrame, state: DataFrame, m2: int, one, tol: float) -> tuple[DataFrame, bool]:
+    """state(node_id, k, comm) after local moves over both(src, dst, w), and whether the modularity has risen.
 
     Each round, a node may move to the neighbouring community of the largest gain k_in - k * K_comm / 2m, if that beats
-    staying; moves go to communities of smaller name in even rounds and larger in odd ones, so that no two nodes swap for
-    ever. Nodes without edges stay alone. Communities are named by their smallest node.
+    staying; all move at once, to communities of smaller name in even rounds and of larger name in odd ones. Rounds go on
+    while two of them, an even and an odd one, raise the modularity by tol; the best state holds. A round writes one table.
     """
-    pairs = build.undirected(edges, nodes)
-    both = written(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst"))), "lv")
-    degree = both.groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("k"))
-    state = written(degree.select("node_id", "k", F.col("node_id").alias("comm")), "lv")
-    m2 = both.count()
-    for r in range(rounds if m2 else 0):
+    best, top, first, since = state, None, None, 0
+    for r in itertools.count():
         mass = state.groupBy("comm").agg(F.sum("k").alias("mass"))
-        toward = both.join(state.select(F.col("node_id").alias("dst"), "comm"), "dst").groupBy("src", "comm").agg(F.count("*").alias("k_in"))
+        toward = both.join(state.select(F.col("node_id").alias("dst"), "comm"), "dst").groupBy("src", "comm").agg(F.sum("w").alias("k_in"))
         opts = toward.join(mass, "comm").join(state.select(F.col("node_id").alias("src"), "k", F.col("comm").alias("own")), "src")
         # a node's own degree doesn't count against staying
-        gain = F.col("k_in") - F.col("k") * (F.col("mass") - F.when(F.col("comm") == F.col("own"), F.col("k")).otherwise(0)) / m2
-        best = opts.withColumn("gain", gain).groupBy("src", "own", "k").agg(
-            F.max(F.struct(F.round("gain", 9).alias("gain"), (-F.col("comm")).alias("neg"))).alias("m"), F.max(F.when(F.col("comm") == F.col("own"), F.col("gain"))).alias("stay"), F.first("k").alias("k1")
+        at_home = F.col("comm") == F.col("own")
+        gain = F.round(F.col("k_in") - F.col("k") * (F.col("mass") - F.when(at_home, F.col("k")).otherwise(0)) / m2, 9)
+        found = opts.groupBy(F.col("src").alias("node_id"), "own").agg(
+            F.max(F.struct(gain.alias("gain"), (-F.col("comm")).alias("neg"))).alias("m"), F.max(F.when(at_home, gain)).alias("stay"), F.max(F.when(at_home, F.col("k_in"))).alias("k_own")
         )
-        alone = F.coalesce("stay", F.lit(0.0))
-        down = -F.col("m.neg") < F.col("own") if r % 2 == 0 else -F.col("m.neg") > F.col("own")
-        moves = best.filter((F.col("m.gain") > alone + 1e-9) & down).select(F.col("src").alias("node_id"), (-F.col("m.neg")).alias("to"))
-        new = written(state.join(moves, "node_id", "left").select("node_id", "k", F.coalesce("to", "comm").alias("comm"), F.col("to").isNotNull().alias("moved")), "lv")
-        changed = new.filter("moved").count()
-        state = new.drop("moved")
-        if not changed and r:
+        to = -F.col("m.neg")
+        moves = (F.col("m.gain") > F.coalesce("stay", F.lit(0.0))) & (to < F.col("own") if r % 2 == 0 else to > F.col("own"))
+        found = found.select("node_id", "k_own", F.when(moves, to).alias("to"))
+        step = one(written(state.join(found, "node_id", "left").select("node_id", "k", "comm", "k_own", F.coalesce("to", "comm").alias("next")), "lv"))
+        of = step.groupBy("comm").agg(F.sum("k_own").alias("inside"), F.sum("k").cast("double").alias("mass"))
+        quality = of.agg(F.coalesce(F.sum("inside"), F.lit(0)) / float(m2) - F.sum(F.col("mass") * F.col("mass")) / float(m2) ** 2).first()[0]
+        first = quality if first is None else first
+        if top is None or quality > top + tol:
+            best, top, since = step.select("node_id", "k", "comm"), quality, 0
+        else:
+            since += 1
+            if since == 2:
+                return best, top > first
+        state = step.select("node_id", "k", F.col("next").alias("comm"))
+
+
+def communities(nodes: DataFrame, edges: DataFrame, tol: float = 1e-7) -> DataFrame:
+    """(node_id, comm): communities by modularity, level by level, with a fixed order of ties, all as plans.
+
+    Once the moves of a level have settled, each community becomes one node of the next level's graph, with the edges
+    between communities counted, until a level raises the modularity no more. Nodes without edges stay alone.
+    Communities are named by their smallest node.
+    """
+    pairs = build.undirected(edges, nodes)
+    both = written(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst"))).withColumn("w", F.lit(1).cast("long")), "lv")
+    m2 = both.count()
+    if not m2:
+        return nodes.select("node_id", F.col("node_id").alias("comm"))
+    one = _compact(m2)
+    both = one(both)
+    state = one(written(both.groupBy(F.col("src").alias("node_id")).agg(F.sum("w").alias("k")).select("node_id", "k", F.col("node_id").alias("comm")), "lv"))
+    names = None
+    while True:
+        level, risen = _settled(both, state, m2, one, tol)
+        if not risen:
             break
-    named = state.withColumn("name", F.min("node_id").over(Window.partitionBy("comm"))).select("node_id", F.col("name").alias("comm"))
-    return nodes.select("node_id").join(named, "node_id", "left").select("node_id", F.coalesce("comm", "node_id").alias("comm"))
+        up = level.select("node_id", F.col("comm").alias("to"))
+        names = written(up if names is None else names.join(up.withColumnRenamed("node_id", "comm"), "comm").select("node_id", "to"), "lv").withColumnRenamed("to", "comm")
+        a, b = up.select(F.col("node_id").alias("src"), F.col("to").alias("a")), up.select(F.col("node_id").alias("dst"), F.col("to").alias("b"))
+        # edges inside a community go with it wherever it moves, and are left out; its weight k keeps them
+        both = one(written(both.join(a, "src").join(b, "dst").filter("a <> b").groupBy("a", "b").agg(F.sum("w").alias("w")).select(F.col("a").alias("src"), F.col("b").alias("dst"), "w"), "lv"))
+        state = one(written(level.groupBy("comm").agg(F.sum("k").alias("k")).select(F.col("comm").alias("node_id"), "k", "comm"), "lv"))
+    if names is None:
+        return nodes.select("node_id", F.col("node_id").alias("comm"))
+    first = names.groupBy("comm").agg(F.min("node_id").alias("name"))
+    named = names.join(first, "comm").select("node_id", "name")
+    return nodes.select("node_id").join(named, "node_id", "left").select("node_id", F.coalesce("name", "node_id").alias("comm"))
 
 
 def modularity(edges: DataFrame, comm: DataFrame) -> DataFrame:

@@ -76,6 +76,17 @@ def test_communities_of_two_cliques(spark):
     assert {got[i] for i in range(5)} == {0} and {got[i] for i in range(10, 15)} == {10} and got[99] == 99
 
 
+def test_communities_by_levels(spark):
+    """A ring of cliques: each is found whole, and the modularity is that of the cliques or more."""
+    pairs = [p for k in range(8) for p in itertools.combinations(range(4 * k, 4 * k + 4), 2)] + [(4 * k, (4 * k + 5) % 32) for k in range(8)]
+    nodes, edges = spark.createDataFrame([(i,) for i in range(32)], "node_id bigint"), spark.createDataFrame(pairs, "src bigint, dst bigint")
+    found = graph.communities(nodes, edges)
+    got = {r.node_id: r.comm for r in found.collect()}
+    assert all(len({got[4 * k + i] for i in range(4)}) == 1 for k in range(8))
+    own = nodes.select("node_id", (F.floor(F.col("node_id") / 4)).alias("comm"))
+    assert graph.modularity(edges, found).first()[0] >= graph.modularity(edges, own).first()[0] - 1e-9
+
+
 def test_components_of_a_long_chain(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101)]
     nodes = spark.createDataFrame([(i,) for i in [*range(41), 100, 101, 200]], "node_id bigint")
