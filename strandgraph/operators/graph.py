@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
+from ..sources.shared import discard, written
 from . import build
 
 #: Power steps between two written tables, of a large and of a small graph.
@@ -94,10 +94,12 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         near = live.select(F.col("a").alias("node_id"), F.col("b").alias("to")).unionByName(live.select(F.col("b").alias("node_id"), F.col("a").alias("to")))
         step = written(near.groupBy("node_id").agg(F.min("to").alias("to")).select("node_id", F.least("node_id", "to").alias("to")), "cc")
         jump = written(step.alias("s").join(step.alias("t"), F.col("s.to") == F.col("t.node_id")).select(F.col("s.node_id"), F.col("t.to").alias("to")), "cc")
-        names = jump if names is None else names.alias("n").join(jump.alias("j"), F.col("n.to") == F.col("j.node_id"), "left").select(F.col("n.node_id"), F.coalesce("j.to", "n.to").alias("to"))
+        before, names = names, jump if names is None else names.alias("n").join(jump.alias("j"), F.col("n.to") == F.col("j.node_id"), "left").select(F.col("n.node_id"), F.coalesce("j.to", "n.to").alias("to"))
         names = written(names, "cc")
         x, y = jump.select(F.col("node_id").alias("a"), F.col("to").alias("x")), jump.select(F.col("node_id").alias("b"), F.col("to").alias("y"))
-        live = written(live.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct(), "cc")
+        left = written(live.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct(), "cc")
+        discard(live, step, jump, *([] if before is None else [before]))
+        live = left
     if names is None:
         return nodes.select("node_id", F.col("node_id").alias("comp"))
     return nodes.select("node_id").join(names, "node_id", "left").select("node_id", F.coalesce("to", "node_id").alias("comp"))
@@ -131,6 +133,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tol: float
         new = rank.join(flow, "node_id", "left").select("node_id", "ends", (alpha * (F.coalesce("flow", F.lit(0.0)) + lost / n) + (1 - alpha) / n).alias("rank"), F.col("rank").alias("old"))
         new = written(new, "pr")
         change = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+        discard(rank)
         rank = new.drop("old")
         if change < n * tol:
             break
@@ -153,6 +156,7 @@ def group_pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tol:
         new = written(rank.join(flow, "node_id", "left").join(lost, "grp", "left").select("grp", "node_id", "n", "ends", value.alias("rank"), F.col("rank").alias("old")), "gp")
         change = new.groupBy("grp").agg((F.sum(F.abs(F.col("rank") - F.col("old"))) >= F.first("n") * tol).alias("open"))
         both = written(new.drop("old").join(change, "grp"), "gp")
+        discard(new)
         done.append(both if r == rounds - 1 else both.filter("NOT open"))
         rank = both.filter("open").drop("open")
         if rank.isEmpty():
@@ -183,6 +187,7 @@ def eigenvector(nodes: DataFrame, edges: DataFrame, tol: float = 1e-6, rounds: i
             y = step.join(y.select(F.col("node_id").alias("src"), "cent"), "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum(F.col("cent") * F.col("w")).alias("cent"))
         y = written(y, "ev")
         square, dot = y.join(x.withColumnRenamed("cent", "old"), "node_id").agg(F.sum(F.col("cent") * F.col("cent")), F.sum(F.col("cent") * F.col("old"))).first()
+        discard(x)
         x = y.select("node_id", (F.col("cent") / square**0.5).alias("cent"))
         if 2 - 2 * dot / square**0.5 < n * tol * tol:  # the squared change of the unit vector
             break
