@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -145,7 +146,7 @@ def _prominent(y: np.ndarray, least: float, distance: int | None = None) -> np.n
 def peaks(series: DataFrame, prominence: float, distance: int | None = None) -> DataFrame:
     """(series, idx, t) of the peaks of |gradient|: a series is one group, of as many points as there are windows."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         at = _prominent(pdf["gradient"].abs().to_numpy(), prominence, distance)
         return pd.DataFrame({"series": [key[0]] * len(at), "idx": at, "t": pdf["t"].to_numpy()[at]})
@@ -209,7 +210,7 @@ def half_widths(t: np.ndarray, y: np.ndarray, at: np.ndarray) -> list[float]:
 def time_scales(series: DataFrame) -> DataFrame:
     """(series, tau_c, tau_chg, grad_median, grad_mad): correlation and change times, and robust statistics of |gradient|."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         t = pdf["t"].to_numpy(float)
         if len(t) < 3:
@@ -228,7 +229,7 @@ def time_scales(series: DataFrame) -> DataFrame:
 def candidate_scores(series: DataFrame, beta: float = 1.0) -> DataFrame:
     """Per candidate (series): stability S, sensitivity C, resolvability R and their combination F-beta(S, C) * R."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         t, x, d = pdf["t"].to_numpy(float), pdf["value"].to_numpy(float), np.abs(pdf["gradient"].to_numpy(float))
         if len(x) < 3:

@@ -57,12 +57,31 @@ def _(t):
     return windows.decay_lag(_series(t)).select("lag")
 
 
-@query("l05_time_scales")
+# Of ser(series, t, v): |gradient| d, its median and deviation, and the peaks whose prominence is med + {times} * mad or more.
+_PROMINENT = """, lagged AS (SELECT *, lag(v) OVER o AS y0, lead(v) OVER o AS y1, t - lag(t) OVER o AS h0, lead(t) OVER o - t AS h1, row_number() OVER o AS idx FROM ser WINDOW o AS (PARTITION BY series ORDER BY t)),
+grad AS MATERIALIZED (SELECT series, t, v, idx, abs(CASE WHEN y0 IS NULL THEN (y1 - v) / h1 WHEN y1 IS NULL THEN (v - y0) / h0 ELSE (h0 * h0 * y1 + (h1 * h1 - h0 * h0) * v - h1 * h1 * y0) / (h0 * h1 * (h0 + h1)) END) AS d FROM lagged),
+mids AS (SELECT series, median(d) AS med, count(*) AS n FROM grad GROUP BY 1), stat AS MATERIALIZED (SELECT series, med, n, median(abs(d - med)) + 1e-12::DOUBLE AS mad FROM grad JOIN mids USING (series) GROUP BY ALL),
+tops AS (SELECT * FROM (SELECT *, lag(d) OVER o AS p, lead(d) OVER o AS q FROM grad WINDOW o AS (PARTITION BY series ORDER BY idx)) WHERE d > p AND d > q),
+walls AS (SELECT a.series, a.idx, a.d, coalesce(max(b.idx) FILTER (b.idx < a.idx), 0) AS lo, coalesce(min(b.idx) FILTER (b.idx > a.idx), 1000000000000) AS hi FROM tops a LEFT JOIN grad b ON b.series = a.series AND b.d > a.d GROUP BY ALL),
+feet AS (SELECT w.series, w.idx, w.d, greatest(min(b.d) FILTER (b.idx <= w.idx), min(b.d) FILTER (b.idx >= w.idx)) AS foot FROM walls w JOIN grad b ON b.series = w.series AND b.idx > w.lo AND b.idx < w.hi GROUP BY ALL),
+peak AS MATERIALIZED (SELECT f.series, f.idx, f.d FROM feet f JOIN stat USING (series) WHERE f.d - foot >= med + {times} * mad)"""
+
+
+@query("l05_time_scales", CANON + ", ser AS (SELECT 'events' AS series, t, value AS v FROM series)" + _PROMINENT.format(times=2) + """, x AS (SELECT row_number() OVER (ORDER BY t) AS i, value - avg(value) OVER () AS v, count(*) OVER () AS n FROM series),
+decay AS (SELECT coalesce(min(lag) FILTER (r < 0.5), greatest(1, min(n) // 4)) AS lag FROM (SELECT y.i - x.i AS lag, sum(x.v * y.v) / (SELECT sum(v * v) FROM x) AS r, min(x.n) AS n FROM x JOIN x y ON y.i > x.i GROUP BY 1)),
+step AS (SELECT median(s) AS step FROM (SELECT lead(t) OVER (ORDER BY t) - t AS s FROM series)),
+half AS (SELECT p.idx, coalesce(max(b.idx) FILTER (b.idx <= p.idx), 1) AS i, coalesce(min(b.idx) FILTER (b.idx >= p.idx), (SELECT max(idx) FROM grad)) AS j FROM peak p LEFT JOIN grad b ON b.d <= p.d / 2 GROUP BY p.idx),
+wide AS (SELECT median(b.t - a.t) AS width FROM half JOIN grad a ON a.idx = i JOIN grad b ON b.idx = j)
+SELECT series, CAST(greatest(step, lag * step) AS DOUBLE) AS tau_c, CAST(greatest(step, coalesce(width, 5 * step)) AS DOUBLE) AS tau_chg, round(med, 9) AS grad_median, round(mad, 9) AS grad_mad FROM stat, step, decay, wide""")
 def _(t):
-    return windows.time_scales(_series(t))
+    return windows.time_scales(_series(t)).select("series", "tau_c", "tau_chg", F.round("grad_median", 9).alias("grad_median"), F.round("grad_mad", 9).alias("grad_mad"))
 
 
-@query("l06_candidate_scores")
+@query("l06_candidate_scores", CANON + ", ser AS (SELECT event_type AS series, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS t, avg(value) AS v FROM events GROUP BY 1, 2)" + _PROMINENT.format(times=2.5) + """, m AS (
+  SELECT series, any_value(n) AS n, greatest(0, least(1, 1 - stddev_pop(v) / (abs(avg(v)) + 1e-12::DOUBLE))) AS s, 0.6::DOUBLE * tanh(any_value(n) / 20) + 0.4::DOUBLE * tanh(var_pop(v) / (avg(v * v) + 1e-12::DOUBLE)) AS r,
+    tanh(0.5::DOUBLE * (SELECT count(*) FROM peak WHERE peak.series = grad.series) / greatest(max(t) - min(t), 1e-9::DOUBLE)) * tanh(0.5::DOUBLE * coalesce(avg(d) FILTER (d > med + 2.5::DOUBLE * mad), 0) / any_value(mad)) AS c
+  FROM grad JOIN stat USING (series) GROUP BY series)
+SELECT series, round(CASE WHEN n < 3 THEN 0 ELSE s END, 6) AS s, round(CASE WHEN n < 3 THEN 0 ELSE c END, 6) AS c, round(CASE WHEN n < 3 THEN 0 ELSE r END, 6) AS r, round(CASE WHEN n < 3 OR s + c = 0 THEN 0 ELSE 2 * s * c / (s + c) * r END, 6) AS score FROM m""")
 def _(t):
     kinds = t.raw("events").groupBy(c("event_type").alias("series"), F.unix_timestamp(F.date_trunc("day", c("ts").cast("timestamp"))).alias("t")).agg(F.avg("value").alias("value"))
     return windows.candidate_scores(kinds).select("series", *(F.round(x, 6).alias(x) for x in ("s", "c", "r", "score")))
