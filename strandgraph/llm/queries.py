@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, fingerprint, html, langid, mixing, neardup, quality, toxicity, urlfilter
+from . import chat, decontam, fingerprint, html, langid, mixing, neardup, packing, quality, toxicity, urlfilter
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_language_id": langid.op8,
         "op9_benchmark_decontamination": decontam.op9,
         "op10_toxicity": toxicity.op10,
+        "op13_packing": packing.op13,
     }
 
 
