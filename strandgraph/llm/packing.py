@@ -7,9 +7,8 @@ emitted window is full, documents are cut only where nothing fits, and a task ho
 What stays open at a partition's end is a leftover. Leftovers are packed again in the same way, those of FAN partitions in
 one task, round by round, until one task has the last; there they are merged into full windows and one padded sequence.
 
-Tokens come from a public tokenizer file, then an id that ends the document. Its pre-tokenizer drops white space and no rule
-reaches over it, so text is cut at spaces and line feeds, and each worker keeps the ids of short chunks it has met
-(at most CACHED).
+Tokens come from a public tokenizer file, then an id that ends the document. TOKENIZER drops white space and no rule of it
+reaches over white space, so text is cut at spaces and line feeds, and each worker keeps the ids of WORDS words it has met.
 
 Defined results: a null or empty text is a document of the ending id alone; repeated rows and rows with one doc_id, or none,
 are documents each; a text of any length is cut into windows; an empty table gives no pieces. Only doc_id and text are read,
@@ -21,8 +20,11 @@ from __future__ import annotations
 import os
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from struct import pack as pack_ids
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,37 +33,94 @@ from .common import map_arrow, materialize, table
 
 SIZE, OPEN, FAN = 2048, 16, 64
 TOKENIZER, END = "word_bpe_49k.json", 1
-#: Chunks whose ids a worker keeps, and the longest of them.
-CACHED, CACHED_CHARS = 400_000, 48
+#: Words whose ids a worker keeps.
+WORDS = 600_000
+#: Words of letters that are composed and have one lower-case form each; marks of sentences behind them.
+LETTERS, MARKS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$", ".,;:!?"
+#: Chunks of text whose ids are put together at once.
+STEP = 1 << 20
 #: Bytes of ids in a record batch that goes back to Spark.
 BATCH = 4 << 20
 
 
-class Ids(dict):
-    """The ids of chunks of text, as little-endian unsigned 32-bit values; filled as chunks are met."""
+class Whole:
+    """Ids of whole texts as little-endian unsigned 32-bit values: right for every tokenizer."""
 
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(file if os.path.isabs(file) else public_tokenizers.path(file))
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        out = b"".join(i.to_bytes(4, "little") for i in ids)
-        if len(chunk) <= CACHED_CHARS:
-            if len(self) >= CACHED:
-                self.clear()
-            self[chunk] = out
-        return out
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def of(self, texts: pa.Array) -> Iterator[bytes]:
+        for text in texts:
+            yield self.encode(text.as_py() or "")
+
 
-    def of(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
+class Words(Whole):
+    """The same for TOKENIZER: no rule of it reaches over white space, nor from letters to marks. Keeps words it has met.
+
+    Arrow cuts texts at spaces and finds the different chunks and words of a batch; only words not met before reach the model.
+    """
 
+    def __init__(self, file: str):
+        super().__init__(file)
+        self.words: dict[str, bytes] = {}
+        self.as_bytes = str.maketrans({chr(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)})
+
+    def _word(self, word: str) -> bytes:
+        """A word that LETTERS matches, in lower case: the model alone does."""
+        out = self.words.get(word)
+        if out is None:
+            if len(self.words) >= WORDS:
+                self.words.clear()
+            found = self.tokenizer.model.tokenize(word.translate(self.as_bytes))
+            out = self.words[word] = pack_ids(f"<{len(found)}I", *[t.id for t in found])
+        return out
+
+    def _odd(self, chunk: str) -> bytes:
+        """Any other chunk; short ones are kept, too."""
+        if (out := self.words.get(chunk)) is None:
+            out = self.encode(chunk)
+            if len(chunk) < 48:
+                self.words[chunk] = out
+        return out
 
-_ids: dict[str, Ids] = {}
+    def _chunks(self, chunks: pa.Array) -> list[bytes]:
+        """The ids of different chunks without spaces."""
+        words = pc.utf8_rtrim(chunks, MARKS)
+        plain = pc.match_substring_regex(words, LETTERS)
+        lower = pc.utf8_lower(words.filter(plain)).dictionary_encode()
+        known = list(map(self._word, lower.dictionary.to_pylist()))
+        marks = pc.replace_substring_regex(chunks.filter(plain), f"^[^{MARKS}]*", "").dictionary_encode()
+        behind = [self.encode(x) for x in marks.dictionary.to_pylist()]
+        found = iter([known[i] + behind[j] for i, j in zip(lower.indices.to_pylist(), marks.indices.to_pylist())])
+        other = map(self._odd, chunks.filter(pc.invert(plain)).to_pylist())
+        return [next(found) if x else next(other) for x in plain.to_pylist()]
+
+    def of(self, texts: pa.Array) -> Iterator[bytes]:
+        parts = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        rows, coded = parts.offsets.to_numpy() - parts.offsets[0].as_py(), parts.flatten().dictionary_encode()
+        ids = self._chunks(coded.dictionary)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begins, held, seen = np.cumsum(size) - size, np.frombuffer(b"".join(ids), "<u4"), coded.indices.to_numpy()
+        out = []
+        for k in range(0, len(seen), STEP):
+            chosen = seen[k : k + STEP]
+            sizes = size[chosen]
+            ends = np.cumsum(sizes)
+            out.append(held[np.arange(sizes.sum()) + np.repeat(begins[chosen] - ends + sizes, sizes)])
+        flat = np.concatenate(out) if out else held[:0]
+        cuts = np.concatenate([[0], np.cumsum(size[seen])])[rows]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            yield flat[a:b].tobytes()
+
+
+_ids: dict[str, Whole] = {}
 
 
 class Packer:
@@ -155,11 +214,12 @@ def pack(docs: DataFrame, size: int = SIZE, open_windows: int = OPEN, tokenizer:
         return _rows(windows(), round_, pa.schema(list(zip(names, [first, *plain]))))
 
     def tokenized(batches):
-        known = _ids.get(tokenizer) or _ids.setdefault(tokenizer, Ids(tokenizer))
+        if (known := _ids.get(tokenizer)) is None:
+            known = _ids[tokenizer] = (Words if tokenizer == TOKENIZER else Whole)(tokenizer)
 
         def pieces(batch):
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = known.of(text.as_py()) + ending
+            for doc_id, ids in zip(batch["doc_id"], known.of(batch["text"])):
+                ids += ending
                 yield doc_id.as_py(), 0, ids, len(ids) // 4
 
         batches = iter(batches)

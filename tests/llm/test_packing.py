@@ -69,6 +69,18 @@ def test_odd_texts(spark, tokenizer):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_kept_words(tokenizer, monkeypatch):
+    """The ids of words that a worker keeps are those of whole texts, also when it forgets them."""
+    monkeypatch.setattr(packing, "WORDS", 5)
+    monkeypatch.setattr(packing, "STEP", 7)
+    words, whole = packing.Words("word_bpe_49k.json"), packing.Whole("word_bpe_49k.json")
+    letters = "".join(chr(c) for c in range(0xC0, 0x100)) + "AZaz"
+    texts = [" ".join(f"{a}x{b}" for a in letters for b in letters), " ".join(f"{a}{m}" for a in letters for m in (".", "!?", "...", "'s", "'S", ",5", "×", "÷", "\u0301")), "don't DON'T we'll. l'd's, it's;", "a\u0301bc e\u0301, A\u030a. \u0130 \u212a \ufb01 \u01c5 \u00df\u1e9e", "a,b .a. ... !", None, "", "x" * 60 + "."]
+    texts = pa.array([t + " \U0001f600\u00a0\u2003x\ty " if t and k % 2 else t for k, t in enumerate(texts)])
+    assert list(words.of(texts)) == list(whole.of(texts)) and list(words.of(texts[2:4])) == list(whole.of(texts[2:4]))
+    assert list(words.of(texts[:0])) == []
+
+
 def test_best_fit_and_the_fullest():
     p = packing.Packer(10, 2)
     put = lambda i, n: [[(d, s, len(x) // 4) for d, s, x, _ in w] for w in p.add(i, 0, b"\0" * 4 * n, n)]
