@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, fingerprint, html, langid, mixing, neardup, packing, quality, spelling, toxicity, urlfilter
+from . import chat, decontam, fingerprint, html, langid, lexical, mixing, neardup, packing, quality, spelling, toxicity, urlfilter
 
 
 def queries() -> dict:
@@ -18,9 +18,16 @@ def queries() -> dict:
         "op9_benchmark_decontamination": decontam.op9,
         "op10_toxicity": toxicity.op10,
         "op11_spelling_variants": spelling.op11,
+        "op12_lexical_search": lexical.op12,
         "op13_packing": packing.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": mixing.OP2_SQL, "op5_url_filters": urlfilter.OP5_SQL, "op9_benchmark_decontamination": decontam.OP9_SQL, "op11_spelling_variants": spelling.OP11_SQL}
+    return {
+        "op2_source_mixing": mixing.OP2_SQL,
+        "op5_url_filters": urlfilter.OP5_SQL,
+        "op9_benchmark_decontamination": decontam.OP9_SQL,
+        "op11_spelling_variants": spelling.OP11_SQL,
+        "op12_lexical_search": lexical.OP12_SQL,
+    }
