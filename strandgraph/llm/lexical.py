@@ -146,11 +146,28 @@ def postings(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return terms, key // len(n) if len(n) else key, key % len(n) if len(n) else key, tf, n
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with a term and all their terms, by batch: beginnings of runs of word bytes."""
+    for b in batches:
+        data, off = T.views(b["text"])
+        documents = words = 0
+        for i, j in T.row_blocks(off):
+            own = off[i : j + 1] - off[i]
+            inside = T.WORD_BYTE[data[off[i] : off[j]]] != 0
+            first = inside.copy()
+            first[1:] &= ~inside[:-1]
+            begins = own[:-1][np.diff(own) > 0]
+            first[begins] = inside[begins]
+            seen = np.concatenate([[0], np.cumsum(first)])[own]
+            documents += int((np.diff(seen) > 0).sum())
+            words += int(seen[-1])
+        yield pa.RecordBatch.from_arrays([pa.array([documents], pa.int64()), pa.array([words], pa.int64())], ["documents", "words"])
+
+
 def totals(docs: DataFrame) -> tuple[int, int]:
     """Documents with a term, and all their terms."""
-    n = docs.select(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(TERM)).alias("n")).filter("n > 0")
-    found = n.agg(F.count("*"), F.sum(F.col("n").cast("bigint"))).first()
-    return found[0], found[1] or 0
+    found = map_arrow(docs.select("text"), _counts, "documents bigint, words bigint").agg(F.sum("documents"), F.sum("words")).first()
+    return found[0] or 0, found[1] or 0
 
 
 def index(docs: DataFrame, documents: int, words: int) -> DataFrame:

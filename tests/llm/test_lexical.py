@@ -84,6 +84,13 @@ def test_against_scoring_all(spark, monkeypatch, seed, group, limit, batch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_totals(spark):
+    texts = ["a b", "", None, "a", "b", " c", "d ", "é9 x-y", "--", "e" * 50 + " f"]
+    docs = spark.createDataFrame([(k, t, "", "", "", "") for k, t in enumerate(texts)], DOCS).coalesce(1)
+    want = [len(terms(t)) for t in texts]
+    assert lexical.totals(docs) == (sum(n > 0 for n in want), sum(want))
+
+
 def test_no_rows(spark):
     docs, items = spark.createDataFrame([(1, "a b", "", "", "", "")], DOCS), spark.createDataFrame([(1, "a", "", "")], ITEMS)
     assert run(docs.limit(0), items) == [] and run(docs, items.limit(0)) == [] and run(docs.withColumn("text", docs.text.substr(9, 9)), items) == []
