@@ -82,27 +82,31 @@ def shortest_paths(edges: DataFrame, start: DataFrame, depth: int | None = None)
     return seen
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node_id, comp): weakly connected components, named by their smallest node, by contraction.
+def components(nodes: DataFrame, edges: DataFrame, by: list[str] | tuple = ()) -> DataFrame:
+    """(*by, node_id, comp): weakly connected components, named by their smallest node, by contraction.
 
+    by: columns of nodes and edges; each group of them is a graph of its own, and one node may be in many groups.
     A round maps every node to the smallest of itself and its neighbours and jumps once along that map; edges are
     contracted, so that few rounds remain and none moves more than the edges left.
     """
-    live = written(build.undirected(edges).select("a", "b"), "cc")
+    by = list(by)
+    pairs = edges.filter("src <> dst").select(*by, F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct() if by else build.undirected(edges)
+    live = written(pairs.select(*by, "a", "b"), "cc")
     names = None
     while not live.isEmpty():
-        near = live.select(F.col("a").alias("node_id"), F.col("b").alias("to")).unionByName(live.select(F.col("b").alias("node_id"), F.col("a").alias("to")))
-        step = written(near.groupBy("node_id").agg(F.min("to").alias("to")).select("node_id", F.least("node_id", "to").alias("to")), "cc")
-        jump = written(step.alias("s").join(step.alias("t"), F.col("s.to") == F.col("t.node_id")).select(F.col("s.node_id"), F.col("t.to").alias("to")), "cc")
-        before, names = names, jump if names is None else names.alias("n").join(jump.alias("j"), F.col("n.to") == F.col("j.node_id"), "left").select(F.col("n.node_id"), F.coalesce("j.to", "n.to").alias("to"))
+        near = live.select(*by, F.col("a").alias("node_id"), F.col("b").alias("to")).unionByName(live.select(*by, F.col("b").alias("node_id"), F.col("a").alias("to")))
+        step = written(near.groupBy(*by, "node_id").agg(F.min("to").alias("to")).select(*by, "node_id", F.least("node_id", "to").alias("to")), "cc")
+        further = step.select(*by, F.col("node_id").alias("to"), F.col("to").alias("next"))
+        jump = written(step.join(further, [*by, "to"]).select(*by, "node_id", F.col("next").alias("to")), "cc")
+        before, names = names, jump if names is None else names.join(jump.select(*by, F.col("node_id").alias("to"), F.col("to").alias("next")), [*by, "to"], "left").select(*by, "node_id", F.coalesce("next", "to").alias("to"))
         names = written(names, "cc")
-        x, y = jump.select(F.col("node_id").alias("a"), F.col("to").alias("x")), jump.select(F.col("node_id").alias("b"), F.col("to").alias("y"))
-        left = written(live.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct(), "cc")
+        x, y = jump.select(*by, F.col("node_id").alias("a"), F.col("to").alias("x")), jump.select(*by, F.col("node_id").alias("b"), F.col("to").alias("y"))
+        left = written(live.join(x, [*by, "a"]).join(y, [*by, "b"]).select(*by, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct(), "cc")
         discard(live, step, jump, *([] if before is None else [before]))
         live = left
     if names is None:
-        return nodes.select("node_id", F.col("node_id").alias("comp"))
-    return nodes.select("node_id").join(names, "node_id", "left").select("node_id", F.coalesce("to", "node_id").alias("comp"))
+        return nodes.select(*by, "node_id", F.col("node_id").alias("comp"))
+    return nodes.select(*by, "node_id").join(names, [*by, "node_id"], "left").select(*by, "node_id", F.coalesce("to", "node_id").alias("comp"))
 
 
 def degree_centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -141,19 +145,20 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tol: float
 
 
 def group_pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tol: float = 1e-6, rounds: int = 100) -> DataFrame:
-    """grp, node_id, rank: PageRank within each group of nodes(grp, node_id); edges(src, dst, weight) lie inside groups.
+    """grp, node_id, rank: PageRank within each group of nodes(grp, node_id), by edges(grp, src, dst, weight). A node may be
+    in many groups.
 
     All groups take their rounds together; one whose own L1 change is below its n * tol leaves with its ranks.
     """
-    out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
-    share = written(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("w")), "gp")
-    start = nodes.select("grp", "node_id").join(nodes.groupBy("grp").agg(F.count("*").cast("double").alias("n")), "grp").join(out.withColumnRenamed("src", "node_id"), "node_id", "left")
+    out = edges.groupBy("grp", "src").agg(F.sum("weight").alias("out"))
+    share = written(edges.join(out, ["grp", "src"]).select("grp", "src", "dst", (F.col("weight") / F.col("out")).alias("w")), "gp")
+    start = nodes.select("grp", "node_id").join(nodes.groupBy("grp").agg(F.count("*").cast("double").alias("n")), "grp").join(out.withColumnRenamed("src", "node_id"), ["grp", "node_id"], "left")
     rank, done = written(start.select("grp", "node_id", "n", F.col("out").isNull().alias("ends"), (1 / F.col("n")).alias("rank")), "gp"), []
     for r in range(rounds):
         lost = rank.filter("ends").groupBy("grp").agg(F.sum("rank").alias("lost"))
-        flow = share.join(rank.select(F.col("node_id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum(F.col("rank") * F.col("w")).alias("flow"))
+        flow = share.join(rank.select("grp", F.col("node_id").alias("src"), "rank"), ["grp", "src"]).groupBy("grp", F.col("dst").alias("node_id")).agg(F.sum(F.col("rank") * F.col("w")).alias("flow"))
         value = alpha * (F.coalesce("flow", F.lit(0.0)) + F.coalesce("lost", F.lit(0.0)) / F.col("n")) + (1 - alpha) / F.col("n")
-        new = written(rank.join(flow, "node_id", "left").join(lost, "grp", "left").select("grp", "node_id", "n", "ends", value.alias("rank"), F.col("rank").alias("old")), "gp")
+        new = written(rank.join(flow, ["grp", "node_id"], "left").join(lost, "grp", "left").select("grp", "node_id", "n", "ends", value.alias("rank"), F.col("rank").alias("old")), "gp")
         change = new.groupBy("grp").agg((F.sum(F.abs(F.col("rank") - F.col("old"))) >= F.first("n") * tol).alias("open"))
         both = written(new.drop("old").join(change, "grp"), "gp")
         discard(new)
@@ -166,16 +171,14 @@ def group_pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tol:
 
 def eigenvector(nodes: DataFrame, edges: DataFrame, tol: float = 1e-6, rounds: int = 100) -> DataFrame:
     """node_id, cent: leading eigenvector of the undirected graph by power iteration from equal values, on A + I (which has
-    the same vectors and always converges). edges may have a weight; graphs of fewer than 10 nodes give shares of degree."""
+    the same vectors and always converges). edges may have a weight."""
     n = nodes.count()
     weight = F.col("weight") if "weight" in edges.columns else F.lit(1.0)
     pairs = edges.filter("src <> dst").select("src", "dst", weight.alias("w"))
     both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.max("w").alias("w"))
     both = written(both, "ev")
-    if n < 10:
-        degree = both.groupBy(F.col("src").alias("node_id")).agg(F.sum("w").alias("d"))
-        total = degree.agg(F.sum("d")).first()[0] or 1.0
-        return nodes.select("node_id").join(degree, "node_id", "left").select("node_id", (F.coalesce("d", F.lit(0.0)) / total).alias("cent"))
+    if not n:
+        return nodes.select("node_id", F.lit(0.0).alias("cent"))
     # a node's own value is an edge to itself, so that a step reads the values once
     loops = nodes.select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"), F.lit(1.0).alias("w"))
     n_edges = both.count()

@@ -215,7 +215,7 @@ def by_centrality(releases: DataFrame, edges: DataFrame, how: str, limit: float,
     score = small.groupBy("software_id").applyInPandas(central, "software_id bigint, node_id bigint, score double")
     if not sizes.filter("large").isEmpty():
         wide = written(own.join(sizes.filter("large"), "software_id", "left_semi").select(F.col("software_id").alias("grp"), "node_id"), "lo")
-        ways = pairs.filter("large").select("src", "dst", "weight")
+        ways = pairs.filter("large").select(F.col("software_id").alias("grp"), "src", "dst", "weight")
         found = graph.betweenness(wide, ways).join(wide, "node_id").withColumnRenamed("cent", "rank") if how == "betweenness" else graph.group_pagerank(wide, ways)
         score = score.unionByName(found.select(F.col("grp").alias("software_id"), "node_id", F.col("rank").alias("score")))
     score = written(score, "lo")

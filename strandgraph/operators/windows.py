@@ -258,24 +258,11 @@ def probe(nodes: DataFrame, edges: DataFrame, shares: list[float], how: str = "s
     return out
 
 
-def recommend(nodes: DataFrame, edges: DataFrame, pilot: int, multipliers=(0.5, 0.65, 0.8, 1.0), beta: float = 1.0) -> DataFrame:
-    """Candidates of window size and step with their scores, best first: pilot series -> time scales -> candidates -> scores."""
-    scale = time_scales(window_series(nodes, edges, pilot, max(1, pilot // 2), "pilot")).first()
-    base = pilot if scale is None else max(pilot, int(scale["tau_chg"]))
-    sizes = {f"{m:g}": max(1, int(base * m)) for m in multipliers}
-    series = None
-    for name, size in sizes.items():
-        one = window_series(nodes, edges, size, max(1, size // 2), name)
-        series = one if series is None else series.unionByName(one)
-    size_of = F.create_map(*(F.lit(x) for p in sizes.items() for x in p))
-    return candidate_scores(series, beta).select(F.col("series").alias("candidate"), size_of[F.col("series")].cast("long").alias("size"), "s", "c", "r", "score").orderBy(F.desc("score"), "candidate")
-
-
 def window_series(nodes: DataFrame, edges: DataFrame, size: int, step: int, name: str, method: str = "mean") -> DataFrame:
     """(series, t, value): influence of degree centrality in each sliding window, at the window's middle."""
     lo = nodes.agg(F.min("ts")).first()[0] or 0
     value = influence(window_degrees(nodes, edges, size, step).withColumnRenamed("cent", "score"), ["wid"], method)
-    return value.select(F.lit(name).alias("series"), (F.lit(lo) + F.col("wid") * step + size // 2).cast("long").alias("t"), F.col("influence").alias("value"))
+    return value.select(F.lit(name).alias("series"), (F.lit(lo) + F.col("wid").cast("long") * step + size // 2).cast("long").alias("t"), F.col("influence").alias("value"))
 
 
 def cve_window(cves: DataFrame, nodes: DataFrame, years: float = 2.0) -> DataFrame:

@@ -86,7 +86,7 @@ _EIGEN = """, ev(i, node_id, n, x, base) AS (
 SELECT node_id, round(x, 6) AS cent FROM ev WHERE i = (SELECT max(i) FROM ev)"""
 
 
-@query("j04_window_eigenvector", CANON + ", both_ways AS MATERIALIZED (SELECT src, dst, 1.0::DOUBLE AS w FROM family_edges UNION SELECT dst, src, 1.0::DOUBLE FROM family_edges)" + _EIGEN)
+@query("j04_eigenvector", CANON + ", both_ways AS MATERIALIZED (SELECT src, dst, 1.0::DOUBLE AS w FROM family_edges UNION SELECT dst, src, 1.0::DOUBLE FROM family_edges)" + _EIGEN)
 def _(t):
     nodes, edges = _small(t)
     return graph.eigenvector(nodes, edges).select("node_id", F.round("cent", 6).alias("cent"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import aggregate, build, graph, windows
+from ..operators import aggregate, build, graph, window_graph, windows
 from ..streaming import events as stream
 from .registry import query
 from .tables import CANON
@@ -89,10 +89,75 @@ def _(t):
 
 @query("l07_window_recommendation")
 def _(t):
+    nodes, edges = _read_again(t)
+    rows = window_graph.recommend(nodes, edges, alpha=0.1, coverage=0.9)
+    return rows.select("candidate", "size", "step", F.round("score", 6).alias("score"), "distance", F.round("prominence", 12).alias("prominence"), "connected")
+
+
+def _read_again(t):
+    """Nodes and edges, written once, as several rounds and candidates read them."""
     from ..sources.shared import written
 
-    nodes, edges = written(t.releases.select("node_id", "ts"), "nodes"), written(t.dep_edges, "edges")  # read by every candidate
-    return windows.recommend(nodes, edges, HALF_YEAR).select("candidate", "size", F.round("score", 6).alias("score"))
+    return written(t.releases.select("node_id", "ts"), "nodes"), written(t.dep_edges, "edges")
+
+
+_GROUPS = _WIN + """, own AS MATERIALIZED (SELECT wid, node_id, CAST(count(*) OVER (PARTITION BY wid) AS DOUBLE) AS n FROM win JOIN releases ON ts >= t_s AND ts < t_e),
+inner_ AS MATERIALIZED (SELECT p.wid, src, dst FROM dep_edges JOIN own p ON p.node_id = src JOIN own q ON q.node_id = dst AND q.wid = p.wid)"""
+
+_RANKS = _GROUPS + """, outs AS MATERIALIZED (SELECT wid, src, count(*) AS k FROM inner_ GROUP BY ALL), ways AS MATERIALIZED (SELECT wid, src, dst, 1.0::DOUBLE / k AS w FROM inner_ JOIN outs USING (wid, src)),
+pr(i, wid, node_id, ends, n, rank, going) AS (
+  SELECT 0, own.wid, node_id, src IS NULL, n, CAST(1.0 / n AS DOUBLE), true FROM own LEFT JOIN outs ON src = node_id AND outs.wid = own.wid
+  UNION ALL SELECT i + 1, wid, node_id, ends, n, fresh, sum(abs(fresh - rank)) OVER (PARTITION BY wid) >= n * 1e-6
+  FROM (SELECT p.*, 0.85::DOUBLE * (coalesce(f.flow, 0) + sum(CASE WHEN ends THEN rank ELSE 0 END) OVER (PARTITION BY p.wid) / n) + 0.15::DOUBLE / n AS fresh
+    FROM pr p LEFT JOIN (SELECT w.wid, w.dst, sum(q.rank * w.w) AS flow FROM pr q JOIN ways w ON w.src = q.node_id AND w.wid = q.wid GROUP BY ALL) f ON f.dst = p.node_id AND f.wid = p.wid WHERE p.going AND p.i < 100)),
+ranked AS MATERIALIZED (SELECT wid, node_id, arg_max(rank, i) AS cent FROM pr GROUP BY ALL)"""
+
+
+@query("j04_window_pagerank", CANON + _RANKS + " SELECT wid, node_id, round(cent, 9) AS cent FROM ranked")
+def _(t):
+    return window_graph.pagerank(*_read_again(t), YEAR, HALF_YEAR).select("wid", "node_id", F.round("cent", 9).alias("cent"))
+
+
+@query("l02_pagerank_series", CANON + _RANKS + f" SELECT CAST(lo + wid * {HALF_YEAR} + {YEAR // 2} AS BIGINT) AS t, round(avg(cent), 9) AS value FROM (SELECT wid, cent, row_number() OVER (PARTITION BY wid ORDER BY cent DESC) AS k FROM ranked), b WHERE k <= 5 GROUP BY ALL")
+def _(t):
+    return window_graph.centrality_series(*_read_again(t), YEAR, HALF_YEAR, "releases").select("t", F.round("value", 9).alias("value"))
+
+
+@query("j04_window_eigenvector", CANON + _GROUPS + """, ways AS MATERIALIZED (SELECT wid, src, dst FROM inner_ UNION SELECT wid, dst, src FROM inner_),
+ev(i, wid, node_id, n, x, base, going) AS (
+  SELECT 0, wid, node_id, n, 1 / sqrt(n), 1 / sqrt(n), true FROM own WHERE n >= 10
+  UNION ALL SELECT i + 1, wid, node_id, n, fresh, CASE WHEN (i + 1) % 5 = 0 THEN fresh ELSE base END, (i + 1) % 5 > 0 OR 2 - 2 * sum(fresh * base) OVER (PARTITION BY wid) >= n * 1e-12
+  FROM (SELECT p.*, (x + coalesce(y, 0)) / sqrt(sum((x + coalesce(y, 0)) ** 2) OVER (PARTITION BY p.wid)) AS fresh
+    FROM ev p LEFT JOIN (SELECT w.wid, w.dst, sum(q.x) AS y FROM ev q JOIN ways w ON w.src = q.node_id AND w.wid = q.wid GROUP BY ALL) f ON f.dst = p.node_id AND f.wid = p.wid WHERE p.going AND p.i < 100)),
+deg AS (SELECT wid, src AS node_id, count(*) AS d FROM ways GROUP BY ALL)
+SELECT wid, node_id, round(arg_max(x, i), 6) AS cent FROM ev GROUP BY ALL
+UNION ALL SELECT o.wid, o.node_id, round(coalesce(d / sum(d) OVER (PARTITION BY o.wid), 0), 6) FROM own o LEFT JOIN deg ON deg.wid = o.wid AND deg.node_id = o.node_id WHERE n < 10""")
+def _(t):
+    return window_graph.eigenvector(*_read_again(t), YEAR, HALF_YEAR).select("wid", "node_id", F.round("cent", 6).alias("cent"))
+
+
+_WIDTHS = (YEAR // 12, HALF_YEAR, YEAR)
+
+
+@query("j21_window_components", CANON + f""", b AS (SELECT min(ts) AS lo, max(ts) AS hi FROM releases), widths AS (SELECT unnest([{", ".join(map(str, _WIDTHS))}]) AS width),
+win AS (SELECT width, k AS wid, lo + k * (width // 2) AS t_s FROM widths, b, unnest(range(0, CAST(ceil((hi - lo) / (width / 2)) AS BIGINT))) AS q(k)),
+own AS MATERIALIZED (SELECT width, wid, node_id FROM win JOIN releases ON ts >= t_s AND ts < t_s + width),
+ways AS MATERIALIZED (SELECT p.width, p.wid, e.src, e.dst FROM (SELECT src, dst FROM dep_edges UNION SELECT dst, src FROM dep_edges) e JOIN own p ON p.node_id = e.src JOIN own q ON q.node_id = e.dst AND q.wid = p.wid AND q.width = p.width),
+reach(width, wid, node_id, comp) USING KEY (width, wid, node_id) AS (SELECT width, wid, node_id, node_id FROM own
+UNION SELECT e.width, e.wid, e.dst, min(r.comp) FROM reach r JOIN ways e ON e.src = r.node_id AND e.wid = r.wid AND e.width = r.width
+  JOIN recurring.reach AS had ON had.node_id = e.dst AND had.wid = e.wid AND had.width = e.width WHERE r.comp < had.comp GROUP BY ALL),
+sizes AS (SELECT width, wid, comp, count(*) AS k FROM reach GROUP BY ALL)
+SELECT width, wid, CAST(sum(k) AS BIGINT) AS n, round(max(k) / sum(k), 9) AS share FROM sizes GROUP BY width, wid HAVING sum(k) >= 2""")
+def _(t):
+    """Half-overlapping windows of a month, half a year and a year."""
+    return window_graph.connected_shares(*_read_again(t), list(_WIDTHS)).select("width", "wid", "n", F.round("share", 9).alias("share"))
+
+
+@query("j21_connected_width")
+def _(t):
+    """The least width of which nine of ten windows have a tenth of their nodes connected."""
+    nodes, edges = _read_again(t)
+    return t.spark.range(1).select(F.lit(window_graph.connected_width(nodes, edges, 0.1, 0.9)).alias("width"))
 
 
 @query("l08_event_grid", CANON + ", f AS (SELECT r.node_id, coalesce(min(e.ts), min(r.ts)) AS t FROM releases r LEFT JOIN cve_list e USING (node_id) GROUP BY r.node_id) SELECT (t + 2591999999) // 2592000000 * 2592000000 AS t, count(*) AS n FROM f GROUP BY 1")
