@@ -7,8 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: So many queries are broadcast at a time; more go in further blocks.
-BLOCK = 2048
+from . import nearest
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -22,49 +21,11 @@ def normalise(v: Column) -> Column:
 
 
 def exact(queries: DataFrame, points: DataFrame, k: int, other_nodes: bool = False) -> DataFrame:
-    """queries(qid, q) -> (qid, pid, node_id, distance, rank): the k nearest points of each, exactly.
+    """queries(qid, q) -> (qid, pid, node_id, distance, rank): the k nearest points of each, exactly (`nearest.join`).
 
-    A block of queries is broadcast to all points; each batch of points gives its own k nearest as one matrix product, and
-    the best of those are kept by a pre-aggregated window. other_nodes: without points of the query's node (column q_node).
+    other_nodes: without points of the query's node (column q_node).
     """
-    total = queries.count()
-    out = None
-    blocks = max(1, -(-total // BLOCK))
-    part = F.pmod(F.xxhash64("qid"), F.lit(blocks))
-    kind = points.schema["pid"].dataType.simpleString()
-    qkind, nkind = queries.schema["qid"].dataType.simpleString(), points.schema["node_id"].dataType.simpleString()
-    for b in range(blocks):
-        own = queries if blocks == 1 else queries.filter(part == b)
-        got = own.toArrow()
-        ids = got["qid"]
-        nodes = np.array(got["q_node"].to_pylist(), object) if other_nodes else None
-        matrix = np.array(got["q"].to_pylist(), np.float64)
-        held = queries.sparkSession.sparkContext.broadcast((ids.to_pylist(), matrix, nodes))
-
-        def run(batches, held=held):
-            ids, matrix, nodes = held.value
-            if not len(ids):
-                return
-            for batch in batches:
-                v = np.array(batch["embedding"].to_pylist(), np.float64)
-                d = 1 - v @ matrix.T
-                pid = np.array(batch["pid"].to_pylist(), object)
-                own = np.array(batch["node_id"].to_pylist(), object)
-                rows = []
-                for j in range(len(ids)):
-                    dj = np.where(own == nodes[j], np.inf, d[:, j]) if nodes is not None else d[:, j]
-                    n = min(k, len(dj))
-                    edge = np.partition(dj, n - 1)[n - 1]
-                    near = np.flatnonzero((dj <= edge) & np.isfinite(dj))  # ties at the edge all go on
-                    rows += [(ids[j], pid[i], own[i], float(dj[i])) for i in near]
-                if rows:
-                    c = list(zip(*rows))
-                    yield pa.RecordBatch.from_pydict({"qid": c[0], "pid": c[1], "node_id": c[2], "distance": c[3]}, schema=pa.schema([("qid", pa.int64()), ("pid", pa.int64()), ("node_id", pa.int32() if nkind == "int" else pa.int64()), ("distance", pa.float64())]))
-
-        hits = points.select("pid", "node_id", "embedding").mapInArrow(run, f"qid {qkind}, pid {kind}, node_id {nkind}, distance double")
-        out = hits if out is None else out.unionByName(hits)
-    order = Window.partitionBy("qid").orderBy("distance", "pid")
-    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return nearest.join(queries, points, k, other_nodes)[0]
 
 
 def node_scores(hits: DataFrame, how: str = "max") -> DataFrame:
@@ -101,8 +62,8 @@ def sampled(points: DataFrame, sample: int = 20_000) -> np.ndarray:
     """The vectors of about so many points, chosen by hash, in order of pid."""
     total = points.count()
     share = min(1.0, sample / max(total, 1))
-    got = points.filter(F.pmod(F.xxhash64("pid"), F.lit(1_000_000)) < int(share * 1_000_000)).orderBy("pid").select("embedding").toArrow()
-    return np.array(got["embedding"].to_pylist(), np.float64)
+    got = points.filter(F.pmod(F.xxhash64("pid"), F.lit(1_000_000)) < int(share * 1_000_000)).orderBy("pid").select(F.col("embedding").cast("array<double>").alias("v")).toArrow()
+    return nearest.matrix(got["v"].combine_chunks())
 
 
 def fit_centroids(v: np.ndarray, n: int, rounds: int = 8) -> np.ndarray:
@@ -137,11 +98,11 @@ def fit_probes(v: np.ndarray, centroids: np.ndarray, k: int, target: float = 0.9
     return int(place[int(np.ceil(target * len(place))) - 1]) + 1
 
 
-def approximate(queries: DataFrame, points: DataFrame, k: int, n_cells: int = 32, probes: int | None = None) -> DataFrame:
+def approximate(queries: DataFrame, points: DataFrame, k: int, n_cells: int | None = None, probes: int | None = None) -> DataFrame:
     """As exact(), over the points of each query's nearest cells only: an inverted file, every point indexed. Without a
-    number of probes, that which gives a recall of 0.95 in the sample that the cells are fitted on."""
+    number of probes, that which gives a recall of 0.95 in the sample that the cells are fitted on. Cells grow in number with the points."""
     sample = sampled(points)
-    centroids = fit_centroids(sample, n_cells)
+    centroids = fit_centroids(sample, n_cells or max(32, nearest.n_cells(points.count())))
     probes = fit_probes(sample, centroids, k) if probes is None else probes
     index = cells(points.select("pid", "node_id", "embedding"), centroids)
     asked = cells(queries.select("qid", F.col("q").alias("embedding")), centroids, probes).select("qid", F.col("embedding").alias("q"), "cell")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scores, versions
-from ..operators import aggregate, build, graph, localise, vectors, windows
+from ..operators import aggregate, build, graph, localise, nearest, vectors, windows
 from .registry import query
 from .tables import CANON
 
@@ -283,7 +283,7 @@ def _(t):
 def _(t):
     """The inverted file: every point with its nearest centroid."""
     points = t.points.select("pid", "node_id", "embedding")
-    return vectors.cells(points, vectors.fit_centroids(vectors.sampled(points), 32)).select("pid", "cell")
+    return vectors.cells(points, vectors.fit_centroids(vectors.sampled(points), max(32, nearest.n_cells(points.count())))).select("pid", "cell")
 
 
 _KNN = f", knn AS (SELECT a.pid AS qid, b.pid, b.node_id, 1 - list_dot_product({_E}, {_F}) AS d, CAST(row_number() OVER (PARTITION BY a.pid ORDER BY 1 - list_dot_product({_E}, {_F}), b.pid) AS INTEGER) AS rank FROM points a, points b WHERE a.pid % 50 = 0)"
@@ -294,6 +294,13 @@ def _(t):
     return vectors.exact(_queries(t), t.points, 10).select("qid", "pid", (F.round("distance", 6) + 0.0).alias("d"), "rank")
 
 
+@query("k03_cell_pairs")
+def _(t):
+    """Of all pairs of a query and a cell, those visited by the exact join, in its first round and later."""
+    met = nearest.join(_queries(t), t.points, 10)[1]
+    return met.agg(F.sum(c("n") * c("cells")).alias("pairs"), F.sum(c("n") * c("first")).alias("first"), F.sum(c("n") * c("later")).alias("later"))
+
+
 @query("k03_nearest_by_index")
 def _(t):
     return vectors.approximate(_queries(t), t.points, 10).select("qid", "pid", F.round("distance", 6).alias("d"), "rank")
