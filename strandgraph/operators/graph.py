@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import discard, written
-from . import build
+from . import build, paths
 
 #: Power steps between two written tables, of a large and of a small graph.
 STEPS, SMALL_STEPS = 5, 20
@@ -367,28 +367,40 @@ def hop_distance(edges: DataFrame, pairs: DataFrame, depth: int = 6, mode: str =
 
 
 def upstream(edges: DataFrame, targets: DataFrame, cve_nodes: DataFrame, depth: int = 10) -> DataFrame:
-    """targets(cve_id, node_id) -> (cve_id, target, node_id, depth): what a target depends on that carries the CVE."""
-    walk = multi_hops(edges, targets.select(F.col("node_id").alias("origin")).distinct(), depth).filter("depth > 0")
+    """targets(cve_id, node_id) -> (cve_id, target, node_id, depth, path): what a target depends on that carries the CVE, and
+    the nodes from the target to it, by least depth and then the smallest node before."""
+    walk = written(multi_hops(edges, targets.select(F.col("node_id").alias("origin")).distinct(), depth), "walk")
     asked = targets.select("cve_id", F.col("node_id").alias("target"))
-    return asked.join(walk, F.col("target") == F.col("origin")).join(cve_nodes.select("cve_id", "node_id").distinct(), ["cve_id", "node_id"]).select("cve_id", "target", "node_id", "depth")
+    carried = asked.join(walk.filter("depth > 0"), F.col("target") == F.col("origin")).join(cve_nodes.select("cve_id", "node_id").distinct(), ["cve_id", "node_id"])
+    return paths.along(walk, carried.select("origin", "node_id", "cve_id", "target", "depth")).select("cve_id", "target", "node_id", "depth", "path")
 
 
 def siblings(edges: DataFrame, targets: DataFrame, releases: DataFrame, cve_nodes: DataFrame) -> DataFrame:
-    """(cve_id, target, node_id, depth 2): other versions of what a target directly depends on that carry the CVE."""
+    """(cve_id, target, node_id, depth 2, path): other versions of what a target directly depends on that carry the CVE, by
+    the smallest such dependency."""
     r = releases.select("node_id", "software_id")
     direct = targets.select("cve_id", F.col("node_id").alias("target")).join(edges, F.col("target") == F.col("src")).select("cve_id", "target", F.col("dst").alias("via"))
     same = direct.join(r.select(F.col("node_id").alias("via"), "software_id"), "via").join(r, "software_id").filter("node_id <> via")
-    return same.join(cve_nodes.select("cve_id", "node_id").distinct(), ["cve_id", "node_id"]).select("cve_id", "target", "node_id", F.lit(2).alias("depth")).distinct()
+    found = same.join(cve_nodes.select("cve_id", "node_id").distinct(), ["cve_id", "node_id"]).groupBy("cve_id", "target", "node_id").agg(F.min("via").alias("via"))
+    return found.select("cve_id", "target", "node_id", F.lit(2).alias("depth"), F.array("target", "via", "node_id").alias("path"))
 
 
 def classify_origin(targets: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """targets with origin_type: propagated from the earliest upstream node that is earlier, else original."""
+    """targets with origin_type and evidence: propagated from the earliest node of found(cve_id, target, node_id, depth, via,
+    path) that is earlier than the target, else original.
+
+    Evidence: how that node was found (its depth, via and path; the least of these, if in several ways), the days between,
+    the number of earlier nodes, and of all that carry the CVE upstream.
+    """
     t = targets.select("cve_id", F.col("node_id").alias("target")).join(nodes.select(F.col("node_id").alias("target"), F.col("ts").alias("t_ts")), "target")
-    earlier = t.join(found, ["cve_id", "target"]).join(nodes.select("node_id", "ts"), "node_id").filter("ts < t_ts")
-    first = earlier.groupBy("cve_id", "target").agg(F.min(F.struct("ts", "node_id", "depth", "via")).alias("m"), F.count("*").alias("n_upstream"))
-    return t.join(first, ["cve_id", "target"], "left").select(
-        "cve_id", "target", F.when(F.col("m").isNotNull(), "propagated").otherwise("original").alias("origin_type"), F.coalesce("m.node_id", "target").alias("origin"), F.col("m.depth").alias("depth"), F.col("m.via").alias("via"), F.coalesce("n_upstream", F.lit(0)).alias("n_upstream")
-    )
+    dated = t.join(found, ["cve_id", "target"]).join(nodes.select("node_id", "ts"), "node_id").withColumn("earlier", F.col("ts") < F.col("t_ts"))
+    first = F.min(F.when(F.col("earlier"), F.struct("ts", "node_id", "depth", "via", "path"))).alias("m")
+    best = dated.groupBy("cve_id", "target").agg(first, F.countDistinct(F.when(F.col("earlier"), F.col("node_id"))).alias("n_earlier"), F.countDistinct("node_id").alias("n_upstream"))
+    return t.join(best, ["cve_id", "target"], "left").select(
+        "cve_id", "target", F.when(F.col("m").isNotNull(), "propagated").otherwise("original").alias("origin_type"), F.coalesce("m.node_id", "target").alias("origin"),
+        F.col("m.depth").alias("depth"), F.col("m.via").alias("via"), F.coalesce("m.path", F.array("target")).alias("path"), ((F.col("t_ts") - F.col("m.ts")) / 86_400_000).alias("days"),
+        F.coalesce("n_earlier", F.lit(0)).alias("n_earlier"), F.coalesce("n_upstream", F.lit(0)).alias("n_upstream"),
+    )
 
 
 def reference_paths(roots: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int = 6, downstream: bool = True) -> DataFrame:

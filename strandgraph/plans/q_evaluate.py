@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text, versions
-from ..operators import aggregate, build, evaluate, graph, ground_truth, localise, vectors
+from ..operators import aggregate, build, evaluate, graph, ground_truth, localise, paths, vectors
 from ..sources import advisories
+from ..sources.shared import shared_dir, written
 from .registry import query
 from .tables import CANON
 
@@ -125,10 +128,19 @@ def _(t):
     return ground_truth.merge_effect(t.releases, names.unionByName(more))
 
 
-@query("m10_paths_by_root", CANON + "SELECT src AS root, count(*) AS n, min(dst) AS lo FROM family_edges GROUP BY src")
+@query("m10_paths_by_root", CANON + """, st AS (SELECT e.dst AS src, e.src AS dst FROM family_edges e JOIN family a ON a.node_id = e.dst JOIN family b ON b.node_id = e.src WHERE b.ts >= a.ts),
+walk(origin, node_id, depth) AS (SELECT node_id, node_id, 0 FROM family WHERE node_id % 50 = 0 UNION SELECT origin, s.dst, depth + 1 FROM walk JOIN st s ON s.src = walk.node_id WHERE depth < 6),
+ld AS MATERIALIZED (SELECT origin, node_id, min(depth) AS depth FROM walk GROUP BY ALL),
+before AS MATERIALIZED (SELECT l.origin, l.node_id, min(e.src) AS parent FROM ld l JOIN st e ON e.dst = l.node_id JOIN ld p ON p.origin = l.origin AND p.node_id = e.src AND p.depth = l.depth - 1 WHERE l.depth > 0 GROUP BY ALL),
+pth(origin, node_id, path) AS (SELECT origin, node_id, CAST(node_id AS VARCHAR) FROM ld WHERE depth = 0 UNION ALL SELECT b.origin, b.node_id, path || '>' || b.node_id FROM pth JOIN before b ON b.origin = pth.origin AND b.parent = pth.node_id)
+SELECT 'CVE-' || origin AS cve_id, origin AS root_id, node_id AS leaf, path FROM pth WHERE node_id <> origin AND NOT EXISTS (SELECT 1 FROM before b WHERE b.origin = pth.origin AND b.parent = pth.node_id)""")
 def _(t):
-    paths = t.family_edges.groupBy(c("src").alias("root")).agg(F.array_sort(F.collect_list(F.struct("dst"))).alias("path"))
-    return paths.select("root", F.size("path").cast("long").alias("n"), c("path")[0]["dst"].alias("lo"))
+    """The reference paths of J19 through a store: written as steps, read again, and as node sequences by root and CVE."""
+    nodes, edges = written(t.family, "nodes"), written(t.family_edges, "edges")
+    roots = nodes.filter("node_id % 50 = 0").select(F.concat(F.lit("CVE-"), c("node_id").cast("string")).alias("cve_id"), "node_id", F.lit(0.8).alias("confidence"))
+    folder = f"{shared_dir(t.spark)}/path-store-{uuid.uuid4().hex}"
+    paths.store(graph.reference_paths(roots, edges, nodes), folder)
+    return paths.sequences(paths.load(t.spark, folder)).withColumn("path", paths.text(c("path")))
 
 
 _E = "CAST(a.embedding AS DOUBLE[])"

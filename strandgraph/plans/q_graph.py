@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scores, versions
-from ..operators import aggregate, build, graph, localise, nearest, vectors, windows
+from ..operators import aggregate, build, graph, localise, nearest, paths, vectors, windows
 from .registry import query
 from .tables import CANON
 
@@ -203,8 +203,12 @@ def _(t):
 
 _UP = """, walk(origin, node_id, depth) AS (SELECT DISTINCT node_id, node_id, 0 FROM cve_list WHERE node_id % 50 = 0 UNION SELECT origin, e.dst, depth + 1 FROM walk JOIN family_edges e ON e.src = walk.node_id WHERE depth < 10),
 grp AS (SELECT DISTINCT 'G' || (node_id % 3) AS cve_id, node_id FROM cve_list), tg AS (SELECT cve_id, node_id AS target FROM grp WHERE node_id % 50 = 0),
-up AS (SELECT tg.cve_id, target, w.node_id, min(depth) AS depth FROM tg JOIN walk w ON w.origin = target AND depth > 0 JOIN grp g ON g.cve_id = tg.cve_id AND g.node_id = w.node_id WHERE w.node_id <> target GROUP BY ALL)
+ld AS MATERIALIZED (SELECT origin, node_id, min(depth) AS depth FROM walk GROUP BY ALL),
+before AS MATERIALIZED (SELECT l.origin, l.node_id, min(e.src) AS parent FROM ld l JOIN family_edges e ON e.dst = l.node_id JOIN ld p ON p.origin = l.origin AND p.node_id = e.src AND p.depth = l.depth - 1 WHERE l.depth > 0 GROUP BY ALL),
+pth(origin, node_id, path) AS (SELECT origin, node_id, CAST(node_id AS VARCHAR) FROM ld WHERE depth = 0 UNION ALL SELECT b.origin, b.node_id, path || '>' || b.node_id FROM pth JOIN before b ON b.origin = pth.origin AND b.parent = pth.node_id),
+up AS (SELECT tg.cve_id, target, w.node_id, depth, path FROM tg JOIN ld w ON w.origin = target AND depth > 0 JOIN pth ON pth.origin = target AND pth.node_id = w.node_id JOIN grp g ON g.cve_id = tg.cve_id AND g.node_id = w.node_id WHERE w.node_id <> target)
 """
+_BESIDE = "SELECT cve_id, target, node_id, 2 AS depth, target || '>' || via || '>' || node_id AS path FROM (SELECT tg.cve_id, target, r.node_id, min(v.node_id) AS via FROM tg JOIN family_edges e ON e.src = target JOIN releases v ON v.node_id = e.dst JOIN releases r ON r.software_id = v.software_id AND r.node_id <> v.node_id JOIN grp g ON g.cve_id = tg.cve_id AND g.node_id = r.node_id GROUP BY ALL)"
 
 
 def _upstream(t):
@@ -217,19 +221,25 @@ def _upstream(t):
 
 @query("j16_upstream_search", CANON + _UP + "SELECT * FROM up")
 def _(t):
-    return _upstream(t)[4]
+    return _upstream(t)[4].withColumn("path", paths.text(c("path")))
 
 
-@query("j17_sibling_search", CANON + _UP + "SELECT DISTINCT tg.cve_id, target, r.node_id, 2 AS depth FROM tg JOIN family_edges e ON e.src = target JOIN releases v ON v.node_id = e.dst JOIN releases r ON r.software_id = v.software_id AND r.node_id <> v.node_id JOIN grp g ON g.cve_id = tg.cve_id AND g.node_id = r.node_id")
+@query("j17_sibling_search", CANON + _UP + _BESIDE)
 def _(t):
     nodes, edges, carry, targets, _ = _upstream(t)
-    return graph.siblings(edges, targets, t.releases, carry)
+    return graph.siblings(edges, targets, t.releases, carry).withColumn("path", paths.text(c("path")))
 
 
-@query("j18_origin_type", CANON + _UP + "SELECT tg.cve_id, tg.target, CASE WHEN count(u.node_id) > 0 THEN 'propagated' ELSE 'original' END AS origin_type, coalesce(min_by(u.node_id, struct_pack(a := n.ts, b := u.node_id)), tg.target) AS origin, count(u.node_id) AS n_upstream FROM tg LEFT JOIN (up u JOIN family n ON n.node_id = u.node_id) ON u.cve_id = tg.cve_id AND u.target = tg.target AND n.ts < (SELECT ts FROM family f WHERE f.node_id = tg.target) GROUP BY tg.cve_id, tg.target")
+@query("j18_origin_type", CANON + _UP + f""", found AS (SELECT *, 'graph' AS via FROM up UNION ALL SELECT *, 'version' FROM ({_BESIDE})),
+dated AS (SELECT tg.cve_id, tg.target, u.node_id, u.depth, u.via, u.path, n.ts, f.ts AS t_ts, n.ts < f.ts AS earlier FROM tg JOIN family f ON f.node_id = tg.target LEFT JOIN (found u JOIN family n ON n.node_id = u.node_id) ON u.cve_id = tg.cve_id AND u.target = tg.target),
+best AS (SELECT cve_id, target, any_value(t_ts) AS t_ts, min({{'ts': ts, 'node_id': node_id, 'depth': depth, 'via': via, 'path': path}}) FILTER (earlier) AS m, count(DISTINCT node_id) FILTER (earlier) AS n_earlier, count(DISTINCT node_id) AS n_upstream FROM dated GROUP BY ALL)
+SELECT cve_id, target, CASE WHEN m IS NULL THEN 'original' ELSE 'propagated' END AS origin_type, coalesce(m.node_id, target) AS origin, m.depth AS depth, m.via AS via, coalesce(m.path, CAST(target AS VARCHAR)) AS path,
+  round((t_ts - m.ts) / 86400000, 6) AS days, n_earlier, n_upstream FROM best""")
 def _(t):
-    nodes, _, _, targets, found = _upstream(t)
-    return graph.classify_origin(targets, found.withColumn("via", F.lit("graph")), nodes).select("cve_id", "target", "origin_type", "origin", "n_upstream")
+    nodes, edges, carry, targets, found = _upstream(t)
+    beside = graph.siblings(edges, targets, t.releases, carry)
+    both = found.withColumn("via", F.lit("graph")).unionByName(beside.withColumn("via", F.lit("version")))
+    return graph.classify_origin(targets, both, nodes).withColumn("path", paths.text(c("path"))).withColumn("days", F.round("days", 6))
 
 
 @query("j19_reference_paths", CANON + """, st AS (SELECT e.dst AS src, e.src AS dst FROM family_edges e JOIN family a ON a.node_id = e.dst JOIN family b ON b.node_id = e.src WHERE b.ts >= a.ts),
