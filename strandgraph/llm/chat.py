@@ -93,11 +93,14 @@ def storable(text: str) -> str:
     return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
-def checked(arguments: str, name: str | None, tools: dict[str, dict]) -> tuple[object, list[str]]:
-    """The value of a call's arguments, and what is wrong with it. Text that no parser here can hold is wrong, not a crash."""
+def checked(arguments: str, name: str | None, tools: dict[str, dict], closed: bool = True) -> tuple[object, list[str]]:
+    """The value of a call's arguments, and what is wrong with it. Text that no parser here can hold is wrong, not a crash.
+
+    closed: a tool without a schema is wrong; else its arguments need only be JSON.
+    """
     try:
         value = json.loads(arguments)
-        errors = schema_errors(value, tools[name]) if name in tools else [f"unknown tool {name}"]
+        errors = schema_errors(value, tools[name]) if name in tools else [f"unknown tool {name}"] * closed
         canonical(value)
     except RecursionError:
         return None, ["arguments nest too deeply"]
@@ -141,10 +144,10 @@ def placed(notes: DataFrame, calls: DataFrame) -> DataFrame:
     return near.select("conv", "turn", "text", F.when(F.col("conv").isNotNull() & F.col("turn").isNotNull(), F.coalesce("near", "start")).alias("call"))
 
 
-def link(calls: DataFrame, results: DataFrame, tools: dict[str, dict], notes: DataFrame | None = None) -> DataFrame:
+def link(calls: DataFrame, results: DataFrame, tools: dict[str, dict], notes: DataFrame | None = None, closed: bool = True) -> DataFrame:
     """calls(conv, turn, call, name, arguments JSON, uses array), results(conv, turn, call, content) -> a row for each call
     and each orphan: conv, call, turn, name, status, level, position, valid, errors, json. Columns besides are left out.
-    notes(conv, turn, role, text): turns that neither call nor answer, system turns among them."""
+    notes(conv, turn, role, text): turns that neither call nor answer, system turns among them. closed: as in `checked`."""
     calls = calls.select("conv", "turn", "call", "name", F.coalesce("arguments", F.lit("")).alias("arguments"), F.coalesce("uses", F.array().cast("array<string>")).alias("uses"))
     results = results.select("conv", F.col("turn").alias("r_turn"), "call", F.coalesce("content", F.lit("")).alias("content"))
     lost = F.col("conv").isNull() | F.col("call").isNull()
@@ -204,7 +207,7 @@ def link(calls: DataFrame, results: DataFrame, tools: dict[str, dict], notes: Da
                     out.append((False, errors, canonical({"conversation": r["conv"], "role": r["name"], "text": r["arguments"], "turn": r["turn"]})))
                     continue
                 if r["status"] != "orphan":
-                    value, wrong = checked(r["arguments"], r["name"], tools)
+                    value, wrong = checked(r["arguments"], r["name"], tools, closed)
                     errors += wrong
                 line = {"arguments": value, "conversation": r["conv"], "id": r["call"], "name": r["name"], "turn": r["turn"], "uses": sorted(r["uses"])}
                 if r["result"] is not None:
@@ -245,21 +248,30 @@ def parse(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def turns_as_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+def turns_as_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Plain conversations as tool use: a user's turn calls `reply`, the assistant's next turn is its result, and a call
-    uses the one before it. Identifiers say conversation and turn of the prompt."""
+    uses the user's turn two before it, if there is one. Identifiers say conversation and turn of the prompt. Third: the
+    assistant's turns that follow no user's turn."""
     name = lambda turn: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
     args = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("prompt"), "turn"))
-    user = messages.filter(F.col("role") == "user").select(F.col("conv_id").alias("conv"), "turn", name(F.col("turn")).alias("call"), F.lit("reply").alias("name"), args.alias("arguments"), F.when(F.col("turn") >= 2, F.array(name(F.col("turn") - 2))).otherwise(F.array().cast("array<string>")).alias("uses"))
-    back = messages.filter(F.col("role") == "assistant").select(F.col("conv_id").alias("conv"), "turn", name(F.col("turn") - 1).alias("call"), F.col("text").alias("content"))
-    return user, back
+    users, said = messages.filter(F.col("role") == "user"), messages.filter(F.col("role") == "assistant")
+    asked = users.select("conv_id", "turn").distinct()
+    has = lambda rows, back: rows.join(asked.select("conv_id", (F.col("turn") + back).alias("turn"), F.lit(True).alias("has_one")), ["conv_id", "turn"], "left")
+    uses = F.when(F.col("has_one"), F.array(name(F.col("turn") - 2))).otherwise(F.array().cast("array<string>"))
+    user = has(users.select("conv_id", "turn", "text"), 2).select(F.col("conv_id").alias("conv"), "turn", name(F.col("turn")).alias("call"), F.lit("reply").alias("name"), args.alias("arguments"), uses.alias("uses"))
+    said = has(said.select("conv_id", "turn", "role", "text"), 1)
+    back = said.filter("has_one").select(F.col("conv_id").alias("conv"), "turn", name(F.col("turn") - 1).alias("call"), F.col("text").alias("content"))
+    return user, back, said.filter("has_one IS NULL").select(F.col("conv_id").alias("conv"), "turn", "role", "text")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
-    """All of `conversations`: JSON tool calls as they are, turns of plain text as calls of `reply`, and all other turns."""
+    """All of `conversations`: JSON tool calls as they are, turns of plain text as calls of `reply`, and all other turns.
+
+    The table holds no schemas of tools, so arguments of tools but `reply` need only be JSON.
+    """
     messages = table(spark, sf_dir, "conversations")
     calls, results = parse(messages)
     is_call = (F.col("role") == "assistant") & F.from_json("text", "tool_calls array<string>")["tool_calls"].isNotNull()
-    plain_calls, plain_results = turns_as_calls(messages.filter(F.col("role").isin("user", "assistant") & ~F.coalesce(is_call, F.lit(False))))
+    plain_calls, plain_results, alone = turns_as_calls(messages.filter(F.col("role").isin("user", "assistant") & ~F.coalesce(is_call, F.lit(False))))
     notes = messages.filter(F.col("role").isNull() | ~F.col("role").isin("user", "assistant", "tool")).select(F.col("conv_id").alias("conv"), "turn", "role", "text")
-    return link(calls.unionByName(plain_calls), results.unionByName(plain_results), TOOLS, notes)
+    return link(calls.unionByName(plain_calls), results.unionByName(plain_results), TOOLS, notes.unionByName(alone), closed=False)

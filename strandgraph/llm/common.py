@@ -80,10 +80,12 @@ def bounded_sample(rows: DataFrame, max_rows: int, max_bytes: int, by: Column |
     """At most max_rows of the different texts of rows(text, ...), and max_bytes of text, in each of the few classes `by`.
 
     By hash of the text, so copies count once and the rows of one doc_id, or none, are no group. First a share of about
-    max_rows texts is picked; of these, few and without their texts, a running sum ends where a bound is met.
+    max_rows texts is picked; of these, few and without their texts, a running sum ends where a bound is met. Texts that take
+    more than a quarter of max_bytes are left out, so that one can't end the sum.
     """
     by = F.lit(0) if by is None else by
     size, text = F.octet_length("text"), F.col("text")
+    rows = rows.filter(size <= max_bytes // 4)
     share = hash_share(rows, text, F.least(F.lit(float(max_rows)), max_bytes / F.greatest(F.avg(size), F.lit(1.0))), by)
     if share is None:
         return rows

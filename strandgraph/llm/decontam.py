@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as T
-from .common import map_arrow, materialize, table
+from .common import map_arrow, materialize, table, unused
 
 WINDOW, SLICE_WORDS, FILTER_BITS = 10, 1_000_000, 22
 
@@ -148,36 +148,62 @@ def _passed(rows: DataFrame, held, last: bool) -> DataFrame:
 def remove(docs: DataFrame, benchmark: DataFrame, max_words: int = SLICE_WORDS, spans: bool = False) -> DataFrame:
     """Without the contaminated documents, all columns kept; or with spans=True all documents, without the hit spans.
 
-    A removed span runs from the first byte of its first hit word to the last byte of its last one.
+    A removed span runs from the first byte of its first hit word to the last byte of its last one. The places of hit words
+    go with a document through all slices, and its spans are cut once, after the last.
     """
+    return _cut(docs, benchmark, max_words) if spans else _drop(docs, benchmark, max_words)
+
+
+def _drop(docs: DataFrame, benchmark: DataFrame, max_words: int) -> DataFrame:
     for one, last in slices(benchmark, max_words):
         held = docs.sparkSession.sparkContext.broadcast(one)
 
         def run(batches, held=held):
             for b in batches:
                 data, off = T.views(b["text"])
-                keep, texts = np.ones(b.num_rows, bool), {}
+                keep = np.ones(b.num_rows, bool)
                 for i, j in T.row_blocks(off):
                     word_off, hit, _ = hits(held.value, data, off[i : j + 1])
-                    for r in sorted(set((np.searchsorted(word_off, np.flatnonzero(hit), side="right") - 1).tolist())):
-                        keep[i + r] = False
-                        if spans:
-                            texts[i + r] = _without(data[off[i + r] : off[i + r + 1]], hit[word_off[r] : word_off[r + 1]])
-                if not spans:
-                    yield b.filter(pa.array(keep))
-                elif texts:
-                    at = b.schema.get_field_index("text")
-                    yield b.set_column(at, b.schema.field(at), pa.array([texts.get(k, None) if k in texts else x.as_py() for k, x in enumerate(b["text"])], b.schema.field(at).type))
-                else:
-                    yield b
+                    keep[i + np.searchsorted(word_off, np.flatnonzero(hit), side="right") - 1] = False
+                yield b.filter(pa.array(keep))
 
         docs = _passed(map_arrow(docs, run, docs.schema), held, last)
     return docs
 
 
-def _without(data: np.ndarray, hit: np.ndarray) -> str:
+def _cut(docs: DataFrame, benchmark: DataFrame, max_words: int) -> DataFrame:
+    final = docs.schema
+    (name,) = unused(docs.columns, "hit")
+    rows = docs.withColumn(name, F.array().cast("array<int>"))
+    for one, last in slices(benchmark, max_words):
+        held = docs.sparkSession.sparkContext.broadcast(one)
+
+        def run(batches, held=held, last=last):
+            for b in batches:
+                data, off = T.views(b["text"])
+                found: list[np.ndarray] = []
+                for i, j in T.row_blocks(off):
+                    word_off, hit, _ = hits(held.value, data, off[i : j + 1])
+                    found += [np.flatnonzero(hit[word_off[r] : word_off[r + 1]]) for r in range(j - i)]
+                had = b[name]
+                found = [np.union1d(x, y.values.to_numpy()) if len(y.values) else x for x, y in zip(found, had)]
+                if not last:
+                    yield b.set_column(b.schema.get_field_index(name), b.schema.field(name), pa.array(found, pa.list_(pa.int32())))
+                    continue
+                at = b.schema.get_field_index("text")
+                texts = [_without(data[off[k] : off[k + 1]], x) if len(x) else t.as_py() for k, (x, t) in enumerate(zip(found, b["text"]))]
+                b = b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
+                yield b.select([c for c in b.schema.names if c != name])
+
+        rows = _passed(map_arrow(rows, run, final if last else rows.schema), held, last)
+    return rows
+
+
+def _without(data: np.ndarray, places: np.ndarray) -> str:
     _, s, e, _ = T.words(data, np.array([0, len(data)]))
-    edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
+    hit = np.zeros(len(s), np.int8)
+    hit[places] = 1
+    edge = np.diff(np.concatenate([[0], hit, [0]]))
     out, at = [], 0
     for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
         out.append(data[at : s[a]].tobytes())

@@ -7,7 +7,9 @@ presentations (1 for a node on one page). What few pages show proves little, so
 pages. Where the importance so weighed is below LOW the node is noise of that host and goes; the paragraphs, headings and
 lists of an article, which presentation calls content, go below LOWEST only. Presentation that says by itself what it is
 (tags, roles and class names of menus, forms, adverts, comments and the like) has importance 0 on any page, and the article
-or main element, where there is one, bounds the content.
+and main elements, where there are some, bound the content. A class name counts word by word, but not with a word as `with`
+before it, and inside an article only if all its words say so; what a layout's name takes away, an article or main element
+inside it gets back.
 
 A page is parsed once, into a table of its blocks; counting and choosing are column expressions over that table. A page's
 text: its remaining blocks in order, character references decoded, white space inside a block one space, blocks joined by
@@ -15,14 +17,14 @@ newline. Line breaks (br) count as white space.
 
 Defined results: null and empty html, and pages of noise alone, give the empty text; malformed markup is read as browsers
 do where that matters (unclosed and stray tags, comments and tags cut off at the end); a null url is the host ''; repeated
-pages count as pages. Parsing takes time in proportion to the page, however deep its elements nest.
+pages count as pages; only page_id, url and html are read, so other columns can't clash. Parsing takes time in proportion to the page, however deep its elements nest.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +65,16 @@ NOISE_NAME = frozenset(
 )
 NOISE_OUTSIDE = frozenset("header head side aside search foot tags legal".split())
 CONTENT_NAME = frozenset("article content main post entry story".split())
+#: Words beside which a noise word still names its element; before which it doesn't (a page with a sidebar is no sidebar).
+NEUTRAL = frozenset(
+    "area bar bars block body bottom box button buttons center col column container cta data el fixed form group head holder home icon icons id inner item items left "
+    "line link links list listing lists main mini module modules outer page panel posts primary region right row section sections side site slot small sticky "
+    "strip tab tabs text title top unit units wide wrap wrapper zone".split()
+)
+MODIFIER = frozenset("with has no is not without show hide use".split())
+#: Names of parts of an article, too; and of what readers write, whatever elements that holds.
+PART = frozenset("discussion notice notices alert alerts disclaimer replies reply respond".split())
+READERS = frozenset("comment comments disqus reply replies respond".split())
 CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 SCOPE = frozenset("td th table caption html".split())
 #: An opened element closes the nearest of these, unless the second set comes first.
@@ -79,11 +91,14 @@ TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table
 
 
 class Node:
-    """An open element: its path in the style tree, and what presentation says of it."""
+    """An open element: its path in the style tree, and what presentation says of it.
+
+    noise: 1 by the name of a layout, which an article or main element inside isn't bound by, 2 for good.
+    """
 
     __slots__ = ("tag", "path", "noise", "root", "inner", "styles")
 
-    def __init__(self, tag: str, path: int, noise: bool, root: int, inner: bool):
+    def __init__(self, tag: str, path: int, noise: int, root: int, inner: bool):
         self.tag, self.path, self.noise, self.root, self.inner, self.styles = tag, path, noise, root, inner, []
 
 
@@ -105,25 +120,40 @@ def _open(tag: str, attrs: str, up: Node, rules: bool) -> tuple[Node, str]:
     style = tag + "".join(f".{c}" for c in found.get("class", "").split()[:1])
     path = _hash(f"{up.path}/{style}")
     if not rules:
-        return Node(tag, path, False, 0, False), style
-    names = {w.lower() for w in _WORD.findall(f"{found.get('class', '')} {found.get('id', '')}")}
-    root, role = up.root, found.get("role", "").lower()
+        return Node(tag, path, 0, 0, False), style
+    names = [{w.lower() for w in _WORD.findall(x)} for x in f"{found.get('class', '')} {found.get('id', '')}".split()]
+    root, noise, role = up.root, up.noise, found.get("role", "").lower()
     if tag == "article" or found.get("itemprop", "").lower() == "articlebody":
         root = 3
     elif tag == "main" or role == "main":
         root = max(root, 2)
-    noise = up.noise or tag in NOISE_TAG or role in NOISE_ROLE or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+    if root > up.root and noise == 1:
+        noise = 0
+    if tag in NOISE_TAG or role in NOISE_ROLE or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
+        noise = 2
     if tag not in ("html", "body", "main"):
-        noise = noise or bool(names & NOISE_NAME) or (up.root < 2 and (tag == "header" or bool(names & NOISE_OUTSIDE)))
-        if names & CONTENT_NAME and not noise:
+        bad = [w & NOISE_NAME for w in names if _names_noise(w, up.root)]
+        if any(w & READERS for w in bad):
+            noise = 2
+        elif bad or (up.root < 2 and (tag == "header" or any(w & NOISE_OUTSIDE and not w & MODIFIER for w in names))):
+            noise = max(noise, 1)
+        elif not noise and tag not in TEXTUAL and any(w & CONTENT_NAME for w in names):
             root = max(root, 1)
     return Node(tag, path, noise, root, up.inner or (up.root == 3 and tag not in TEXTUAL)), style
 
 
+def _names_noise(words: set[str], root: int) -> bool:
+    """If a class or id says noise: inside an article all its words must, but for neutral ones; elsewhere one of them."""
+    bad = words & NOISE_NAME
+    if not bad or words & MODIFIER:
+        return False
+    return root < 2 or (not bad <= PART and all(w in NOISE_NAME or w in NEUTRAL or w.isdigit() for w in words))
+
+
 def parse(page: str, rules: bool = True) -> Page:
     """A page's blocks and branches, in one pass whose time is in proportion to its length, however deep it nests."""
-    out, top = Page(), Node("", 0, False, 0, False)
-    stack, text, opened = [top], [], Counter()
+    out, top = Page(), Node("", 0, 0, 0, False)
+    stack, text, opened = [top], [], defaultdict(list)  # opened: by tag its places in the stack
 
     def flush() -> None:
         if text:
@@ -137,27 +167,30 @@ def parse(page: str, rules: bool = True) -> Page:
                 out.path.append(node.path)
                 out.up.append(stack[k - 1].path if k else 0)
                 out.text.append(" ".join(words))
-                out.noise.append(node.noise)
+                out.noise.append(node.noise > 0)
                 out.root.append(node.root)
                 out.inner.append(node.inner)
 
     def close(to: int) -> None:
         for node in stack[to:]:
-            opened[node.tag] -= 1
+            opened[node.tag].pop()
             if node.styles:
                 out.branch.append(node.path)
                 out.shape.append(_hash("|".join(node.styles)))
         del stack[to:]
 
+    def last(tags) -> int:
+        return max((opened[t][-1] for t in tags if t in opened and opened[t]), default=0)
+
     def shut(tags, stop) -> None:
         """Close the nearest open one of tags, unless one of stop comes first."""
-        if any(opened[t] for t in tags):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in tags:
-                    return close(k)
-                if stack[k].tag in stop:
-                    return None
-        return None
+        k = last(tags)
+        if k > last(stop):
+            close(k)
+
+    def push(node: Node) -> None:
+        opened[node.tag].append(len(stack))
+        stack.append(node)
 
     at, lower = 0, None
     for m in _TAG.finditer(page):
@@ -187,8 +220,7 @@ def parse(page: str, rules: bool = True) -> Page:
             if rules:
                 node, _ = _open(tag, m[3] or m[6] or "", stack[-1], rules)
                 if node.noise and not stack[-1].noise:
-                    stack.append(node)
-                    opened[tag] += 1
+                    push(node)
             continue
         flush()
         if tag in CLOSES_P:
@@ -200,8 +232,7 @@ def parse(page: str, rules: bool = True) -> Page:
         node, style = _open(tag, m[3] or m[6] or "", stack[-1], rules)
         if stack[-1].styles[-1:] != [style]:  # a run of equal children is one
             stack[-1].styles.append(style)
-        stack.append(node)
-        opened[tag] += 1
+        push(node)
     if at < len(page) and (not stack[-1].tag or stack[-1].tag in BLOCK):
         text.append(page[at:])
     flush()
@@ -212,9 +243,9 @@ def parse(page: str, rules: bool = True) -> Page:
 def extract(page: str | None, low: frozenset[int] = frozenset(), lowest: frozenset[int] = frozenset(), rules: bool = True) -> str:
     """The main text of one page, given the paths whose importance is low at its host, for content elements the lowest ones."""
     p = parse(page or "", rules)
-    best = max((r for r, noise in zip(p.root, p.noise) if not noise), default=0)
+    least = min(2, max((r for r, noise in zip(p.root, p.noise) if not noise), default=0)) // 2 * 2
     rows = zip(p.path, p.text, p.noise, p.root, p.inner)
-    return "\n".join(t for path, t, noise, root, inner in rows if not noise and root == best and path not in (lowest if root == 3 and not inner else low))
+    return "\n".join(t for path, t, noise, root, inner in rows if not noise and root >= least and path not in (lowest if root == 3 and not inner else low))
 
 
 def host_of(url) -> Column:
@@ -287,10 +318,11 @@ def texts(pages: DataFrame, rules: bool = True) -> DataFrame:
     else:
         rows = hot_join(rows, rows.select("host").distinct().join(noise, "host", "left"), "host")
     own = F.filter("blocks", lambda b: ~b["noise"])
-    rows = rows.withColumn("own", own).withColumn("best", F.array_max(F.transform("own", lambda b: b["root"])))
+    # in a page with an article or main element, what is outside of them isn't content
+    rows = rows.withColumn("own", own).withColumn("least", F.when(F.exists("own", lambda b: b["root"] >= 2), 2).otherwise(0))
     none = F.array().cast("array<bigint>")
     low, lowest = F.coalesce("low", none), F.coalesce("lowest", none)
-    kept = F.filter("own", lambda b: (b["root"] == F.col("best")) & ~F.when((b["root"] == 3) & ~b["inner"], F.array_contains(lowest, b["path"])).otherwise(F.array_contains(low, b["path"])))
+    kept = F.filter("own", lambda b: (b["root"] >= F.col("least")) & ~F.when((b["root"] == 3) & ~b["inner"], F.array_contains(lowest, b["path"])).otherwise(F.array_contains(low, b["path"])))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
     return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from . import textnum as T
 from .common import bounded_sample, fold, map_arrow
 
-#: Bounds of the training sample, and the model's size.
-MAX_ROWS, MAX_BYTES, BUCKET_BITS, DIM = 3000, 24 << 20, 17, 12
+#: Bounds of the training sample of each language, and the model's size.
+MAX_ROWS, MAX_BYTES, BUCKET_BITS, DIM = 750, 6 << 20, 17, 12
 #: Zero bytes after a row: the longest gram but one.
 GAP = 3
 #: The share of right training texts that the rejection may cost.
@@ -142,9 +142,9 @@ def fit(texts: pa.ChunkedArray, langs: list[str], epochs: int = 4, seed: int = 7
 
 
 def train(docs: DataFrame, eligible: Column) -> Model | None:
-    """Learn from a bounded sample (MAX_ROWS, MAX_BYTES) of different texts with a language."""
+    """Learn from a bounded sample (MAX_ROWS, MAX_BYTES) of different texts of each language."""
     rows = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & eligible)
-    got = bounded_sample(rows.select("lang", "text"), MAX_ROWS, MAX_BYTES).toArrow()
+    got = bounded_sample(rows.select("lang", "text"), MAX_ROWS, MAX_BYTES, F.col("lang")).toArrow()
     return fit(got["text"], got["lang"].to_pylist()) if got.num_rows else None
 
 

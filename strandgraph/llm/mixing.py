@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, table, unused
 
 #: Tokens to draw, as a part of those there are; where between the entropy of the shares and of equal weights the target lies.
 BUDGET, ENTROPY, MAX_REPEAT, BLOCK_TOKENS = 1.0, 0.5, 4.0, 100_000
@@ -109,9 +109,10 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     docs = docs.drop(*names)
     if chosen is None:
         return docs.limit(0).select("*", F.lit(0).alias(names[0]), F.lit(0).cast("long").alias(names[1]), F.lit(0).alias(names[2]))
-    chosen = materialize(chosen.select(F.col("doc_id").alias("m_doc"), F.col("source").alias("m_source"), F.col("raw").alias("m_raw"), *[F.col(c[4:]).alias(c) for c in names]), "mix")
-    on = (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("m_raw")) & docs["doc_id"].eqNullSafe(F.col("m_doc")) & docs["source"].eqNullSafe(F.col("m_source"))
-    return docs.join(chosen, on).drop("m_doc", "m_source", "m_raw")
+    doc, source, raw = unused([*docs.columns, *names], "m_doc", "m_source", "m_raw")
+    chosen = materialize(chosen.select(F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("raw").alias(raw), *[F.col(c[4:]).alias(c) for c in names]), "mix")
+    on = (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(raw)) & docs["doc_id"].eqNullSafe(F.col(doc)) & docs["source"].eqNullSafe(F.col(source))
+    return docs.join(chosen, on).drop(doc, source, raw)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -3,12 +3,13 @@
 A list is a history of dated entries (domain, ts, action): `block` puts a domain and its subdomains on the list, `allow`
 takes it off. The entries of a domain become validity intervals [ts, next ts); entries of one domain and time are one, and
 `block` wins. A capture is judged by the entry of its host that is active at fetch time, or else of the nearest parent
-domain that has an active entry. Intervals are cut at day boundaries, so that the join's key is (domain, day) and a
-domain's long history, or a host with very many captures, is dealt over its days.
+domain that has an active entry. Intervals are cut at the boundaries of days that have entries or are asked for, so that the
+join's key is (domain, day) and a domain's long history, or a host with very many captures, is dealt over its days.
 
 Defined results: a null or malformed url has no host and is kept; so is a capture without fetch time or without active
 entry; entries without domain, time or known action count for nothing; domains compare in lower case, without port and
-without a dot at the end; repeated captures are judged each for itself; an empty list keeps everything.
+without a dot at the end; repeated captures are judged each for itself; an empty list keeps everything. Only the columns
+named are read, so others can't clash.
 """
 
 from __future__ import annotations
@@ -22,23 +23,40 @@ ACTIONS = ("block", "allow")
 
 
 def host(url: Column) -> Column:
-    """The lower-case host of an http(s) url, or null."""
-    found = F.regexp_extract(url, r"(?i)^\s*https?://(?:[^/?#@]*@)?([^/?#:@]+?)\.?(?::\d*)?(?:[/?#].*)?\s*$", 1)
+    """The lower-case host of an http(s) url, or null; what stands before the last @ isn't part of it."""
+    found = F.regexp_extract(url, r"(?i)^\s*https?://(?:[^/?#]*@)?(\[[0-9a-f:.]+\]|[^/?#:@\[\]]+?)\.?(?::\d*)?(?:[/?#].*)?\s*$", 1)
     return F.when(found != "", F.lower(found))
 
 
 def parents(name: Column) -> Column:
-    """A host and its parent domains, nearest first: a.b.c, b.c, c."""
-    parts = F.split(name, r"\.")
+    """A host and its parent domains, nearest first: a.b.c, b.c, c; an address in brackets has none."""
+    parts = F.when(name.startswith("["), F.array(name)).otherwise(F.split(name, r"\."))
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
 
 
-def intervals(entries: DataFrame) -> DataFrame:
-    """(domain, action, from_ts, to_ts) from dated entries; to_ts is null for the last."""
+def history(entries: DataFrame) -> DataFrame:
+    """(domain, ts, action): a row for each domain and time with a known action; of one time, block comes after allow."""
     rows = entries.select(F.lower(F.regexp_replace("domain", r"\.$", "")).alias("domain"), F.col("ts").cast("timestamp").alias("ts"), F.lower("action").alias("action"))
     rows = rows.filter((F.col("domain") != "") & F.col("ts").isNotNull() & F.col("action").isin(*ACTIONS))
-    rows = rows.groupBy("domain", "ts").agg(F.max("action").alias("action"))  # of one time: block comes after allow
-    return rows.select("domain", "action", F.col("ts").alias("from_ts"), F.lead("ts").over(Window.partitionBy("domain").orderBy("ts")).alias("to_ts"))
+    return rows.groupBy("domain", "ts").agg(F.max("action").alias("action"))
+
+
+def intervals(entries: DataFrame, asked: DataFrame) -> DataFrame:
+    """(domain, day, action, entry_ts, begins, ends): validity intervals cut at day boundaries, for the days that have entries
+    or are in asked(domain, day); begins and ends are null at the day's own bounds.
+
+    Entries of one domain and day are ordered among themselves; from one day to the next only the last entry is carried.
+    """
+    rows = materialize(history(entries).withColumn("day", F.to_date("ts")), "history")
+    inside = rows.select("domain", "day", "action", F.col("ts").alias("entry_ts"), F.col("ts").alias("begins"), F.lead("ts").over(Window.partitionBy("domain", "day").orderBy("ts")).alias("ends"))
+    held = rows.groupBy("domain", "day").agg(F.max(F.struct("ts", "action")).alias("end"), F.min("ts").alias("first"))
+    # domains without an entry are asked for in vain: com, say, has all its captures under it
+    wanted = asked.join(rows.select("domain").distinct(), "domain", "left_semi").select("domain", "day").distinct()
+    days = held.unionByName(wanted, allowMissingColumns=True).groupBy("domain", "day").agg(F.max("end").alias("end"), F.min("first").alias("first"))
+    earlier = F.last("end", ignorenulls=True).over(Window.partitionBy("domain").orderBy("day").rowsBetween(Window.unboundedPreceding, -1))
+    carried = days.withColumn("end", earlier).filter("end IS NOT NULL")
+    carried = carried.select("domain", "day", F.col("end.action").alias("action"), F.col("end.ts").alias("entry_ts"), F.lit(None).cast("timestamp").alias("begins"), F.col("first").alias("ends"))
+    return inside.unionByName(carried)
 
 
 def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
@@ -47,16 +65,11 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     # many captures share host and time: each is judged once
     asked = rows.filter(F.col("host").isNotNull() & F.col("fetched").isNotNull()).select("host", "fetched").distinct()
     asked = asked.select("host", "fetched", F.posexplode(parents(F.col("host"))).alias("level", "domain")).withColumn("day", F.to_date("fetched"))
-    end = captures.agg(F.max(F.col("fetched").cast("timestamp"))).first()[0]
-    cut = intervals(entries)
-    if end is not None:  # what begins after the last capture isn't asked for; an open interval ends with the last capture's day
-        cut = cut.filter(F.col("from_ts") <= F.lit(end))
-        cut = cut.withColumn("day", F.explode(F.sequence(F.to_date("from_ts"), F.least(F.to_date(F.coalesce("to_ts", F.lit(end))), F.to_date(F.lit(end))))))
-    else:
-        cut = cut.withColumn("day", F.to_date("from_ts"))
-    active = asked.join(cut, ["domain", "day"]).filter((F.col("from_ts") <= F.col("fetched")) & (F.col("to_ts").isNull() | (F.col("fetched") < F.col("to_ts"))))
-    nearest = active.groupBy("host", "fetched").agg(F.min(F.struct("level", "domain", "from_ts", "action")).alias("m"))
-    nearest = nearest.select("host", "fetched", F.col("m.domain").alias("matched_domain"), F.col("m.from_ts").alias("entry_ts"), F.col("m.action").alias("action"))
+    asked = materialize(asked, "asked")
+    active = asked.join(intervals(entries, asked), ["domain", "day"])
+    active = active.filter((F.col("begins").isNull() | (F.col("begins") <= F.col("fetched"))) & (F.col("ends").isNull() | (F.col("fetched") < F.col("ends"))))
+    nearest = active.groupBy("host", "fetched").agg(F.min(F.struct("level", "domain", "entry_ts", "action")).alias("m"))
+    nearest = nearest.select("host", "fetched", F.col("m.domain").alias("matched_domain"), F.col("m.entry_ts").alias("entry_ts"), F.col("m.action").alias("action"))
     out = rows.join(nearest, ["host", "fetched"], "left")
     verdict = F.when(F.col("action") == "block", "block").otherwise("keep")
     return out.select("capture_id", "url", "host", "fetched", "matched_domain", "entry_ts", verdict.alias("verdict"))
@@ -86,7 +99,7 @@ def op5(spark, sf_dir: str) -> DataFrame:
 
 OP5_SQL = r"""
 WITH c AS (
-  SELECT page_id AS capture_id, url, lower(nullif(regexp_extract(url, '(?i)^\s*https?://(?:[^/?#@]*@)?([^/?#:@]+?)\.?(?::\d*)?(?:[/?#].*)?\s*$', 1), '')) AS host,
+  SELECT page_id AS capture_id, url, lower(nullif(regexp_extract(url, '(?i)^\s*https?://(?:[^/?#]*@)?(\[[0-9a-f:.]+\]|[^/?#:@\[\]]+?)\.?(?::\d*)?(?:[/?#].*)?\s*$', 1), '')) AS host,
     TIMESTAMP '2024-01-01 00:00:00' + to_seconds((page_id * 7919) % (30 * 86400)) AS fetched FROM pages),
 p AS (
   SELECT DISTINCT host, k - 1 AS level, array_to_string(string_split(host, '.')[k:], '.') AS domain
