@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import build
+from ..operators import build, substrings
 from .registry import query
 from .tables import CANON
 
@@ -204,9 +204,15 @@ def _(t):
 
 @query("e10_fuzzy_join", "SELECT s_name, min(c_name) AS first_match FROM supplier JOIN customer ON contains(substr(c_name, 10), ltrim(substr(s_name, 10), '0')) WHERE ltrim(substr(s_name, 10), '0') <> '' GROUP BY s_name")
 def _(t):
-    """Substring join: every supplier's number against the names that hold it, through an index of the names' substrings."""
+    """Substring join: every supplier's number against the names that hold it."""
     number = t.raw("supplier").select("s_name", F.ltrim(F.substring("s_name", 10, 30), F.lit("0")).alias("key")).filter("key <> ''")
-    name = t.raw("customer").select("c_name", F.substring("c_name", 10, 30).alias("s"))
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.length("s")), lambda i: F.transform(F.sequence(F.lit(1), F.length("s") - i + 1), lambda n: F.substring(F.col("s"), i, n))))
-    index = name.select("c_name", F.explode(F.array_distinct(spans)).alias("key")).groupBy("key").agg(F.min("c_name").alias("first_match"))
-    return number.join(index, "key").groupBy("s_name").agg(F.min("first_match").alias("first_match"))
+    name = t.raw("customer").select("c_name", F.substring("c_name", 10, 30).alias("text"))
+    return number.join(substrings.contained(number, name), "key").join(name, "text").groupBy("s_name").agg(F.min("c_name").alias("first_match"))
+
+
+@query("e10_resolved_packages", """WITH n AS (SELECT DISTINCT ltrim(substr(c_name, 10), '0') AS name FROM customer), k AS (SELECT DISTINCT ltrim(substr(s_name, 10), '0') AS key FROM supplier WHERE s_suppkey % 3 > 0)
+SELECT name, CASE WHEN bool_or(name = key) THEN name ELSE min(key) END AS key, CASE WHEN bool_or(name = key) THEN 'equal' ELSE 'part' END AS how FROM n JOIN k ON contains(name, key) OR contains(key, name) WHERE name <> '' AND key <> '' GROUP BY name""")
+def _(t):
+    """Customers' numbers by the first supplier's number that is equal, or contains it or is in it."""
+    number = lambda x: F.ltrim(F.substring(x, 10, 30), F.lit("0"))
+    return substrings.resolve(t.raw("customer").select(number("c_name").alias("name")), t.raw("supplier").filter("s_suppkey % 3 > 0").select(number("s_name").alias("key")))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text, times, versions
-from ..operators import build, windows
+from ..operators import build, substrings, windows
 from ..sources import advisories
 from .registry import query
 from .tables import CANON
@@ -232,6 +232,18 @@ def _(t):
     return found.withColumn("best", F.min("p").over(Window.partitionBy("q"))).filter("p = best").select("q", "node_id", "kind")
 
 
+@query("d07_candidates_by_part", CANON + """, asked AS (SELECT DISTINCT l_suppkey AS q, CASE l_suppkey % 3 WHEN 0 THEN 'org.c' || (l_suppkey % 20) || ':lib-' || l_suppkey WHEN 1 THEN 'lib-' || l_suppkey ELSE 'ib-' || l_suppkey || ':1.1' END AS key FROM lineitem)
+SELECT q, node_id, CASE q % 3 WHEN 0 THEN 'pkg' WHEN 1 THEN 'artifact' ELSE 'substring' END AS kind FROM asked JOIN releases ON CASE WHEN q % 3 < 2 THEN software_id = q ELSE contains(release, key) END""")
+def _(t):
+    """As d07, of which a third are known by a part of the release's name alone."""
+    parts = F.split("release", ":")
+    index = build.release_keys(t.releases.select("node_id", parts[0].alias("grp"), parts[1].alias("artifact"), "version")).filter("kind <> 'pkg_version'")
+    s = F.concat(F.lit("lib-"), c("q").cast("string"))
+    key = F.when(c("q") % 3 == 0, F.concat(F.lit("org.c"), (c("q") % 20).cast("string"), F.lit(":"), s)).when(c("q") % 3 == 1, s).otherwise(F.concat(F.lit("ib-"), c("q").cast("string"), F.lit(":1.1")))
+    asked = t.raw("lineitem").select(c("l_suppkey").alias("q")).distinct().select("q", key.alias("key"))
+    return substrings.candidates(asked, index, t.releases)
+
+
 @query("d08_nodes_with_cve", CANON + "SELECT cve_id, node_id FROM cve_list WHERE cve_id IN (SELECT 'CVE-2024-' || lpad(CAST(event_id AS VARCHAR), 7, '0') FROM events WHERE event_type = 'error')")
 def _(t):
     asked = t.raw("events").filter("event_type = 'error'").select(text.cve_name(F.concat(F.lit("cve-2024-"), F.lpad(c("event_id").cast("string"), 7, "0"))).alias("cve_id"))

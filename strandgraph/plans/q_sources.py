@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import build, graph
-from ..sources import files
+from ..operators import build
+from ..sources import files, lookups
+from ..sources.results import Results
 from .registry import query
 from .tables import CANON
 
@@ -103,12 +107,30 @@ def _(t):
     return files.prediction_summary(build.adjacency(t.dep_edges).withColumnRenamed("neighbours", "ranked")).withColumn("mean_length", F.round("mean_length", 9))
 
 
-@query("a17_checkpointed_scores", CANON + "SELECT node_id, in_n FROM (SELECT dst AS node_id, count(*) AS in_n FROM family_edges GROUP BY 1)")
+@query("a17_checkpointed_scores", CANON + "SELECT 'in' AS name, 2 AS version, node_id, n FROM (SELECT dst AS node_id, count(*) AS n FROM family_edges GROUP BY 1) UNION ALL SELECT 'out', 1, src, count(*) FROM family_edges GROUP BY src")
+def _(t):
+    """Results kept by algorithm, committed, listed and loaded; the first version of one is replaced."""
+    kept = Results(t.spark, files.fresh(t.spark, "algorithms"))
+    degree = lambda end: t.family_edges.groupBy(c(end).alias("node_id")).agg(F.count("*").alias("n"))
+    kept.commit("in", degree("src"))
+    kept.commit("in", degree("dst"))
+    kept.commit("out", degree("src"))
+    newest = {r["name"]: r["version"] for r in kept.listed().groupBy("name").agg(F.max("version").alias("version")).collect()}
+    return reduce(DataFrame.unionByName, [kept.load(name).select(F.lit(name).alias("name"), F.lit(version).alias("version"), "node_id", "n") for name, version in sorted(newest.items())])
+
+
+@query("a12_lookup_table", """WITH l AS (SELECT user_id % 40 AS key, epoch_us(ts) // 1000 AS met, max(CASE WHEN event_type IN ('click', 'purchase') THEN props END) AS payload FROM events WHERE event_type <> 'view' GROUP BY ALL),
+q AS (SELECT event_id, user_id % 40 AS key, epoch_us(ts) // 1000 AS asked_at FROM events WHERE event_type = 'view'),
+f AS (SELECT q.*, l.met, l.payload FROM q ASOF LEFT JOIN l ON l.key = q.key AND l.met <= q.asked_at),
+h AS (SELECT *, met IS NOT NULL AND asked_at < met + CASE WHEN payload IS NULL THEN 300000 ELSE 86400000 END AS holds FROM f)
+SELECT event_id, CASE WHEN NOT holds THEN 'stale' WHEN payload IS NULL THEN 'miss' ELSE 'hit' END AS state, CASE WHEN holds THEN payload END AS payload FROM h""")
 def _(t):
-    """A result kept per algorithm, read again from where it was committed."""
-    path = files.fresh(t.spark, "algorithms")
-    graph.reversed_edges(t.family_edges).groupBy(c("src").alias("node_id")).agg(F.count("*").alias("in_n")).write.parquet(f"{path}/degree")
-    return t.spark.read.parquet(f"{path}/degree")
+    """Views ask for a key; other events are lookups, of which clicks and purchases have found something."""
+    e = t.raw("events").select("event_id", "event_type", "props", (c("user_id") % 40).alias("key"), F.unix_millis(c("ts").cast("timestamp")).alias("at"))
+    found = e.filter("event_type <> 'view'").withColumn("payload", F.when(c("event_type").isin("click", "purchase"), c("props")))
+    early = found.filter("event_id % 2 = 0")
+    stored = lookups.merged(early, found.filter("event_id % 2 = 1"))
+    return lookups.as_of(e.filter("event_type = 'view'").withColumnRenamed("at", "asked_at"), stored).select("event_id", "state", "payload")
 
 
 @query("a03_saved_table", CANON + "SELECT node_id, release FROM releases")
