@@ -4,15 +4,13 @@ from __future__ import annotations
 
 import math
 from functools import reduce
-from typing import Any
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
 from . import build
+from . import peaks as find
 
 
 def nodes_in(nodes: DataFrame, t_s: int, t_e: int, closed: bool = False) -> DataFrame:
@@ -106,52 +104,19 @@ def smooth(series: DataFrame, k: int) -> DataFrame:
 
 def gradient(series: DataFrame, value: str = "value") -> DataFrame:
     """Second-order central differences over unequal steps, one-sided at the ends, of (series, t, value)."""
-    order = Window.partitionBy("series").orderBy("t")
-    y, t = F.col(value), F.col("t").cast("double")
-    y0, y1, t0, t1 = F.lag(y).over(order), F.lead(y).over(order), F.lag(t).over(order), F.lead(t).over(order)
-    h0, h1 = t - t0, t1 - t
-    inner = (h0 * h0 * y1 + (h1 * h1 - h0 * h0) * y - h1 * h1 * y0) / (h0 * h1 * (h0 + h1))
-    return series.withColumn("gradient", F.when(y0.isNull(), (y1 - y) / h1).when(y1.isNull(), (y - y0) / h0).otherwise(inner))
-
-
-def _prominent(y: np.ndarray, least: float, distance: int | None = None) -> np.ndarray:
-    """Places of local maxima (middles of flat ones) of so much prominence; of close ones the higher stays."""
-    n, found, i = len(y), [], 1
-    while i < n - 1:
-        j = i
-        while j < n - 1 and y[j + 1] == y[i]:
-            j += 1
-        if y[i - 1] < y[i] and j < n - 1 and y[j + 1] < y[i]:
-            found.append((i + j) // 2)
-        i = j + 1
-    if distance and distance > 1:
-        keep = dict.fromkeys(found, True)
-        for p in sorted(found, key=lambda p: y[p], reverse=True):
-            if keep[p]:
-                for q in found:
-                    if q != p and abs(q - p) < distance:
-                        keep[q] = False
-        found = [p for p in found if keep[p]]
-    out = []
-    for p in found:
-        sides = []
-        for path in (y[p::-1], y[p:]):
-            higher = np.flatnonzero(path > y[p])
-            sides.append(path[: higher[0] if len(higher) else len(path)].min())
-        if y[p] - max(sides) >= least:
-            out.append(p)
-    return np.array(out, int)
+    return find.gradient(series, value).drop("i", "n")
 
 
-def peaks(series: DataFrame, prominence: float, distance: int | None = None) -> DataFrame:
-    """(series, idx, t) of the peaks of |gradient|: a series is one group, of as many points as there are windows."""
+def _steep(series: DataFrame) -> DataFrame:
+    """Written (series, t, i, n, value, y): points with |gradient|."""
+    return written(find.gradient(series).select("series", "t", "i", "n", "value", F.abs("gradient").alias("y")), "steep")
 
-    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        at = _prominent(pdf["gradient"].abs().to_numpy(), prominence, distance)
-        return pd.DataFrame({"series": [key[0]] * len(at), "idx": at, "t": pdf["t"].to_numpy()[at]})
 
-    return gradient(series).groupBy("series").applyInPandas(run, "series string, idx int, t bigint")
+def peaks(series: DataFrame, prominence: float, distance: int | None = None) -> DataFrame:
+    """(series, idx, t) of the peaks of |gradient|."""
+    rows = _steep(series)
+    tops, _ = find.prominent(rows, prominence, distance)
+    return tops.select("series", F.col("place").alias("i")).join(rows, ["series", "i"]).select("series", F.col("i").cast("int").alias("idx"), "t")
 
 
 def change_windows(series: DataFrame, prominence: float, distance: int | None = None) -> DataFrame:
@@ -173,9 +138,8 @@ def decay_lag(series: DataFrame, block: int = 16) -> DataFrame:
     Sums of products are taken for a block of lags at a time, twice as long each round, by a join of points with those so
     many places later; series whose lag is found leave. A constant series has lag 1.
     """
-    place = F.row_number().over(Window.partitionBy("series").orderBy("t")) - 1
     mean = series.groupBy("series").agg(F.avg("value").alias("mean"))
-    rows = written(series.select("series", "t", "value", place.alias("i")).join(mean, "series").select("series", "i", (F.col("value") - F.col("mean")).alias("x")), "lag")
+    rows = written(find.places(series.select("series", "t", "value")).join(mean, "series").select("series", "i", (F.col("value") - F.col("mean")).alias("x")), "lag")
     sums = written(rows.groupBy("series").agg(F.count("*").alias("n"), F.sum(F.col("x") * F.col("x")).alias("square"), F.max(F.abs("x")).alias("most")), "lag")
     flat = sums.filter("coalesce(most, 0) <= 1e-8").select("series", F.lit(1.0).alias("lag"))
     left, done, first = sums.filter("most > 1e-8").select("series", "n", "square"), [flat], 1
@@ -194,57 +158,52 @@ def decay_lag(series: DataFrame, block: int = 16) -> DataFrame:
     return reduce(DataFrame.unionByName, done)
 
 
-def half_widths(t: np.ndarray, y: np.ndarray, at: np.ndarray) -> list[float]:
-    """Full widths at half maximum of peaks, between the nearest samples at or below the half."""
-    out = []
-    for p in at:
-        i = j = int(p)
-        while i > 0 and y[i] > y[p] / 2:
-            i -= 1
-        while j < len(y) - 1 and y[j] > y[p] / 2:
-            j += 1
-        out.append(float(max(0.0, t[j] - t[i])))
-    return out
+def _spread(rows: DataFrame) -> DataFrame:
+    """(series, med, mad): median of y and of its distance from that."""
+    med = find.medians(rows, "y").withColumnRenamed("median", "med")
+    off = rows.join(med, "series").select("series", F.abs(F.col("y") - F.col("med")).alias("off"))
+    return written(med.join(find.medians(off, "off"), "series").select("series", "med", (F.col("median") + 1e-12).alias("mad")), "spread")
 
 
 def time_scales(series: DataFrame) -> DataFrame:
     """(series, tau_c, tau_chg, grad_median, grad_mad): correlation and change times, and robust statistics of |gradient|."""
-
-    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        t = pdf["t"].to_numpy(float)
-        if len(t) < 3:
-            return pd.DataFrame({"series": [key[0]], "tau_c": [2.0], "tau_chg": [max(2.0, np.ptp(t) / 10) if len(t) > 1 else 2.0], "grad_median": [0.0], "grad_mad": [0.0]})
-        y = np.abs(pdf["gradient"].to_numpy(float))
-        step, med = float(np.median(np.diff(t))), float(np.median(y))
-        mad = float(np.median(np.abs(y - med)) + 1e-12)
-        widths = half_widths(t, y, _prominent(y, med + 2 * mad))
-        lag = pdf["lag"].iloc[0]
-        return pd.DataFrame({"series": [key[0]], "tau_c": [max(step, lag * step)], "tau_chg": [max(step, float(np.median(widths)) if widths else 5 * step)], "grad_median": [med], "grad_mad": [mad]})
-
-    rows = gradient(series).join(decay_lag(series), "series")
-    return rows.groupBy("series").applyInPandas(run, "series string, tau_c double, tau_chg double, grad_median double, grad_mad double")
+    rows = _steep(series)
+    spread = _spread(rows)
+    tops, found = find.prominent(rows, spread.select("series", (F.col("med") + 2 * F.col("mad")).alias("least")))
+    width = find.medians(find.half_widths(tops, found, rows), "width").withColumnRenamed("median", "width")
+    steps = find.beside(rows.select("series", "i", "t"), "i", ["t"]).select("series", (F.col("after_t") - F.col("t")).cast("double").alias("step"))
+    step = find.medians(steps, "step").withColumnRenamed("median", "step")
+    sizes = rows.groupBy("series").agg(F.count("*").alias("k"), (F.max("t") - F.min("t")).cast("double").alias("span"))
+    all_ = sizes.join(spread, "series", "left").join(width, "series", "left").join(step, "series", "left").join(decay_lag(series), "series", "left")
+    few, none = F.col("k") < 3, F.lit(0.0)
+    return all_.select(
+        "series", F.when(few, 2.0).otherwise(F.greatest(F.col("step"), F.col("lag") * F.col("step"))).alias("tau_c"),
+        F.when(few, F.greatest(F.lit(2.0), F.col("span") / 10)).otherwise(F.greatest(F.col("step"), F.coalesce("width", 5 * F.col("step")))).alias("tau_chg"),
+        F.when(few, none).otherwise(F.col("med")).alias("grad_median"), F.when(few, none).otherwise(F.col("mad")).alias("grad_mad"),
+    )
 
 
 def candidate_scores(series: DataFrame, beta: float = 1.0) -> DataFrame:
     """Per candidate (series): stability S, sensitivity C, resolvability R and their combination F-beta(S, C) * R."""
-
-    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        t, x, d = pdf["t"].to_numpy(float), pdf["value"].to_numpy(float), np.abs(pdf["gradient"].to_numpy(float))
-        if len(x) < 3:
-            return pd.DataFrame({"series": [key[0]], "s": [0.0], "c": [0.0], "r": [0.0], "score": [0.0]})
-        s = float(np.clip(1 - x.std() / (abs(x.mean()) + 1e-12), 0, 1))
-        med = np.median(d)
-        mad = np.median(np.abs(d - med)) + 1e-12
-        high = d > med + 2.5 * mad
-        dense = len(_prominent(d, med + 2.5 * mad)) / max(t[-1] - t[0], 1e-9)
-        c = float(np.tanh(0.5 * dense) * np.tanh(0.5 * (d[high].mean() if high.any() else 0.0) / mad))
-        r = float(0.6 * np.tanh(len(x) / 20) + 0.4 * np.tanh(x.var() / ((x * x).mean() + 1e-12)))
-        f = 0.0 if beta**2 * s + c == 0 else (1 + beta**2) * s * c / (beta**2 * s + c)
-        return pd.DataFrame({"series": [key[0]], "s": [s], "c": [c], "r": [r], "score": [f * r]})
-
-    return gradient(series).groupBy("series").applyInPandas(run, "series string, s double, c double, r double, score double")
+    rows = _steep(series)
+    spread = _spread(rows)
+    limit = F.col("med") + 2.5 * F.col("mad")
+    tops, _ = find.prominent(rows, spread.select("series", limit.alias("least")))
+    peaks_of = tops.groupBy("series").agg(F.count("*").alias("n_peaks"))
+    x = F.col("value").cast("double")
+    sums = rows.join(spread, "series", "left").groupBy("series").agg(
+        F.count("*").alias("k"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.var_pop(x).alias("var"), F.avg(x * x).alias("square"), (F.max("t") - F.min("t")).cast("double").alias("span"),
+        F.avg(F.when(F.col("y") > limit, F.col("y"))).alias("high"), F.first("mad").alias("mad"),
+    )
+    all_ = sums.join(peaks_of, "series", "left")
+    s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("std") / (F.abs("mean") + 1e-12)))
+    dense = F.coalesce("n_peaks", F.lit(0)) / F.greatest(F.col("span"), F.lit(1e-9))
+    c = F.tanh(0.5 * dense) * F.tanh(0.5 * F.coalesce("high", F.lit(0.0)) / F.col("mad"))
+    r = 0.6 * F.tanh(F.col("k") / 20) + 0.4 * F.tanh(F.col("var") / (F.col("square") + 1e-12))
+    few = F.col("k") < 3
+    out = all_.select("series", *(F.when(few, 0.0).otherwise(v).alias(n) for n, v in (("s", s), ("c", c), ("r", r))))
+    below = beta**2 * F.col("s") + F.col("c")
+    return out.withColumn("score", F.when(below == 0, 0.0).otherwise((1 + beta**2) * F.col("s") * F.col("c") / below) * F.col("r"))
 
 
 def probe(nodes: DataFrame, edges: DataFrame, shares: list[float], how: str = "sum") -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandgraph.functions import scores, text, versions
-from strandgraph.operators import aggregate, build, evaluate, graph, localise, vectors, windows
+from strandgraph.operators import aggregate, build, evaluate, graph, localise, peaks, vectors, windows
 
 
 @pytest.fixture(scope="module")
@@ -179,11 +179,13 @@ def test_coordinates_modes(spark):
         text.coordinates(F.col("r"), "other")
 
 
-def test_peaks_prominence():
-    y = np.array([0, 3, 0, 1, 0, 5, 5, 0, 2, 1.5, 2.2, 0])
-    assert windows._prominent(y, 1.5).tolist() == [1, 5, 10]
-    assert windows._prominent(y, 0.0).tolist() == [1, 3, 5, 8, 10]
-    assert windows._prominent(y, 0.0, distance=4).tolist() == [1, 5, 10]
+def test_peaks_prominence(spark):
+    y = [0, 3, 0, 1, 0, 5, 5, 0, 2, 1.5, 2.2, 0]
+    rows = peaks.places(spark.createDataFrame([("s", k, float(v)) for k, v in enumerate(y)], "series string, t bigint, y double"))
+    found = lambda *how: sorted(r.place for r in peaks.prominent(rows, *how)[0].collect())
+    assert found(1.5) == [1, 5, 10]
+    assert found(0.0) == [1, 3, 5, 8, 10]
+    assert found(0.0, 4) == [1, 5, 10]
 
 
 def test_jaccard_pairs(spark):
