@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text, versions
-from ..operators import aggregate, build, evaluate, graph, ground_truth, localise, paths, vectors
+from ..operators import aggregate, build, evaluate, graph, ground_truth, localise, paths, robust, vectors
 from ..sources import advisories
 from ..sources.shared import shared_dir, written
 from .registry import query
@@ -227,6 +227,54 @@ def _(t):
     return _pred(t).select("sample_id", "gt", "pred")
 
 
+# Three runs: as given, without a tenth of the edges, with jittered times.
+_RUNS = """, hashed AS (SELECT *, CAST('0x' || substr(md5(concat_ws(',', node_id, 42)), 1, 15) AS BIGINT) AS h FROM releases),
+rel AS MATERIALIZED (SELECT r AS run, node_id, software_id, version, ts, ord FROM releases, unnest([0, 1]) AS q(r)
+  UNION ALL SELECT 2, node_id, software_id, version, ts + (h % 7 + 1) * (CASE WHEN (h >> 32) % 2 = 0 THEN 1 ELSE -1 END) * 86400000, ord FROM hashed),
+edg AS MATERIALIZED (SELECT r AS run, src, dst FROM dep_edges, unnest([0, 1, 2]) AS q(r) WHERE r <> 1 OR CAST('0x' || substr(md5(concat_ws(',', src, dst, 42)), 1, 15) AS BIGINT) % 1000000 >= 100000)"""
+
+
+def _runs(t):
+    releases = written(t.releases.select("node_id", "software_id", "version", "ts"), "releases")
+    return robust.perturbed(releases, written(t.dep_edges, "edges"))
+
+
+@query("n10_evaluation_matrix", CANON + _RUNS + """, uses AS (SELECT run, dst AS node_id, count(*) AS n FROM edg GROUP BY ALL), ends AS (SELECT run, software_id, max(ts) AS at_end FROM rel GROUP BY ALL),
+preds AS (SELECT 'earliest' AS algorithm, run, software_id, min_by(version, struct_pack(a := ts, b := node_id)) AS pred FROM rel GROUP BY ALL
+  UNION ALL SELECT 'dependents', run, software_id, min_by(version, struct_pack(a := -coalesce(n, 0), b := ts, c := node_id)) FROM rel LEFT JOIN uses USING (run, node_id) GROUP BY ALL
+  UNION ALL SELECT 'window', run, software_id, min_by(version, struct_pack(a := ts, b := node_id)) FROM rel JOIN ends USING (run, software_id) WHERE ts >= at_end - 63072000000 GROUP BY ALL),
+gt AS (SELECT software_id, max(ord) AS gt FROM releases WHERE ord <= 2 GROUP BY 1),
+ev AS (SELECT p.algorithm, p.run, abs(r.ord - gt) AS d, p.pred = b.pred AS same FROM preds p JOIN gt USING (software_id) JOIN releases r ON r.software_id = p.software_id AND r.version = p.pred JOIN preds b ON b.run = 0 AND b.algorithm = p.algorithm AND b.software_id = p.software_id)
+SELECT algorithm, run, count(*) AS n, round(avg(CASE WHEN d = 0 THEN 1.0 ELSE 0 END), 9) AS exact, round(avg(CASE WHEN d <= 1 THEN 1.0 ELSE 0 END), 9) AS within_1, round(avg(CASE WHEN d <= 3 THEN 1.0 ELSE 0 END), 9) AS within_3, round(avg(d), 9) AS mean_distance,
+  round(avg(CASE WHEN same THEN 1.0 ELSE 0 END), 9) AS stable, list_sort(list(d))[count(*) // 2 + 1] AS median_distance, list_sort(list(d))[least(count(*) - 1, CAST(floor(0.95 * count(*)) AS BIGINT)) + 1] AS p95_distance FROM ev GROUP BY ALL""")
+def _(t):
+    """Every localiser on every run, against each software's second version, in one plan."""
+    sequences = localise.sequences(t.releases).withColumnRenamed("software_id", "sample_id")
+    truth = sequences.select("sample_id", F.element_at("versions", F.least(F.lit(2), F.size("versions"))).alias("gt"))
+    rows = robust.summary(robust.evaluated(robust.predictions(*_runs(t)), truth, sequences.select("sample_id", "versions")))
+    return rows.select("algorithm", "run", "n", *(F.round(x, 9).alias(x) for x in ("exact", "within_1", "within_3", "mean_distance", "stable")), "median_distance", "p95_distance")
+
+
+@query("p05_robustness", CANON + _SPANS + _RUNS + """, root AS MATERIALIZED (SELECT run, 'CVE-1-' || r.software_id AS cve_id, min_by(r.node_id, struct_pack(a := r.ts, b := r.node_id)) AS node_id FROM sp JOIN rel r ON r.software_id = sp.software_id AND r.ord >= lo AND r.ord < hi WHERE r.software_id % 50 = 0 GROUP BY run, r.software_id),
+st AS MATERIALIZED (SELECT e.run, e.dst AS src, e.src AS dst FROM edg e JOIN rel a ON a.node_id = e.dst AND a.run = e.run JOIN rel b ON b.node_id = e.src AND b.run = e.run WHERE b.ts >= a.ts),
+walk(run, cve_id, node_id, depth) AS (SELECT run, cve_id, node_id, 0 FROM root UNION SELECT w.run, cve_id, s.dst, depth + 1 FROM walk w JOIN st s ON s.src = w.node_id AND s.run = w.run WHERE depth < 6),
+ld AS MATERIALIZED (SELECT run, cve_id, node_id, min(depth) AS depth FROM walk GROUP BY ALL),
+steps AS MATERIALIZED (SELECT l.run, l.cve_id, min(e.src) AS src, l.node_id AS dst FROM ld l JOIN st e ON e.dst = l.node_id AND e.run = l.run JOIN ld p ON p.run = l.run AND p.cve_id = l.cve_id AND p.node_id = e.src AND p.depth = l.depth - 1 WHERE l.depth > 0 GROUP BY l.run, l.cve_id, l.node_id),
+items AS MATERIALIZED (SELECT 'roots' AS what, run, cve_id || ' ' || node_id AS item FROM root UNION ALL SELECT 'steps', run, cve_id || ' ' || src || ' ' || dst FROM steps),
+size_ AS (SELECT what, count(*) AS k FROM items WHERE run = 0 GROUP BY 1)
+SELECT i.what, i.run, count(*) AS n, count(b.item) AS shared, round(count(b.item) / greatest(1, count(*) + any_value(k) - count(b.item)), 9) AS overlap FROM items i JOIN size_ USING (what) LEFT JOIN items b ON b.run = 0 AND b.what = i.what AND b.item = i.item GROUP BY ALL""")
+def _(t):
+    """Root causes and their reference paths, built anew on every run, for every 50th package."""
+    spans = _spans(t).filter("package % 50 = 0")
+    said = spans.select("cve_id", F.lit("OSV").alias("source"), F.array(F.lit("abcdef1")).alias("fix_commits")).distinct()
+    roots, steps = robust.rebuilt(*_runs(t), spans, said)
+    cve = F.substring_index("cve_id", "#", 1).alias("cve_id")
+    own = lambda x: robust.id_of(c(x)).alias(x)
+    parts = {"roots": robust.stability(roots.select("run", cve, own("node_id")), ["cve_id", "node_id"]), "steps": robust.stability(steps.select("run", cve, own("src"), own("dst")), ["cve_id", "src", "dst"])}
+    both = [rows.select(F.lit(what).alias("what"), "run", "n", "shared", F.round("overlap", 9).alias("overlap")) for what, rows in parts.items()]
+    return both[0].unionByName(both[1])
+
+
 @query("o01_rank_metrics", "WITH s AS (SELECT event_type AS g, event_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS r FROM events) SELECT round(avg(1.0 / r), 9) AS mrr, round(avg(CASE WHEN r <= 3 THEN 1.0 ELSE 0.0 END), 9) AS hits FROM s WHERE event_id % 10 = 0")
 def _(t):
     s = t.raw("events").select(c("event_type").alias("group"), c("event_id").alias("node_id"), c("value").alias("score"))
@@ -387,7 +435,7 @@ def _(t):
     return evaluate.stratified(t.cve_list, "severity", 5, "cve_id").groupBy("severity").agg(F.count("*").alias("n"))
 
 
-@query("p05_robustness", CANON + _MOVED + ", a AS (SELECT software_id, min_by(version, struct_pack(a := ts, b := node_id)) AS v FROM releases GROUP BY 1), b AS (SELECT software_id, min_by(version, struct_pack(a := ts, b := node_id)) AS v FROM moved GROUP BY 1) SELECT count(*) AS n, avg(CASE WHEN a.v = b.v THEN 1.0 ELSE 0.0 END) AS stable FROM a JOIN b USING (software_id)")
+@query("p05_jittered_origins", CANON + _MOVED + ", a AS (SELECT software_id, min_by(version, struct_pack(a := ts, b := node_id)) AS v FROM releases GROUP BY 1), b AS (SELECT software_id, min_by(version, struct_pack(a := ts, b := node_id)) AS v FROM moved GROUP BY 1) SELECT count(*) AS n, avg(CASE WHEN a.v = b.v THEN 1.0 ELSE 0.0 END) AS stable FROM a JOIN b USING (software_id)")
 def _(t):
     """Version metrics of the earliest-release localiser on jittered times."""
     moved = t.releases.drop("ts").join(evaluate.jitter(t.releases.select("node_id", "ts")), "node_id")
