@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,17 +78,36 @@ def similarity(distance: Column) -> Column:
     return 1 / (1 + F.abs(distance) + 1e-8)
 
 
+# Fixed values of the confidence in an origin: the base by method (and without one), what is added over a similarity, up to so
+# many candidates (and beyond), and for sequences of versions; and the bounds.
+ORIGIN_BASE, ORIGIN_OTHER = {"vector_temporal": 0.70, "temporal_window": 0.50, "conservative": 0.30}, 0.20
+ORIGIN_SIMILARITY = ((0.8, 0.15), (0.6, 0.10), (0.4, 0.05))
+ORIGIN_CANDIDATES, ORIGIN_MANY = ((0, 0.0), (3, 0.10), (10, 0.05), (30, 0.0)), -0.05
+ORIGIN_LONG, ORIGIN_SINGLE = (5, 0.05), -0.05
+ORIGIN_BOUNDS = (0.1, 0.95)
+# Fixed values of the confidence in a propagation: the loss by step, the worth of days (first, last, inside, later, else), the
+# weights of path, time and upstream nodes, and the number of these that is enough.
+STEP_LOSS, DAYS, PROPAGATION_WEIGHTS, ENOUGH_UPSTREAM = 0.15, (1, 365, 1.0, 0.8, 0.5), (0.5, 0.3, 0.2), 3
+
+
+def _kept(value: Column, low: float, high: float) -> Column:
+    return F.greatest(F.lit(low), F.least(F.lit(high), value))
+
+
 def origin_confidence(method: Column, distance: Column, n_candidates: Column, n_versions: Column) -> Column:
-    """Of an origin found by a method: base by method, changed by similarity, candidates and versions, kept in [0.1, 0.95]."""
+    """Of an origin found by a method: base by method, changed by similarity, candidates and versions, within bounds."""
     sim = similarity(distance)
-    base = F.when(method == "vector_temporal", 0.70).when(method == "temporal_window", 0.50).when(method == "conservative", 0.30).otherwise(0.20)
-    by_sim = F.when(sim > 0.8, 0.15).when(sim > 0.6, 0.10).when(sim > 0.4, 0.05).otherwise(0.0)
-    by_n = F.when(n_candidates <= 0, 0.0).when(n_candidates <= 3, 0.10).when(n_candidates <= 10, 0.05).when(n_candidates > 30, -0.05).otherwise(0.0)
-    by_seq = F.when(n_versions >= 5, 0.05).when(n_versions == 1, -0.05).otherwise(0.0)
-    return F.greatest(F.lit(0.1), F.least(F.lit(0.95), base + F.coalesce(by_sim, F.lit(0.0)) + F.coalesce(by_n, F.lit(0.0)) + F.coalesce(by_seq, F.lit(0.0))))
+    parts = [
+        F.coalesce(*(F.when(method == name, value) for name, value in ORIGIN_BASE.items()), F.lit(ORIGIN_OTHER)),
+        F.coalesce(*(F.when(sim > over, value) for over, value in ORIGIN_SIMILARITY)),
+        F.coalesce(*(F.when(n_candidates <= most, value) for most, value in ORIGIN_CANDIDATES), F.when(n_candidates.isNotNull(), ORIGIN_MANY)),
+        F.coalesce(F.when(n_versions >= ORIGIN_LONG[0], ORIGIN_LONG[1]), F.when(n_versions == 1, ORIGIN_SINGLE)),
+    ]
+    return _kept(reduce(lambda a, b: a + b, (F.coalesce(x, F.lit(0.0)) for x in parts)), *ORIGIN_BOUNDS)
 
 
 def propagation_confidence(path_length: Column, days: Column, n_upstream: Column) -> Column:
-    path = F.greatest(F.lit(0.0), 1 - (path_length - 1) * F.lit(0.15))
-    time = F.when(days.between(1, 365), 1.0).when(days > 365, 0.8).otherwise(0.5)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 * path + 0.3 * time + 0.2 * F.least(F.lit(1.0), n_upstream / 3)))
+    first, last, inside, later, other = DAYS
+    path = F.greatest(F.lit(0.0), 1 - (path_length - 1) * F.lit(STEP_LOSS))
+    time = F.coalesce(F.when(days.between(first, last), inside), F.when(days > last, later), F.lit(other))
+    return _kept(reduce(lambda a, b: a + b, (w * x for w, x in zip(PROPAGATION_WEIGHTS, (path, time, F.least(F.lit(1.0), n_upstream / ENOUGH_UPSTREAM))))), 0.0, 1.0)

@@ -84,6 +84,31 @@ def correlation_weight(rows: DataFrame, scale: float = 2_776_187.0) -> DataFrame
     return weighted.select("node_id", ((F.col("w") - lo) / (hi - lo) * scale).alias("weight"))
 
 
+def student_p(t: float, free: float) -> float:
+    """Of |t| with so many degrees of freedom, the probability of as much or more on both sides: the regularised incomplete
+    beta function of free / (free + t * t), by its continued fraction."""
+    import math
+
+    x, a, b = free / (free + t * t), free / 2, 0.5
+    if x >= 1:
+        return 1.0
+    if x > (a + 1) / (a + b + 2):  # the fraction converges on the other side
+        x, a, b, other = 1 - x, b, a, True
+    else:
+        other = False
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a if x > 0 else 0.0
+    f = d = 1 / (1 - (a + b) * x / (a + 1))
+    c = 1.0
+    for m in range(1, 1000):
+        for up in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + up * d)
+            c = 1 + up / c
+            f *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return 1 - front * f if other else front * f
+
+
 def stepwise(rows: DataFrame, target: str, names: list[str], p_limit: float = 0.05) -> list[tuple[str, float]]:
     """Forward selection: add the feature of the best R2 whose p-value is below the limit; (feature, R2) in order.
 
@@ -110,7 +135,7 @@ def stepwise(rows: DataFrame, target: str, names: list[str], p_limit: float = 0.
             if free <= 0 or total <= 0:
                 continue
             error = math.sqrt(max(left, 0.0) / free * np.linalg.inv(xx)[-1, -1])
-            p = 0.0 if error == 0 else math.erfc(abs(beta[-1]) / error / math.sqrt(2))  # t is near normal for many rows
+            p = 0.0 if error == 0 else student_p(abs(beta[-1]) / error, free)
             r2 = 1 - left / total
             if p < p_limit and (best is None or r2 > best[1]):
                 best = (name, r2)

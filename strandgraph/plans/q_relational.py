@@ -105,6 +105,13 @@ def _(t):
     return t.spark.createDataFrame([(k + 1, f, round(r, 6)) for k, (f, r) in enumerate(first)], "step int, feature string, r2 double")
 
 
+@query("f10_all_steps")
+def _(t):
+    """Every step of the selection, with the R2 that it reaches."""
+    steps = aggregate.stepwise(_matrix(t), "outdegree", ["degree", "speed", "popularity", "severity"])
+    return t.spark.createDataFrame([(k + 1, f, round(r, 6)) for k, (f, r) in enumerate(steps)], "step int, feature string, r2 double")
+
+
 @query("f11_correlation_weight", CANON + _MATRIX + """, r AS (SELECT abs(corr(freshness_missrelease, outdegree)) AS a, abs(corr(freshness_outdays, outdegree)) AS b, abs(corr(popularity, outdegree)) AS c, abs(corr(speed, outdegree)) AS d, abs(corr(severity, outdegree)) AS e FROM m),
 w AS (SELECT node_id, (freshness_missrelease * a + freshness_outdays * b + popularity * c + speed * d + severity * e) / (a + b + c + d + e) AS w FROM m, r)
 SELECT node_id, round((w - (SELECT min(w) FROM w)) / ((SELECT max(w) FROM w) - (SELECT min(w) FROM w)) * 1000, 4) AS weight FROM w""")

@@ -243,3 +243,31 @@ def test_streaming(spark, tmp_path):
     done = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [(r.n, r.total) for r in done] == [(2, 5.0)]  # the last hour is still open
     assert events.hourly(rows).count() == 2 and events.sessions(rows).count() == 3
+
+
+def test_student_and_all_steps(spark):
+    """Known values of Student's t, and every step of a selection against least squares."""
+    for t, free, p in ((0.0, 5, 1.0), (2.0, 10, 0.0733880348), (12.706204736, 1, 0.05), (2.570581836, 5, 0.05), (1.959963985, 1e7, 0.05), (5.0, 3, 0.0153924210), (0.5, 30, 0.6207230049)):
+        assert abs(aggregate.student_p(t, free) - p) < 1e-6
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 4))
+    y = 3 * x[:, 2] - 1.5 * x[:, 0] + 0.4 * x[:, 3] + rng.normal(size=300) * 0.5
+    rows = spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, y)], "a double, b double, c double, d double, y double")
+    got = aggregate.stepwise(rows, "y", ["a", "b", "c", "d"], p_limit=1e-6)
+    assert [n for n, _ in got] == ["c", "a", "d"]
+    for k, (_, r2) in enumerate(got):
+        used = np.column_stack([np.ones(300), *(x[:, "abcd".index(n)] for n, _ in got[: k + 1])])
+        left = y - used @ np.linalg.lstsq(used, y, rcond=None)[0]
+        assert abs(r2 - (1 - left @ left / ((y - y.mean()) ** 2).sum())) < 1e-9
+
+
+def test_family_names(spark):
+    from strandgraph.functions import text
+
+    cases = {
+        ("org.apache.tomcat.embed", "x"): "tomcat", ("a.b", "spring-boot-starter"): "springboot", ("a.b", "spring-boot-web-core"): "springweb", ("a.b", "spring-web"): "springweb", ("a.b", "spring-"): "spring",
+        ("a.b", "hadoop-x-client"): "hadoop", ("a.b", "commons-io-lib"): "commonsio", ("a.b", " Log4J-API "): "log4j", ("a.b", "log4j-to-slf4j"): "log4jto-slf4j", ("a.b", "my-kafka-tool"): "kafka", ("a.b", "core"): "core",
+        ("org.apache.x", "ab"): "apache", ("org.springframework.q", "ab"): "spring", ("c.fasterxml", "-core"): "jackson", ("x.y", "ab"): "ab", ("a.b", "one-two-three"): "one-two-three", ("a.b", "keycloak-tomcat"): "tomcat",
+    }
+    rows = spark.createDataFrame(list(cases), "g string, a string")
+    assert {(r.g, r.a): r.k for r in rows.select("g", "a", text.family_key(F.col("g"), F.col("a")).alias("k")).collect()} == cases
