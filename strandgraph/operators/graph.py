@@ -22,6 +22,29 @@ def _compact(n_edges: int):
     return (lambda df: df.coalesce(1).hint("shuffle_hash")) if n_edges <= COMPACT else (lambda df: df)
 
 
+#: Rounds after which the tables of a loop are written as one, so that no plan has a scan for every round.
+FOLD = 16
+
+
+class Rounds:
+    """The union of what a loop's rounds have written. Each FOLD rounds they are written as one and deleted singly."""
+
+    def __init__(self, first: DataFrame):
+        self.parts = [first]
+
+    @property
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.parts)
+
+    def add(self, part: DataFrame) -> None:
+        """part: the newest round. The one before it may still be read by whoever wrote it, so it stays until the next fold."""
+        if len(self.parts) >= FOLD:
+            folded = written(self.all, "rounds")
+            discard(*self.parts[:-1])
+            self.parts = [folded]
+        self.parts.append(part)
+
+
 def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
@@ -32,15 +55,15 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 def hops(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """(node_id, depth): what start(node_id) reaches in so many steps, at its least depth. A level a round."""
-    seen = written(start.select("node_id").distinct().withColumn("depth", F.lit(0)), "hops")
-    front = seen
+    front = written(start.select("node_id").distinct().withColumn("depth", F.lit(0)), "hops")
+    seen = Rounds(front)
     for d in range(1, depth + 1):
         reached = front.join(edges, front["node_id"] == edges["src"]).select(F.col("dst").alias("node_id")).distinct()
-        front = written(reached.join(seen, "node_id", "left_anti").withColumn("depth", F.lit(d)), "hops")
+        front = written(reached.join(seen.all, "node_id", "left_anti").withColumn("depth", F.lit(d)), "hops")
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
-    return seen
+        seen.add(front)
+    return seen.all
 
 
 def multi_hops(edges: DataFrame, start: DataFrame, depth: int, ordered: bool = False, times: DataFrame | None = None) -> DataFrame:
@@ -53,14 +76,14 @@ def multi_hops(edges: DataFrame, start: DataFrame, depth: int, ordered: bool = F
         edges = edges.join(a, "src").join(b, "dst").filter("b_ts >= a_ts").select("src", "dst")
     edges = written(edges.select("src", "dst"), "steps")
     front = written(start.select("origin", F.col("origin").alias("node_id"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent")), "bfs")
-    seen = front
+    seen = Rounds(front)
     for d in range(1, depth + 1):
         step = front.select("origin", F.col("node_id").alias("src")).join(edges, "src").groupBy("origin", F.col("dst").alias("node_id")).agg(F.min("src").alias("parent"))
-        front = written(step.join(seen, ["origin", "node_id"], "left_anti").select("origin", "node_id", F.lit(d).alias("depth"), "parent"), "bfs")
+        front = written(step.join(seen.all, ["origin", "node_id"], "left_anti").select("origin", "node_id", F.lit(d).alias("depth"), "parent"), "bfs")
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
-    return seen
+        seen.add(front)
+    return seen.all
 
 
 def neighbourhood(edges: DataFrame, start: DataFrame, k: int, directed: bool = True) -> DataFrame:
@@ -72,14 +95,14 @@ def shortest_paths(edges: DataFrame, start: DataFrame, depth: int | None = None)
     """(origin, node_id, depth, paths): the number of shortest paths from every origin, counted level by level; without a
     depth until no node is left to reach."""
     front = written(start.select("origin", F.col("origin").alias("node_id"), F.lit(0).alias("depth"), F.lit(1).cast("long").alias("paths")), "paths")
-    seen = front
+    seen = Rounds(front)
     for d in itertools.count(1) if depth is None else range(1, depth + 1):
         step = front.join(edges, front["node_id"] == edges["src"]).groupBy("origin", F.col("dst").alias("node_id")).agg(F.sum("paths").alias("paths"))
-        front = written(step.join(seen, ["origin", "node_id"], "left_anti").select("origin", "node_id", F.lit(d).alias("depth"), "paths"), "paths")
+        front = written(step.join(seen.all, ["origin", "node_id"], "left_anti").select("origin", "node_id", F.lit(d).alias("depth"), "paths"), "paths")
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
-    return seen
+        seen.add(front)
+    return seen.all
 
 
 def components(nodes: DataFrame, edges: DataFrame, by: list[str] | tuple = ()) -> DataFrame:

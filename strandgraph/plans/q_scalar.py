@@ -204,11 +204,11 @@ def _(t):
 
 @query("d05_path_severity", CANON + ", p AS (SELECT a.src, a.dst AS mid, b.dst FROM family_edges a JOIN family_edges b ON a.dst = b.src) SELECT src, mid, dst FROM p WHERE mid IN (SELECT node_id FROM cve_list)")
 def _(t):
-    a, b = t.family_edges, t.family_edges.select(c("src").alias("mid"), c("dst").alias("end"))
-    paths = a.join(b, a["dst"] == b["mid"]).select(F.array("src", "mid", "end").alias("path"))
-    bad = t.cve_list.select(c("node_id").alias("n")).distinct()
-    inner = paths.withColumn("n", F.explode(F.slice("path", 2, F.size("path") - 2))).join(bad.withColumn("hit", F.lit(1)), "n", "left").groupBy("path").agg(F.count("hit").alias("hits"))
-    return inner.filter("hits >= 1").select(c("path")[0].alias("src"), c("path")[1].alias("mid"), c("path")[2].alias("dst"))
+    """Only edges into and out of a node with a CVE are joined, so other hubs make no paths."""
+    bad = t.cve_list.select(c("node_id").alias("mid")).distinct()
+    into = t.family_edges.withColumnRenamed("dst", "mid").join(bad, "mid", "left_semi")
+    out = t.family_edges.withColumnRenamed("src", "mid").join(bad, "mid", "left_semi")
+    return into.join(out, "mid").select("src", "mid", "dst")
 
 
 @query("d06_version_match", CANON + """SELECT node_id, CASE WHEN version IN ('1.0.1', '1.0.2') THEN 'exact' ELSE 'range' END AS how FROM releases
