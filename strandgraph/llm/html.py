@@ -143,11 +143,11 @@ def _open(tag: str, attrs: str, up: Node, rules: bool) -> tuple[Node, str]:
 
 
 def _names_noise(words: set[str], root: int) -> bool:
-    """If a class or id says noise: inside an article all its words must, but for neutral ones; elsewhere one of them."""
+    """If a class or id says noise: inside an article all its words must, but for neutral ones and comments; elsewhere one."""
     bad = words & NOISE_NAME
     if not bad or words & MODIFIER:
         return False
-    return root < 2 or (not bad <= PART and all(w in NOISE_NAME or w in NEUTRAL or w.isdigit() for w in words))
+    return root < 2 or bool(words & READERS - PART) or (not bad <= PART and all(w in NOISE_NAME or w in NEUTRAL or w.isdigit() for w in words))
 
 
 def parse(page: str, rules: bool = True) -> Page:
