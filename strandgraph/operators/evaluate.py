@@ -28,6 +28,24 @@ def rank_metrics(scores: DataFrame, targets: DataFrame, k: int = 3) -> DataFrame
     return targets.join(ranked, ["group", "node_id"], "left").agg(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))).alias("mrr"), F.avg(F.coalesce((F.col("rank") <= k).cast("double"), F.lit(0.0))).alias("hits"))
 
 
+def mrr_by_depth(paths: DataFrame, predictions: DataFrame) -> DataFrame:
+    """paths(depth_limit, cve_id, root) by predictions(cve_id, rank, node_id): depth_limit, n, mrr.
+
+    A root that isn't predicted counts 0; paths of a CVE without predictions don't count. A node's best rank counts.
+    """
+    best = predictions.groupBy("cve_id", F.col("node_id").alias("root")).agg(F.min("rank").alias("rank"))
+    rows = paths.join(predictions.select("cve_id").distinct(), "cve_id", "left_semi").join(best, ["cve_id", "root"], "left")
+    return rows.groupBy("depth_limit").agg(F.count("*").alias("n"), F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))).alias("mrr"))
+
+
+def mask_or_fill(scores: DataFrame, keep: DataFrame, fill: float = 0.0) -> DataFrame:
+    """node_id, score of all nodes of scores(node_id, score) and keep(node_id): those kept have their score, or 0 where they
+    have none; the others have `fill`. Without any score there is no row."""
+    some = scores.limit(1).select(F.lit(1).alias("__some"))
+    both = scores.join(keep.select("node_id").distinct().withColumn("__kept", F.lit(True)), "node_id", "full_outer").join(F.broadcast(some))  # one row
+    return both.select("node_id", F.when(F.col("__kept"), F.coalesce("score", F.lit(0.0))).otherwise(F.lit(fill)).alias("score"))
+
+
 def lead_time(scores: DataFrame, events: DataFrame, limit: float = 0.8) -> DataFrame:
     """Mean days from a node's first z-score of `limit` or more to its event, of events after it and within a century."""
     w = Window.partitionBy("t")

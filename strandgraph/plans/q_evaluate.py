@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text, versions
-from ..operators import aggregate, build, evaluate, graph, ground_truth, localise, paths, robust, vectors
+from ..operators import aggregate, evaluate, graph, ground_truth, localise, lookup, paths, robust, vectors
 from ..sources import advisories
 from ..sources.shared import shared_dir, written
 from .registry import query
@@ -110,10 +110,20 @@ def _(t):
 
 @query("m08_package_index", CANON + "SELECT 'lib-' || software_id AS package, string_agg(node_id, ',' ORDER BY node_id) AS nodes FROM releases GROUP BY software_id")
 def _(t):
-    rows = t.releases.groupBy(text.coordinates(c("release"), "artifact")["package"].alias("package")).agg(F.array_sort(F.collect_list("node_id")).alias("l"))
+    index = lookup.package_index(t.releases.select("node_id", text.coordinates(c("release"))["package"].alias("package")))
+    rows = index.filter("kind = 'artifact'").groupBy(c("key").alias("package")).agg(F.array_sort(F.collect_list("node_id")).alias("l"))
     return rows.select("package", F.array_join(F.transform("l", lambda x: x.cast("string")), ",").alias("nodes"))
 
 
+@query("m08_nodes_of_packages", CANON + "SELECT software_id AS q, node_id, CASE WHEN software_id % 3 = 0 THEN 'full' ELSE 'artifact' END AS kind FROM releases WHERE software_id % 3 < 2")
+def _(t):
+    """Packages asked for by their whole name, under a group that doesn't exist, or by an unknown name."""
+    index = lookup.package_index(t.releases.select("node_id", text.coordinates(c("release"))["package"].alias("package")))
+    n = c("q").cast("string")
+    name = F.when(c("q") % 3 == 0, F.concat(F.lit(" Org.C"), (c("q") % 20).cast("string"), F.lit(":lib-"), n)).when(c("q") % 3 == 1, F.concat(F.lit("other:Lib-"), n)).otherwise(F.concat(F.lit("no-"), n))
+    return lookup.nodes_of(t.releases.select(c("software_id").alias("q")).distinct().withColumn("package", name), index)
+
+
 @query("m09_family_merge", CANON + "SELECT 'before' AS state, count(DISTINCT software_id) AS n FROM releases UNION ALL SELECT 'after', count(DISTINCT software_id % 20) FROM releases")
 def _(t):
     before = t.releases.agg(F.countDistinct(text.coordinates(c("release"))["package"]).alias("n")).select(F.lit("before").alias("state"), "n")
@@ -202,6 +212,12 @@ def _(t):
     return ranked.agg(F.countDistinct("qid").alias("n_queries"), F.count("*").alias("n_predictions"), F.round(F.count("*") / F.countDistinct("qid"), 6).alias("mean_length"))
 
 
+@query("n09_predictions", CANON + _RANKED + "SELECT qid, node_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, node_id) AS INTEGER) AS rank, round(score, 6) AS score FROM s")
+def _(t):
+    """The ranked list of every query, a row for each prediction."""
+    return localise.vector_temporal(_hits(t), t.releases).withColumn("score", F.round("score", 6))
+
+
 # Ground truth: a software's first version. Prediction: three versions before its last. Confidence by the number of versions.
 _GT = """, q AS (SELECT software_id, list(version ORDER BY ord) AS vs, list(ts ORDER BY ord) AS tss, count(*) AS n FROM releases GROUP BY software_id),
 p AS (SELECT software_id AS sample_id, vs[1] AS gt, vs[greatest(1, n - 3)] AS pred, greatest(1, n - 3) - 1 AS distance, abs(tss[greatest(1, n - 3)] - tss[1]) / 86400000.0 AS error_days, 1 - 1.0 / (1 + n) AS confidence FROM q)
@@ -388,9 +404,25 @@ def _(t):
 
 @query("o16_depth_mrr", CANON + ", l AS (SELECT src, list(dst ORDER BY dst) AS preds FROM dep_edges GROUP BY src), r AS (SELECT src, max(dst) AS root FROM dep_edges GROUP BY src) SELECT round(avg(coalesce(1.0 / list_position(preds, root), 0)), 9) AS mrr FROM l JOIN r USING (src)")
 def _(t):
-    l = build.adjacency(t.dep_edges)
-    r = t.dep_edges.groupBy("src").agg(F.max("dst").alias("root"))
-    return l.join(r, "src").filter(F.size("neighbours") > 0).agg(F.round(F.avg(F.coalesce(1 / F.nullif(F.array_position("neighbours", c("root")), F.lit(0)), F.lit(0.0))), 9).alias("mrr"))
+    rank = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
+    lists = t.dep_edges.select(c("src").alias("cve_id"), rank.alias("rank"), c("dst").alias("node_id"))
+    roots = t.dep_edges.groupBy(c("src").alias("cve_id")).agg(F.max("dst").alias("root")).withColumn("depth_limit", F.lit(1))
+    return evaluate.mrr_by_depth(roots, lists).select(F.round("mrr", 9).alias("mrr"))
+
+
+@query("o16_mrr_by_depth", CANON + """, st AS (SELECT e.dst AS src, e.src AS dst FROM family_edges e JOIN family a ON a.node_id = e.dst JOIN family b ON b.node_id = e.src WHERE b.ts >= a.ts),
+walk(origin, node_id, depth) AS (SELECT node_id, node_id, 0 FROM family WHERE node_id % 50 = 0 UNION SELECT origin, s.dst, depth + 1 FROM walk JOIN st s ON s.src = walk.node_id WHERE depth < 3),
+ld AS MATERIALIZED (SELECT origin, node_id, min(depth) AS depth FROM walk WHERE node_id <> origin GROUP BY 1, 2),
+pr AS MATERIALIZED (SELECT dst AS origin, src AS node_id, row_number() OVER (PARTITION BY dst ORDER BY src) AS rank FROM dep_edges)
+SELECT k AS depth_limit, count(*) AS n, round(avg(coalesce(1.0 / rank, 0)), 9) AS mrr FROM ld JOIN (SELECT unnest([1, 2, 3]) AS k) ON depth <= k LEFT JOIN pr USING (origin, node_id) WHERE origin IN (SELECT origin FROM pr) GROUP BY k""")
+def _(t):
+    """Reference paths cut at depths of 1 to 3, against each origin's dependents in order."""
+    nodes, edges = written(t.family, "nodes"), written(t.family_edges, "edges")
+    roots = nodes.filter("node_id % 50 = 0").select(c("node_id").cast("string").alias("cve_id"), "node_id", F.lit(0.8).alias("confidence"))
+    found = graph.reference_paths(roots, edges, nodes, depth=3).select("cve_id", c("dst").alias("root"), F.explode(F.sequence(c("depth"), F.lit(3))).alias("depth_limit"))
+    rank = F.row_number().over(Window.partitionBy("dst").orderBy("src"))
+    lists = edges.select(c("dst").cast("string").alias("cve_id"), rank.alias("rank"), c("src").alias("node_id"))
+    return evaluate.mrr_by_depth(found, lists).withColumn("mrr", F.round("mrr", 9))
 
 
 @query("o17_agreement", "WITH b AS (SELECT event_id, event_id % 3 AS x, user_id % 3 AS y FROM events), a AS (SELECT count(*) AS n, avg(CASE WHEN x = y THEN 1.0 ELSE 0.0 END) AS raw FROM b), e AS (SELECT sum(kx * ky) AS s FROM (SELECT x AS l, count(*) AS kx FROM b GROUP BY x) JOIN (SELECT y AS l, count(*) AS ky FROM b GROUP BY y) USING (l)) SELECT n, round(raw, 6) AS raw, round((raw - s / (n * n)) / (1 - s / (n * n)), 6) AS kappa FROM a, e")
@@ -408,7 +440,9 @@ def _(t):
 
 @query("o19_masked_scores", "SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN value ELSE 0.0 END AS score FROM events")
 def _(t):
-    return t.raw("events").select("event_id", F.when(c("event_type").isin("view", "click"), c("value")).otherwise(0.0).alias("score"))
+    e = t.raw("events").select(c("event_id").alias("node_id"), c("value").alias("score"), "event_type")
+    kept = e.filter(c("event_type").isin("view", "click")).select("node_id")
+    return evaluate.mask_or_fill(e.select("node_id", "score"), kept).withColumnRenamed("node_id", "event_id")
 
 
 @query("p01_deleted_edges", CANON + "SELECT src, dst FROM dep_edges WHERE CAST('0x' || substr(md5(concat_ws(',', src, dst, 42)), 1, 15) AS BIGINT) % 1000000 >= 100000")

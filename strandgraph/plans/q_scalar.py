@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text, times, versions
-from ..operators import build, substrings, windows
+from ..operators import build, lookup, substrings, windows
 from ..sources import advisories
 from .registry import query
 from .tables import CANON
@@ -60,7 +60,7 @@ def _(t):
 
 
 _col("c11_first_cvss", "CASE WHEN event_id % 2 = 0 THEN props END", lambda: scores.first_cvss(F.array(F.struct(F.lit("OTHER").alias("type"), F.lit("z").alias("score")), F.struct(F.when(c("event_id") % 2 == 0, "cvss_v3").otherwise("x").alias("type"), c("props").alias("score")))))
-_col("c12_reference_urls", "CASE WHEN event_id % 2 = 0 THEN 'https://a/' || event_id ELSE '' END", lambda: F.array_join(F.filter(F.array(F.lit(""), F.when(c("event_id") % 2 == 0, F.concat(F.lit("https://a/"), c("event_id").cast("string")))), lambda x: x.isNotNull() & (x != "")), ","))
+_col("c12_reference_urls", "CASE WHEN event_id % 2 = 0 THEN 'https://a/' || event_id ELSE '' END", lambda: F.array_join(advisories.reference_urls(F.array(F.struct(F.lit("").alias("url")), F.struct(F.when(c("event_id") % 2 == 0, F.concat(F.lit("https://a/"), c("event_id").cast("string"))).alias("url")))), ","))
 _col("c13_cpe_packages", "'v:1,v:' || user_id", lambda: F.concat(F.lit("v:1,"), F.array_join(text.cpe_packages(F.array(F.concat(F.lit("cpe:2.3:a:v:"), c("user_id").cast("string"), F.lit(":1.0")), F.lit("bad"))), ",")))
 _col("c14_package_names", "CASE WHEN event_id % 2 = 0 THEN 'p' || user_id ELSE 'repo' || user_id END", lambda: F.array_join(text.package_names(F.array(F.struct(F.struct(F.when(c("event_id") % 2 == 0, F.concat(F.lit("p"), c("user_id").cast("string"))).alias("name")).alias("package"), F.array(F.struct(F.concat(F.lit("https://git/x/repo"), c("user_id").cast("string"), F.lit(".git")).alias("repo"))).alias("ranges")))), ","))
 _col("c15_fix_commits", "'abcdef' || (1000000 + event_id) || ',fixed'", lambda: F.array_join(text.fix_commits(F.array(F.lit("fixed")), F.array(F.struct(F.lit("FIX").alias("type"), F.concat(F.lit("https://h/commit/abcdef"), (1000000 + c("event_id")).cast("string")).alias("url")), F.struct(F.lit("WEB").alias("type"), F.lit("https://h/commit/1234567").alias("url")))), ","))
@@ -106,8 +106,9 @@ def _(t):
 
 @query("c17_cve_entries", CANON + "SELECT node_id, cve_id FROM cve_list")
 def _(t):
-    lists = t.cve_list.groupBy("node_id").agg(F.collect_list("cve_id").alias("l"))
-    return lists.select("node_id", F.explode(F.concat("l", F.array(F.lit(None).cast("string")))).alias("cve_id")).filter("cve_id IS NOT NULL")
+    """Lists of a node's CVEs as JSON, with elements that aren't objects among them."""
+    lists = t.cve_list.groupBy("node_id").agg(F.collect_list(F.to_json(F.struct(c("cve_id").alias("id"), "severity"))).alias("l"))
+    return advisories.entries(lists.withColumn("l", F.concat(F.lit('[3,"x",null,{"severity":"LOW"},'), F.array_join("l", ","), F.lit("]"))), "node_id", column="l").select("node_id", "cve_id")
 
 
 for _mode, _sql in (("artifact", "'lib-' || software_id"), ("simple", "'lib'"), ("group:artifact", "'org.c' || (software_id % 20) || ':lib-' || software_id"), ("right", "'org.c' || (software_id % 20) || ':lib-' || software_id"), ("family", "'lib-' || software_id")):
@@ -135,7 +136,7 @@ _rel("c27_package_base", "'my-lib-' || software_id", lambda: text.package_base(F
 @query("c28_resolve_package", CANON + "SELECT DISTINCT 'lib-' || software_id AS short, min('org.c' || (software_id % 20) || ':lib-' || software_id) OVER (PARTITION BY software_id) AS full_name FROM releases")
 def _(t):
     known = t.releases.select(text.coordinates(c("release"))["package"].alias("full_name")).distinct()
-    return known.groupBy(text.short_package(c("full_name")).alias("short")).agg(F.min("full_name").alias("full_name"))
+    return lookup.resolve_packages(known.select(text.short_package(c("full_name")).alias("name")), known).withColumnRenamed("name", "short")
 
 
 _rel("c29_coordinates_of_node", "'org.c' || (software_id % 20) || '/lib-' || software_id", lambda: F.concat_ws("/", text.norm(F.split("release", ":")[0]), text.norm(F.split("release", ":")[1])))
@@ -198,8 +199,12 @@ def _(t):
 
 @query("d04_has_value", CANON + "SELECT node_id FROM releases WHERE node_id IN (SELECT owner_id FROM added_values WHERE type = 'SPEED') AND node_id NOT IN (SELECT owner_id FROM added_values WHERE type = 'FRESHNESS')")
 def _(t):
-    kind = lambda k: t.added_values.filter(c("type") == k).select(c("owner_id").alias("node_id"))
-    return t.releases.join(kind("SPEED"), "node_id", "left_semi").join(kind("FRESHNESS"), "node_id", "left_anti").select("node_id")
+    return lookup.with_values(t.releases, t.added_values, has=["SPEED"], lacks=["FRESHNESS"]).select("node_id")
+
+
+@query("d04_first_value", CANON + ", f AS (SELECT owner_id AS node_id, min_by(type, value_id) AS type FROM added_values GROUP BY 1) SELECT node_id FROM releases JOIN f USING (node_id) WHERE type = 'POPULARITY_1_YEAR'")
+def _(t):
+    return lookup.first_value_is(t.releases, t.added_values, "POPULARITY_1_YEAR").select("node_id")
 
 
 @query("d05_path_severity", CANON + ", p AS (SELECT a.src, a.dst AS mid, b.dst FROM family_edges a JOIN family_edges b ON a.dst = b.src) SELECT src, mid, dst FROM p WHERE mid IN (SELECT node_id FROM cve_list)")
@@ -219,6 +224,16 @@ def _(t):
     return t.releases.withColumn("how", F.when(exact, "exact").when(ranged, "range")).filter("how IS NOT NULL").select("node_id", "how")
 
 
+@query("d06_staged_match", CANON + """SELECT software_id AS q, node_id, CASE software_id % 4 WHEN 0 THEN 'exact' WHEN 1 THEN 'number' WHEN 2 THEN 'range' ELSE 'all' END AS how FROM releases
+WHERE CASE software_id % 4 WHEN 0 THEN ord IN (1, 2) WHEN 1 THEN ord = 3 WHEN 2 THEN ord = 1 OR ord BETWEEN 5 AND 9 ELSE true END""")
+def _(t):
+    """An advisory for every software: listed versions, versions written otherwise, ranges after versions that don't exist, or neither."""
+    kind = lambda *rows: F.element_at(F.array(*(F.array(*(F.lit(x) for x in r)).cast("array<string>") for r in rows)), (c("q") % 4 + 1).cast("int"))
+    asked = t.releases.select(c("software_id").alias("q")).distinct().withColumn("package", c("q"))
+    asked = asked.withColumns({"versions": kind(["1.0.1", "1.0.2"], ["v1.0.3", "9.9.9"], ["7.7.7"], []), "ranges": kind([">=1.0.0"], [">=99.0.0"], [">=1.0.5,<1.1.0", "==1.0.1"], [])})
+    return lookup.match_versions(asked, t.releases.select(c("software_id").alias("package"), "node_id", "version"))
+
+
 @query("d07_candidate_nodes", CANON + """SELECT q, node_id, CASE WHEN q % 2 = 0 THEN 'pkg' ELSE 'artifact' END AS kind
 FROM (SELECT DISTINCT l_suppkey AS q FROM lineitem) JOIN releases ON software_id = q""")
 def _(t):

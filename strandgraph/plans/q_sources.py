@@ -90,9 +90,12 @@ def _(t):
 
 @query("a16_cached_scores", CANON + "SELECT node_id, count(*) AS n FROM cve_list GROUP BY node_id")
 def _(t):
-    from ..sources.shared import written
-
-    return written(t.cve_list.groupBy("node_id").agg(F.count("*").alias("n")), "scores")
+    """Counts by node, of scores by CVE and by node that are committed once and then loaded together."""
+    kept = Results(t.spark, files.fresh(t.spark, "scores"))
+    kept.commit("per_cve", t.cve_list.select("cve_id", "node_id"))
+    kept.commit("per_node", t.cve_list.groupBy("node_id").agg(F.count("*").alias("n")))
+    per_cve, per_node = kept.load_all("per_cve", "per_node")
+    return per_node.join(per_cve, "node_id", "left_semi")
 
 
 @query("a18_labels_csv", "SELECT doc_id, quality, toxic, quality + toxic AS total FROM labels")

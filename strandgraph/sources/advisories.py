@@ -24,11 +24,21 @@ def cve_id(name: Column, own: Column, aliases: Column) -> Column:
     return F.coalesce(found, F.when(name.startswith("CVE-"), name), F.when(own.startswith("CVE-"), own))
 
 
-def _urls(refs: Column) -> Column:
+def reference_urls(refs: Column) -> Column:
+    """The urls, but null and empty ones, of an array of references with a field url; no array: none."""
     urls = F.filter(F.transform(refs, lambda r: r["url"]), lambda u: F.coalesce(u, F.lit("")) != "")
     return F.coalesce(urls, F.array().cast("array<string>"))
 
 
+def entries(lists: DataFrame, *keep: str, column: str = "cve_list") -> DataFrame:
+    """The columns to keep, cve_id and severity: a row for each object with a CVE's name in a JSON array (name, id, cve_id or
+    cveId, the first that is there). Elements that aren't objects, and text that isn't an array, give none."""
+    fields = "name string, id string, cve_id string, cveId string, severity string"
+    rows = lists.select(*keep, F.explode(F.from_json(column, "array<string>")).alias("e")).filter(F.ltrim("e").startswith("{"))
+    rows = rows.select(*keep, F.from_json("e", fields).alias("e"))
+    return rows.select(*keep, text.cve_name(text.first_nonempty(*(F.col(f"e.{x}") for x in ("name", "id", "cve_id", "cveId")))).alias("cve_id"), "e.severity").filter("cve_id IS NOT NULL")
+
+
 def _severity(base: Column, vector: Column, source: str) -> Column:
     return F.struct(base.cast("double").alias("base_score"), vector.alias("vector"), F.lit(source).alias("source")).alias("severity")
 
@@ -44,7 +54,7 @@ def osv(containers: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     commits = text.fix_commits(F.coalesce(fixed, none), F.coalesce(refs, F.array().cast("array<struct<type:string,url:string>>")))
     packages = F.array_sort(F.coalesce(text.package_names(F.col("affected")), none))
-    return r.select("id", "published", "modified", _severity(base, vector, "OSV"), _urls(F.col("references")).alias("references"), packages.alias("packages"), commits.alias("fix_commits"), F.lit("OSV").alias("source"))
+    return r.select("id", "published", "modified", _severity(base, vector, "OSV"), reference_urls(F.col("references")).alias("references"), packages.alias("packages"), commits.alias("fix_commits"), F.lit("OSV").alias("source"))
 
 
 def nvd(containers: DataFrame) -> DataFrame:
@@ -54,7 +64,7 @@ def nvd(containers: DataFrame) -> DataFrame:
     best = scores.best_metric(metrics)
     criteria = F.flatten(F.flatten(F.transform("configurations", lambda g: F.transform(g["nodes"], lambda n: F.transform(n["cpeMatch"], lambda m: m["criteria"])))))
     none = F.array().cast("array<string>")
-    return r.select("id", "published", F.col("lastModified").alias("modified"), _severity(best["score"], best["vector"], "NVD"), _urls(F.col("references")).alias("references"), F.coalesce(text.cpe_packages(criteria), none).alias("packages"), none.alias("fix_commits"), F.lit("NVD").alias("source"))
+    return r.select("id", "published", F.col("lastModified").alias("modified"), _severity(best["score"], best["vector"], "NVD"), reference_urls(F.col("references")).alias("references"), F.coalesce(text.cpe_packages(criteria), none).alias("packages"), none.alias("fix_commits"), F.lit("NVD").alias("source"))
 
 
 def records(containers: DataFrame) -> DataFrame:

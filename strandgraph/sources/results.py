@@ -73,6 +73,13 @@ class Results:
             raise ValueError(f"{name} {entry.version} has {rows} rows, {entry.rows} were committed")
         return table
 
+    def load_all(self, *names: str) -> tuple[DataFrame, ...]:
+        """The newest tables of all names, or, if one was never committed, an error that names all such."""
+        have = {r["name"] for r in self.listed().select("name").distinct().collect()}
+        if missing := [n for n in names if n not in have]:
+            raise KeyError(f"no committed results: {', '.join(missing)}")
+        return tuple(self.load(n) for n in names)
+
     def prune(self) -> int:
         """Delete tables that no commit has; how many. Not while commits are going on."""
         kept, system = {r.data for r in self.listed().select("data").collect()}, self._system()
