@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as T
-from .common import bounded_sample, fold, map_arrow
+from .common import bounded_sample, fit_in_task, fold, map_arrow
 
 #: Bounds of the training sample of each language, and the model's size.
 MAX_ROWS, MAX_BYTES, BUCKET_BITS, DIM = 750, 6 << 20, 17, 12
@@ -144,8 +144,7 @@ def fit(texts: pa.ChunkedArray, langs: list[str], epochs: int = 4, seed: int = 7
 def train(docs: DataFrame, eligible: Column) -> Model | None:
     """Learn from a bounded sample (MAX_ROWS, MAX_BYTES) of different texts of each language."""
     rows = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & eligible)
-    got = bounded_sample(rows.select("lang", "text"), MAX_ROWS, MAX_BYTES, F.col("lang")).toArrow()
-    return fit(got["text"], got["lang"].to_pylist()) if got.num_rows else None
+    return fit_in_task(bounded_sample(rows.select("lang", "text"), MAX_ROWS, MAX_BYTES, F.col("lang")), lambda got: fit(got["text"], got["lang"].to_pylist()))
 
 
 def score_texts(model: Model | None, col: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
