@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: How long a hit and a miss hold, in milliseconds.
 HIT_MS, MISS_MS = 24 * 3_600_000, 5 * 60_000
+#: Width of the time slots that a key's lookups are dealt over.
+SLOT_MS = 3_600_000
 
 
 def merged(stored: DataFrame, new: DataFrame) -> DataFrame:
@@ -28,16 +30,23 @@ def as_of(asked: DataFrame, stored: DataFrame, hit_ms: int = HIT_MS, miss_ms: in
     """asked(key, asked_at, ...) with state, payload and found_at: by the last lookup up to then, `hit` or `miss` while it
     holds, else `stale`, which has to be looked up again.
 
-    A lookup holds at most one period of max(hit_ms, miss_ms), so it is placed in its own and the next period, and the join's
-    key is (key, period): a key with a long history, or asked for very often, is dealt over its periods.
+    Both are dealt by (key, slot of an hour) and run through in order of time; a slot begins with the last lookup of those
+    before it, from a table of one row a slot. So a key with a long history, or asked for very often, is dealt over its
+    slots, and no row meets more than one lookup.
     """
-    span = max(hit_ms, miss_ms)
-    period = lambda x: F.floor(x / F.lit(span))
-    placed = stored.select("key", F.col("at").alias("l_at"), F.col("payload").alias("l_payload"), F.explode(F.array(period(F.col("at")), period(F.col("at")) + 1)).alias("l_period"))
-    wanted = asked.filter("key IS NOT NULL AND asked_at IS NOT NULL").select("key", "asked_at").distinct().withColumn("l_period", period(F.col("asked_at")))
-    met = wanted.join(placed, ["key", "l_period"]).filter(F.col("l_at") <= F.col("asked_at"))
-    last = met.groupBy("key", "asked_at").agg(F.max(F.struct("l_at", "l_payload")).alias("m"))
-    last = last.select("key", "asked_at", F.col("m.l_at").alias("found_at"), F.col("m.l_payload").alias("payload"))
-    last = last.filter(F.col("asked_at") < until(F.col("found_at"), F.col("payload"), hit_ms, miss_ms))
-    out = asked.join(last, ["key", "asked_at"], "left")
+    slot = F.floor(F.col("at") / F.lit(SLOT_MS)).alias("__slot")
+    known = F.col("key").isNotNull() & F.col("asked_at").isNotNull()
+    found = F.struct(F.col("at").alias("found_at"), "payload")
+    of = stored.filter("key IS NOT NULL AND at IS NOT NULL").select("key", "at", slot, found.alias("__of"))
+    wanted = asked.filter(known).select("key", F.col("asked_at").alias("at"), F.struct(*asked.columns).alias("__row")).withColumn("__slot", slot)
+    rows = of.unionByName(wanted, allowMissingColumns=True)
+    by_slot = Window.partitionBy("key").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy("key", "__slot").agg(F.max("__of").alias("__end")).select("key", "__slot", F.last("__end", ignorenulls=True).over(by_slot).alias("__before"))
+    # of one time lookups come first, the one of the larger payload last
+    in_slot = Window.partitionBy("key", "__slot").orderBy("at", F.col("__row").isNotNull(), "__of").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = rows.withColumn("__last", F.last("__of", ignorenulls=True).over(in_slot)).filter("__row IS NOT NULL").join(ends, ["key", "__slot"])
+    last = F.coalesce("__last", "__before")
+    holds = F.col("__row.asked_at") < until(last["found_at"], last["payload"], hit_ms, miss_ms)
+    out = met.select("__row.*", F.when(holds, last["found_at"]).alias("found_at"), F.when(holds, last["payload"]).alias("payload"))
+    out = out.unionByName(asked.filter(~known), allowMissingColumns=True)
     return out.withColumn("state", F.when(F.col("found_at").isNull(), "stale").when(F.col("payload").isNull(), "miss").otherwise("hit"))
