@@ -1,7 +1,10 @@
 """Joins that must not make rows for every pair: results against plain Python, and the rows that the widest step makes."""
 
+import random
+
 from pyspark.sql import functions as F
 
+from strandgraph.operators import localise
 from strandgraph.sources import lookups
 
 
@@ -29,3 +32,18 @@ def test_lookups_of_a_busy_key(spark):
     rows, widest = ran(lookups.as_of(asked, stored))
     assert {(r.asked_at, r.found_at, r.payload) for r in rows} == {(k * 1000 + 500, k * 1000, str(k) if k % 3 else None) for k in range(3000)}
     assert widest <= 20_000
+
+
+def test_nearest_of_many_events(spark):
+    """Many events and queries in one window; and against plain Python over several."""
+    events, queries = spark.range(3000).select((F.col("id") * 10).alias("event_id"), (F.col("id") * 7).alias("t")), spark.range(3000).select(F.col("id").alias("qid"), (F.col("id") * 7 + 2).alias("t"))
+    rows, widest = ran(localise.nearest(queries, events, 60_000))
+    assert {(r.qid, r.event_id) for r in rows} == {(k, k * 10) for k in range(3000)}
+    assert widest <= 20_000
+    rng = random.Random(3)
+    at = [(k, rng.choice([None, -rng.randrange(50), rng.randrange(400)])) for k in range(120)]
+    ask = [(k, rng.choice([None, rng.randrange(-80, 460)])) for k in range(200)]
+    for within in (5, 40):
+        near = {q: min(((abs(t - x), e) for e, x in at if x is not None and t is not None and abs(t - x) <= within), default=None) for q, t in ask}
+        got = localise.nearest(spark.createDataFrame(ask, "qid bigint, t bigint"), spark.createDataFrame(at, "event_id bigint, t bigint"), within)
+        assert {r.qid: r.event_id for r in got.collect()} == {q: m[1] for q, m in near.items() if m}
