@@ -2,9 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from strandgraph.operators import localise
+from strandgraph.operators import aggregate, localise
 from strandgraph.sources import lookups
 
 
@@ -47,3 +48,24 @@ def test_nearest_of_many_events(spark):
         near = {q: min(((abs(t - x), e) for e, x in at if x is not None and t is not None and abs(t - x) <= within), default=None) for q, t in ask}
         got = localise.nearest(spark.createDataFrame(ask, "qid bigint, t bigint"), spark.createDataFrame(at, "event_id bigint, t bigint"), within)
         assert {r.qid: r.event_id for r in got.collect()} == {q: m[1] for q, m in near.items() if m}
+
+
+def test_pairs_of_sets_that_share_one_common_item(spark):
+    """Item 0 is in every set, the others in few: no pair is made for it."""
+    sets = {o: {0, o + 1, o + 10_000, o // 2 + 20_000} for o in range(600)}
+    df = spark.createDataFrame([(o, i) for o, s in sets.items() for i in s], "owner bigint, item bigint")
+    rows, widest = ran(aggregate.jaccard_pairs(df, 0.3))
+    assert {(r.a, r.b) for r in rows} == {(o, o + 1) for o in range(0, 600, 2)}
+    assert widest <= 20_000
+
+
+@pytest.mark.parametrize("least", [0.1, 0.5, 0.75])
+def test_overlapping_is_whole(spark, least):
+    """Small sets, sets of one item, and some beyond the bound to which pairs of items are keys."""
+    rng = random.Random(5)
+    sets = {o: set(rng.sample(range(12 if o < 60 else 60), rng.choice([1, 1, 2, 3, 5, 8] if o < 60 else [30, 33, 45, 58]))) for o in range(90)}
+    other = {o: {i for i in s if i % 5 or len(s) < 2} for o, s in sets.items()}
+    make = lambda of: spark.createDataFrame([(o, i) for o, s in of.items() for i in s], "owner bigint, item bigint")
+    want = {(a, b) for a in sets for b in other if other[b] and len(sets[a] & other[b]) / len(sets[a] | other[b]) >= least}
+    got = [(r.a, r.b) for r in aggregate.overlapping(make(sets), make(other), least).collect()]
+    assert len(got) == len(want) and set(got) == want
